@@ -42,6 +42,11 @@ class Model:
     columns: int = field(default=COLUMNS)
 
 
+def held_out(id_col: str) -> Column:
+    """Rows that are never learned from: crc32 of the id as text leaves 2 modulo 4. A null id is not held out."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
 def gram_columns(cp: np.ndarray, columns: int) -> list[tuple[int, np.ndarray]]:
     """For each n the column of the n-gram that starts at each code point."""
     h, out = np.zeros(len(cp), U64), []

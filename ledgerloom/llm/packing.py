@@ -212,13 +212,13 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     if histogram and max(histogram) > capacity:
         raise ValueError("a piece is longer than a sequence")
     runs = plan(histogram, capacity)
-    keys = (runs[:, 0] << 44) + runs[:, 1]
+    keys, names = (runs[:, 0] << 44) + runs[:, 1], [*pieces.columns, "sequence_id", "slot"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()
             k = np.searchsorted(keys, (length << 44) + rank, "right") - 1
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(runs[k, 3] + rank - runs[k, 1]), pa.array(runs[k, 4])], names=[*pieces.columns, "sequence_id", "slot"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(runs[k, 3] + rank - runs[k, 1]), pa.array(runs[k, 4])], names=names)
 
     salts = max(16, sum(histogram.values()) // RANKED)
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
