@@ -28,18 +28,26 @@ WINDOW = 20
 WORDS = R.Kind(R.words_of, WINDOW, 8, 6 << 20)
 
 
+def spelled(codes: np.ndarray, base: int) -> np.ndarray:
+    """Each word number as three letters, of an alphabet each. A node of an automaton looks through its children one by one, so few letters keep it fast, and three alphabets keep matches on word borders."""
+    return np.stack([codes // (base * base), base + codes // base % base, 2 * base + codes % base], -1) + 1
+
+
 def located(codes: np.ndarray, bounds: np.ndarray, phrases: np.ndarray, gram: int) -> np.ndarray:
     """Where the phrases (rows of word numbers) start: all documents are streamed through one automaton."""
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for p in phrases.tolist():
-        automaton.add_word(tuple(p), 1)
+    base = int(np.ceil((int(codes.max(initial=0)) + 1) ** (1 / 3))) + 1
+    text = lambda x: x.astype("<u4").tobytes().decode("utf-32-le")
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    size = 3 * gram
+    words = text(spelled(phrases, base))
+    for i in range(0, len(words), size):
+        automaton.add_word(words[i : i + size])
     automaton.make_automaton()
-    out: list[int] = []
-    words = codes.tolist()
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        if b - a >= gram:
-            out += [a + end for end, _ in automaton.iter(tuple(words[a:b]))]
-    return np.array(out, np.int64) - (gram - 1)
+    inner = bounds[1:-1]
+    stream = np.insert(spelled(codes, base), inner, 0, axis=0)  # no phrase holds what stands between documents
+    end = np.fromiter((e for e, _ in automaton.iter(text(stream))), np.int64)
+    start = (end + 1) // 3 - gram
+    return start - np.searchsorted(inner + np.arange(len(inner)), start, "right")
 
 
 def _repeated_windows(text: pa.ChunkedArray, replies: pa.Table, kind: R.Kind) -> list[tuple[int, int, R.Text, np.ndarray]]:
