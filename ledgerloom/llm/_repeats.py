@@ -7,11 +7,13 @@ an earlier one of the same range; no document ids need to travel.
 
 1. Every range's runs go to buckets of the anchor: anchor, hash of the span, range. An anchor whose spans are all equal
    settles its runs: all but those of the smallest range repeat. An anchor with different spans stays open.
-2. The windows of open anchors go to buckets of their fingerprints; all but those of the smallest range repeat.
+2. The windows of open anchors go to buckets, as fingerprints or, where that is shorter, as spans of bytes; all but
+   those of the smallest range repeat.
 3. Each range gets its settled anchors, open anchors and repeated fingerprints back, finds what repeats within itself,
    and marks the units that repeated windows cover.
 
-Everything that travels is an array of fingerprints a range and bucket. Fingerprints have 64 bits.
+Everything that travels is an array of fingerprints a range and bucket, or a compressed block of a range's documents.
+Fingerprints have 64 bits.
 """
 
 from __future__ import annotations
@@ -57,12 +59,13 @@ def bytes_of(buf: np.ndarray, offsets: np.ndarray) -> Text:
 
 @dataclass(frozen=True)
 class Kind:
-    """Units, window and gram."""
+    """Units, window and gram. raw: units are bytes, so that spans travel as they are."""
 
     units: Callable[[np.ndarray, np.ndarray], Text]
     window: int
     gram: int
     range_bytes: int
+    raw: bool = False
 
 
 @dataclass
@@ -172,9 +175,33 @@ def settle(rows: pa.Table) -> pa.Table:
     return _reply(part[tell], np.where(same[tell], SETTLED, OPEN), key[tell])
 
 
-def merge(rows: pa.Table) -> pa.Table:
+def _send_spans(part: int, t: Text, r: Runs, which: np.ndarray, window: int, buckets: int) -> pa.RecordBatch:
+    """The bytes of the marked runs, equal ones once; parts: the range; keys: sizes; more: bytes."""
+    at = np.flatnonzero(which)
+    _, first = np.unique(r.span(window)[at], return_index=True)
+    at = at[first]
+    at = at[np.lexsort((r.anchor[at], r.anchor[at] % U64(buckets)))]  # like spans side by side
+    bucket, start, size = (r.anchor[at] % U64(buckets)).astype(np.int64), r.first[at], r.last[at] - r.first[at] + window
+    lo, hi = groups(bucket)
+    return pa.RecordBatch.from_pydict({
+        "bucket": pa.array(bucket[lo].astype(np.int32)), "parts": pa.array([np.uint32(part).tobytes()] * len(lo), pa.binary()),
+        "keys": pa.array([size[a:b].astype(np.uint32).tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
+        "more": pa.array([gathered(t.buf, start[a:b], size[a:b]).tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
+    })
+
+
+def _windows_of(rows: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Range and fingerprint of each window of the spans that _send_spans() sent."""
+    size, buf = _joined(rows["keys"], np.uint32).astype(np.int64), _joined(rows["more"], np.uint8)
+    part = np.repeat(_joined(rows["parts"], np.uint32), [len(x.as_py()) // 4 for x in rows["keys"]])
+    sums, end = prefix_hash(byte_values(buf)), np.cumsum(size)
+    n = size - window + 1
+    s = np.repeat(end - size - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return np.repeat(part, n), mix(span_hash(sums, s, s + window))
+
+
+def merge(part: np.ndarray, key: np.ndarray) -> pa.Table:
     """A bucket's window fingerprints: those that a smaller range has, too."""
-    part, key = _joined(rows["parts"], np.uint32), _joined(rows["keys"], U64)
     order = np.lexsort((part, key))
     sorted_keys = key[order]
     low = part[order[np.searchsorted(sorted_keys, key)]]  # the first of equal keys has the smallest range
@@ -182,6 +209,41 @@ def merge(rows: pa.Table) -> pa.Table:
     return _reply(part[tell], np.full(int(tell.sum()), REPEATED), key[tell])
 
 
+#: Bytes of documents that a task gathers before it packs them by range.
+PACKED = 16 << 20
+
+
+def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents (part and other columns) as compressed blocks: part, block."""
+
+    def blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(held)
+        t = t.take(pc.sort_indices(t, [("part", "ascending")]))
+        part, body = t["part"].to_numpy(), t.drop_columns(["part"])
+        at, to = groups(part)
+        out = []
+        for a, b in zip(at.tolist(), to.tolist(), strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, body.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+                w.write_table(body.slice(a, b - a).combine_chunks())
+            out.append(sink.getvalue().to_pybytes())
+        return pa.RecordBatch.from_pydict({"part": pa.array(part[at].astype(np.int32)), "block": pa.array(out, pa.binary())})
+
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.nbytes
+        if size > PACKED:
+            yield blocks(held)
+            held, size = [], 0
+    if size:
+        yield blocks(held)
+
+
+def unpacked(rows: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows["block"]])
+
+
 def keys_of(replies: pa.Table, kind: int) -> np.ndarray:
     return np.sort(_joined(replies.filter(pc.equal(replies["kind"], kind))["keys"], U64))
 
@@ -216,25 +278,33 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[pa.Table, pa.Table],
 
     settled = written(ranged.select("part", "text").mapInArrow(send_runs, SENDS).groupBy("bucket").applyInArrow(settle, REPLIES), "settled")
 
+    blocks = lambda: ranged.mapInArrow(packed, "part int, block binary").groupBy("part")
+
     def ask(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        open_, out = keys_of(replies, OPEN), [_NONE]
-        if len(rows) and len(open_):
-            for _, _, t in chunks(rows["text"], kind):
-                r = runs_of(t, kind)
-                s = each_window(r, among(r.anchor, open_))
+        open_, part = keys_of(replies, OPEN), rows["part"][0].as_py()
+        out, sent = [_NONE], [_send(np.zeros(0, np.int64), _NONE, None, buckets)]
+        for _, _, t in chunks(unpacked(rows)["text"], kind) if len(open_) else ():
+            r = runs_of(t, kind)
+            which = among(r.anchor, open_)
+            if kind.raw:
+                sent.append(_send_spans(part, t, r, which, kind.window, buckets))
+            else:
+                s = each_window(r, which)
                 out.append(np.unique(mix(span_hash(r.sums, s, s + kind.window))))
         keys = np.unique(np.concatenate(out))
-        part = rows["part"][0].as_py() if len(rows) else 0
-        return pa.Table.from_batches([_send(np.full(len(keys), part), keys, None, buckets)])
+        return pa.Table.from_batches([*sent, _send(np.full(len(keys), part), keys, None, buckets)])
+
+    def answer(rows: pa.Table) -> pa.Table:
+        return merge(*_windows_of(rows, kind.window)) if kind.raw else merge(_joined(rows["parts"], np.uint32), _joined(rows["keys"], U64))
 
     opened = settled.where(F.col("kind") == OPEN)
-    asked = ranged.select("part", "text").groupBy("part").cogroup(opened.groupBy("part")).applyInArrow(ask, SENDS)
-    repeated = written(asked.groupBy("bucket").applyInArrow(merge, REPLIES), "repeated")
+    asked = blocks().cogroup(opened.groupBy("part")).applyInArrow(ask, SENDS)
+    repeated = written(asked.groupBy("bucket").applyInArrow(answer, REPLIES), "repeated")
 
     def last(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        return finish(in_order(rows), replies)
+        return finish(in_order(unpacked(rows)), replies)
 
-    return ranged.groupBy("part").cogroup(settled.unionAll(repeated).groupBy("part")).applyInArrow(last, schema)
+    return blocks().cogroup(settled.unionAll(repeated).groupBy("part")).applyInArrow(last, schema)
 
 
 def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:

@@ -23,7 +23,7 @@ from ledgerloom.llm import _repeats as R
 from ledgerloom.llm._common import flat_text, groups, mix, span_hash
 
 WINDOW = 50
-BYTES = R.Kind(R.bytes_of, WINDOW, 16, 4 << 20)
+BYTES = R.Kind(R.bytes_of, WINDOW, 16, 4 << 20, raw=True)
 LANE = 64
 
 
@@ -164,7 +164,7 @@ def _marks(text: pa.ChunkedArray, replies: pa.Table, kind: R.Kind) -> np.ndarray
 
 def remove_repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_bytes (binary), and the columns in keep."""
-    kind = BYTES if window == WINDOW else R.Kind(R.bytes_of, window, max(1, window // 3), BYTES.range_bytes)
+    kind = BYTES if window == WINDOW else R.Kind(R.bytes_of, window, max(1, window // 3), BYTES.range_bytes, raw=True)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes"]
 
     def finish(rows: pa.Table, replies: pa.Table) -> pa.Table:
