@@ -131,13 +131,12 @@ def chinese_numeral(n: Column) -> Column:
 
 def from_chinese_numeral(text: Column) -> Column:
     """The number of a numeral from 1 to 999, also in digits; null if it is none."""
-    part = lambda g: F.regexp_extract(text, f"^(?:([{CN_DIGITS}])百)?零?(?:([{CN_DIGITS}]?)(十))?([{CN_DIGITS[1:]}])?$", g)
-    value = lambda s: F.locate(s, F.lit(CN_DIGITS)) - 1 if isinstance(s, str) else F.instr(F.lit(CN_DIGITS), s) - 1
-    digit = lambda g: F.when(part(g) == "", 0).otherwise(F.expr(f"locate(regexp_extract(__t, '^(?:([{CN_DIGITS}])百)?零?(?:([{CN_DIGITS}]?)(十))?([{CN_DIGITS[1:]}])?$', {g}), '{CN_DIGITS}') - 1"))  # noqa: E731, F841
+    pattern = f"^(?:([{CN_DIGITS}])百)?零?(?:([{CN_DIGITS}]?)(十))?([{CN_DIGITS[1:]}])?$"
+    part = lambda g: F.regexp_extract(text, pattern, g)
     at = lambda g: F.when(part(g) == "", F.lit(0)).otherwise(F.call_function("locate", part(g), F.lit(CN_DIGITS)) - 1)
     tens = F.when(part(3) == "", 0).when(part(2) == "", 1).otherwise(at(2))
     n = at(1) * 100 + tens * 10 + at(4)
-    return F.when(text.rlike("^[0-9]{1,3}$"), text.cast("int")).when(text.rlike(f"^(?:[{CN_DIGITS}]百)?零?(?:[{CN_DIGITS}]?十)?[{CN_DIGITS[1:]}]?$") & (n > 0), n.cast("int"))
+    return F.when(text.rlike("^[0-9]{1,3}$"), text.cast("int")).when(text.rlike(pattern) & (n > 0), n.cast("int"))
 
 
 def build_date(first: Column, second: Column) -> Column:
