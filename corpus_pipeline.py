@@ -13,15 +13,12 @@ from ledgerloom.llm import decontamination, language_id, packing, similarity_joi
 from ledgerloom.llm._common import written
 from ledgerloom.llm.queries import table, tokenizer_path
 
-#: Score below which the language is uncertain, and the document goes.
-LEAST_SCORE = 0.5
-
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: without letters, or with a score that no language reaches. lang stays as it was."""
+    """Drops documents of no language, that is without a letter; a short text of which the model is unsure stays. lang stays as it was."""
     model = language_id.fit(docs, ~language_id.held_out("doc_id"))
     keep = tuple(docs.columns)
-    judged = language_id.predict(docs, model, keep=keep, label_out="__label", score_out="__score", where=(language_id.UNKNOWN, LEAST_SCORE))
+    judged = language_id.predict(docs, model, keep=keep, label_out="__label", score_out="__score", where=(language_id.UNKNOWN, 0.0))
     return judged.select(*keep)
 
 
