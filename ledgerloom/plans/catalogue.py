@@ -1,10 +1,395 @@
-"""The queries by name, and the DuckDB SQL that each is held against."""
+"""The queries by name, and the DuckDB SQL that each is held against.
+
+The driver's tables hold no Markdown, so character classes are parameters (letters instead of CJK), a line stands for a
+paragraph, and Markdown is built from rows where a rule needs it, in the same way on both sides. What counts as
+significant, acknowledged and so on in the events table is a convention of these queries.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.functions import text as T
+from ledgerloom.operators import contract, overlap
+from ledgerloom.operators import lines as L
+from ledgerloom.operators import references as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+#: A class that Java and RE2 read alike, for the invented prose of the tables.
+WORDS = "[a-z]"
+
+
+def query(sql: str) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[f.__name__] = f
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(text, '\[[^\n]*?\]', '', 'g'), '[#>*`_|]', '', 'g'), '\s+', '', 'g')"
+_PAIRS = rf"""
+WITH r AS (SELECT doc_id, {_CLEAN} AS c FROM documents), b AS (SELECT item_id, {_CLEAN} AS c FROM benchmark),
+rg AS (SELECT doc_id, p, substr(c, p, 12) AS g FROM (SELECT doc_id, c, unnest(range(1, length(c) - 10)) AS p FROM r WHERE length(c) >= 12)),
+bg AS (SELECT item_id, p, substr(c, p, 12) AS g FROM (SELECT item_id, c, unnest(range(1, length(c) - 10)) AS p FROM b WHERE length(c) >= 12)),
+h AS (SELECT item_id, doc_id, bg.p AS p, rg.p - bg.p AS d FROM rg JOIN bg USING (g)),
+i AS (SELECT *, p - row_number() OVER (PARTITION BY item_id, doc_id, d ORDER BY p) AS i FROM h),
+run AS (SELECT item_id, doc_id, min(p) AS p, count(*) + 11 AS chars FROM i GROUP BY item_id, doc_id, d, i),
+best AS (SELECT item_id, doc_id, max(chars) AS chars, arg_max(p, chars * 1000000 - p) AS p FROM run GROUP BY item_id, doc_id),
+f AS (SELECT item_id, doc_id, chars, substr(c, p, chars) AS fragment FROM best JOIN b USING (item_id))
+"""
+_KIND = """CASE WHEN length(regexp_replace(fragment, '[^A-Za-z]', '', 'g')) / chars > 0.3 THEN 'latin' WHEN length(regexp_replace(fragment, '[^0-9]', '', 'g')) / chars > 0.3 THEN 'digits' END"""
+
+
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.longest(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"), card_id="item_id", report_id="doc_id")
+
+
+@query(_PAIRS + f"SELECT item_id, doc_id, chars::BIGINT AS chars, fragment, {_KIND} AS kind FROM f WHERE chars >= 46")
+def overlap_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Longest common run of each benchmark passage and document, of 46 characters or more, and why it may be shared."""
+    return _overlaps(spark, sf_dir).where(F.col("chars") >= overlap.HIT_CHARS)
+
+
+@query(_PAIRS + f"SELECT doc_id, count(*) AS overlaps, count(*) FILTER (chars >= 46) AS hits, count(*) FILTER (chars >= 46 AND {_KIND} IS NULL) AS own_hits, count(*) FILTER (chars >= 46 AND {_KIND} IS NULL) >= 2 AS blocked FROM f GROUP BY doc_id")
+def overlap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.summary(_overlaps(spark, sf_dir), "doc_id")
+
+
+_LINES = "SELECT doc_id, unnest(range(1, len(l) + 1)) AS line_no, unnest(l) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"
+
+
+@query(f"SELECT doc_id, line_no::INTEGER AS line_no, md5(text) AS digest, length(text)::INTEGER AS chars FROM ({_LINES})")
+def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.lines(table(spark, sf_dir, "documents")).select("doc_id", "line_no", F.md5("text").alias("digest"), F.length("text").alias("chars"))
+
+
+@query("SELECT doc_id, length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::BIGINT AS latin, length(regexp_replace(text, '[^0-9]', '', 'g'))::BIGINT AS digits, length(regexp_replace(text, '[^一-鿿]', '', 'g'))::BIGINT AS cjk, length(regexp_replace(text, '[^�]', '', 'g')) / length(text) AS noise FROM documents")
+def char_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.class_count(t, "[A-Za-z]").alias("latin"), T.class_count(t, "[0-9]").alias("digits"), T.class_count(t, T.CJK).alias("cjk"), T.noise_ratio(t).alias("noise"))
+
+
+_PARAS = rf"""WITH l AS ({_LINES}), p AS (SELECT doc_id, line_no, trim(text) AS text, length(regexp_replace(trim(text), '[^a-z]', '', 'g')) AS chars FROM l WHERE trim(text) <> '' AND NOT regexp_matches(trim(text), '^(#|>|\||!\[)'))"""
+
+
+def _line_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A line that holds a letter is a paragraph here: the texts have no blank lines."""
+    rows = L.lines(table(spark, sf_dir, "documents")).withColumn("text", F.trim("text")).where((F.col("text") != "") & ~F.col("text").rlike(L.NOT_BODY))
+    return rows.select("doc_id", F.col("line_no").alias("paragraph"), "text", T.class_count(F.col("text"), WORDS).alias("chars"))
+
+
+@query(
+    _PARAS + """, c AS (SELECT lang, chars, row_number() OVER (PARTITION BY lang ORDER BY chars) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM p JOIN documents USING (doc_id))
+SELECT lang, any_value(n) AS count, """ + ", ".join(f"max(chars) FILTER (i = least(n - 1, n * {q} // 100))::BIGINT AS p{q}" for q in (25, 50, 75, 90)) + ", max(chars)::BIGINT AS longest FROM c GROUP BY lang"
+)
+def paragraph_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    return L.paragraph_percentiles(_line_paragraphs(spark, sf_dir).join(docs, "doc_id"), "lang")
+
+
+@query(
+    """WITH p AS (SELECT doc_id, length(regexp_replace(regexp_replace(text, '\\n', '', 'g'), '[^a-z]', '', 'g')) AS chars FROM documents)
+SELECT doc_id, 1::BIGINT AS count, round(chars, 1)::DOUBLE AS mean, chars AS p25, chars AS p50, chars AS p75, chars AS p90, (chars > 600)::BIGINT AS over_600, (chars < 150)::BIGINT AS under_150, (chars BETWEEN 150 AND 400)::BIGINT AS ideal_range, chars AS longest FROM p WHERE chars > 0"""
+)
+def paragraph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paras = L.paragraphs(table(spark, sf_dir, "documents"), letters=WORDS)
+    return L.paragraph_stats(paras)
+
+
+_POINTS = r"len(regexp_extract_all(text, '\[[0-9]+(?:,\s*[0-9]+)*\]')) + len(regexp_extract_all(regexp_replace(text, '\[[0-9]+(?:,\s*[0-9]+)*\]', '', 'g'), '[0-9]+(?:\.[0-9]+)?%?'))"
+
+
+@query(
+    _PARAS + f""", d AS (SELECT doc_id, sum(chars)::BIGINT AS chars, sum({_POINTS})::BIGINT AS points FROM p GROUP BY doc_id)
+SELECT doc_id, chars, points, CASE WHEN points > 0 THEN round(chars / points, 1) END AS chars_per_point, (points = 0 AND chars > 0) OR coalesce(CASE WHEN points > 0 THEN round(chars / points, 1) END > 300, false) AS below FROM d"""
+)
+def density_below_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.density(_line_paragraphs(spark, sf_dir))
+
+
+@query(
+    _PARAS + f""", q AS (SELECT doc_id, line_no, chars, {_POINTS} AS points FROM p),
+r AS (SELECT *, sum((points > 0)::INT) OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM q),
+s AS (SELECT *, sum(CASE WHEN points > 0 THEN 0 ELSE chars END) OVER (PARTITION BY doc_id, run ORDER BY line_no) AS running_chars FROM r),
+u AS (SELECT *, lag(running_chars, 1, 0) OVER (PARTITION BY doc_id, run ORDER BY line_no) AS before FROM s)
+SELECT doc_id, line_no::INTEGER AS paragraph, running_chars::BIGINT AS running_chars FROM u WHERE running_chars >= 500 AND before < 500"""
+)
+def no_data_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.no_data_runs(L.with_points(_line_paragraphs(spark, sf_dir)))
+
+
+@query(
+    """WITH e AS (SELECT *, event_id - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS i FROM events)
+SELECT event_type, min(event_id) AS first, max(event_id) AS last, count(*) AS n FROM e GROUP BY event_type, i HAVING count(*) >= 3"""
+)
+def consecutive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.runs_of(table(spark, sf_dir, "events"), "event_type", "event_id", F.lit(True))
+
+
+_OUTLINE = """
+WITH o AS (SELECT r_regionkey AS k, 1 AS level, r_regionkey * 1000000 AS pos, r_name AS title FROM region
+UNION ALL SELECT n_regionkey, 2, n_regionkey * 1000000 + (n_nationkey + 1) * 10000, n_name FROM nation
+UNION ALL SELECT n_regionkey, 3, n_regionkey * 1000000 + (n_nationkey + 1) * 10000 + s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 10000)
+"""
+
+
+@query(
+    _OUTLINE + """, a AS (SELECT *, sum((level = 1)::INT) OVER (ORDER BY pos) AS n1 FROM o), b AS (SELECT *, sum((level = 2)::INT) OVER (PARTITION BY n1 ORDER BY pos) AS n2 FROM a),
+c AS (SELECT *, sum((level = 3)::INT) OVER (PARTITION BY n1, n2 ORDER BY pos) AS n3 FROM b)
+SELECT pos::BIGINT AS pos, title, CASE level WHEN 1 THEN n1 || '' WHEN 2 THEN n1 || '.' || n2 ELSE n1 || '.' || n2 || '.' || n3 END AS number FROM c"""
+)
+def hierarchical_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters, sections and subsections from regions, nations and suppliers, as one outline."""
+    n = table(spark, sf_dir, "nation")
+    at = (F.col("n_regionkey") * 1000000 + (F.col("n_nationkey") + 1) * 10000).cast("long")
+    top = table(spark, sf_dir, "region").select(F.lit(1).alias("level"), (F.col("r_regionkey") * 1000000).cast("long").alias("pos"), F.col("r_name").alias("title"))
+    mid = n.select(F.lit(2), at, "n_name")
+    low = table(spark, sf_dir, "supplier").where("s_suppkey < 10000").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit(3), (at + F.col("s_suppkey")).cast("long"), "s_name")
+    rows = top.union(mid).union(low).withColumn("outline", F.lit(1))
+    return R.hierarchical_numbers(rows, "outline", ["pos"]).select("pos", "title", "number")
+
+
+@query("SELECT l_orderkey, l_linenumber, expected::INTEGER AS expected FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS expected FROM lineitem WHERE l_quantity > 10) WHERE l_linenumber <> expected")
+def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.sequence_gaps(table(spark, sf_dir, "lineitem").where("l_quantity > 10"), "l_orderkey", "l_linenumber")
+
+
+@query("SELECT user_id, (row_number() OVER (ORDER BY ts, event_id, user_id))::INTEGER AS number FROM (SELECT user_id, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id)")
+def first_appearance_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.numbers_by_first_use(table(spark, sf_dir, "events"), "user_id", "ts", "event_id")
+
+
+@query("SELECT doc_id, 'left' AS side FROM documents ANTI JOIN labels USING (doc_id) UNION ALL SELECT DISTINCT doc_id, 'right' FROM labels ANTI JOIN documents USING (doc_id)")
+def missing_and_orphan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.difference(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id")
+
+
+@query("SELECT doc_id, lang, source FROM documents SEMI JOIN labels USING (doc_id)")
+def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", "lang", "source")
+
+
+@query("SELECT d.doc_id, d.source, coalesce(quality, -1) AS quality, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN labels l USING (doc_id)")
+def left_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("has"))
+    j = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    return j.select("doc_id", "source", F.coalesce("quality", F.lit(-1)).alias("quality"), F.col("has").isNull().alias("missing"))
+
+
+@query("SELECT o_orderkey, o_custkey, last_value(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS last_f FROM orders")
+def asof_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's nearest finished order of its customer, up to itself."""
+    found = R.nearest_before(table(spark, sf_dir, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey")), "last_f")
+    return found.select("o_orderkey", "o_custkey", "last_f")
+
+
+@query("SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_shipdate < b.l_receiptdate AND b.l_shipdate < a.l_receiptdate")
+def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order whose intervals of shipping overlap: a theta join within a key, never across all."""
+    li = table(spark, sf_dir, "lineitem")
+    a, b = li.alias("a"), li.alias("b")
+    c = F.col
+    on = (c("a.l_orderkey") == c("b.l_orderkey")) & (c("a.l_linenumber") < c("b.l_linenumber")) & (c("a.l_shipdate") < c("b.l_receiptdate")) & (c("b.l_shipdate") < c("a.l_receiptdate"))
+    return a.join(b, on).select("a.l_orderkey", c("a.l_linenumber").alias("a"), c("b.l_linenumber").alias("b"))
+
+
+#: Terms whose banned forms are looked for: our own, in the invented prose.
+TERMS = [("T1", ["the", "tion"]), ("T2", ["ing"]), ("T3", ["que", "de"])]
+
+
+@query(
+    r"""WITH b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(text, '\[([^\]]+)\]\([^\n]*?\)', '\1', 'g'), '`[^`]+`', '', 'g'), '\s+', ' ', 'g')) AS body FROM documents),
+t AS (SELECT * FROM (VALUES ('T1', 'the'), ('T1', 'tion'), ('T2', 'ing'), ('T3', 'que'), ('T3', 'de')) v(term_id, form))
+SELECT doc_id, term_id, form FROM b JOIN t ON regexp_matches(body, '(^|[^a-zA-Z])' || form || '([^a-zA-Z]|$)')"""
+)
+def banned_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.banned_forms(table(spark, sf_dir, "documents"), spark.createDataFrame(TERMS, "term_id string, banned_forms array<string>"))
+
+
+@query(
+    f"""WITH l AS ({_LINES}), a AS (SELECT doc_id, line_no, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])([A-Z]{{2,6}})(?:$|[^A-Za-z0-9/])', 1)) AS acronym FROM (SELECT doc_id, line_no, regexp_replace(text, '([^A-Za-z0-9])', '\\1 \\1', 'g') AS text FROM l WHERE NOT regexp_matches(trim(text), '^(#|>|\\||!\\[)')))
+SELECT doc_id, acronym, min(line_no)::INTEGER AS line_no, false AS explained FROM a WHERE acronym NOT IN ('ID', 'AI') GROUP BY doc_id, acronym"""
+)
+def acronym_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = L.lines(table(spark, sf_dir, "documents")).where(~F.trim("text").rlike(L.NOT_BODY))
+    return R.acronyms(rows, ["ID", "AI"])
+
+
+@query("SELECT md5(text) AS digest, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.duplicates(table(spark, sf_dir, "documents").select(F.md5("text").alias("digest")), "digest")
+
+
+_TOKENS = "list_distinct(list_filter(list_transform(regexp_extract_all({0}, '[A-Za-z][A-Za-z0-9_.]*|[0-9]+'), lambda x: lower(x)), lambda x: length(x) >= 2))"
+
+
+@query(
+    _PAIRS + f"""SELECT item_id, doc_id, CASE WHEN len(a) = 0 THEN 1.0 ELSE len(list_intersect(a, b)) / len(a) END AS ratio FROM (
+SELECT f.item_id, f.doc_id, {_TOKENS.format("b.text")} AS a, {_TOKENS.format("d.text")} AS b FROM f JOIN benchmark b USING (item_id) JOIN documents d USING (doc_id) WHERE chars >= 46)"""
+)
+def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of a passage's vocabulary the documents that overlap with it have."""
+    pairs = overlap_hits(spark, sf_dir).select("item_id", "doc_id")
+    items = table(spark, sf_dir, "benchmark").select("item_id", T.tokens(F.col("text")).alias("a"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").join(pairs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", T.tokens(F.col("text")).alias("b"))
+    return pairs.join(items, "item_id").join(docs, "doc_id").select("item_id", "doc_id", T.coverage(F.col("a"), F.col("b")).alias("ratio"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, max(ts) AS ts FROM events WHERE event_type = 'error' GROUP BY user_id), a AS (SELECT DISTINCT events.user_id FROM events JOIN e USING (user_id) WHERE event_type = 'click' AND events.ts > e.ts)
+SELECT user_id, ts, a.user_id IS NOT NULL AS acknowledged FROM e LEFT JOIN a USING (user_id)"""
+)
+def ledger_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's latest error is acknowledged by a later click."""
+    e = table(spark, sf_dir, "events")
+    errors = e.where("event_type = 'error'").select(F.col("user_id").alias("event_id"), "ts", F.lit("significant").alias("level"), F.lit(False).alias("acknowledged"))
+    last = errors.groupBy("event_id").agg(F.max("ts").alias("last"))
+    acks = e.where("event_type = 'click'").join(last, F.col("user_id") == F.col("event_id")).where(F.col("ts") > F.col("last")).select("event_id")
+    return R.ledger_state(errors.dropDuplicates(["event_id", "ts"]), acks).select(F.col("event_id").alias("user_id"), "ts", "acknowledged")
+
+
+@query(
+    """WITH f AS (SELECT source, CASE WHEN toxic = 1 THEN 'FATAL' WHEN quality = 0 THEN 'ERROR' ELSE 'INFO' END AS level FROM labels JOIN documents USING (doc_id)),
+g AS (SELECT source, count(*) AS n, max(CASE level WHEN 'FATAL' THEN 3 WHEN 'ERROR' THEN 2 ELSE 0 END) AS r FROM f GROUP BY source)
+SELECT source, n, CASE r WHEN 3 THEN 'FATAL' WHEN 2 THEN 'ERROR' ELSE 'INFO' END AS worst, (CASE r WHEN 3 THEN 2 WHEN 2 THEN 1 ELSE 0 END)::INTEGER AS exit_code FROM g"""
+)
+def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("toxic") == 1, "FATAL").when(F.col("quality") == 0, "ERROR").otherwise("INFO")
+    found = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id").select("source", level.alias("level"))
+    return R.severity_rollup(found, "source", {"FATAL": 3, "ERROR": 2, "WARNING": 1})
+
+
+@query("SELECT trim(source) AS chapter, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality = 1 GROUP BY source HAVING count(*) < 10")
+def chapter_claim_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    claims = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select(F.col("source").alias("chapter"), F.when(F.col("quality") == 1, "true").otherwise("false").alias("adopted"))
+    return contract.thin_chapters(claims, 10)
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT 'p' || l_partkey AS s, 's' || l_suppkey AS t FROM lineitem), x AS (SELECT s AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT t, 0, 1 FROM e)
+SELECT node, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree, count(*) AS degree FROM x GROUP BY node"""
+)
+def degree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).distinct()
+    return R.degrees(edges)
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT DISTINCT o_custkey AS a, o_custkey + 7 AS b FROM orders WHERE o_custkey % 5 < 2), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(a, b) AS (SELECT a, b FROM u UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a)
+SELECT least(a, min(b)) AS component, a AS node FROM r GROUP BY a"""
+)
+def component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers, each tied to the one seven further on: chains, as components by their least node."""
+    _checkpoint_dir(spark)
+    edges = table(spark, sf_dir, "orders").where("o_custkey % 5 < 2").select(F.col("o_custkey").alias("source"), (F.col("o_custkey") + 7).alias("target")).distinct()
+    return R.components(edges).select("component", "node")
+
+
+def _checkpoint_dir(spark: SparkSession) -> None:
+    """Sets a checkpoint folder only where none is set, as in tests."""
+    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        import tempfile
+
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ledgerloom-"))
+
+
+@query(
+    r"""SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '</(div|p|li)\s*>', chr(10), 'gi'), '<[^>]+>', '', 'g'),
+'&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&')) AS digest FROM pages"""
+)
+def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_text(F.col("html"))).alias("digest"))
+
+
+@query(
+    """WITH d AS (SELECT o_orderkey AS doc_id, 'A [SRC-' || (o_custkey % 40) || '] b [SRC-' || (o_custkey % 7) || ', SRC-' || (o_orderkey % 9) || '] c [CL-1]  d' AS text, o_custkey % 40 AS x, o_custkey % 7 AS y, o_orderkey % 9 AS z FROM orders),
+m AS (SELECT doc_id, 0 AS at, 0 AS inside, x AS s FROM d UNION ALL SELECT doc_id, 1, 0, y FROM d UNION ALL SELECT doc_id, 1, 1, z FROM d),
+n AS (SELECT s, row_number() OVER (ORDER BY min((doc_id, at, inside)), s) AS k FROM m GROUP BY s)
+SELECT doc_id, 'A [' || a.k || '] b [' || b.k || ', ' || c.k || '] c d' AS text, 1::BIGINT AS removed FROM d JOIN n a ON a.s = x JOIN n b ON b.s = y JOIN n c ON c.s = z"""
+)
+def cite_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source marks become numbers by first use; claim marks go."""
+    k = lambda c, m: (F.col(c) % m).cast("string")
+    docs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("A [SRC-"), k("o_custkey", 40), F.lit("] b [SRC-"), k("o_custkey", 7), F.lit(", SRC-"), k("o_orderkey", 9), F.lit("] c [CL-1]  d")).alias("text"))
+    numbers = R.numbers_by_first_use(R.mentions(docs), "source_id", "doc_id", "at", "inside")
+    return R.with_numbers(docs, numbers)
+
+
+@query("SELECT conv_id, md5(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY conv_id")
+def merge_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.joined(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", F.md5("text").alias("digest"))
+
+
+@query("SELECT DISTINCT sha1(event_type || '|' || user_id) AS event_id FROM events WHERE event_id >= 100 EXCEPT SELECT sha1(event_type || '|' || user_id) FROM events WHERE event_id < 100")
+def ledger_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries of later events that the ledger of the first hundred lacks, each once."""
+    e = table(spark, sf_dir, "events")
+    keyed = lambda df: df.select(R.event_id("event_type", "user_id").alias("event_id"))
+    return R.new_entries(keyed(e.where("event_id >= 100")), keyed(e.where("event_id < 100")))
+
+
+#: Markdown from rows of orders; both sides build the same text.
+_MD = """'# T' || chr(10) || CASE WHEN o_orderkey % 3 = 0 THEN '## 1. Intro' ELSE '### Intro' END || chr(10) || CASE WHEN o_orderkey % 4 = 0 THEN '[SRC-1/2] x [S12]' ELSE 'see [SRC-3]' END || chr(10) || '**b one**' || chr(10) || '**b two**' || chr(10) || CASE WHEN o_orderkey % 5 = 0 THEN '**b three**' ELSE 'text 全文完' END || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '![图1-1 x](figures/a.png)' ELSE '[AB123] [CL-9]' END"""
+
+
+@query(
+    f"""WITH d AS (SELECT o_orderkey AS doc_id, {_MD} AS text, o_orderkey AS k FROM orders), r AS (
+SELECT doc_id, 'C1' AS rule, 'fatal' AS severity, 1 AS hits, false AS passed FROM d
+UNION ALL SELECT doc_id, 'C2', 'fatal', (k % 3 = 0)::INT * 2 + (k % 5 = 0)::INT, k % 3 <> 0 AND k % 5 <> 0 FROM d
+UNION ALL SELECT doc_id, 'C3', 'high', (k % 2 = 0)::INT, true FROM d UNION ALL SELECT doc_id, 'C4', 'high', 0, true FROM d
+UNION ALL SELECT doc_id, 'C5', 'fatal', (k % 5 <> 0)::INT, k % 5 = 0 FROM d UNION ALL SELECT doc_id, 'C6', 'fatal', (k % 4 = 0)::INT * 2, k % 4 <> 0 FROM d
+UNION ALL SELECT doc_id, 'C7', 'mid', 1, true FROM d UNION ALL SELECT doc_id, 'C8', 'mid', 0, true FROM d UNION ALL SELECT doc_id, 'C9', 'fatal', 0, true FROM d UNION ALL SELECT doc_id, 'C10', 'fatal', 0, true FROM d
+UNION ALL SELECT doc_id, 'C11', 'fatal', (k % 2 <> 0)::INT, k % 2 = 0 FROM d UNION ALL SELECT doc_id, 'C12', 'fatal', (k % 2 <> 0)::INT, k % 2 = 0 FROM d
+UNION ALL SELECT doc_id, 'C15', 'fatal', 0, true FROM d UNION ALL SELECT doc_id, 'C16', 'fatal', 0, true FROM d UNION ALL SELECT doc_id, 'C19', 'warn', 0, true FROM d
+UNION ALL SELECT doc_id, 'C20', 'warn', 2 + (k % 5 = 0)::INT, k % 5 <> 0 FROM d)
+SELECT doc_id, rule, severity, hits::BIGINT AS hits, passed FROM r"""
+)
+def contract_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract rules over drafts built from orders."""
+    return contract.verdicts(_drafts(spark, sf_dir))
+
+
+def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, nl = F.col("o_orderkey"), F.lit("\n")
+    text = F.concat(
+        F.lit("# T\n"), F.when(k % 3 == 0, "## 1. Intro").otherwise("### Intro"), nl, F.when(k % 4 == 0, "[SRC-1/2] x [S12]").otherwise("see [SRC-3]"), F.lit("\n**b one**\n**b two**\n"),
+        F.when(k % 5 == 0, "**b three**").otherwise("text 全文完"), nl, F.when(k % 2 == 0, "![图1-1 x](figures/a.png)").otherwise("[AB123] [CL-9]"),
+    )
+    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("text"))
+
+
+@query("SELECT o_orderkey AS doc_id, false AS passed, len(f)::INTEGER AS n_fatal FROM (SELECT o_orderkey, list_filter(['C1', CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 'C2' END, CASE WHEN o_orderkey % 5 <> 0 THEN 'C5' END, CASE WHEN o_orderkey % 4 = 0 THEN 'C6' END, CASE WHEN o_orderkey % 2 <> 0 THEN 'C11' END, CASE WHEN o_orderkey % 2 <> 0 THEN 'C12' END], lambda x: x IS NOT NULL) AS f FROM orders)")
+def contract_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract.overall(contract.verdicts(_drafts(spark, sf_dir))).select("doc_id", "passed", F.size("fatal_rules").alias("n_fatal"))
+
+
+#: Words of strong claims in the invented prose.
+STRONG = {"whole": "the|die|les", "part": "ing|tion"}
+
+
+@query(
+    f"""WITH l AS ({_LINES}), s AS (SELECT doc_id, line_no, 'whole' AS category, unnest(regexp_extract_all(text, 'the|die|les')) AS word, text FROM l UNION ALL SELECT doc_id, line_no, 'part', unnest(regexp_extract_all(text, 'ing|tion')), text FROM l)
+SELECT doc_id, category, word, count(*) AS n, count(*) FILTER (NOT regexp_matches(text, '\\[S[0-9]+\\]|\\[C[AMOP]?[0-9]+\\]|\\[SRC-[0-9]+') AND NOT starts_with(trim(text), '#')) AS high_risk FROM s
+WHERE NOT starts_with(trim(text), '```') AND NOT starts_with(trim(text), '>') GROUP BY ALL"""
+)
+def strong_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.strong_claims(L.lines(table(spark, sf_dir, "documents")), STRONG)
+    return found.groupBy("doc_id", "category", "word").agg(F.count("*").alias("n"), F.count_if("high_risk").alias("high_risk"))
+
+
+@query("SELECT custkey, name, version::BIGINT AS version FROM (SELECT o_custkey AS custkey, o_orderpriority AS name, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1")
+def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").cast("long").alias("version"))
+    newest = Window.partitionBy("custkey").orderBy(F.desc("version"))
+    return rows.withColumn("k", F.row_number().over(newest)).where("k = 1").drop("k")
