@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 
-ORDER = Window.partitionBy("doc_id").orderBy("line_no")
-RUNNING = ORDER.rowsBetween(Window.unboundedPreceding, 0)
-BEFORE = ORDER.rowsBetween(Window.unboundedPreceding, -1)
-AFTER = ORDER.rowsBetween(1, Window.unboundedFollowing)
+
+def _order():  # noqa: ANN202
+    return Window.partitionBy("doc_id").orderBy("line_no")
+
+
+def _running():  # noqa: ANN202
+    return _order().rowsBetween(Window.unboundedPreceding, 0)
+
 
 #: How lines begin that are no body text: headings, quotes, table rows, figures.
 NOT_BODY = r"^(#|>|\||!\[)"
@@ -27,7 +31,7 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def fenced(rows: DataFrame) -> DataFrame:
     """Adds in_fence: a ``` line or a line between a pair of them. A last fence without its partner protects nothing."""
     mark = F.trim("text").startswith("```")
-    seen, total = F.sum(mark.cast("int")).over(RUNNING), F.sum(mark.cast("int")).over(Window.partitionBy("doc_id"))
+    seen, total = F.sum(mark.cast("int")).over(_running()), F.sum(mark.cast("int")).over(Window.partitionBy("doc_id"))
     pairs = total - total % 2
     inside = (seen <= pairs) & ((seen % 2 == 1) | mark) & (seen > 0)
     return rows.withColumn("in_fence", inside)
@@ -53,8 +57,8 @@ def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 def blocks(rows: DataFrame) -> DataFrame:
     """Neighbouring lines of one kind as blocks: doc_id, kind, first_line, last_line, n_lines. Headings, rules and figures stand alone; blanks end a block."""
     alone = F.col("kind").isin("heading", "rule", "figure")
-    new = (F.coalesce(F.lag("kind").over(ORDER), F.lit("")) != F.col("kind")) | alone
-    numbered = rows.withColumn("block", F.sum(new.cast("int")).over(RUNNING)).where("kind <> 'blank'")
+    new = (F.coalesce(F.lag("kind").over(_order()), F.lit("")) != F.col("kind")) | alone
+    numbered = rows.withColumn("block", F.sum(new.cast("int")).over(_running())).where("kind <> 'blank'")
     return numbered.groupBy("doc_id", "block").agg(F.first("kind").alias("kind"), F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.count("*").alias("n_lines")).drop("block")
 
 
@@ -63,7 +67,7 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines join without a separator; a paragraph without one character of the class is none."""
     rows = lines(docs.select(F.col(id_col).alias("doc_id"), T.without_fences(F.col(text_col)).alias("text")))
     s = F.trim(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
-    rows = rows.withColumn("text", s).withColumn("island", F.sum((F.col("text") == "").cast("int")).over(RUNNING))
+    rows = rows.withColumn("text", s).withColumn("island", F.sum((F.col("text") == "").cast("int")).over(_running()))
     body = rows.where((F.col("text") != "") & ~F.col("text").rlike(NOT_BODY))
     joined = body.groupBy("doc_id", "island").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "text"))), lambda x: x["text"]), "").alias("text"))
     counted = joined.withColumn("chars", T.class_count(F.col("text"), letters)).where("chars > 0")
@@ -146,7 +150,7 @@ def without_blocks(rows: DataFrame, heading: str) -> DataFrame:
     is_heading = F.col("kind") == "heading"
     hit = is_heading & F.col("text").rlike(heading)
     # the level that is being dropped: set by a hit, cleared by a heading that is not below it
-    levels = F.collect_list(F.when(is_heading, F.struct("level", hit.alias("hit")))).over(RUNNING)
+    levels = F.collect_list(F.when(is_heading, F.struct("level", hit.alias("hit")))).over(_running())
     off = F.aggregate(levels, F.lit(0), lambda acc, h: F.when((acc > 0) & (h["level"] > acc), acc).when(h["hit"], h["level"]).otherwise(0))
     return rows.withColumn("off", off).where("off = 0").drop("off")
 
@@ -154,7 +158,7 @@ def without_blocks(rows: DataFrame, heading: str) -> DataFrame:
 def quotes(rows: DataFrame) -> DataFrame:
     """Straight double quotes outside fences become opening and closing ones in turn, over the whole document. rows: classified()."""
     n = F.when(F.col("in_fence"), 0).otherwise(F.coalesce(F.regexp_count("text", F.lit('"')), F.lit(0)))
-    before = F.coalesce(F.sum(n).over(BEFORE), F.lit(0))
+    before = F.coalesce(F.sum(n).over(_order().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = F.split("text", '"')
     mark = lambda i: F.when((before + i) % 2 == 1, "“").otherwise("”")
     turned = F.array_join(F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(mark(i), p))), "")
@@ -177,8 +181,8 @@ def joined(rows: DataFrame, by: str = "doc_id", order: str = "line_no", separato
 def table_cells(rows: DataFrame) -> DataFrame:
     """Cells of pipe tables: doc_id, table (from 1), row, col, cell. A table is a run of pipe lines whose second is a separator. rows: classified()."""
     is_row = F.col("kind") == "table"
-    new = is_row & (F.coalesce(F.lag("kind").over(ORDER), F.lit("")) != "table")
-    t = rows.withColumn("run", F.sum(new.cast("int")).over(RUNNING)).where(is_row)
+    new = is_row & (F.coalesce(F.lag("kind").over(_order()), F.lit("")) != "table")
+    t = rows.withColumn("run", F.sum(new.cast("int")).over(_running())).where(is_row)
     t = t.withColumn("row", F.row_number().over(Window.partitionBy("doc_id", "run").orderBy("line_no")))
     separator = F.trim("text").rlike(r"^\|[\s:\-|]+\|$")
     t = t.withColumn("ok", F.max(((F.col("row") == 2) & separator).cast("int")).over(Window.partitionBy("doc_id", "run"))).where("ok = 1")

@@ -193,13 +193,13 @@ def asof_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("o_orderkey", "o_custkey", "last_f")
 
 
-@query("SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_shipdate < b.l_receiptdate AND b.l_shipdate < a.l_receiptdate")
+@query("SELECT a.l_orderkey, a.l_linenumber AS a, b.l_linenumber AS b FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber AND a.l_partkey < b.l_partkey + b.l_quantity AND b.l_partkey < a.l_partkey + a.l_quantity")
 def overlap_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of an order whose intervals of shipping overlap: a theta join within a key, never across all."""
+    """Lines of an order whose intervals (part number, quantity wide) overlap: a theta join within a key, never across all."""
     li = table(spark, sf_dir, "lineitem")
     a, b = li.alias("a"), li.alias("b")
     c = F.col
-    on = (c("a.l_orderkey") == c("b.l_orderkey")) & (c("a.l_linenumber") < c("b.l_linenumber")) & (c("a.l_shipdate") < c("b.l_receiptdate")) & (c("b.l_shipdate") < c("a.l_receiptdate"))
+    on = (c("a.l_orderkey") == c("b.l_orderkey")) & (c("a.l_linenumber") < c("b.l_linenumber")) & (c("a.l_partkey") < c("b.l_partkey") + c("b.l_quantity")) & (c("b.l_partkey") < c("a.l_partkey") + c("a.l_quantity"))
     return a.join(b, on).select("a.l_orderkey", c("a.l_linenumber").alias("a"), c("b.l_linenumber").alias("b"))
 
 
@@ -253,8 +253,8 @@ def ledger_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's latest error is acknowledged by a later click."""
     e = table(spark, sf_dir, "events")
     errors = e.where("event_type = 'error'").select(F.col("user_id").alias("event_id"), "ts", F.lit("significant").alias("level"), F.lit(False).alias("acknowledged"))
-    last = errors.groupBy("event_id").agg(F.max("ts").alias("last"))
-    acks = e.where("event_type = 'click'").join(last, F.col("user_id") == F.col("event_id")).where(F.col("ts") > F.col("last")).select("event_id")
+    last = errors.groupBy(F.col("event_id").alias("user_id")).agg(F.max("ts").alias("last"))
+    acks = e.where("event_type = 'click'").join(last, "user_id").where(F.col("ts") > F.col("last")).select(F.col("user_id").alias("event_id"))
     return R.ledger_state(errors.dropDuplicates(["event_id", "ts"]), acks).select(F.col("event_id").alias("user_id"), "ts", "acknowledged")
 
 
@@ -314,8 +314,8 @@ def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH d AS (SELECT o_orderkey AS doc_id, 'A [SRC-' || (o_custkey % 40) || '] b [SRC-' || (o_custkey % 7) || ', SRC-' || (o_orderkey % 9) || '] c [CL-1]  d' AS text, o_custkey % 40 AS x, o_custkey % 7 AS y, o_orderkey % 9 AS z FROM orders),
-m AS (SELECT doc_id, 0 AS at, 0 AS inside, x AS s FROM d UNION ALL SELECT doc_id, 1, 0, y FROM d UNION ALL SELECT doc_id, 1, 1, z FROM d),
-n AS (SELECT s, row_number() OVER (ORDER BY min((doc_id, at, inside)), s) AS k FROM m GROUP BY s)
+m AS (SELECT doc_id, 0 AS place, 0 AS inner_place, x AS s FROM d UNION ALL SELECT doc_id, 1, 0, y FROM d UNION ALL SELECT doc_id, 1, 1, z FROM d),
+n AS (SELECT s, row_number() OVER (ORDER BY min(struct_pack(a := doc_id, b := place, c := inner_place)), s) AS k FROM m GROUP BY s)
 SELECT doc_id, 'A [' || a.k || '] b [' || b.k || ', ' || c.k || '] c d' AS text, 1::BIGINT AS removed FROM d JOIN n a ON a.s = x JOIN n b ON b.s = y JOIN n c ON c.s = z"""
 )
 def cite_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
