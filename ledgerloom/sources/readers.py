@@ -25,7 +25,7 @@ def texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
     return files.select("path", T.file_name(F.col("path")).alias("doc_id"), _lenient("content").alias("text"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(t.StringType())
 def _lenient(content: pd.Series) -> pd.Series:
     return content.map(lambda b: bytes(b).removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))
 
@@ -105,7 +105,7 @@ def yaml_blocks(docs: DataFrame, schema: str, pattern: str = r"(?s)^---\s*\n(.*?
 
 
 def _yaml_to_json():  # noqa: ANN202
-    @F.pandas_udf("string")
+    @F.pandas_udf(t.StringType())
     def to_json(block: pd.Series) -> pd.Series:
         import json
 
