@@ -16,7 +16,7 @@ PROPRIETARY = r"(?i)(GJB\s*\d+|ISO\s*\d+|IEC\s*\d+|IEEE\s*\d+|RFC\s*\d+|NIST|NAS
 #: Entities that HTML labels use, and their characters.
 ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 #: Glyphs of progress bars, and the replacement character.
-NOISE = "[�█░▒▓⠋⠙⠹⠸⠼⠴⠦⠧⠇⠏]"
+NOISE = "[�▕█▏▎▍▌▋▊▉]"
 
 
 def without_fences(text: Column) -> Column:
