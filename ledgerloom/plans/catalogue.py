@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import contract, overlap
+from ledgerloom.operators import audits, contract, diagrams, figures, outlines, overlap
 from ledgerloom.operators import lines as L
 from ledgerloom.operators import references as R
 
@@ -393,3 +393,145 @@ def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").cast("long").alias("version"))
     newest = Window.partitionBy("custkey").orderBy(F.desc("version"))
     return rows.withColumn("k", F.row_number().over(newest)).where("k = 1").drop("k")
+
+
+#: Boxes of a diagram from the lines of an order, on both sides.
+_BOXES = "SELECT l_orderkey AS doc_id, l_linenumber::VARCHAR AS id, (l_partkey % 97)::DOUBLE AS x, (l_suppkey % 31)::DOUBLE AS y, (l_partkey % 97 + l_quantity)::DOUBLE AS x2, (l_suppkey % 31 + l_quantity % 17 + 1)::DOUBLE AS y2 FROM lineitem"
+
+
+@query(
+    f"""WITH b AS ({_BOXES}) SELECT a.doc_id, a.id AS a, b.id AS b, CASE WHEN least(least(a.x2, b.x2) - greatest(a.x, b.x), least(a.y2, b.y2) - greatest(a.y, b.y)) >= 3 THEN 'error' ELSE 'warning' END AS severity
+FROM b a JOIN b ON a.doc_id = b.doc_id AND a.id < b.id AND a.x < b.x2 AND b.x < a.x2 AND a.y < b.y2 AND b.y < a.y2"""
+)
+def box_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes of a diagram that meet, found by the tiles that they share."""
+    return diagrams.overlaps(diagrams.boxes(_cells(spark, sf_dir))).select("doc_id", "a", "b", "severity")
+
+
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = lambda c: F.col(c).cast("string") if isinstance(c, str) else c.cast("string")
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("doc_id"), s("l_linenumber").alias("id"), none.alias("value"), none.alias("style"), F.lit("1").alias("vertex"), none.alias("relative"),
+        s(F.col("l_partkey") % 97).alias("x"), s(F.col("l_suppkey") % 31).alias("y"), s(F.col("l_quantity")).alias("width"), s(F.col("l_quantity") % 17 + 1).alias("height"), F.lit(True).alias("has_geometry"),
+    )
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT l_suppkey % 10 AS doc_id, 'p' || (l_partkey % 50) AS s, 's' || l_suppkey AS t FROM lineitem WHERE l_linenumber = 1), n AS (SELECT doc_id, s AS id FROM e UNION SELECT doc_id, t FROM e),
+g AS (SELECT doc_id, node, sum(o) AS o, sum(i) AS i, sum(o + i) AS k FROM (SELECT doc_id, s AS node, 1 AS o, 0 AS i FROM e UNION ALL SELECT doc_id, t, 0, 1 FROM e) GROUP BY ALL),
+d AS (SELECT doc_id, max(o) AS o, max(i) AS i, max(k) AS top, count(*) AS n FROM g GROUP BY doc_id),
+h AS (SELECT doc_id, count(*) FILTER (k = top) AS hubs, coalesce(max(k) FILTER (k < top), 0) AS second FROM g JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, n AS n_vertex, (SELECT count(*) FROM e WHERE e.doc_id = d.doc_id) AS n_edge, CASE WHEN d.doc_id % 2 = 0 THEN CASE WHEN d.o > 1 AND d.i > 1 THEN 'FLOW_RECONVERGENT' END WHEN hubs <> 1 THEN 'STAR_NO_UNIQUE_HUB' WHEN top < greatest(3, 2 * second) THEN 'STAR_HUB_NOT_DOMINANT' END AS verdict
+FROM d JOIN h USING (doc_id)"""
+)
+def graph_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of parts and suppliers, every other one meant as a flow, the rest as stars."""
+    _checkpoint_dir(spark)
+    e = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    e = e.select((F.col("l_suppkey") % 10).alias("doc_id"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).distinct()
+    n = e.select("doc_id", F.col("source").alias("id")).union(e.select("doc_id", "target")).distinct()
+    modes = e.select("doc_id").distinct().withColumn("mode", F.when(F.col("doc_id") % 2 == 0, "flow").otherwise("star"))
+    return diagrams.mode_verdicts(n, e, modes).select("doc_id", "n_vertex", "n_edge", "verdict")
+
+
+@query(
+    """WITH c AS (SELECT conv_id || '-' || turn AS doc_id, conv_id, turn, role, coalesce(text, '') AS text FROM conversations), k AS (SELECT *, conv_id % 3 <> 0 AS paired, turn % 2 = 0 AS keyed FROM c)
+SELECT doc_id, paired AS pairing_ok, paired AND role = 'user' AS envelope_ok, CASE WHEN NOT paired THEN 'none' WHEN keyed THEN 'true' ELSE 'false' END AS nonce_matched, CASE WHEN paired THEN md5(trim(text, chr(10))) END AS payload, CASE WHEN paired AND NOT keyed THEN 'nonce_missing' END AS degrade_reason FROM k"""
+)
+def envelope_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations in envelopes of their role; every third conversation's lack the end, odd turns lack the nonce."""
+    key = F.when(F.col("turn") % 2 == 0, ":abc123").otherwise("")
+    mark = lambda kind: F.concat(F.lit(f"[AGENT-OUTPUT-{kind}"), key, F.lit("] "), "role")
+    text = F.concat(mark("START"), F.lit("\n"), F.coalesce("text", F.lit("")), F.when(F.col("conv_id") % 3 != 0, F.concat(F.lit("\n"), mark("END"))).otherwise(""))
+    docs = table(spark, sf_dir, "conversations").select(F.concat("conv_id", F.lit("-"), "turn").alias("doc_id"), text.alias("text"))
+    found = audits.envelopes(docs, F.lit("user"), F.lit("ABC123"))
+    return found.select("doc_id", "pairing_ok", "envelope_ok", F.coalesce(F.col("nonce_matched").cast("string"), F.lit("none")).alias("nonce_matched"), F.md5("payload").alias("payload"), "degrade_reason")
+
+
+_SCORES = "SELECT o_custkey AS chapter, 'd' || (o_orderkey % 9) AS dim_id, max(CASE WHEN o_orderkey % 4 = 0 THEN 'block' WHEN o_orderkey % 4 = 1 THEN 'pass' ELSE 'warn' END) AS verdict FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL"
+
+
+@query(
+    f"""WITH s AS ({_SCORES}), e AS (SELECT DISTINCT o_custkey AS chapter, 'd' || (o_orderkey % 8) AS dim_id FROM orders), core AS (SELECT 'd' || unnest(range(3)) AS dim_id)
+SELECT chapter, dim_id, 'missing' AS fault FROM e ANTI JOIN s USING (chapter, dim_id) UNION ALL SELECT chapter, dim_id, 'extra' FROM s ANTI JOIN e USING (chapter, dim_id)
+UNION ALL SELECT chapter, dim_id, 'missing_core' FROM (SELECT chapter, core.dim_id FROM (SELECT DISTINCT chapter FROM e), core) ANTI JOIN e USING (chapter, dim_id)"""
+)
+def dimension_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    expected = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chapter"), F.concat(F.lit("d"), F.col("o_orderkey") % 8).alias("dim_id"))
+    return audits.dimension_gaps(expected, _scores(spark, sf_dir), spark.createDataFrame([(f"d{i}",) for i in range(3)], "dim_id string"))
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    verdict = F.when(k % 4 == 0, "block").when(k % 4 == 1, "pass").otherwise("warn")
+    return table(spark, sf_dir, "orders").where(k % 3 != 0).groupBy(F.col("o_custkey").alias("chapter"), F.concat(F.lit("d"), k % 9).alias("dim_id")).agg(F.max(verdict).alias("verdict"))
+
+
+@query(
+    f"""WITH s AS ({_SCORES}), v AS (SELECT DISTINCT o_custkey AS chapter, CASE WHEN o_custkey % 2 = 0 THEN 'PASS' ELSE 'REVISE' END AS actual FROM orders), h AS (SELECT chapter, string_agg(dim_id, ',' ORDER BY dim_id) AS high_blocks FROM s WHERE verdict = 'block' AND dim_id < 'd5' GROUP BY chapter)
+SELECT chapter, CASE WHEN high_blocks IS NULL THEN 'PASS' ELSE 'REVISE' END AS expected, actual, coalesce(high_blocks, '') AS high_blocks, (high_blocks IS NULL) = (actual = 'PASS') AS passed FROM v LEFT JOIN h USING (chapter)"""
+)
+def audit_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hints = spark.createDataFrame([(f"d{i}", "high" if i < 5 else "low") for i in range(9)], "dim_id string, severity string")
+    actual = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chapter"), F.when(F.col("o_custkey") % 2 == 0, "PASS").otherwise("REVISE").alias("verdict")).distinct()
+    return audits.verdict_rule(_scores(spark, sf_dir), hints, actual).withColumn("high_blocks", F.array_join("high_blocks", ","))
+
+
+@query(
+    """WITH i AS (SELECT o_custkey AS chapter, o_orderstatus AS issue, max(CASE o_orderpriority[1] WHEN '1' THEN 4 WHEN '2' THEN 3 WHEN '3' THEN 2 ELSE 1 END) AS r, count(DISTINCT o_orderkey % 3) AS personas FROM orders GROUP BY ALL)
+SELECT (row_number() OVER (ORDER BY r DESC, chapter, issue))::INTEGER AS number, chapter, issue, ['low', 'medium', 'high', 'critical'][r] AS severity, personas FROM i"""
+)
+def merged_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = F.substring("o_orderpriority", 1, 1)
+    severity = F.when(first == "1", "critical").when(first == "2", "high").when(first == "3", "medium").otherwise("low")
+    raised = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chapter"), F.col("o_orderstatus").alias("issue"), severity.alias("severity"), (F.col("o_orderkey") % 3).alias("persona"))
+    return audits.merged_issues(raised)
+
+
+@query(
+    """WITH c AS (SELECT r_regionkey AS doc_id, n_nationkey AS ordinal, CASE WHEN n_nationkey % 6 = 5 THEN '' ELSE '第' || n_nationkey || '章 ' || n_name END AS title FROM nation JOIN region ON n_regionkey = r_regionkey),
+s AS (SELECT n_regionkey AS doc_id, n_nationkey AS ordinal, CASE WHEN s_suppkey % 7 = 0 THEN '' ELSE 'x' END AS no, CASE WHEN s_suppkey % 5 = 0 THEN '1.' || s_suppkey || ' ' || s_name ELSE s_name END AS title, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+p AS (SELECT doc_id, ordinal, count(*) AS n, sum((no = '')::INT) AS s4, sum((s_suppkey % 5 = 0)::INT) AS s6 FROM s GROUP BY ALL), g AS (SELECT doc_id, count(*) AS s5 FROM c WHERE ordinal % 6 <> 5 AND ordinal % 4 = 0 GROUP BY doc_id),
+w AS (SELECT doc_id, 0 AS s1, sum((title = '')::INT) AS s2, sum((coalesce(n, 0) < 2)::INT) AS s3, coalesce(sum(s4), 0) AS s4, coalesce(sum(s6), 0) AS s6 FROM c LEFT JOIN p USING (doc_id, ordinal) GROUP BY doc_id)
+SELECT doc_id, rule, level, hits::BIGINT AS hits, hits = 0 AS passed FROM (SELECT doc_id, unnest(['S1', 'S2', 'S3', 'S4', 'S5', 'S6']) AS rule, unnest(['FATAL', 'FATAL', 'FATAL', 'FATAL', 'WARNING', 'WARNING']) AS level, unnest([s1, s2, s3, s4, coalesce(s5, 0), s6]) AS hits FROM w LEFT JOIN g USING (doc_id))"""
+)
+def outline_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as outlines, their nations as chapters (every sixth without title), suppliers as sections; every fourth nation is no heading."""
+    n, k = table(spark, sf_dir, "nation"), F.col("s_suppkey")
+    docs = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc_id"))
+    title = F.when(F.col("n_nationkey") % 6 == 5, "").otherwise(F.concat(F.lit("第"), "n_nationkey", F.lit("章 "), "n_name"))
+    chapters = n.select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("ordinal"), title.alias("title"), F.lit(False).alias("is_appendix"))
+    sections = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(
+        F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("ordinal"), F.when(k % 7 == 0, "").otherwise("x").alias("section_no"), F.when(k % 5 == 0, F.concat(F.lit("1."), k, F.lit(" "), "s_name")).otherwise(F.col("s_name")).alias("title"),
+    )
+    headings = n.where("n_nationkey % 4 <> 0 and n_nationkey % 6 <> 5").select(F.col("n_regionkey").alias("doc_id"), F.col("n_name").alias("title"))
+    return outlines.gate(docs, chapters, sections, headings)
+
+
+@query(
+    """WITH m AS (SELECT o_custkey AS doc_id, o_orderkey || '.png' AS file, o_orderkey % 5 AS d, o_orderkey % 3 AS u, o_orderkey AS k FROM orders)
+SELECT doc_id, k || '-1' AS figure_no, file, 'declared_missing' AS finding, 'FATAL' AS level FROM m WHERE d = 0 UNION ALL SELECT doc_id, k || '-1', file, 'ref_missing', 'FATAL' FROM m WHERE d = 0 AND u = 0 UNION ALL SELECT doc_id, k || '-1', 'x' || file, 'ref_missing', 'FATAL' FROM m WHERE u = 1 AND d <> 1 UNION ALL SELECT doc_id, k || '-1', 'x' || file, 'ref_undeclared', 'WARN' FROM m WHERE u = 1 AND d = 1"""
+)
+def figure_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest, folder and text of each customer's figures: every fifth is not in the folder, every third is named otherwise in the text."""
+    k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    doc, no, file = F.col("o_custkey").alias("doc_id"), F.concat(k.cast("string"), F.lit("-1")).alias("figure_no"), F.concat(k.cast("string"), F.lit(".png"))
+    other = F.concat(F.lit("x"), file)
+    disk = o.where("o_orderkey % 5 <> 0").select(doc, file.alias("file")).union(o.where("o_orderkey % 5 = 1").select(doc, other))
+    text = F.concat(F.lit("![图"), k, F.lit("-1 t](figures/"), F.when(k % 3 == 1, other).otherwise(file), F.lit(")"))
+    refs = figures.image_refs(o.where("o_orderkey % 3 < 2").select(doc, text.alias("text")))
+    return figures.path_findings(o.select(doc, no, F.concat(F.lit("out/"), file).alias("file")), disk, refs)
+
+
+@query("SELECT o_custkey AS doc_id, substr(sha1(o_custkey || string_agg(name, '' ORDER BY name)), 1, 12) AS run_id FROM (SELECT o_custkey, 'ch' || o_orderkey AS name FROM orders) GROUP BY o_custkey")
+def run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders")
+    return figures.run_ids(o.select(F.col("o_custkey").alias("doc_id"), F.col("o_custkey").cast("string").alias("text")).distinct(), o.select(F.col("o_custkey").alias("doc_id"), F.concat(F.lit("ch"), "o_orderkey").alias("name")))
+
+
+@query("SELECT source AS doc_id, count(*) FILTER (s = 'fail') = 0 AS passed, count(DISTINCT lang) FILTER (s = 'fail') AS n_failed, count(*) FILTER (s = 'manual_required') AS manual FROM (SELECT source, coalesce(lang, '?') AS lang, CASE WHEN quality = 1 THEN 'pass' WHEN toxic = 1 THEN 'fail' ELSE 'manual_required' END AS s FROM labels JOIN documents USING (doc_id)) GROUP BY source")
+def delivery_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("quality") == 1, "pass").when(F.col("toxic") == 1, "fail").otherwise("manual_required")
+    items = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select(F.col("source").alias("doc_id"), F.coalesce("lang", F.lit("?")).alias("item"), status.alias("status"))
+    return figures.checklist(items).select("doc_id", "passed", F.size("failed").cast("long").alias("n_failed"), "manual")
