@@ -137,9 +137,9 @@ def consecutive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _OUTLINE = """
-WITH o AS (SELECT r_regionkey AS k, 1 AS level, r_regionkey * 1000000 AS pos, r_name AS title FROM region
-UNION ALL SELECT n_regionkey, 2, n_regionkey * 1000000 + (n_nationkey + 1) * 10000, n_name FROM nation
-UNION ALL SELECT n_regionkey, 3, n_regionkey * 1000000 + (n_nationkey + 1) * 10000 + s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey < 10000)
+WITH o AS (SELECT r_regionkey AS k, 1 AS level, r_regionkey::BIGINT * 1000000000000 AS pos, r_name AS title FROM region
+UNION ALL SELECT n_regionkey, 2, n_regionkey::BIGINT * 1000000000000 + (n_nationkey::BIGINT + 1) * 10000000000, n_name FROM nation
+UNION ALL SELECT n_regionkey, 3, n_regionkey::BIGINT * 1000000000000 + (n_nationkey::BIGINT + 1) * 10000000000 + s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
 """
 
 
@@ -151,10 +151,10 @@ SELECT pos::BIGINT AS pos, title, CASE level WHEN 1 THEN n1 || '' WHEN 2 THEN n1
 def hierarchical_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters, sections and subsections from regions, nations and suppliers, as one outline."""
     n = table(spark, sf_dir, "nation")
-    at = (F.col("n_regionkey") * 1000000 + (F.col("n_nationkey") + 1) * 10000).cast("long")
-    top = table(spark, sf_dir, "region").select(F.lit(1).alias("level"), (F.col("r_regionkey") * 1000000).cast("long").alias("pos"), F.col("r_name").alias("title"))
+    at = (F.col("n_regionkey").cast("long") * 1000000000000 + (F.col("n_nationkey").cast("long") + 1) * 10000000000).cast("long")
+    top = table(spark, sf_dir, "region").select(F.lit(1).alias("level"), (F.col("r_regionkey").cast("long") * 1000000000000).cast("long").alias("pos"), F.col("r_name").alias("title"))
     mid = n.select(F.lit(2), at, "n_name")
-    low = table(spark, sf_dir, "supplier").where("s_suppkey < 10000").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit(3), (at + F.col("s_suppkey")).cast("long"), "s_name")
+    low = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit(3), (at + F.col("s_suppkey")).cast("long"), "s_name")
     rows = top.union(mid).union(low).withColumn("outline", F.lit(1))
     return R.hierarchical_numbers(rows, "outline", ["pos"]).select("pos", "title", "number")
 
