@@ -15,10 +15,10 @@ from ledgerloom.llm.queries import table, tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language, that is without a letter; a short text of which the model is unsure stays. lang stays as it was."""
+    """Drops documents of no language: without a letter, or long and mostly of trigrams that no learned language has (language_id.in_language). Short texts, and texts of which the label is unsure, stay; without a model all with letters stay. lang stays as it was."""
     model = language_id.fit(docs, ~language_id.held_out("doc_id"))
     keep = tuple(docs.columns)
-    judged = language_id.predict(docs, model, keep=keep, label_out="__label", score_out="__score", where=(language_id.UNKNOWN, 0.0))
+    judged = language_id.predict(docs, model, keep=keep, label_out="__label", score_out="__score", only_languages=True)
     return judged.select(*keep)
 
 

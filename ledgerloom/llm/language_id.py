@@ -6,6 +6,10 @@ trained by follow-the-regularised-leader with elastic-net penalties, so most of
 sample of labelled rows (TRAIN_ROWS, documented and a parameter: the rows with the smallest hash of their id). A
 temperature that minimises the log-loss on a part of the sample that was not trained on calibrates the scores.
 
+The model also holds the trigrams of its languages: those that enough sample texts of any one label have. A text of at
+least LONG letters, of whose trigrams more than FOREIGN are none of these, is in no learned language (in_language()).
+Shorter texts show too few trigrams to tell, and texts in several learned languages have their trigrams from all of them.
+
 Cases: null text, or text without a letter, is und with score 0; equal texts get equal predictions; rows with a null
 label are not learned from but predicted; without anything to learn from all is und; repeated rows are predicted each;
 an empty table gives no rows. Only text enters a prediction.
@@ -28,6 +32,12 @@ TRAIN_ROWS = 3000
 CALIBRATE = 5
 COLUMNS = 1 << 14
 GRAMS = (1, 2, 3)
+#: Trigrams are told apart by this many values when their languages are asked for.
+TRIGRAMS = 1 << 20
+#: A trigram is of a language if one in so many of its sample texts has it, and at least one.
+RARE = 500
+#: Letters from which on a text can be foreign, and the share of trigrams of no learned language beyond which it is.
+LONG, FOREIGN = 200, 0.5
 UNKNOWN = "und"
 _KEYS = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)]
 
@@ -40,6 +50,7 @@ class Model:
     bias: np.ndarray
     temperature: float = 1.0
     columns: int = field(default=COLUMNS)
+    trigrams: np.ndarray | None = None  # of the learned languages, a bit each
 
 
 def held_out(id_col: str) -> Column:
@@ -57,8 +68,8 @@ def gram_columns(cp: np.ndarray, columns: int) -> list[tuple[int, np.ndarray]]:
     return out
 
 
-def features(text: pa.Array, columns: int = COLUMNS) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
-    """Of each text the columns it has, their counts, and whether it has a letter."""
+def features(text: pa.Array, columns: int = COLUMNS) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+    """Of each text the columns it has, their counts, its number of letters, and its trigrams that hold a letter."""
     buf, off = flat_text(text)
     for i, j in slices(off):
         raw = buf[off[i] : off[j]]
@@ -71,6 +82,8 @@ def features(text: pa.Array, columns: int = COLUMNS) -> Iterator[tuple[np.ndarra
         low = np.array([ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in chars], np.uint32)[which] if len(cp) else cp
         letters = np.concatenate([[0], np.cumsum(letter)])[lead]
         grams = gram_columns(low, columns) if len(low) >= max(GRAMS) else [(n, gram_columns(np.append(low, np.zeros(3, np.uint32)), columns)[n - 1][1]) for n in GRAMS]
+        wide = gram_columns(low, TRIGRAMS)[-1][1] if len(low) >= 3 else np.zeros(0, np.int32)
+        lettered = letter[:-2] | letter[1:-1] | letter[2:]
         for d in range(j - i):
             a, b = int(lead[d]), int(lead[d + 1])
             counts = np.zeros(columns, np.int64)
@@ -78,7 +91,8 @@ def features(text: pa.Array, columns: int = COLUMNS) -> Iterator[tuple[np.ndarra
                 if b - a >= n:
                     counts += np.bincount(c[a : b - n + 1], minlength=columns)
             has = np.flatnonzero(counts)
-            yield has, counts[has], bool(letters[d + 1] > letters[d])
+            last = max(a, b - 2)
+            yield has, counts[has], int(letters[d + 1] - letters[d]), wide[a:last][lettered[a:last]]
 
 
 def tf_idf(has: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -127,13 +141,33 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], idf: np.ndarray, *, al
     return model
 
 
+def language_trigrams(rows: list[tuple[str, np.ndarray]]) -> np.ndarray:
+    """The trigrams that enough texts of a label have, a bit each. rows: label and distinct trigrams of each text."""
+    known = np.zeros(TRIGRAMS, bool)
+    for label in {r[0] for r in rows}:
+        own = [x for y, x in rows if y == label]
+        seen = np.zeros(TRIGRAMS, np.int32)
+        for x in own:
+            seen[x] += 1
+        known |= seen >= max(1, len(own) / RARE)
+    return np.packbits(known, bitorder="little")
+
+
+def in_language(model: Model | None, letters: int, trigrams: np.ndarray) -> bool:
+    """Whether a text may be in a learned language: not without a letter, nor if it is long and most of its trigrams are foreign. Without a model any letter will do."""
+    if not letters or model is None or model.trigrams is None or letters < LONG or not len(trigrams):
+        return letters > 0
+    known = model.trigrams[trigrams >> 3] >> (trigrams & 7).astype(np.uint8) & 1
+    return bool((known == 0).mean() <= FOREIGN)
+
+
 def document_frequencies(docs: DataFrame, columns: int = COLUMNS) -> tuple[np.ndarray, int]:
     """In how many of all documents each column occurs, and their number. What reaches the driver is bounded by the columns."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(columns, np.int64), 0
         for b in batches:
-            for has, _, _ in features(b.column(0), columns):
+            for has, *_ in features(b.column(0), columns):
                 seen[has] += 1
                 n += 1
         at = np.flatnonzero(seen)
@@ -163,18 +197,23 @@ def fit(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = list(features(b.column(1)))
-            yield pa.RecordBatch.from_pydict({"id": b.column(0).cast(pa.string()), "label": b.column(2), "has": pa.array([x[0].astype(np.int32).tobytes() for x in got], pa.binary()), "counts": pa.array([x[1].astype(np.int32).tobytes() for x in got], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"id": b.column(0).cast(pa.string()), "label": b.column(2), "has": pa.array([x[0].astype(np.int32).tobytes() for x in got], pa.binary()), "counts": pa.array([x[1].astype(np.int32).tobytes() for x in got], pa.binary()), "trigrams": pa.array([np.unique(x[3]).tobytes() for x in got], pa.binary())})
 
-    rows = sample.mapInArrow(extract, "id string, label string, has binary, counts binary").toArrow().to_pylist()
+    rows = sample.mapInArrow(extract, "id string, label string, has binary, counts binary, trigrams binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["id"] or "", r["label"], r["has"], r["counts"]))
     parsed = [(np.frombuffer(r["has"], np.int32), np.frombuffer(r["counts"], np.int32), r["label"]) for r in rows if r["has"]]
-    return train(parsed, idf) if parsed else None
+    if not parsed:
+        return None
+    model = train(parsed, idf)
+    model.trigrams = language_trigrams([(r["label"], np.frombuffer(r["trigrams"], np.int32)) for r in rows])
+    return model
 
 
-def _judge(model: Model | None, text: pa.Array) -> tuple[list[str], list[float]]:
-    labels, scores = [], []
-    for has, counts, letter in features(text):
-        if model is None or not letter:
+def _judge(model: Model | None, text: pa.Array) -> tuple[list[str], list[float], list[bool]]:
+    labels, scores, stays = [], [], []
+    for has, counts, letters, trigrams in features(text):
+        stays.append(in_language(model, letters, trigrams))
+        if model is None or not letters:
             labels.append(UNKNOWN)
             scores.append(0.0)
             continue
@@ -183,20 +222,20 @@ def _judge(model: Model | None, text: pa.Array) -> tuple[list[str], list[float]]
         k = int(p.argmax())
         labels.append(model.labels[k])
         scores.append(float(p[k] / p.sum()))
-    return labels, scores
+    return labels, scores, stays
 
 
-def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", label_out: str = "lang_pred", score_out: str = "score", keep: tuple[str, ...] = ("doc_id",), where: tuple[str, float] | None = None) -> DataFrame:
-    """The columns in keep, the label and the score of every whole text. where: drop rows of this label, or below this score."""
+def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", label_out: str = "lang_pred", score_out: str = "score", keep: tuple[str, ...] = ("doc_id",), only_languages: bool = False) -> DataFrame:
+    """The columns in keep, the label and the score of every whole text. only_languages: drop texts that in_language() denies."""
     names = [*keep, label_out, score_out]
     schema = ", ".join(f"k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep)) + ", a string, b double"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            labels, scores = _judge(model, b.column(0))
+            labels, scores, stays = _judge(model, b.column(0))
             out = pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], names=[*[f"k{i}" for i in range(len(keep))], "a", "b"])
-            if where:
-                out = out.filter(pa.array([x != where[0] and y >= where[1] for x, y in zip(labels, scores, strict=True)], pa.bool_()))
+            if only_languages:
+                out = out.filter(pa.array(stays, pa.bool_()))
             yield out
 
     return docs.select(F.col(text_col), *[F.col(c) for c in keep]).toDF("t", *[f"k{i}" for i in range(len(keep))]).mapInArrow(run, schema).toDF(*names)
