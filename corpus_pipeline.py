@@ -43,7 +43,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of all documents, and their sequences."""
-    return packing.pack_documents(docs, tokenizer_path())
+    return packing.pack_documents(docs, tokenizer_path(), special=True)
 
 
 STAGES = [("language ID", identify_language), ("n-gram Jaccard join", join_near_copies), ("substring dedup", remove_passages), ("benchmark decontamination", decontaminate), ("best-fit packing", pack)]

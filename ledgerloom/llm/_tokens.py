@@ -2,12 +2,14 @@
 
 Each distinct pre-token is encoded once by the library and kept in a bounded table of the worker; the ids of a text
 are then gathered from it. This needs a byte-level BPE without normaliser; other tokenizers encode whole texts.
+The table knows no added tokens, so a text that holds the content of one goes to the library as a whole.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 import sys
 import unicodedata
 
@@ -21,7 +23,7 @@ KEPT = 1_500_000
 _SPACES = [9, 10, 11, 12, 13, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 _OTHER, _LETTER, _NUMBER, _SPACE = range(4)
 _classes: list[np.ndarray] = []
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 def _class_of() -> np.ndarray:
@@ -70,14 +72,14 @@ def pretokens(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Ids of texts by the tokenizer of a file; it lives in one worker."""
+    """Ids of texts by the tokenizer of a file; it lives in one worker. special: whether special tokens that a text spells out become their ids (the library's default) or are plain text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
         vocab = self.tokenizer.get_vocab()
         top = max(vocab.values()) + 1
         self.dtype = np.uint16 if top <= 1 << 16 else np.uint32
@@ -85,6 +87,11 @@ class Encoder:
             told = json.load(f)
         pre = told.get("pre_tokenizer") or {}
         self.by_pretoken = told.get("normalizer") is None and told.get("model", {}).get("type") == "BPE" and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        added = [t["content"] for t in told.get("added_tokens") or [] if t["content"] and (special or not t.get("special"))]
+        # pre-tokens that are joined to be encoded must not spell an added token together
+        self.by_pretoken = self.by_pretoken and not any(" " in t[1:] for t in added)
+        self.added = [t.encode() for t in added]
+        self.spelled = re.compile(b"(?=" + b"|".join(re.escape(t) for t in self.added) + b")")
         self.width = np.ones(top, np.int64)
         for token, i in vocab.items():
             self.width[i] = len(token)
@@ -122,13 +129,32 @@ class Encoder:
         self.flat = np.concatenate([self.flat, *ids])
 
     def _some(self, buf: np.ndarray, offsets: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Texts that hold an added token by the library, those between them by the table."""
+        n, raw = len(offsets) - 1, buf.tobytes()
+        if not self.by_pretoken:
+            return self._whole(buf, offsets, end)
+        if not any(t in raw for t in self.added):
+            return self._gathered(buf, offsets, end)
+        whole = np.zeros(n, bool)
+        whole[np.searchsorted(offsets, [m.start() for m in self.spelled.finditer(raw)], "right") - 1] = True
+        cuts = np.concatenate([[0], np.flatnonzero(whole[1:] != whole[:-1]) + 1, [n]])
+        ids, bounds, base = [], [np.zeros(1, np.int64)], 0
+        for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            got, b = (self._whole if whole[i] else self._gathered)(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end)
+            ids.append(got)
+            bounds.append(b[1:] + base)
+            base += len(got)
+        return np.concatenate(ids), np.concatenate(bounds)
+
+    def _whole(self, buf: np.ndarray, offsets: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        raw = buf.tobytes()
+        got = [x.ids + end for x in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], add_special_tokens=False)]
+        return np.array([y for x in got for y in x], self.dtype), np.concatenate([[0], np.cumsum([len(x) for x in got])])
+
+    def _gathered(self, buf: np.ndarray, offsets: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
         n = len(offsets) - 1
         if not len(buf):
             return np.array(end * n, self.dtype), np.arange(n + 1) * len(end)
-        if not self.by_pretoken:
-            raw = buf.tobytes()
-            got = [x.ids + end for x in self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)], add_special_tokens=False)]
-            return np.array([y for x in got for y in x], self.dtype), np.concatenate([[0], np.cumsum([len(x) for x in got])])
         start = pretokens(buf, offsets)
         stop = np.append(start[1:], len(buf))
         sums = prefix_hash(byte_values(buf))
@@ -164,10 +190,10 @@ class Encoder:
         return np.concatenate(ids) if ids else np.zeros(0, self.dtype), np.concatenate(bounds)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, special: bool = False) -> Encoder:
     """The worker's encoder for a file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, special) not in _encoders:
+        _encoders[path, special] = Encoder(path, special)
+    return _encoders[path, special]
 
 

@@ -31,15 +31,15 @@ GROUPS = 32
 RANKED = 100_000
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_ids: tuple[int, ...] = (0,)) -> DataFrame:
-    """The pieces of all documents: only documents over the capacity are cut, into pieces of the capacity after a first one that may be shorter."""
+def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_ids: tuple[int, ...] = (0,), special: bool = False) -> DataFrame:
+    """The pieces of all documents (special: see write_token_files()): only documents over the capacity are cut, into pieces of the capacity after a first one that may be shorter."""
     ends = list(end_ids)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             text, off = flat_text(b.column(1))
             for i, j in slices(off):
-                ids, bounds = encoder(tokenizer).encode(text[off[i] : off[j]], off[i : j + 1] - off[i], ends)
+                ids, bounds = encoder(tokenizer, special).encode(text[off[i] : off[j]], off[i : j + 1] - off[i], ends)
                 n = np.diff(bounds)
                 count = -(-n // capacity)
                 doc = np.repeat(np.arange(len(n)), count)
@@ -231,6 +231,6 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     return ranked.mapInArrow(place, schema).withColumn("offset", F.sum("length").over(inside) - F.col("length")).drop("slot")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_ids: tuple[int, ...] = (0,)) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_ids: tuple[int, ...] = (0,), special: bool = False) -> DataFrame:
     """Encodes whole texts and packs their pieces: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return pack(written(token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_ids=end_ids), "pieces"), capacity)
+    return pack(written(token_pieces(docs, tokenizer, id_col=id_col, text_col=text_col, capacity=capacity, end_ids=end_ids, special=special), "pieces"), capacity)

@@ -73,13 +73,13 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32, as read back from the files."""
     out = scratch(spark, "token-files")
-    token_files.write_token_files(table(spark, sf_dir, "documents"), out, tokenizer_path())
+    token_files.write_token_files(table(spark, sf_dir, "documents"), out, tokenizer_path(), special=True)
     return token_files.read_token_files(spark, out).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), special=True)
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

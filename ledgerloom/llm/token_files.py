@@ -117,9 +117,11 @@ class Shard:
         return zlib.crc32(self.ids[self.bounds[row] : self.bounds[row + 1]].astype("<u4").tobytes())
 
 
-def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_ids: tuple[int, ...] = (0,), shard_bytes: int = 8 << 20) -> DataFrame:
+def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_ids: tuple[int, ...] = (0,), shard_bytes: int = 8 << 20, special: bool = False) -> DataFrame:
     """Encodes whole texts, writes shard files of about shard_bytes of text to out_dir/shards and their table to out_dir/manifest; returns that table.
 
+    special: whether special tokens that a text spells out become their ids, as is the library's default; else they are plain text.
+
     A shard is written under a name of its attempt and then renamed, so a task that runs twice leaves one file.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -130,7 +132,7 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, *, id_col:
         order = pc.sort_indices(rows, [("id", "ascending"), ("text", "ascending")], null_placement="at_end")
         rows = rows.take(order)
         text, off = flat_text(rows["text"])
-        ids, bounds = encoder(tokenizer).encode(text, off, ends)
+        ids, bounds = encoder(tokenizer, special).encode(text, off, ends)
         data = pack_shard(rows["id"].fill_null(LAST_ID).to_numpy(), rows["id"].null_count, ids, bounds)
         shard = key[0].as_py()
         store, path = fs.FileSystem.from_uri(f"{out_dir}/shards")
