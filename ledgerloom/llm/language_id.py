@@ -3,7 +3,8 @@
 Features are the character n-grams (1 to 3) of the whole text in lower case, hashed to a fixed number of columns, with
 sub-linear counts, inverse document frequencies over all documents to learn from, and unit length. The weights are
 trained by follow-the-regularised-leader with elastic-net penalties, so most of them stay exactly zero, on a bounded
-sample of labelled rows (TRAIN_ROWS, documented and a parameter: the rows with the smallest hash of their id). A
+sample of labelled rows (TRAIN_ROWS, documented and a parameter: of each label the distinct rows with the smallest hash
+of id and text, as many of one label as of another while it has more). A
 temperature that minimises the log-loss on a part of the sample that was not trained on calibrates the scores.
 
 The model also holds the trigrams of its languages: those that enough sample texts of any one label have. A text of at
@@ -22,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm._common import U64, flat_text, slices, written
@@ -182,6 +183,18 @@ def document_frequencies(docs: DataFrame, columns: int = COLUMNS) -> tuple[np.nd
     return out, total
 
 
+def sample_keys(rows: DataFrame, most: int) -> DataFrame:
+    """At most so many distinct (label, h): the first of every label by h, then the second of every label, and so on.
+
+    Only about twice as many of a label as can be taken are ranked, so a label that most rows have is no single task.
+    """
+    sizes = rows.groupBy("label").agg(F.approx_count_distinct("h").alias("n"))
+    place = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+    low = rows.join(F.broadcast(sizes), "label").where(place * F.col("n") <= F.lit(2.0 * most + 100)).select("label", "h").distinct()
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("h"))).where(F.col("rank") <= most)
+    return ranked.orderBy("rank", F.xxhash64("label"), "label").limit(most).select("label", "h")
+
+
 def fit(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", train_rows: int = TRAIN_ROWS) -> Model | None:
     """A model from the rows of learn with text and label; None if there are none."""
     labelled = docs.where(learn & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
@@ -189,18 +202,18 @@ def fit(docs: DataFrame, learn: Column, *, id_col: str = "doc_id", text_col: str
     if not total:
         return None
     idf = np.log((1 + total) / (1 + seen)) + 1
-    # ids first, so that only the sample's texts are read again; a third of one label stays a third
-    ids = labelled.select(F.col(id_col).alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(train_rows)
-    chosen = written(ids, "sample")
-    sample = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label")).join(F.broadcast(chosen), "id", "left_semi")
+    own = labelled.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("label"))
+    chosen = written(sample_keys(own.select("label", "h"), train_rows), "sample")
+    # keys first, so that only the sample's texts are sent; rows that are equal in id, text and label are one
+    sample = own.join(F.broadcast(chosen), ["label", "h"], "left_semi").groupBy("label", "h").agg(F.first("text").alias("text")).select("h", "text", "label")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = list(features(b.column(1)))
-            yield pa.RecordBatch.from_pydict({"id": b.column(0).cast(pa.string()), "label": b.column(2), "has": pa.array([x[0].astype(np.int32).tobytes() for x in got], pa.binary()), "counts": pa.array([x[1].astype(np.int32).tobytes() for x in got], pa.binary()), "trigrams": pa.array([np.unique(x[3]).tobytes() for x in got], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"h": b.column(0), "label": b.column(2), "has": pa.array([x[0].astype(np.int32).tobytes() for x in got], pa.binary()), "counts": pa.array([x[1].astype(np.int32).tobytes() for x in got], pa.binary()), "trigrams": pa.array([np.unique(x[3]).tobytes() for x in got], pa.binary())})
 
-    rows = sample.mapInArrow(extract, "id string, label string, has binary, counts binary, trigrams binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["id"] or "", r["label"], r["has"], r["counts"]))
+    rows = sample.mapInArrow(extract, "h long, label string, has binary, counts binary, trigrams binary").toArrow().to_pylist()
+    rows.sort(key=lambda r: (r["h"], r["label"]))
     parsed = [(np.frombuffer(r["has"], np.int32), np.frombuffer(r["counts"], np.int32), r["label"]) for r in rows if r["has"]]
     if not parsed:
         return None
