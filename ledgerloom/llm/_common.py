@@ -2,32 +2,48 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on, unless a single text is longer.
 CHUNK_BYTES = 2 << 20
+#: Bytes of an Arrow batch that goes to a Python worker, unless a single row is longer.
+BATCH_BYTES = 4 << 20
+#: Bytes of text in a partition that is put in order.
+PARTITION_BYTES = 32 << 20
+#: Strings beyond so many bytes are hashed one by one.
+LONG_STRING = 512
+#: Bytes that are gathered at a time.
+GATHERED = 256 << 10
 LAST_ID = (1 << 63) - 1
 U64 = np.uint64
 _POWER = 0x9E3779B97F4A7C15
 _INVERSE = pow(_POWER, -1, 1 << 64)
-_BYTE_KEYS = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], U64)
+_libc = ctypes.CDLL(name) if (name := ctypes.util.find_library("c")) else None
 _powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; a folder of our own only where that is unset)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir). Only a session within one machine may go without that setting."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = base.get() if base.isDefined() else None
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-ledgerloom-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -40,30 +56,56 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches to Python workers are bounded by bytes, too, as texts can be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
+def tidy() -> None:
+    """Gives free memory back to the system: a Python worker lives on after its task, beside those of the next stages."""
+    pa.default_memory_pool().release_unused()
+    if _libc is not None and hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def order_id(id_col: str) -> Column:
     """The document id for ordering: null comes last."""
     return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
 
 
-def with_id_ranges(df: DataFrame, id_col: str, weight: Column, target: int, out: str = "part") -> tuple[DataFrame, int]:
-    """Adds a range number that rises with the id, so that a smaller range holds smaller ids only; equal ids share one.
+def in_order(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """id, text and the kept columns as k0, k1, ..., in the order of the ids over partitions of about PARTITION_BYTES.
 
-    There are about sum(weight) / target ranges of about as many rows each. Only their number and bounds reach the driver.
+    Rows of one id follow each other by the first characters of their texts, then by a hash of them; rows without id come
+    last. Equal rows may part, so that no partition grows with the rows of one id or text.
     """
-    from pyspark.ml.feature import Bucketizer
-
-    total = df.agg(F.sum(weight).alias("w")).first()["w"] or 0
-    n = int(min(max(1, -(-total // target)), 100_000))
-    keyed = df.withColumn(out, order_id(id_col).cast("double"))
-    bounds: list[float] = []
-    if n > 1:
-        q = [i / n for i in range(1, n)]
-        bounds = sorted(set(keyed.agg(F.percentile_approx(out, q, max(10_000, 10 * n)).alias("q")).first()["q"] or []))
-    if not bounds:
-        return df.withColumn(out, F.lit(0)), 1
-    splits = [-float("inf"), *bounds, float("inf")]
-    ranged = Bucketizer(splits=splits, inputCol=out, outputCol=f"{out}_r", handleInvalid="keep").transform(keyed)
-    return ranged.withColumn(out, F.col(f"{out}_r").cast("int")).drop(f"{out}_r"), len(splits) - 1
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    total = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("n")).first()["n"] or 0
+    order = [F.col("id").asc_nulls_last(), F.col("head").asc_nulls_last(), F.col("mark"), F.col("row")]
+    keyed = slim.withColumns({"head": F.substring("text", 1, 64), "mark": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    return keyed.repartitionByRange(max(1, -(-total // PARTITION_BYTES)), *order).sortWithinPartitions(*order).drop("head", "mark", "row")
+
+
+def ranges(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[tuple[int, pa.Table]]:
+    """The rows of a partition of in_order(), about target bytes of text at a time, each with a number that rises over all partitions."""
+    number = TaskContext.get().partitionId() << 32
+    held: list[pa.RecordBatch] = []
+    room = target
+    for b in batches:
+        _, off = flat_text(b.column("text"))
+        gone = off + 16 * np.arange(len(off))
+        i, n = 0, len(b)
+        while i < n:
+            j = min(n, max(i if held else i + 1, int(np.searchsorted(gone, gone[i] + room, "right")) - 1))
+            if j > i:
+                held.append(b.slice(i, j - i))
+                room -= int(gone[j] - gone[i])
+                i = j
+            if i < n or room <= 0:
+                yield number, pa.Table.from_batches(held)
+                number, held, room = number + 1, [], target
+    if held:
+        yield number, pa.Table.from_batches(held)
 
 
 def flat_text(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +136,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of the hash base, and of its inverse, modulo 2^64."""
     if len(_powers[0]) < n:
         for k, base in enumerate((_POWER, _INVERSE)):
-            p = np.full(max(n, CHUNK_BYTES + 64), base, U64)
+            p = np.full(n + n // 4, base, U64)
             p[0] = 1
             _powers[k] = np.multiply.accumulate(p)
     return _powers[0], _powers[1]
@@ -121,8 +163,86 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return (sums[end] - sums[start]) * down[start]
 
 
-def byte_values(buf: np.ndarray) -> np.ndarray:
-    return _BYTE_KEYS[buf]
+def loads(buf: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number, the first byte lowest; zeros behind the end."""
+    wide = np.concatenate([buf, np.zeros(8, np.uint8)])
+    return np.ndarray(len(buf) + 1, "<u8", wide, strides=(1,))
+
+
+def steps(size: int) -> list[int]:
+    """Places at which loads of eight bytes cover a string of so many bytes."""
+    return [*range(0, size - 7, 8), *([size - 8] if size % 8 else [])] if size >= 8 else [0]
+
+
+def string_hash(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte strings. Of strings of at most eight bytes and one size, only equal ones share a hash."""
+    at8 = loads(buf)
+    h = mix(sizes.astype(U64) * U64(_POWER))
+    todo, at, left = np.arange(len(starts)), starts, sizes
+    if len(sizes) and int(sizes.max()) > LONG_STRING:
+        huge = sizes > LONG_STRING
+        for i in np.flatnonzero(huge).tolist():
+            h[i] = int.from_bytes(hashlib.blake2b(buf[starts[i] : starts[i] + sizes[i]].tobytes(), digest_size=8).digest(), "little")
+        todo, at, left = todo[~huge], at[~huge], left[~huge]
+    while len(todo):
+        h[todo] = mix(h[todo] + (at8[at] & _MASKS[np.minimum(left, 8)]))
+        more = left > 8
+        todo, at, left = todo[more], at[more] + 8, left[more] - 8
+    return h
+
+
+def differ(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Which strings are not equal, byte by byte, to string first[i], whose string_hash() they share."""
+    out = sizes != sizes[first]
+    check = np.flatnonzero(~out & (sizes > 8) & (first != np.arange(len(first))))
+    ends = np.concatenate([[0], np.cumsum(sizes[check])])
+    for i, j in slices(ends):
+        some = check[i:j]
+        no = gathered(buf, starts[some], sizes[some]) != gathered(buf, starts[first[some]], sizes[some])
+        if no.any():
+            out[some[np.unique(np.searchsorted(ends[i : j + 1] - ends[i], np.flatnonzero(no), "right") - 1)]] = True
+    return out
+
+
+def numbered(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray, hashes: np.ndarray | None = None) -> np.ndarray:
+    """A number for each byte string, the same for equal strings only: hashes (by string_hash()) group them, their bytes decide."""
+    hashes = string_hash(buf, starts, sizes) if hashes is None else hashes
+    _, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+    odd = differ(buf, starts, sizes, first[number])
+    if odd.any():
+        names: dict[bytes, int] = {}
+        for i in np.flatnonzero(np.isin(number, number[odd])).tolist():
+            number[i] = names.setdefault(buf[starts[i] : starts[i] + sizes[i]].tobytes(), len(first) + len(names))
+    return number
+
+
+def numbered_rows(values: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+    """A number for each values[start : start + width], the same for equal ones only."""
+    if not len(start):
+        return np.zeros(0, np.int64)
+    sums = prefix_hash(mix(values.astype(U64) + U64(1)))
+    _, first, number = np.unique(span_hash(sums, start, start + width), return_index=True, return_inverse=True)
+    other = start[first[number]]
+    odd = np.zeros(len(start), bool)
+    for i in range(width):
+        odd |= values[start + i] != values[other + i]
+    if odd.any():
+        names: dict[bytes, int] = {}
+        for i in np.flatnonzero(np.isin(number, number[odd])).tolist():
+            number[i] = names.setdefault(values[start[i] : start[i] + width].tobytes(), len(first) + len(names))
+    return number
+
+
+def gathered(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """buf[start : start + size] of all, one behind the other."""
+    ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    out = np.empty(int(ends[-1]), buf.dtype)
+    for i, j in slices(ends, GATHERED):
+        shift = (starts[i:j] - ends[i:j]).astype(np.int64)
+        at = np.repeat(shift, sizes[i:j])
+        at += np.arange(ends[i], ends[j])
+        np.take(buf, at, out=out[ends[i] : ends[j]], mode="clip")
+    return out
 
 
 def class_table(pattern_ranges: list[tuple[int, int]]) -> np.ndarray:
@@ -144,7 +264,7 @@ def lower_ascii(buf: np.ndarray) -> np.ndarray:
 
 
 def split_words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word in buf, its 64-bit hash, and the word offsets of each text."""
+    """Start and end of each word in buf, its 64-bit hash (see numbered() where words must be told apart), and the word offsets of each text."""
     n = len(buf)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(len(offsets), np.int64)
@@ -157,8 +277,7 @@ def split_words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     after = np.zeros(n, bool)
     after[:-1] = w[1:]
     ends = np.flatnonzero(w & (~after | first[1:])) + 1
-    sums = prefix_hash(byte_values(buf))
-    return starts, ends, mix(span_hash(sums, starts, ends)), np.searchsorted(starts, offsets)
+    return starts, ends, string_hash(buf, starts, ends - starts), np.searchsorted(starts, offsets)
 
 
 def blob_table(**columns: list) -> pa.Table:

@@ -4,17 +4,18 @@ Words are runs of letters, digits and characters beyond ASCII, after A-Z became
 words, or all its words as one if there are fewer. Two texts link if the Jaccard similarity of their sets is 0.8 or
 more; equal texts link always.
 
-1. Equal texts become one class representative with a count of its copies (by MD5 of the text).
+1. Equal texts become one class representative with a count of its copies (by SHA-256 of the text).
 2. Each representative has BANDS x ROWS MinHash values of eight bits. Representatives that agree in a whole band are
    candidates; at the threshold, a pair escapes all bands with a probability of about 3e-6.
 3. Candidates that share a band take the least of them as home; a home with many shingles is dealt over blocks. A pair
    of blocks is a tile, and a representative is sent only to the tiles in which it has a candidate. So every pair is
-   judged in one tile, large groups are spread, and no pair becomes a row.
+   judged in one tile, large groups are spread, and no pair becomes a row. A task holds one tile at a time.
 4. In a tile, MinHash values are compared some at a time. With a uniform prior, the posterior probability that the
    similarity reaches the threshold follows from the matches so far; a pair for which it falls below TOLERANCE is
-   dropped. All others are verified exactly on their whole sets.
+   dropped. All others are verified exactly on their whole sets, of words that are told apart by their bytes.
 5. A tile returns each representative's number of links and one edge to a root, not the pairs. Classes are the connected
-   components of these edges, found by joins that pass the least label on until nothing changes.
+   components of these edges, found by joins that pass the least label on until nothing changes. A class that most rows
+   have is one row on one side of these joins, so Spark's handling of skewed joins splits the other side.
 
 Cases: null text links nothing; texts without words link only to equal texts; copies count as links of each other;
 repeated rows are documents of their own, so they link; rows without id belong to classes, too, and a class whose ids
@@ -28,10 +29,10 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import PLAIN_WORDS, U64, flat_text, lower_ascii, mix, order_id, powers, prefix_hash, slices, split_words, written
+from ledgerloom.llm._common import PLAIN_WORDS, U64, flat_text, groups, lower_ascii, mix, numbered, numbered_rows, order_id, powers, prefix_hash, slices, small_batches, split_words, tidy, written
 
 THRESHOLD = 0.8
 SHINGLE = 5
@@ -41,7 +42,7 @@ TOLERANCE = 1e-6
 #: MinHash values that are compared at a time.
 STEP = 32
 #: Shingles of a block, and of the tiles of one task.
-BLOCK_SHINGLES = 1 << 19
+BLOCK_SHINGLES = 1 << 18
 TASK_SHINGLES = 1 << 20
 _SALTS = np.random.default_rng(5).integers(1, 1 << 32, (2, BANDS * ROWS), dtype=np.int64).astype(np.uint32) | np.array([[0], [1]], np.uint32)
 #: Shingles on which the hash functions work at a time, so that they stay in the processor's cache.
@@ -61,6 +62,22 @@ def shingles(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple
     return mix((sums[start + length] - sums[start]) * down[start]), out
 
 
+def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """The texts' distinct runs of words as numbers, the same for equal runs only, and the n + 1 offsets of the texts in them."""
+    low = lower_ascii(buf)
+    starts, ends, h, bounds = split_words(low, offsets, PLAIN_WORDS)
+    word = numbered(low, starts, ends - starts, h) + 1
+    n = np.diff(bounds)
+    lack = np.where((n > 0) & (n < size), size - n, 0)  # a text of fewer words is filled up with a word that no text has
+    word = np.insert(word, np.repeat(bounds[1:], lack), 0)
+    at = bounds + np.concatenate([[0], np.cumsum(lack)])
+    count = np.maximum(np.diff(at) - size + 1, 0)
+    out = np.concatenate([[0], np.cumsum(count)])
+    number = numbered_rows(word, np.repeat(at[:-1] - out[:-1], count) + np.arange(int(out[-1])), size)
+    sets = [np.unique(number[a:b]) for a, b in zip(out[:-1].tolist(), out[1:].tolist(), strict=True)]
+    return np.concatenate(sets) if sets else number, np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+
+
 def signatures(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """MinHash values of eight bits: a row a text. bounds: of texts that all have shingles."""
     n, k = len(bounds) - 1, _SALTS.shape[1]
@@ -116,9 +133,8 @@ def links_of(i: int, others: np.ndarray, sig: np.ndarray, sets: np.ndarray, boun
     return others[common >= threshold * (own + size - common) - 1e-9]
 
 
-def judge_tile(key: list[bytes], left: np.ndarray, right: np.ndarray, copies: np.ndarray, sig: np.ndarray, sets: np.ndarray, bounds: np.ndarray, needed: list[tuple[int, int]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
+def judge_tile(n: int, left: np.ndarray, right: np.ndarray, copies: np.ndarray, sig: np.ndarray, sets: np.ndarray, bounds: np.ndarray, needed: list[tuple[int, int]], threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Of each text of a tile the documents that it links with, and the root of its component there. left, right: the sides that texts are on."""
-    n = len(key)
     total, root = np.zeros(n, np.int64), np.arange(n)
     mark = np.zeros(int(sets.max(initial=0)) + 1, bool)
 
@@ -145,10 +161,12 @@ def judge_tile(key: list[bytes], left: np.ndarray, right: np.ndarray, copies: np
     return total, np.array([find(i) for i in range(n)], np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """key, doc_id, text -> key, doc_id, shingles, sig (null without words)."""
-    for b in batches:
-        buf, off = flat_text(b.column("text"))
+def signature(text: Column, size: int) -> Column:
+    """Number of shingles (n) and MinHash values (sig; null without words) of each text."""
+
+    def sign(texts: pa.Array) -> pa.Array:
+        buf, off = flat_text(texts)
+        counts, sigs = [], []
         for i, j in slices(off):
             values, bounds = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)
             count = np.diff(bounds)
@@ -157,7 +175,12 @@ def _sign(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             sig: list[bytes | None] = [None] * (j - i)
             for k, r in zip(has.tolist(), rows, strict=True):
                 sig[k] = r.tobytes()
-            yield pa.RecordBatch.from_arrays([b.column("key").slice(i, j - i), b.column("doc_id").slice(i, j - i), pa.array(count), pa.array(sig, pa.binary())], names=["key", "doc_id", "n", "sig"])
+            counts.append(count)
+            sigs += sig
+        tidy()
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64()), pa.array(sigs, pa.binary())], names=["n", "sig"])
+
+    return F.arrow_udf(sign, "n long, sig binary")(text)
 
 
 def _components(edges: DataFrame) -> DataFrame:
@@ -178,12 +201,43 @@ def _components(edges: DataFrame) -> DataFrame:
             return state
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, tolerance: float = TOLERANCE) -> DataFrame:
-    """Of each document with a text: doc_id, key (of its text), class (a key), class_id, n_links."""
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    keyed = slim.where("text is not null").select(F.unhex(F.md5("text")).alias("key"), "doc_id", "text")
-    signed = written(keyed.mapInArrow(lambda b: _sign(b, size), "key binary, doc_id long, n long, sig binary"), "signed")
-    reps = written(signed.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig")), "reps")
+def judge_tiles(batches: Iterator[pa.RecordBatch], size: int, threshold: float, needed: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Tiles, whose rows lie together, one at a time: key, links, root of every text that links."""
+
+    def judged(rows: pa.Table) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        sets, bounds = shingle_sets(*flat_text(rows["text"]), size)
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(rows), -1)
+        total, root = judge_tile(len(rows), rows["is_left"].to_numpy(), rows["is_right"].to_numpy(), rows["copies"].to_numpy(), sig, sets, bounds, needed, threshold)
+        del sets, sig
+        tidy()
+        some = np.flatnonzero(total)
+        key = rows["key"].combine_chunks()
+        return pa.RecordBatch.from_arrays([key.take(pa.array(some)), pa.array(total[some]), key.take(pa.array(root[some]))], names=["key", "links", "root"])
+
+    held: list[pa.RecordBatch] = []
+    tile: tuple[int, int] | None = None
+    for batch in batches:
+        a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
+        for i, j in zip(*groups(a, b), strict=True):
+            if held and (a[i], b[i]) != tile:
+                yield judged(pa.Table.from_batches(held))
+                held = []
+            tile = (a[i], b[i])
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield judged(pa.Table.from_batches(held))
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, size: int = SHINGLE, tolerance: float = TOLERANCE, keep: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A table of all rows (row, key of the text, doc_id, text, n, sig, and with keep their columns as d), and of each key: key, class (a key), class_id, n_links."""
+    small_batches(docs.sparkSession)
+    text = F.col(text_col)
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[F.struct(*[c for c in docs.columns if c != text_col]).alias("d")] * (keep and len(docs.columns) > 1))
+    signed = written(slim.withColumn("s", signature(F.col("text"), size)).select(*slim.columns, "s.n", "s.sig"), "signed")
+    whole = signed.where("key is not null")
+    one = whole.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.min("row").alias("row"))
+    reps = written(one.join(whole.select("row", "n", "sig"), "row"), "reps")
 
     # bands that at least two representatives share
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sig"), i * ROWS + 1, F.lit(ROWS))))).alias("band")
@@ -194,61 +248,37 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     blocks = homes.groupBy("home").agg(F.greatest(F.ceil(F.sum("n") / BLOCK_SHINGLES), F.lit(1)).alias("blocks"))
     placed = homes.join(blocks, "home").select("key", F.xxhash64("home", F.pmod(F.xxhash64("key", F.lit(3)), F.col("blocks"))).alias("block"))
     members = written(shared.select("band", "key").join(placed, "key"), "members")
-    there = members.groupBy("band", "block").agg(F.count("*").alias("many"), F.min("key").alias("some"))
+    there = members.groupBy("band", "block").agg(F.count("*").alias("many"))
     # a band that one block holds alone is one tile there; a representative meets a block for one of its bands at most
     met = members.join(there.withColumnRenamed("block", "other"), "band").where((F.col("block") != F.col("other")) | (F.col("many") > 1))
     jobs = met.select("key", "block", "other").distinct().select("key", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), (F.col("block") <= F.col("other")).alias("is_left"), (F.col("block") >= F.col("other")).alias("is_right"))
-    jobs = written(jobs.join(reps.select("key", "n", "copies", "sig"), "key"), "jobs")
+    jobs = written(jobs.join(reps.select("key", "row", "n", "copies", "sig"), "key"), "jobs")
 
     tasks = int(max(1, -(-(jobs.agg(F.sum("n").alias("n")).first()["n"] or 0) // TASK_SHINGLES)))
     needed = needed_matches(BANDS * ROWS, STEP, threshold, tolerance)
-    texts = keyed.select("key", "text").join(jobs.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text"))
-    sent = jobs.join(texts, "key").select(F.pmod(F.xxhash64("a", "b"), F.lit(tasks)).cast("int").alias("task"), "a", "b", "key", "is_left", "is_right", "copies", "sig", "text")
-
-    def judge(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("a", "ascending"), ("b", "ascending"), ("key", "ascending")]).combine_chunks()
-        buf, off = flat_text(rows["text"])
-        a, b = rows["a"].to_numpy(), rows["b"].to_numpy()
-        new = np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(rows) else np.zeros(0, np.int64)
-        keys, links, roots = [], [], []
-        key, left, right, copies = rows["key"].to_pylist(), rows["is_left"].to_numpy(), rows["is_right"].to_numpy(), rows["copies"].to_numpy()
-        for i, j in zip(new.tolist(), np.append(new[1:], len(rows)).tolist(), strict=True):
-            values, at = shingles(buf[off[i] : off[j]], off[i : j + 1] - off[i], size)
-            _, number = np.unique(values, return_inverse=True)
-            sets = [np.unique(number[at[k] : at[k + 1]]) for k in range(j - i)]
-            bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-            sig = np.frombuffer(b"".join(rows["sig"].slice(i, j - i).to_pylist()), np.uint8).reshape(j - i, -1)
-            total, root = judge_tile(key[i:j], left[i:j], right[i:j], copies[i:j], sig, np.concatenate(sets), bounds, needed, threshold)
-            for k in np.flatnonzero(total).tolist():
-                keys.append(key[i + k])
-                links.append(int(total[k]))
-                roots.append(key[i + int(root[k])])
-        return pa.table({"key": pa.array(keys, pa.binary()), "links": pa.array(links, pa.int64()), "root": pa.array(roots, pa.binary())})
-
-    found = written(sent.groupBy("task").applyInArrow(judge, "key binary, links long, root binary"), "links")
+    sent = jobs.join(whole.select("row", "text"), "row").select("a", "b", "key", "is_left", "is_right", "copies", "sig", "text")
+    dealt = sent.repartition(tasks, "a", "b").sortWithinPartitions("a", "b", "key")
+    found = written(dealt.mapInArrow(lambda x: judge_tiles(x, size, threshold, needed), "key binary, links long, root binary"), "links")
     total = found.groupBy("key").agg(F.sum("links").alias("links"))
     labels = _components(found.select("key", "root"))
     lows = reps.select("key", "low").join(labels, "key").groupBy("label").agg(F.min("low").alias("class_low"))
     by_key = reps.select("key", "copies", "low").join(total, "key", "left").join(labels.join(lows, "label").select("key", "label", "class_low"), "key", "left")
     by_key = by_key.select("key", F.coalesce("label", "key").alias("class"), F.coalesce("class_low", "low").alias("class_id"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return signed.select("key", "doc_id").join(by_key, "key").select("doc_id", "key", "class", "class_id", "n_links")
+    return signed, by_key
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
     """doc_id, class_id (least id of the class), n_links (documents that the document itself links with): one row a document."""
-    found = classes(docs, id_col=id_col, text_col=text_col, **how).select("doc_id", "class_id", "n_links")
-    own = F.col(id_col).cast("long")
-    return found.unionAll(docs.where(F.col(text_col).isNull()).select(own.alias("doc_id"), own.alias("class_id"), F.lit(0).cast("long").alias("n_links")))
+    signed, by_key = classes(docs, id_col=id_col, text_col=text_col, **how)
+    found = signed.select("doc_id", "key").join(by_key, "key").select("doc_id", "class_id", "n_links")
+    return found.unionAll(signed.where("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **how: object) -> DataFrame:
     """One document of each class, with all its columns: the one of the least id (null comes last). Documents with null text stay."""
-    rank = F.struct(order_id("doc_id").alias("id"), "key")
-    found = classes(docs, id_col=id_col, text_col=text_col, **how)
-    first = found.groupBy("class").agg(F.min(rank).alias("first"), F.count("*").alias("many")).select(F.col("first.id").alias("__id"), F.col("first.key").alias("__key"), F.col("many").alias("__many"))
-    text, names = F.col(text_col), docs.columns
-    kept = docs.withColumns({"__own": order_id(id_col), "__md5": F.unhex(F.md5(text))}).join(first, (F.col("__own") == F.col("__id")) & (F.col("__md5") == F.col("__key")))
-    # rows that repeat a document, id and text, can only be in classes of several rows
-    again = Window.partitionBy("__id", "__key").orderBy(F.lit(1))
-    several = kept.where("__many > 1").withColumn("__row", F.row_number().over(again)).where("__row = 1")
-    return kept.where("__many = 1").select(*names).unionAll(several.select(*names)).unionAll(docs.where(text.isNull()).select(*names))
+    signed, by_key = classes(docs, id_col=id_col, text_col=text_col, keep=True, **how)
+    # the first row of each key, then of each class
+    own = signed.where("key is not null").groupBy("key").agg(F.min(F.struct(order_id("doc_id").alias("id"), "row")).alias("first"))
+    first = own.join(by_key.select("key", "class"), "key").groupBy("class").agg(F.min("first")["row"].alias("row")).select("row")
+    kept = signed.join(first.unionAll(signed.where("key is null").select("row")), "row", "left_semi")
+    return kept.select(*[F.col("text").alias(c) if c == text_col else F.col("d").getField(c).alias(c) for c in docs.columns])
