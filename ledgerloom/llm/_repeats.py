@@ -2,18 +2,18 @@
 
 A text is a row of units (words or bytes). Of the grams of k units in a window of W, the one with the smallest hash is
 the window's anchor; equal windows have equal anchors. Neighbouring windows with one anchor make a run, and the units
-that a run covers are its span. Documents lie in ranges of ids, so "an earlier document" is one in a smaller range, or
-an earlier one of the same range; no document ids need to travel.
-
-1. Every range's runs go to buckets of the anchor: anchor, hash of the span, range. An anchor whose spans are all equal
-   settles its runs: all but those of the smallest range repeat. An anchor with different spans stays open.
-2. The windows of open anchors go to buckets, as fingerprints or, where that is shorter, as spans of bytes; all but
-   those of the smallest range repeat.
-3. Each range gets its settled anchors, open anchors and repeated fingerprints back, finds what repeats within itself,
-   and marks the units that repeated windows cover.
-
-Everything that travels is an array of fingerprints a range and bucket, or a compressed block of a range's documents.
-Fingerprints have 64 bits.
+that a run covers are its span. Documents lie in ranges in the order of their ids (see _common.in_order), so "an earlier
+document" is one in a smaller range, or an earlier one of the same range.
+
+1. Every range sends its distinct anchors to buckets, which answer with those that several ranges have. Anchors are
+   hashes: they only choose what is compared, so hashes that meet by chance cost work and change no result.
+2. Every range sends the spans of its shared anchors to the buckets, equal spans once, byte by byte. A bucket tells spans
+   apart by their bytes. A span that a smaller range has, too, repeats whole; the windows of the others are compared
+   with those of the smaller ranges, by their bytes or words (compare), and what repeats goes back to the range.
+3. Each range marks what it was told and what repeats within itself (finish).
+
+Documents travel in compressed blocks of a range; nothing is gathered beyond a range or a bucket, and a passage that a
+range holds many times is sent once.
 """
 
 from __future__ import annotations
@@ -23,73 +23,84 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import SPACED_WORDS, U64, byte_values, flat_text, groups, mix, powers, prefix_hash, slices, span_hash, split_words, with_id_ranges, written
+from ledgerloom.llm._common import SPACED_WORDS, U64, flat_text, gathered, groups, in_order, loads, mix, numbered, prefix_hash, ranges, small_batches, span_hash, split_words, steps, string_hash, tidy, written
 
-#: Kinds of what a range gets back.
-SETTLED, OPEN, REPEATED = 0, 1, 2
-#: Runs that a task gathers before it sends them.
-SENT = 1 << 20
 _NONE = np.zeros(0, U64)
 
 
 @dataclass
 class Text:
-    """Some documents of a range: their bytes, and their units as hashes with bounds in units."""
+    """Some documents: their units as bytes, one behind the other, where each unit starts (None: units are bytes), its hash, and the documents' bounds in units."""
 
     buf: np.ndarray
-    offsets: np.ndarray
+    at: np.ndarray | None
     units: np.ndarray
     bounds: np.ndarray
-    starts: np.ndarray | None = None  # of words, in bytes
-    ends: np.ndarray | None = None
+
+    def bytes_of(self, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start and size in bytes of n units from first on."""
+        if self.at is None:
+            return first, n
+        return self.at[first], self.at[first + n] - self.at[first]
 
 
 def words_of(buf: np.ndarray, offsets: np.ndarray) -> Text:
+    """Words of the texts, a space behind each: so equal bytes are equal rows of words."""
     starts, ends, h, bounds = split_words(buf, offsets, SPACED_WORDS)
-    return Text(buf, offsets, h, bounds, starts, ends)
+    size = ends - starts + 1
+    at = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    body = gathered(np.append(buf, np.uint8(32)), starts, size)
+    body[at[1:] - 1] = 32
+    return Text(body, at, h, bounds)
 
 
 def bytes_of(buf: np.ndarray, offsets: np.ndarray) -> Text:
-    return Text(buf, offsets, byte_values(buf), offsets)
+    return Text(buf, None, buf, offsets)
 
 
 @dataclass(frozen=True)
 class Kind:
-    """Units, window and gram. raw: units are bytes, so that spans travel as they are."""
+    """Units, window and gram, and the bytes of a range. compare(spans of a bucket, their ranges) tells which windows of a span a smaller range has, too."""
 
     units: Callable[[np.ndarray, np.ndarray], Text]
     window: int
     gram: int
     range_bytes: int
-    raw: bool = False
+    compare: Callable[[Text, np.ndarray, Kind], np.ndarray] | None = None
 
 
 @dataclass
 class Runs:
-    """The runs of some documents: first and last window start, anchor; the grams' hashes and the prefix sums of the units."""
+    """The runs of some documents: first and last window start, anchor; and the hash of every gram."""
 
     first: np.ndarray
     last: np.ndarray
     anchor: np.ndarray
     grams: np.ndarray
-    sums: np.ndarray
 
-    def span(self, window: int) -> np.ndarray:
-        return mix(span_hash(self.sums, self.first, self.last + window) ^ (self.last - self.first).astype(U64))
+
+def gram_hashes(t: Text, gram: int) -> np.ndarray:
+    n = len(t.units) - gram + 1
+    if t.at is None:
+        at8, h = loads(t.buf), np.full(n, gram, U64)
+        for i in steps(gram):
+            x = at8[i : i + n]
+            h = mix(h + (x if gram >= 8 else x & U64((1 << 8 * gram) - 1)))
+        return h
+    place = np.arange(n)
+    return mix(span_hash(prefix_hash(t.units), place, place + gram))
 
 
 def runs_of(t: Text, kind: Kind) -> Runs:
     n, w = len(t.units), kind.window
-    sums = prefix_hash(t.units)
     if n < w:
         none = np.zeros(0, np.int64)
-        return Runs(none, none, _NONE, _NONE, sums)
-    _, down = powers(n + 1)
-    grams = mix((sums[kind.gram :] - sums[: -kind.gram]) * down[: n - kind.gram + 1])
+        return Runs(none, none, _NONE, _NONE)
+    grams = gram_hashes(t, kind.gram)
     width, size, least = w - kind.gram + 1, 1, grams
     while size * 2 <= width:
         least = np.minimum(least[:-size], least[size:])
@@ -110,7 +121,7 @@ def runs_of(t: Text, kind: Kind) -> Runs:
     stop[:-1] = new[1:] | ~valid[1:]
     stop[-1] = True
     last = np.flatnonzero(stop & valid)
-    return Runs(first, last, least[first], grams, sums)
+    return Runs(first, last, least[first], grams)
 
 
 def among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -120,203 +131,260 @@ def among(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.searchsorted(keys, x).clip(max=len(keys) - 1)] == x
 
 
+def stretches(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... n of them each, one behind the other."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def each_window(runs: Runs, which: np.ndarray) -> np.ndarray:
     """Starts of the windows of the runs that are marked."""
     first, last = runs.first[which], runs.last[which]
-    n = last - first + 1
-    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    return stretches(first, last - first + 1)
+
+
+def covered(starts: np.ndarray, window: int | np.ndarray, n: int) -> np.ndarray:
+    """Units that windows at these starts cover."""
+    change = np.bincount(starts, minlength=n + 1) - np.bincount(starts + window, minlength=n + 1)
+    return np.cumsum(change[:n]) > 0
+
+
+@dataclass
+class Spans:
+    """The distinct spans of a range's shared anchors, by bucket and anchor. own: of each run that has a shared anchor the span's number."""
+
+    runs: np.ndarray
+    own: np.ndarray
+    bucket: np.ndarray
+    anchor: np.ndarray
+    start: np.ndarray  # in bytes
+    size: np.ndarray
 
 
-def chunks(text: pa.ChunkedArray, kind: Kind) -> Iterator[tuple[int, int, Text]]:
-    """Documents of a range, a few at a time: first, last + 1, and their units."""
-    buf, off = flat_text(text)
-    for i, j in slices(off):
-        yield i, j, kind.units(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+def spans_of(t: Text, runs: Runs, shared: np.ndarray, kind: Kind, buckets: int) -> Spans:
+    which = np.flatnonzero(among(runs.anchor, shared))
+    start, size = t.bytes_of(runs.first[which], runs.last[which] - runs.first[which] + kind.window)
+    number = numbered(t.buf, start, size)
+    _, at, own = np.unique(number, return_index=True, return_inverse=True)
+    anchor = runs.anchor[which[at]]
+    bucket = (anchor % U64(buckets)).astype(np.int64)
+    by = np.lexsort((at, anchor, bucket))
+    place = np.empty(len(by), np.int64)
+    place[by] = np.arange(len(by))
+    return Spans(which, place[own], bucket[by], anchor[by], start[at[by]], size[at[by]])
 
 
-def _send(part: np.ndarray, keys: np.ndarray, more: np.ndarray | None, buckets: int) -> pa.RecordBatch:
+def packed(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(block: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(block.as_buffer()).read_all()
+
+
+def squeezed(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+
+
+def unsqueezed(x: pa.Scalar, dtype: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(x.as_py()), dtype)
+
+
+BLOCKS = "part long, block binary"
+SENDS = "bucket long, part long, keys binary"
+SPANS = "bucket long, part long, anchors binary, sizes binary, body binary"
+#: What a range gets back. kind 0: anchors that other ranges have. kind 1: numbers of spans (of all it sent to the bucket) that repeat whole. kind 2: number of a span, first and last window that repeats, and so on. body: the spans' bytes, if they are asked for.
+REPLIES = "part long, kind int, bucket long, keys binary, sizes binary, body binary"
+SHARED, WHOLE, PARTLY = 0, 1, 2
+
+
+def _sends(part: int, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The distinct keys, by bucket; what the bucket tells is left out of a key, and five bytes of it are enough."""
     bucket = (keys % U64(buckets)).astype(np.int64)
-    by = np.lexsort((part, bucket))
-    bucket, part, keys = bucket[by], part[by].astype(np.uint32), keys[by]
+    by = np.lexsort((keys, bucket))
+    bucket, short = bucket[by], np.ascontiguousarray(keys[by] >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
     at, to = groups(bucket)
-    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())
-    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[at].astype(np.int32)), "parts": cut(part), "keys": cut(keys), "more": cut(more[by]) if more is not None else pa.nulls(len(at), pa.binary())})
-
-
-SENDS = "bucket int, parts binary, keys binary, more binary"
-REPLIES = "part int, kind int, keys binary"
-
-
-def _joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_py() for x in column if x.is_valid), dtype)
-
-
-def _reply(part: np.ndarray, kind: np.ndarray, keys: np.ndarray) -> pa.Table:
-    by = np.lexsort((keys, kind, part))
-    part, kind, keys = part[by], kind[by], keys[by]
-    fresh = np.ones(len(by), bool)
-    fresh[1:] = (part[1:] != part[:-1]) | (kind[1:] != kind[:-1]) | (keys[1:] != keys[:-1])
-    part, kind, keys = part[fresh], kind[fresh], keys[fresh]
-    at, to = groups(part, kind)
-    return pa.table({"part": pa.array(part[at].astype(np.int32)), "kind": pa.array(kind[at].astype(np.int32)), "keys": pa.array([keys[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())})
-
-
-def settle(rows: pa.Table) -> pa.Table:
-    """A bucket's runs: which anchors are settled or open in which range."""
-    part, key, span = _joined(rows["parts"], np.uint32), _joined(rows["keys"], U64), _joined(rows["more"], np.uint32)
-    by = np.argsort(key, kind="stable")
-    part, key, span = part[by], key[by], span[by]
-    at, to = groups(key)
-    n = to - at
-    low, high = np.minimum.reduceat(part, at), np.maximum.reduceat(part, at)
-    same = np.minimum.reduceat(span, at) == np.maximum.reduceat(span, at)
-    shared, same, low = np.repeat(low < high, n), np.repeat(same, n), np.repeat(low, n)
-    tell = shared & (~same | (part > low))
-    return _reply(part[tell], np.where(same[tell], SETTLED, OPEN), key[tell])
-
-
-def _send_spans(part: int, t: Text, r: Runs, which: np.ndarray, window: int, buckets: int) -> pa.RecordBatch:
-    """The bytes of the marked runs, equal ones once; parts: the range; keys: sizes; more: bytes."""
-    at = np.flatnonzero(which)
-    _, first = np.unique(r.span(window)[at], return_index=True)
-    at = at[first]
-    at = at[np.lexsort((r.anchor[at], r.anchor[at] % U64(buckets)))]  # like spans side by side
-    bucket, start, size = (r.anchor[at] % U64(buckets)).astype(np.int64), r.first[at], r.last[at] - r.first[at] + window
-    lo, hi = groups(bucket)
-    return pa.RecordBatch.from_pydict({
-        "bucket": pa.array(bucket[lo].astype(np.int32)), "parts": pa.array([np.uint32(part).tobytes()] * len(lo), pa.binary()),
-        "keys": pa.array([size[a:b].astype(np.uint32).tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
-        "more": pa.array([gathered(t.buf, start[a:b], size[a:b]).tobytes() for a, b in zip(lo.tolist(), hi.tolist(), strict=True)], pa.binary()),
-    })
-
-
-def _windows_of(rows: pa.Table, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Range and fingerprint of each window of the spans that _send_spans() sent."""
-    size, buf = _joined(rows["keys"], np.uint32).astype(np.int64), _joined(rows["more"], np.uint8)
-    part = np.repeat(_joined(rows["parts"], np.uint32), [len(x.as_py()) // 4 for x in rows["keys"]])
-    sums, end = prefix_hash(byte_values(buf)), np.cumsum(size)
-    n = size - window + 1
-    s = np.repeat(end - size - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    return np.repeat(part, n), mix(span_hash(sums, s, s + window))
-
-
-def merge(part: np.ndarray, key: np.ndarray) -> pa.Table:
-    """A bucket's window fingerprints: those that a smaller range has, too."""
-    order = np.lexsort((part, key))
-    sorted_keys = key[order]
-    low = part[order[np.searchsorted(sorted_keys, key)]]  # the first of equal keys has the smallest range
-    tell = part > low
-    return _reply(part[tell], np.full(int(tell.sum()), REPEATED), key[tell])
-
-
-#: Bytes of documents that a task gathers before it packs them by range.
-PACKED = 16 << 20
-
-
-def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Documents (part and other columns) as compressed blocks: part, block."""
-
-    def blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held)
-        t = t.take(pc.sort_indices(t, [("part", "ascending")]))
-        part, body = t["part"].to_numpy(), t.drop_columns(["part"])
-        at, to = groups(part)
-        out = []
-        for a, b in zip(at.tolist(), to.tolist(), strict=True):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, body.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-                w.write_table(body.slice(a, b - a).combine_chunks())
-            out.append(sink.getvalue().to_pybytes())
-        return pa.RecordBatch.from_pydict({"part": pa.array(part[at].astype(np.int32)), "block": pa.array(out, pa.binary())})
-
-    held, size = [], 0
-    for b in batches:
-        held.append(b)
-        size += b.nbytes
-        if size > PACKED:
-            yield blocks(held)
-            held, size = [], 0
-    if size:
-        yield blocks(held)
-
-
-def unpacked(rows: pa.Table) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in rows["block"]])
-
-
-def keys_of(replies: pa.Table, kind: int) -> np.ndarray:
-    return np.sort(_joined(replies.filter(pc.equal(replies["kind"], kind))["keys"], U64))
-
-
-def in_order(rows: pa.Table) -> pa.Table:
-    """A range's documents by id, then text; null ids and null texts last."""
-    return rows.take(pc.sort_indices(rows, [("id", "ascending"), ("text", "ascending")], null_placement="at_end"))
-
-
-def repeats(docs: DataFrame, kind: Kind, finish: Callable[[pa.Table, pa.Table], pa.Table], schema: str, id_col: str, text_col: str, keep: list[str]) -> DataFrame:
-    """Runs the three steps; finish(documents of a range, what it gets back) returns its rows. documents: part, id, text and kept columns as k0, k1, ..."""
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
-    ranged, n_ranges = with_id_ranges(slim, "id", F.coalesce(F.octet_length("text"), F.lit(0)) + 16, kind.range_bytes)
-    buckets = max(16, n_ranges)
-
-    def send_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+    return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[at]), "part": pa.array(np.full(len(at), part, np.int64)), "keys": pa.array([short[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())})
+
+
+def _replies(rows: list[tuple]) -> pa.Table:
+    names = ["part", "kind", "bucket", "keys", "sizes", "body"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+
+def shared_anchors(key: tuple, rows: pa.Table) -> pa.Table:
+    """A bucket's anchors that several ranges have, to each of them."""
+    wide = []
+    for x in rows["keys"]:
+        five = np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5)
+        eight = np.zeros((len(five), 8), np.uint8)
+        eight[:, :5] = five
+        wide.append(eight.reshape(-1).view("<u8"))
+    n = np.array([len(x) for x in wide])
+    keys = np.concatenate(wide)
+    _, number, many = np.unique(keys, return_inverse=True, return_counts=True)
+    tell = many[number] > 1  # a range sends a key once
+    out, at = [], 0
+    for part, m in zip(rows["part"].to_pylist(), n.tolist(), strict=True):
+        some = keys[at : at + m][tell[at : at + m]]
+        at += m
+        if len(some):
+            out.append((part, SHARED, key[0].as_py(), some.tobytes(), None, None))
+    return _replies(out)
+
+
+def shared_of(replies: pa.Table, buckets: int) -> Callable[[np.ndarray], np.ndarray]:
+    """From a range's replies: which of its anchors others have, too."""
+    mine = [r for r in replies.select(["kind", "bucket", "keys"]).to_pylist() if r["kind"] == SHARED]
+    keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in mine] or [_NONE])
+    bucket = np.repeat(np.array([r["bucket"] for r in mine], U64), [len(r["keys"]) // 8 for r in mine])
+    told = np.sort(mix(keys) + bucket * U64(0x9E3779B97F4A7C15))
+    return lambda anchor: anchor[among(mix((anchor >> U64(24)) & U64((1 << 40) - 1)) + (anchor % U64(buckets)) * U64(0x9E3779B97F4A7C15), told)]
+
+
+def spans_that_repeat(key: tuple, rows: pa.Table, kind: Kind, with_bytes: bool) -> pa.Table:
+    """A bucket's answers to the ranges that sent spans."""
+    tidy()
+    anchors = [unsqueezed(x, np.uint32) for x in rows["anchors"]]
+    n = np.array([len(x) for x in anchors])
+    anchor, size = np.concatenate(anchors), np.concatenate([unsqueezed(x, np.uint32) for x in rows["sizes"]]).astype(np.int64)
+    buf = np.concatenate([unsqueezed(x, np.uint8) for x in rows["body"]])
+    names, sender = np.unique(rows["part"].to_numpy(), return_inverse=True)  # ranges in their order
+    part = np.repeat(sender, n)
+    start = np.cumsum(size) - size
+    number = numbered(buf, start, size)
+    by = np.lexsort((part, number))
+    at, to = groups(number[by])
+    low = np.repeat(part[by[at]], to - at)
+    whole = np.zeros(len(part), bool)
+    whole[by] = part[by] > low
+    # spans that no smaller range has, and whose anchor has other spans elsewhere
+    rest = np.flatnonzero(~whole)
+    rest = rest[np.lexsort((part[rest], anchor[rest]))]
+    at, to = groups(anchor[rest])
+    other = np.repeat(np.maximum.reduceat(part[rest], at) > np.minimum.reduceat(part[rest], at), to - at) if len(rest) else np.zeros(0, bool)
+    rest = rest[other]
+    rest = rest[np.argsort(part[rest], kind="stable")]  # a range's spans lie together
+    offsets = np.concatenate([[0], np.cumsum(size[rest])]).astype(np.int64)
+    t = kind.units(gathered(buf, start[rest], size[rest]), offsets)
+    windows = kind.compare(t, part[rest], kind)  # starts in t, ascending
+    span = np.searchsorted(t.bounds, windows, "right") - 1
+    new = np.append(True, (np.diff(windows) != 1) | (np.diff(span) != 0)) if len(windows) else np.zeros(0, bool)
+    first = windows[new]
+    last = windows[np.append(np.flatnonzero(new)[1:], len(windows)) - 1] if len(windows) else windows
+    span = span[new]
+    base = np.cumsum(n) - n
+    out = []
+    for k, name in enumerate(rows["part"].to_pylist()):
+        some = np.flatnonzero(whole[base[k] : base[k] + n[k]])
+        mine = (rest[span] >= base[k]) & (rest[span] < base[k] + n[k])
+        if with_bytes:
+            z = size[base[k] + some]
+            a, b = t.bytes_of(first[mine], last[mine] - first[mine] + kind.window)
+            if len(some) or mine.any():
+                body = np.concatenate([gathered(buf, start[base[k] + some], z), gathered(t.buf, a, b)])
+                out.append((name, WHOLE, key[0].as_py(), None, squeezed(np.concatenate([z, b]).astype(np.uint32)), squeezed(body)))
+            continue
+        if len(some):
+            out.append((name, WHOLE, key[0].as_py(), squeezed(some.astype(np.uint32)), None, None))
+        if mine.any():
+            head = t.bounds[span[mine]]
+            told = np.stack([rest[span[mine]] - base[k], first[mine] - head, last[mine] - head], 1)
+            out.append((name, PARTLY, key[0].as_py(), squeezed(told.astype(np.uint32)), None, None))
+    return _replies(out)
+
+
+def repeats(docs: DataFrame, kind: Kind, finish: Callable[[pa.Table, pa.Table, int], pa.Table], schema: str, id_col: str, text_col: str, keep: list[str], with_bytes: bool = False) -> DataFrame:
+    """Runs the three steps; finish(documents of a range, what it gets back, number of buckets) returns its rows. documents: id, text and kept columns as k0, k1, ..."""
+
+    small_batches(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, rows in ranges(batches, kind.range_bytes):
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "block": pa.array([packed(rows)], pa.binary())})
+            del rows
+            tidy()
+
+    blocks = written(in_order(docs, id_col, text_col, tuple(keep)).mapInArrow(cut, BLOCKS), "blocks")
+    buckets = max(16, blocks.count())
+
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            part, (buf, off) = b.column(0).to_numpy(), flat_text(b.column(1))
-            for i, j in slices(off):
-                t = kind.units(buf[off[i] : off[j]], off[i : j + 1] - off[i])
-                r = runs_of(t, kind)
-                doc = np.searchsorted(t.bounds, r.first, "right") - 1
-                held.append((part[i:j][doc].astype(np.uint32), r.anchor, (r.span(kind.window) >> U64(32)).astype(np.uint32)))
-                size += len(doc)
-                if size > SENT:
-                    yield _send(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
-                    held, size = [], 0
-        if size:
-            yield _send(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
-
-    settled = written(ranged.select("part", "text").mapInArrow(send_runs, SENDS).groupBy("bucket").applyInArrow(settle, REPLIES), "settled")
-
-    blocks = lambda: ranged.mapInArrow(packed, "part int, block binary").groupBy("part")
-
-    def ask(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        open_, part = keys_of(replies, OPEN), rows["part"][0].as_py()
-        out, sent = [_NONE], [_send(np.zeros(0, np.int64), _NONE, None, buckets)]
-        for _, _, t in chunks(unpacked(rows)["text"], kind) if len(open_) else ():
-            r = runs_of(t, kind)
-            which = among(r.anchor, open_)
-            if kind.raw:
-                sent.append(_send_spans(part, t, r, which, kind.window, buckets))
-            else:
-                s = each_window(r, which)
-                out.append(np.unique(mix(span_hash(r.sums, s, s + kind.window))))
-        keys = np.unique(np.concatenate(out))
-        return pa.Table.from_batches([*sent, _send(np.full(len(keys), part), keys, None, buckets)])
-
-    def answer(rows: pa.Table) -> pa.Table:
-        return merge(*_windows_of(rows, kind.window)) if kind.raw else merge(_joined(rows["parts"], np.uint32), _joined(rows["keys"], U64))
-
-    opened = settled.where(F.col("kind") == OPEN)
-    asked = blocks().cogroup(opened.groupBy("part")).applyInArrow(ask, SENDS)
-    repeated = written(asked.groupBy("bucket").applyInArrow(answer, REPLIES), "repeated")
-
-    def last(rows: pa.Table, replies: pa.Table) -> pa.Table:
-        return finish(in_order(unpacked(rows)), replies)
-
-    return blocks().cogroup(settled.unionAll(repeated).groupBy("part")).applyInArrow(last, schema)
-
-
-def covered(starts: np.ndarray, window: int, n: int) -> np.ndarray:
-    """Units that windows at these starts cover."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, starts + window, -1)
-    return np.cumsum(change[:n]) > 0
-
-
-def gathered(buf: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """buf[start : start + size] of all, one behind the other."""
-    n = np.cumsum(sizes)
-    total = int(n[-1]) if len(n) else 0
-    return buf[np.repeat(starts - (n - sizes), sizes) + np.arange(total)]
+            for part, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                runs = runs_of(kind.units(*flat_text(unpacked(block)["text"])), kind)
+                sent = _sends(part, np.unique(runs.anchor), buckets)
+                del runs
+                tidy()
+                yield sent
+
+    shared = written(blocks.mapInArrow(anchors, SENDS).groupBy("bucket").applyInArrow(shared_anchors, REPLIES), "shared")
+
+    def ask(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
+        out: list[tuple] = []
+        tidy()
+        if len(rows) and len(replies):
+            t = kind.units(*flat_text(unpacked(rows["block"][0])["text"]))
+            runs = runs_of(t, kind)
+            s = spans_of(t, runs, np.unique(shared_of(replies, buckets)(runs.anchor)), kind, buckets)
+            at, to = groups(s.bucket)
+            for a, b in zip(at.tolist(), to.tolist(), strict=True):
+                body = squeezed(gathered(t.buf, s.start[a:b], s.size[a:b]))
+                out.append((int(s.bucket[a]), key[0].as_py(), squeezed(s.anchor[a:b].astype(np.uint32)), squeezed(s.size[a:b].astype(np.uint32)), body))
+            del t, runs, s
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bucket", "part", "anchors", "sizes", "body"])
+
+    by_part = lambda df: df.groupBy("part")
+    answer = lambda key, rows: spans_that_repeat(key, rows, kind, with_bytes)
+    told = written(by_part(blocks).cogroup(by_part(shared)).applyInArrow(ask, SPANS).groupBy("bucket").applyInArrow(answer, REPLIES), "repeated")
+
+    def last(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
+        tidy()
+        return finish(unpacked(rows["block"][0]), replies, buckets)
+
+    return by_part(blocks).cogroup(by_part(told if with_bytes else shared.unionAll(told))).applyInArrow(last, schema)
+
+
+def foreign_windows(t: Text, runs: Runs, replies: pa.Table, kind: Kind, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Window starts that smaller ranges have, too, as the buckets told; and the runs that repeat whole."""
+    told = [r for r in replies.to_pylist() if r["kind"] != SHARED]
+    if not told:
+        return np.zeros(0, np.int64), np.zeros(len(runs.first), bool)
+    s = spans_of(t, runs, np.unique(shared_of(replies, buckets)(runs.anchor)), kind, buckets)
+    whole = np.zeros(len(s.start), bool)
+    parts = []
+    for r in told:
+        base, got = int(np.searchsorted(s.bucket, r["bucket"])), np.frombuffer(zstandard.decompress(r["keys"]), np.uint32).astype(np.int64)
+        if r["kind"] == WHOLE:
+            whole[base + got] = True
+        else:
+            parts.append(got.reshape(-1, 3) + [base, 0, 0])
+    gone = np.zeros(len(runs.first), bool)
+    gone[s.runs] = whole[s.own]
+    out = [each_window(runs, gone)]
+    if parts:
+        some = np.concatenate(parts)  # each run of such a span has the told windows
+        by = np.argsort(s.own, kind="stable")
+        lo, hi = np.searchsorted(s.own[by], some[:, 0]), np.searchsorted(s.own[by], some[:, 0], "right")
+        first = runs.first[s.runs[by[stretches(lo, hi - lo)]]]
+        a, b = np.repeat(some[:, 1], hi - lo), np.repeat(some[:, 2], hi - lo)
+        out.append(stretches(first + a, b - a + 1))
+    return np.concatenate(out), gone
+
+
+def same_windows(number: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Which windows a smaller range has, too. number: equal for equal windows."""
+    by = np.lexsort((part, number))
+    at, to = groups(number[by])
+    out = np.zeros(len(by), bool)
+    if len(by):
+        out[by] = part[by] > np.repeat(part[by[at]], to - at)
+    return out
+
+
+def string_numbers(t: Text) -> np.ndarray:
+    """A number for each word, the same for equal words only."""
+    return numbered(t.buf, t.at[:-1], np.diff(t.at), string_hash(t.buf, t.at[:-1], np.diff(t.at)))

@@ -1,15 +1,21 @@
 """Suffix-array dedup of byte strings.
 
-A byte that a string of some bytes (50) covers which also starts in a document before goes. Documents lie in shards by
-id range. Which places of a shard can matter at all is told by the anchors of its windows (see _repeats). Within a
-shard the suffixes of the candidate places are sorted by prefix doubling on the groups that are still unsorted
-(Larsson-Sadakane), common prefixes of neighbours are taken by Kasai's rule in parallel lanes, and suffixes that share
-a window are one class with its first document. Across shards, sorted fingerprints are merged by binary search.
-
-Cases: null or empty text has no bytes; each row is a document of its own, in the order of id, then text, rows without
-id last; so of identical rows the first stays. Matches never cross documents, and a document never removes its own
-bytes. Kept bytes may be cut within a character, so they are binary. An empty table gives no rows. Extra columns pass
-if asked for by name.
+A byte that a string of some bytes (50) covers which also starts in a document before goes. Documents lie in shards in
+the order of their ids. Which places can matter at all is told by the anchors of their windows (see _repeats); all else is
+told by bytes:
+
+* Within a shard the suffixes of the candidate places are sorted by prefix doubling on the groups that are still unsorted
+  (Larsson-Sadakane), common prefixes of neighbours are taken by Kasai's rule in parallel lanes, and suffixes that share
+  a window are one class with its first document.
+* Across shards, what shards share by their anchors meets in buckets. Equal spans are one there. The windows of the others
+  are put in suffix order by shard, in the same way, and the shards' arrays are merged two by two: the windows of the
+  later shard are searched in the array of the earlier one by binary search; those it has repeat, the others are
+  inserted.
+
+Cases: null or empty text has no bytes; each row is a document of its own, in the order of id, then of the first
+characters of the text and a hash of it, rows without id last; so of identical rows one stays. Matches never cross
+documents, and a document never removes its own bytes. Kept bytes may be cut within a character, so they are binary. An
+empty table gives no rows. Extra columns pass if asked for by name.
 """
 
 from __future__ import annotations
@@ -20,30 +26,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import _repeats as R
-from ledgerloom.llm._common import flat_text, groups, mix, span_hash
+from ledgerloom.llm._common import flat_text, groups, loads, steps
 
 WINDOW = 50
-BYTES = R.Kind(R.bytes_of, WINDOW, 16, 4 << 20, raw=True)
 LANE = 64
 
 
 def packed(s: np.ndarray) -> np.ndarray:
-    """The first eight bytes of each suffix as one number, zeros behind the end."""
-    wide = np.concatenate([s, np.zeros(8, np.uint8)]).astype(np.uint64)
-    key = np.zeros(len(s), np.uint64)
-    for i in range(8):
-        key |= wide[i : i + len(s)] << np.uint64(56 - 8 * i)
-    return key
+    """The first eight bytes of each suffix as one number, in the order of the bytes, zeros behind the end."""
+    return loads(s)[:-1].byteswap().astype(np.uint64)
 
 
-def suffix_array(s: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes of s in the order of their first bytes, depth of them at least; ties by place. Only groups that are not yet sorted are refined."""
+def suffix_array(s: np.ndarray, depth: int, shard: np.ndarray | None = None) -> np.ndarray:
+    """Suffixes of s in the order of their first bytes, depth of them at least; ties by place. Only groups that are not yet sorted are refined. shard (of each byte, ascending): the arrays of several shards, one behind the other."""
     n = len(s)
     key = packed(s)
     order = np.argsort(key, kind="stable")
+    if shard is not None:
+        order = order[np.argsort(shard[order], kind="stable")]
     rank = np.zeros(n + 1, np.int64)
     sorted_key = key[order]
     new = np.append(True, sorted_key[1:] != sorted_key[:-1]) if n else np.zeros(0, bool)
+    if shard is not None:
+        new[1:] |= np.diff(shard[order]) != 0
     start = np.flatnonzero(new)
     rank[order] = np.repeat(start, np.diff(np.append(start, n))) + 1  # a group's number is its first place; 0 is behind the end
     h = 8
@@ -124,24 +129,74 @@ def earlier_in_shard(s: np.ndarray, doc: np.ndarray, start: np.ndarray, window:
     return place[doc[place] > first]
 
 
-def _marks(text: pa.ChunkedArray, replies: pa.Table, kind: R.Kind) -> np.ndarray:
+def _places(key: np.ndarray, window: int, asked: np.ndarray, held: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Binary search of each asked window in held[low:high], which is in the order of the windows: where it belongs, and whether it is there. key: packed() of the text."""
+    at, shift = steps(window), np.uint64(max(0, 64 - 8 * window))
+
+    def below(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether window a comes before b; whether both are equal."""
+        out, open_ = np.zeros(len(a), bool), np.arange(len(a))
+        for i in at:
+            x, y = key[a[open_] + i] >> shift, key[b[open_] + i] >> shift
+            out[open_] = x < y
+            open_ = open_[x == y]
+        same = np.zeros(len(a), bool)
+        same[open_] = True
+        return out, same
+
+    low, high, end = low.copy(), high.copy(), high
+    todo = np.flatnonzero(low < high)
+    while len(todo):
+        mid = (low[todo] + high[todo]) // 2
+        less, _ = below(held[mid], asked[todo])
+        low[todo] = np.where(less, mid + 1, low[todo])
+        high[todo] = np.where(less, high[todo], mid)
+        todo = todo[low[todo] < high[todo]]
+    there = np.zeros(len(asked), bool)
+    some = np.flatnonzero(low < end)
+    there[some] = below(held[low[some]], asked[some])[1]
+    return low, there
+
+
+def merged(s: np.ndarray, place: np.ndarray, shard: np.ndarray, window: int) -> np.ndarray:
+    """Which windows a smaller shard has, too. place: window starts in s, in suffix order by shard; shard: of each, from 0 on without gaps."""
+    key = np.concatenate([packed(s), np.zeros(1, np.uint64)])
+    gone, live, part = np.zeros(len(place), bool), np.arange(len(place)), shard.copy()
+    while len(part) and part[-1] > 0:
+        asks = np.flatnonzero(part & 1)
+        low, high = np.searchsorted(part, part[asks] - 1), np.searchsorted(part, part[asks] - 1, "right")
+        to, there = _places(key, window, place[live[asks]], place[live], low, high)
+        gone[live[asks[there]]] = True
+        rank = np.arange(len(live)) * 2 + 1
+        rank[asks] = to * 2
+        stays = np.ones(len(live), bool)
+        stays[asks[there]] = False
+        by = np.argsort(rank[stays], kind="stable")
+        live, part = live[stays][by], part[stays][by] >> 1
+    return gone
+
+
+def compare(t: R.Text, part: np.ndarray, kind: R.Kind) -> np.ndarray:
+    """Starts of the windows of a bucket's spans that a smaller shard has, too. part: of each span, ascending."""
+    size = np.diff(t.bounds)
+    shard = np.repeat(np.unique(part, return_inverse=True)[1], size)
+    order = suffix_array(t.buf, kind.window, shard)
+    is_start = np.zeros(len(t.buf), bool)
+    is_start[R.stretches(t.bounds[:-1], np.maximum(size - kind.window + 1, 0))] = True
+    place = order[is_start[order]]
+    return np.sort(place[merged(t.buf, place, shard[place], kind.window)])
+
+
+BYTES = R.Kind(R.bytes_of, WINDOW, 16, 4 << 20, compare)
+
+
+def _marks(text: pa.ChunkedArray, replies: pa.Table, kind: R.Kind, buckets: int) -> np.ndarray:
     """The bytes of a shard's documents that repeated windows cover."""
-    settled, open_, foreign = (R.keys_of(replies, k) for k in (R.SETTLED, R.OPEN, R.REPEATED))
-    buf, off = flat_text(text)
-    gone, firsts, lasts, anchors = [], [], [], []
-    for i, _, t in R.chunks(text, kind):
-        r, base = R.runs_of(t, kind), off[i]
-        known = R.among(r.anchor, settled)
-        start = R.each_window(r, known)
-        gone.append(start + base)
-        start = R.each_window(r, R.among(r.anchor, open_))
-        gone.append(start[R.among(mix(span_hash(r.sums, start, start + kind.window)), foreign)] + base)
-        firsts.append(r.first[~known] + base)
-        lasts.append(r.last[~known] + base)
-        anchors.append(r.anchor[~known])
-    if not anchors:
-        return np.zeros(len(buf), bool)
-    first, last, anchor = (np.concatenate(x) for x in (firsts, lasts, anchors))
+    t = kind.units(*flat_text(text))
+    r = R.runs_of(t, kind)
+    told, whole = R.foreign_windows(t, r, replies, kind, buckets)
+    gone = [told]
+    first, last, anchor = r.first[~whole], r.last[~whole], r.anchor[~whole]
     by = np.argsort(anchor, kind="stable")
     same = anchor[by[1:]] == anchor[by[:-1]]
     twice = np.zeros(len(by), bool)
@@ -150,26 +205,21 @@ def _marks(text: pa.ChunkedArray, replies: pa.Table, kind: R.Kind) -> np.ndarray
     first, last = first[twice], last[twice]
     if len(first):
         # the places that the candidate windows cover, one behind the other; a window never leaves its document
-        change = np.zeros(len(buf) + 1, np.int64)
-        np.add.at(change, first, 1)
-        np.add.at(change, last + kind.window, -1)
-        covered = np.cumsum(change[:-1]) > 0
-        inside, place = np.flatnonzero(covered), np.cumsum(covered) - 1
-        n = last - first + 1
-        start = place[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        doc = np.searchsorted(off, inside, "right") - 1
-        gone.append(inside[earlier_in_shard(buf[inside], doc, start, kind.window)])
-    return R.covered(np.concatenate(gone), kind.window, len(buf))
+        inside = np.flatnonzero(R.covered(first, last - first + kind.window, len(t.buf)))
+        start = np.searchsorted(inside, R.stretches(first, last - first + 1))
+        doc = np.searchsorted(t.bounds, inside, "right") - 1
+        gone.append(inside[earlier_in_shard(t.buf[inside], doc, start, kind.window)])
+    return R.covered(np.concatenate(gone), kind.window, len(t.buf))
 
 
 def remove_repeated_bytes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_bytes (binary), and the columns in keep."""
-    kind = BYTES if window == WINDOW else R.Kind(R.bytes_of, window, max(1, window // 3), BYTES.range_bytes, raw=True)
+    kind = BYTES if window == WINDOW else R.Kind(R.bytes_of, window, max(1, window // 3), BYTES.range_bytes, compare)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_bytes"]
 
-    def finish(rows: pa.Table, replies: pa.Table) -> pa.Table:
+    def finish(rows: pa.Table, replies: pa.Table, buckets: int) -> pa.Table:
         buf, off = flat_text(rows["text"])
-        gone = _marks(rows["text"], replies, kind)
+        gone = _marks(rows["text"], replies, kind, buckets)
         head = gone.copy()
         head[1:] &= ~gone[:-1]
         edge = off[:-1][off[:-1] < len(buf)]
