@@ -1,8 +1,10 @@
 """Token ids of many texts at once, with the tokenizers library.
 
 Each distinct pre-token is encoded once by the library and kept in a bounded table of the worker; the ids of a text
-are then gathered from it. This needs a byte-level BPE without normaliser; other tokenizers encode whole texts.
-The table knows no added tokens, so a text that holds the content of one goes to the library as a whole.
+are then gathered from it. The table is keyed by a hash, and the bytes of every pre-token are held against those it was
+learned from; a text with one that differs goes to the library as a whole. This needs a byte-level BPE without
+normaliser; other tokenizers encode whole texts. The table knows no added tokens, so a text that holds the content of
+one goes to the library, too.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ import unicodedata
 
 import numpy as np
 
-from ledgerloom.llm._common import U64, byte_values, mix, prefix_hash, slices, span_hash
+from ledgerloom.llm._common import U64, differ, gathered, slices, string_hash
 
 #: Distinct pre-tokens that a worker keeps.
 KEPT = 1_500_000
@@ -99,6 +101,7 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known, self.at, self.size, self.flat = np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.dtype)
+        self.spelt, self.spelt_at, self.spelt_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def _learn(self, keys: np.ndarray, strings: list[str]) -> None:
         """Encodes new pre-tokens. Those of a space and a run stay apart when joined, so they go many at a time."""
@@ -127,17 +130,26 @@ class Encoder:
         by = np.argsort(known, kind="stable")
         self.known, self.at, self.size = known[by], np.concatenate([self.at, at])[by], np.concatenate([self.size, size])[by]
         self.flat = np.concatenate([self.flat, *ids])
+        raw = [strings[i].encode() for i in order.tolist()]
+        spelt = np.array([len(x) for x in raw], np.int64)
+        self.spelt_at = np.concatenate([self.spelt_at, len(self.spelt) + np.cumsum(spelt) - spelt])[by]
+        self.spelt_size = np.concatenate([self.spelt_size, spelt])[by]
+        self.spelt = np.concatenate([self.spelt, np.frombuffer(b"".join(raw), np.uint8)])
 
     def _some(self, buf: np.ndarray, offsets: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """Texts that hold an added token by the library, those between them by the table."""
-        n, raw = len(offsets) - 1, buf.tobytes()
+        raw = buf.tobytes()
         if not self.by_pretoken:
             return self._whole(buf, offsets, end)
         if not any(t in raw for t in self.added):
             return self._gathered(buf, offsets, end)
-        whole = np.zeros(n, bool)
+        whole = np.zeros(len(offsets) - 1, bool)
         whole[np.searchsorted(offsets, [m.start() for m in self.spelled.finditer(raw)], "right") - 1] = True
-        cuts = np.concatenate([[0], np.flatnonzero(whole[1:] != whole[:-1]) + 1, [n]])
+        return self._mixed(buf, offsets, end, whole)
+
+    def _mixed(self, buf: np.ndarray, offsets: np.ndarray, end: list[int], whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The marked texts by the library, those between them by the table."""
+        cuts = np.concatenate([[0], np.flatnonzero(whole[1:] != whole[:-1]) + 1, [len(whole)]])
         ids, bounds, base = [], [np.zeros(1, np.int64)], 0
         for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             got, b = (self._whole if whole[i] else self._gathered)(buf[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], end)
@@ -157,8 +169,9 @@ class Encoder:
             return np.array(end * n, self.dtype), np.arange(n + 1) * len(end)
         start = pretokens(buf, offsets)
         stop = np.append(start[1:], len(buf))
-        sums = prefix_hash(byte_values(buf))
-        distinct, first, which = np.unique(mix(span_hash(sums, start, stop) ^ (stop - start).astype(U64)), return_index=True, return_inverse=True)
+        sizes = stop - start
+        distinct, first, which = np.unique(string_hash(buf, start, sizes), return_index=True, return_inverse=True)
+        odd = differ(buf, start, sizes, first[which])
         place = np.searchsorted(self.known, distinct).clip(max=max(0, len(self.known) - 1))
         new = np.flatnonzero(self.known[place] != distinct) if len(self.known) else np.arange(len(distinct))
         if len(self.known) + len(new) > KEPT:
@@ -168,6 +181,11 @@ class Encoder:
             raw = buf.tobytes()
             self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist(), strict=True)])
             place = np.searchsorted(self.known, distinct)
+        odd |= self._unlike(buf, start[first], sizes[first], place)[which]
+        if odd.any():
+            whole = np.zeros(n, bool)
+            whole[np.searchsorted(offsets, start[odd], "right") - 1] = True
+            return self._mixed(buf, offsets, end, whole)
         size = self.size[place][which]
         head = np.searchsorted(start, offsets)
         gone = np.concatenate([[0], np.cumsum(size)])
@@ -179,6 +197,15 @@ class Encoder:
             bounds = bounds + np.arange(n + 1) * len(end)
         return ids, bounds
 
+    def _unlike(self, buf: np.ndarray, start: np.ndarray, sizes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Which pre-tokens are not those that the table holds at these places."""
+        out = sizes != self.spelt_size[place]
+        some = np.flatnonzero(~out)
+        ends = np.cumsum(sizes[some])
+        no = gathered(buf, start[some], sizes[some]) != gathered(self.spelt, self.spelt_at[place[some]], sizes[some])
+        out[some[np.unique(np.searchsorted(ends, np.flatnonzero(no), "right"))]] = True
+        return out
+
     def encode(self, buf: np.ndarray, offsets: np.ndarray, end: list[int]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each followed by the end ids, and the n + 1 offsets of the texts in them."""
         ids, bounds, base = [], [np.zeros(1, np.int64)], 0

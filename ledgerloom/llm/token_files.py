@@ -3,12 +3,14 @@
 Each shard holds the documents of a range of ids, in ascending id order, as raw little-endian ids (16 bits where the
 vocabulary allows, else 32). A shard file is header, index, keys, offsets and payload. The index is a minimal perfect
 hash: levels of bit arrays, in each of which the keys that collide go on to the next; a key's slot is the rank of its
-bit. The slot's 32-bit fingerprint turns foreign keys away (one in 2^32 passes), and its row gives the place in the
-payload, so that a keyed read needs a constant number of probes.
-
-Cases: null or empty text has the end ids only; rows that share an id lie next to each other, ordered by text, and a
-keyed read returns all of them; rows without id come last and have no key; an empty table writes no shard. Extra
-columns are left out.
+bit. The slot's 32-bit fingerprint turns foreign keys away (one in 2^32 passes, and the key itself is compared), and its
+row gives the place in the payload, so that a keyed read needs a constant number of probes. Shards are cut by bytes of
+text, whatever ids the rows have; their table says which keys a shard holds from and to, so a keyed read opens the
+shards that can hold its keys only, and of these it reads the index and the documents asked for.
+
+Cases: null or empty text has the end ids only; rows that share an id lie next to each other, ordered by the first
+characters of the text and a hash of it, and a keyed read returns all of them; rows without id come last and have no
+key; an empty table writes no shard. Extra columns are left out.
 """
 
 from __future__ import annotations
@@ -24,13 +26,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import LAST_ID, U64, flat_text, groups, mix, with_id_ranges
+from ledgerloom.llm._common import LAST_ID, U64, flat_text, groups, in_order, mix, ranges, scratch, small_batches, tidy
 from ledgerloom.llm._tokens import encoder
 
 MAGIC = b"LLTOKEN1"
 #: Bits of a level for each key that reaches it.
 SPREAD = 1.5
-MANIFEST = "shard int, n_rows long, n_tokens long, n_bytes long"
+MANIFEST = "shard long, n_rows long, n_tokens long, n_bytes long, low long, high long"
+#: A shard's number has the partition that wrote it above these bits.
+_WITHIN = 32
 
 
 def _level_hash(keys: np.ndarray, level: int) -> np.ndarray:
@@ -86,23 +90,23 @@ def pack_shard(keys: np.ndarray, n_null: int, ids: np.ndarray, bounds: np.ndarra
 
 
 class Shard:
-    """A shard file's parts."""
+    """A shard file's index, keys and offsets, and the way to its ids. file: a random access file, of which only what is asked for is read."""
 
-    def __init__(self, data: bytes):
-        if data[:8] != MAGIC:
+    def __init__(self, file: pa.NativeFile):
+        self.file, at = file, 8
+        if file.read_at(8, 0) != MAGIC:
             raise ValueError("not a token shard")
-        at = 8
 
         def take(kind: str, n: int) -> np.ndarray:
             nonlocal at
-            x = np.frombuffer(data, kind, n, at)
+            x = np.frombuffer(file.read_at(n * np.dtype(kind).itemsize, at), kind)
             at += x.nbytes
             return x
 
-        n, self.n_null, own, width, n_levels = take("<i8", 5).tolist()
+        n, self.n_null, own, self.width, n_levels = take("<i8", 5).tolist()
         self.levels = [take("<u8", m) for m in take("<i8", n_levels).tolist()]
         self.marks, self.rows, self.keys, self.bounds = take("<u4", own), take("<u4", own), take("<i8", n), take("<i8", n + 1)
-        self.ids = take(f"<u{width}", int(self.bounds[-1]))
+        self.payload = at
 
     def first_rows(self, keys: np.ndarray) -> np.ndarray:
         """The first row of each key by the index; -1 where the shard doesn't hold it."""
@@ -111,10 +115,13 @@ class Shard:
         if len(self.marks):
             ok = (slot >= 0) & (self.marks[slot.clip(min=0)] == fingerprints(keys))
             row[ok] = self.rows[slot[ok]]
+            row[ok & (self.keys[row.clip(min=0)] != keys)] = -1
         return row
 
-    def digest(self, row: int) -> int:
-        return zlib.crc32(self.ids[self.bounds[row] : self.bounds[row + 1]].astype("<u4").tobytes())
+    def ids(self, row: int, to: int | None = None) -> np.ndarray:
+        """The ids of a row, or of the rows up to another."""
+        a, b = self.bounds[row].item(), self.bounds[row + 1 if to is None else to].item()
+        return np.frombuffer(self.file.read_at((b - a) * self.width, self.payload + a * self.width), f"<u{self.width}")
 
 
 def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", end_ids: tuple[int, ...] = (0,), shard_bytes: int = 8 << 20, special: bool = False) -> DataFrame:
@@ -124,34 +131,38 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, *, id_col:
 
     A shard is written under a name of its attempt and then renamed, so a task that runs twice leaves one file.
     """
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    ranged, _ = with_id_ranges(slim, "id", F.coalesce(F.octet_length("text"), F.lit(0)) + 16, shard_bytes)
     ends = list(end_ids)
+    small_batches(docs.sparkSession)
 
-    def write(key: tuple, rows: pa.Table) -> pa.Table:
-        order = pc.sort_indices(rows, [("id", "ascending"), ("text", "ascending")], null_placement="at_end")
-        rows = rows.take(order)
-        text, off = flat_text(rows["text"])
-        ids, bounds = encoder(tokenizer, special).encode(text, off, ends)
-        data = pack_shard(rows["id"].fill_null(LAST_ID).to_numpy(), rows["id"].null_count, ids, bounds)
-        shard = key[0].as_py()
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = fs.FileSystem.from_uri(f"{out_dir}/shards")
         store.create_dir(path, recursive=True)
-        own = f"{path}/_{uuid.uuid4().hex}"
-        with store.open_output_stream(own) as f:
-            f.write(data)
-        store.move(own, f"{path}/{shard:08d}.tok")
-        return pa.table({"shard": pa.array([shard], pa.int32()), "n_rows": [len(rows)], "n_tokens": [len(ids)], "n_bytes": [len(data)]})
+        for shard, rows in ranges(batches, shard_bytes):
+            ids, bounds = encoder(tokenizer, special).encode(*flat_text(rows["text"]), ends)
+            keys, n_null = rows["id"].combine_chunks().fill_null(LAST_ID).to_numpy(), rows["id"].null_count
+            data = pack_shard(keys, n_null, ids, bounds)
+            n_rows, n_tokens, n_bytes = len(rows), len(ids), len(data)
+            own = f"{path}/_{uuid.uuid4().hex}"
+            with store.open_output_stream(own) as f:
+                f.write(data)
+            store.move(own, f"{path}/{shard:016d}.tok")
+            del ids, data, rows
+            tidy()
+            held = len(keys) > n_null
+            low, high = (int(keys[0]), int(keys[len(keys) - n_null - 1])) if held else (None, None)
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard]), "n_rows": pa.array([n_rows]), "n_tokens": pa.array([n_tokens]), "n_bytes": pa.array([n_bytes]), "low": pa.array([low], pa.int64()), "high": pa.array([high], pa.int64())})
+
+    in_order(docs, id_col, text_col).mapInArrow(write, MANIFEST).write.parquet(f"{out_dir}/manifest")
+    return _manifest(docs.sparkSession, out_dir)
+
 
-    ranged.select("part", "id", "text").groupBy("part").applyInArrow(write, MANIFEST).write.parquet(f"{out_dir}/manifest")
-    return docs.sparkSession.read.schema(MANIFEST).parquet(f"{out_dir}/manifest")
+def _manifest(spark: SparkSession, out_dir: str) -> DataFrame:
+    return spark.read.schema(MANIFEST).parquet(f"{out_dir}/manifest")
 
 
-def _files(spark: SparkSession, out_dir: str) -> DataFrame | None:
-    manifest = spark.read.schema(MANIFEST).parquet(f"{out_dir}/manifest")
-    if manifest.isEmpty():
-        return None
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.tok").load(f"{out_dir}/shards").select("path", "content")
+def _shard(out_dir: str, shard: int) -> Shard:
+    store, path = fs.FileSystem.from_uri(f"{out_dir}/shards")
+    return Shard(store.open_input_file(f"{path}/{shard:016d}.tok"))
 
 
 def read_token_files(spark: SparkSession, out_dir: str, *, with_ids: bool = False) -> DataFrame:
@@ -159,64 +170,71 @@ def read_token_files(spark: SparkSession, out_dir: str, *, with_ids: bool = Fals
 
     Rows are found by key through the index, not by their place.
     """
-    schema = "doc_id long, shard int, local long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
-    if (files := _files(spark, out_dir)) is None:
-        return spark.createDataFrame([], schema.replace("local", "start"))
+    schema = "doc_id long, shard long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    # starts in two steps: of the partitions that wrote shards, then of the shards of each
+    shards, group = _manifest(spark, out_dir), F.shiftright("shard", _WITHIN)
+    part = shards.groupBy(group.alias("part")).agg(F.sum("n_tokens").alias("n"))
+    part = part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    own = F.sum("n_tokens").over(Window.partitionBy(group).orderBy("shard")) - F.col("n_tokens")
+    numbered = shards.select("shard", "n_tokens", own.alias("own"), group.alias("part")).join(part, "part").select("shard", (F.col("own") + F.col("before")).alias("base"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path, data in zip(b.column(0), b.column(1), strict=True):
-                s = Shard(data.as_buffer())
+            for shard, base in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                s = _shard(out_dir, shard)
                 keyed = s.keys[: len(s.keys) - s.n_null]
                 row = s.first_rows(keyed)
-                if (row < 0).any() or (s.keys[row] != keyed).any():
-                    raise ValueError(f"{path}: the index misses a key")
+                if (row < 0).any():
+                    raise ValueError(f"shard {shard}: the index misses a key")
                 head, to = groups(keyed)
                 row = np.concatenate([row + np.arange(len(keyed)) - np.repeat(head, to - head), np.arange(len(keyed), len(s.keys))])
-                n = s.bounds[row + 1] - s.bounds[row]
+                ids, wide = s.ids(0, len(s.keys)), [s.bounds[r : r + 2].tolist() for r in row.tolist()]
                 out = {
-                    "doc_id": pa.array(s.keys[row], mask=np.arange(len(row)) >= len(keyed)), "shard": pa.array(np.full(len(row), int(path.as_py().rsplit("/", 1)[1][:-4]), np.int32)),
-                    "local": pa.array(s.bounds[row]), "n_tokens": pa.array(n), "ids_crc32": pa.array([s.digest(r) for r in row.tolist()], pa.int64()),
+                    "doc_id": pa.array(s.keys[row], mask=np.arange(len(row)) >= len(keyed)), "shard": pa.array(np.full(len(row), shard, np.int64)),
+                    "start": pa.array(base + s.bounds[row]), "n_tokens": pa.array(s.bounds[row + 1] - s.bounds[row]), "ids_crc32": pa.array([zlib.crc32(ids[x:y].astype("<u4")) for x, y in wide], pa.int64()),
                 }
                 if with_ids:
-                    out["ids"] = pa.array([s.ids[s.bounds[r] : s.bounds[r + 1]].astype(np.int32) for r in row.tolist()], pa.list_(pa.int32()))
+                    out["ids"] = pa.array([ids[x:y].astype(np.int32) for x, y in wide], pa.list_(pa.int32()))
+                del s, ids
+                tidy()
                 yield pa.RecordBatch.from_pydict(out)
 
-    # one row a shard, and shards are bounded in number
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    base = spark.read.schema(MANIFEST).parquet(f"{out_dir}/manifest").select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    rows = files.mapInArrow(read, schema).join(F.broadcast(base), "shard")
-    return rows.select("doc_id", "shard", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
+    return numbered.mapInArrow(read, schema)
 
 
 def lookup(spark: SparkSession, out_dir: str, keys: DataFrame, key_col: str = "doc_id") -> DataFrame:
-    """The ids of the asked keys (doc_id, ids): keys go to the shard files, and the index finds the rows there. Unknown and null keys return nothing."""
-    if (files := _files(spark, out_dir)) is None:
-        return spark.createDataFrame([], "doc_id long, ids array<int>")
+    """The ids of the asked keys (doc_id, ids). Keys are put in ranges beside the table of shards, and each range of keys opens the shards that can hold one of it. Unknown and null keys return nothing."""
     asked = keys.select(F.col(key_col).cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    found = files.mapInArrow(_ranges, "shard int, low long, high long").join(asked, F.col("doc_id").between(F.col("low"), F.col("high")))
-    by_shard = found.groupBy("shard").agg(F.collect_list("doc_id").alias("keys"))
+    # shards and keys in one order: a key's first shard is the last one that starts at or before it, and the next ones while they start with it
+    lows = _manifest(spark, out_dir).where("low is not null").select(F.col("low").alias("k"), F.lit(0).alias("kind"), "shard", "high")
+    both = lows.unionAll(asked.select("doc_id", F.lit(1), F.lit(None).cast("long"), F.lit(None).cast("long")))
+    order = [F.col("k"), F.col("kind"), F.col("shard")]
+    table = both.repartitionByRange(F.col("k")).sortWithinPartitions(*order)
+    path = scratch(spark, "lookup")
+    table.withColumn("p", F.spark_partition_id()).write.parquet(path)
+    table = spark.read.parquet(path)
+    # what a partition's keys may find in those before: the last shards that start there (one row a partition)
+    last = table.where("kind = 0").groupBy("p").agg(F.max("shard").alias("shard"))
+    before = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
+    carried = table.select("p").distinct().join(last, "p", "left").select("p", F.max("shard").over(before).alias("carried"))
+    held = Window.partitionBy("p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    spot = table.withColumn("own", F.max(F.when(F.col("kind") == 0, F.col("shard"))).over(held)).join(carried, "p").where("kind = 1")
+    spot = spot.select(F.col("k").alias("doc_id"), F.coalesce("own", "carried").alias("shard")).where("shard is not null")
+    # an id whose rows were parted lies in several shards
+    more = _manifest(spark, out_dir).select("low", "high", F.col("shard").alias("other"))
+    at_edge = more.join(asked, F.col("high") == F.col("doc_id")).select("doc_id", "other").unionAll(more.join(asked, F.col("low") == F.col("doc_id")).select("doc_id", "other"))
+    pairs = spot.unionAll(at_edge.select("doc_id", F.col("other").alias("shard"))).distinct()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for wanted, data in zip(b.column("keys"), b.column("content"), strict=True):
-                s, key = Shard(data.as_buffer()), np.array(wanted.as_py(), np.int64)
-                out_key, out_ids = [], []
-                for k, r in zip(key.tolist(), s.first_rows(key).tolist(), strict=True):
+            key, shard = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for a, c in zip(*groups(shard), strict=True):
+                s, out_key, out_ids = _shard(out_dir, int(shard[a])), [], []
+                for k, r in zip(key[a:c].tolist(), s.first_rows(key[a:c]).tolist(), strict=True):
                     while 0 <= r < len(s.keys) - s.n_null and s.keys[r] == k:
                         out_key.append(k)
-                        out_ids.append(s.ids[s.bounds[r] : s.bounds[r + 1]].astype(np.int32))
+                        out_ids.append(s.ids(r).astype(np.int32))
                         r += 1
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out_key, pa.int64()), "ids": pa.array(out_ids, pa.list_(pa.int32()))})
 
-    numbered = files.select(F.regexp_extract("path", r"(\d+)\.tok$", 1).cast("int").alias("shard"), "content")
-    return numbered.join(by_shard, "shard").select("keys", "content").mapInArrow(read, "doc_id long, ids array<int>")
-
-
-def _ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for path, data in zip(b.column(0), b.column(1), strict=True):
-            s = Shard(data.as_buffer())
-            keyed = s.keys[: len(s.keys) - s.n_null]
-            if len(keyed):
-                yield pa.RecordBatch.from_pydict({"shard": pa.array([int(path.as_py().rsplit("/", 1)[1][:-4])], pa.int32()), "low": pa.array([int(keyed[0])]), "high": pa.array([int(keyed[-1])])})
+    return pairs.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(read, "doc_id long, ids array<int>")
