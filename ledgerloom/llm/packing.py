@@ -3,8 +3,8 @@
 The plan is made on the histogram of piece lengths, which has at most as many rows as a sequence has tokens, whatever
 the corpus. Lengths over an eighth of a sequence are large: in descending order they are cut into groups of equal
 cardinality and rounded up to the longest of their group. Over these few sizes the mix of configurations is optimised
-(column generation with a knapsack, rounded down, the rest by fullest configuration first). Then the actual pieces take
-their group's places, and small pieces go to the fullest sequence that still holds them. The plan is a list of runs:
+(column generation with a knapsack, rounded down). Then the actual pieces take their group's places, and what is left of
+the large ones, then the small ones, go in descending length to the fullest sequence that still holds them. The plan is a list of runs:
 pieces of one length, by rank, take consecutive sequences. Ranks come from counts by length and salt, so that a
 length that a third of all pieces have is no single task.
 
@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import flat_text, slices, written
+from ledgerloom.llm._common import flat_text, slices, small_batches, tidy, written
 from ledgerloom.llm._tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -34,6 +34,7 @@ RANKED = 100_000
 def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = 2048, end_ids: tuple[int, ...] = (0,), special: bool = False) -> DataFrame:
     """The pieces of all documents (special: see write_token_files()): only documents over the capacity are cut, into pieces of the capacity after a first one that may be shorter."""
     ends = list(end_ids)
+    small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -50,6 +51,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
                 at = bounds[doc] + start
                 wide = ids.astype("<u4")
                 crc = [zlib.crc32(wide[a : a + m]) for a, m in zip(at.tolist(), length.tolist(), strict=True)]
+                tidy()
                 yield pa.RecordBatch.from_pydict({"doc_id": b.column(0).slice(i, j - i).take(pa.array(doc)), "piece": pa.array(piece, pa.int32()), "start": pa.array(start, pa.int64()), "length": pa.array(length, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECES)
@@ -77,7 +79,7 @@ def _knapsack(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[floa
 
 
 def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Configurations of the sizes (how many of each) and how often each is used, so that the demand is met exactly."""
+    """Configurations of the sizes (how many of each) and how often each is used, rounded down: at most a sequence for each size is left out."""
     g = len(sizes)
     out: list[tuple[np.ndarray, int]] = []
     left = demand.astype(np.int64).copy()
@@ -102,15 +104,6 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
         if n > 0:
             out.append((column, n))
             left = left - n * column
-    while left.any():
-        column, room = np.zeros(g, np.int64), capacity
-        for k in range(g):  # sizes descend: the largest first, then what still fits
-            m = min(int(left[k]), room // int(sizes[k]))
-            column[k], room = m, room - m * int(sizes[k])
-        with_any = column > 0
-        n = int((left[with_any] // column[with_any]).min())
-        out.append((column, n))
-        left = left - n * column
     return out
 
 
@@ -127,6 +120,7 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> np.n
             sequences = histogram[x]
         elif x > small:
             runs.append([x, 0, histogram[x]])
+    rest: list[tuple[int, int, int]] = []  # large pieces that no configuration took: length, first rank, count
     free: dict[int, list[tuple[int, int, int]]] = {}  # room: first sequence, count, slots taken
     mask = 0
     if runs:
@@ -179,10 +173,8 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> np.n
                     free.setdefault(capacity - used, []).append((sequences + first, count, slot))
                     mask |= 1 << (capacity - used)
             sequences += n
-    for x in lengths:
-        if x > small:
-            continue
-        rank, left = 0, histogram[x]
+        rest = sorted(((x, rank, n) for own in merged for x, rank, n in own if n), key=lambda r: (-r[0], r[1]))
+    for x, rank, left in rest + [(x, 0, histogram[x]) for x in lengths if x <= small]:
         while left:
             if not mask >> x:
                 n = -(-left // (capacity // x))
