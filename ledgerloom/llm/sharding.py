@@ -79,7 +79,8 @@ def propagate(linked: DataFrame, shards: int, quota: np.ndarray, rounds: int = R
         load = np.zeros(shards, np.int64)
         for r in one.groupBy("shard").count().collect():  # one row a shard
             load[r["shard"]] = r["count"]
-        counted = state.groupBy("key", "shard").count().withColumnsRenamed({"shard": "to", "count": "n"})
+        # summed by (key, shard) first: the partial counts of a key that many documents have are spread over the shards
+        counted = state.groupBy("key", "shard").count().withColumnsRenamed({"shard": "to", "count": "n"}).repartition("key")
         own = F.col("to") == F.col("shard")
         near = state.join(counted, "key")
         if turn % 2:  # who was refused looks for another shard
