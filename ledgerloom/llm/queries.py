@@ -1,8 +1,9 @@
 """The queries of this subpackage, each over its whole table, and DuckDB SQL for those that SQL can express.
 
-Each query takes (spark, sf_dir) and gets its rows through its operator; the digest columns are derived here. Queries
-without SQL are held against brute force in tests/llm: op1 (an iterative partition), op6 (a trained model), op7 and op8
-(a tokenizer's ids).
+Each query takes (spark, sf_dir) and gets its rows through its operator; the digest columns are derived here. Four have
+no SQL and are tested in tests/llm: op1 (an iterative partition) by its law and digests, op6 (a trained model) by held-out
+accuracy and a plain version of its features, training step and temperature, op7 and op8 (a tokenizer's ids) against the
+library.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, host, path, rule, verdict."""
-    rules = [url_filter.host_rule(*r) for r in url_filter.HOST_RULES] + [url_filter.word_rule(w) for w in url_filter.BLOCK_WORDS]
+    rules = [url_filter.host_rule(*r) for r in url_filter.HOST_RULES] + [url_filter.word_rule(w) for w in url_filter.BLOCK_WORDS] + url_filter.filter_rules(url_filter.FILTERS)
     return url_filter.judge(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
@@ -122,17 +123,19 @@ FROM d LEFT JOIN place USING (row_id) LEFT JOIN own USING (row_id)
 _FITS = "(h.host = '{host}' OR ends_with(h.host, '.{host}')) AND starts_with(h.path, '{path}')"
 _OP3 = (
     """
-WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
-h AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+WITH u AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
   regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r AS (SELECT h.*, CASE """
     + " ".join(f"WHEN {_FITS.format(host=h, path=p)} THEN '{h}{p}'" for h, p, _ in sorted(url_filter.HOST_RULES, key=lambda r: -len(r[0] + r[1])))
     + """ END AS rule, regexp_matches(host || chr(10) || path, '(?i)(^|[^A-Za-z0-9])("""
     + "|".join(url_filter.BLOCK_WORDS)
-    + """)([^A-Za-z0-9]|$)') AS word FROM h)
+    + """)([^A-Za-z0-9]|$)') AS word,
+  coalesce(regexp_matches(url, '(?is)^[a-z][a-z0-9+.-]*://([^/?#]*\\.)?(ads|tracker)\\.|/banner/|[^A-Za-z0-9_.%-]popup([^A-Za-z0-9_.%-]|$)'), false) AS listed,
+  coalesce(regexp_matches(url, '(?is)^[a-z][a-z0-9+.-]*://([^/?#]*\\.)?example\\.org([^A-Za-z0-9_.%-]|$).*/about/'), false) AS spared FROM h)
 SELECT page_id, host, path, rule, CASE """
     + " ".join(f"WHEN rule = '{h}{p}' THEN '{v}'" for h, p, v in url_filter.HOST_RULES)
-    + """ WHEN word THEN 'block' ELSE 'allow' END AS verdict FROM r
+    + """ WHEN spared THEN 'allow' WHEN word OR listed THEN 'block' ELSE 'allow' END AS verdict FROM r
 """
 )
 
