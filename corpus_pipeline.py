@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before it kept, and returns a DataFrame that is
 written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Cases: documents with null or empty text, or without a letter, go in the first stage; null ids and labels are kept as they
+are, and a null id counts as the last one; of repeated rows one stays; an empty benchmark drops nothing; no documents, or
+none that stay, give no rows; further columns of documents, whatever their names, pass to the last stage.
 """
 
 from __future__ import annotations
@@ -15,11 +19,9 @@ from ledgerloom.llm.queries import table, tokenizer_path
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language: without a letter, or long and mostly of trigrams that no learned language has (language_id.in_language). Short texts, and texts of which the label is unsure, stay; without a model all with letters stay. lang stays as it was."""
+    """Drops documents of no language: without a letter, or long and mostly of trigrams that no learned language has (language_id.in_language). Short texts, and texts of which the label is unsure, stay; without a model all with letters stay. Documents without lang get the predicted one where its calibrated score is 0.9 or more."""
     model = language_id.fit(docs, ~language_id.held_out("doc_id"))
-    keep = tuple(docs.columns)
-    judged = language_id.predict(docs, model, keep=keep, label_out="__label", score_out="__score", only_languages=True)
-    return judged.select(*keep)
+    return language_id.in_learned_languages(docs, model, label_col="lang")
 
 
 def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
