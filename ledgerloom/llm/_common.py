@@ -8,20 +8,24 @@ import hashlib
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step works on, unless a single text is longer.
 CHUNK_BYTES = 2 << 20
 #: Bytes of an Arrow batch that goes to a Python worker, unless a single row is longer.
 BATCH_BYTES = 4 << 20
-#: Bytes of text in a partition that is put in order.
-PARTITION_BYTES = 32 << 20
+#: Bytes of text in a partition that is put in order, and those that a task packs into blocks for these at a time.
+PARTITION_BYTES = 16 << 20
+PACKED_BYTES = 16 << 20
+#: A range's number has its partition above these bits.
+WITHIN = 32
 #: Strings beyond so many bytes are hashed one by one.
 LONG_STRING = 512
 #: Bytes that are gathered at a time.
@@ -73,39 +77,97 @@ def order_id(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
 
 
-def in_order(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
-    """id, text and the kept columns as k0, k1, ..., in the order of the ids over partitions of about PARTITION_BYTES.
+def packed(t: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_table(t.combine_chunks())
+    return sink.getvalue().to_pybytes()
 
-    Rows of one id follow each other by the first characters of their texts, then by a hash of them; rows without id come
-    last. Equal rows may part, so that no partition grows with the rows of one id or text.
+
+def unpacked(block: pa.Scalar | bytes) -> pa.Table:
+    return pa.ipc.open_stream(block.as_buffer() if isinstance(block, pa.Scalar) else block).read_all()
+
+
+def _bounds(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (id, hash of the text) at which partitions of about PARTITION_BYTES begin, but the first; equal ones where equal rows fill several. Only these reach the driver."""
+    narrow = slim.select(order_id("id").alias("id"), F.xxhash64("text").alias("mark"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"))
+    total = narrow.agg(F.sum("size").alias("n")).first()["n"] or 0
+    if total <= PARTITION_BYTES:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = 0
+        for b in batches:
+            gone = held + np.cumsum(b.column("size").to_numpy())
+            at = np.flatnonzero(np.diff(gone // PARTITION_BYTES, prepend=held // PARTITION_BYTES))
+            held = int(gone[-1]) if len(gone) else held
+            yield b.select(["id", "mark"]).take(pa.array(at))
+
+    ordered = narrow.repartitionByRange(max(1, -(-total // (64 * PARTITION_BYTES))), "id", "mark").sortWithinPartitions("id", "mark")
+    found = ordered.mapInArrow(cut, "id long, mark long").toArrow()
+    ids, marks = found["id"].to_numpy(), found["mark"].to_numpy()
+    by = np.lexsort((marks, ids))
+    return ids[by], marks[by]
+
+
+def _partition(ids: np.ndarray, marks: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The partition of each row; equal rows that fill several are dealt over these in turn."""
+    lo, hi = np.searchsorted(bounds[0], ids), np.searchsorted(bounds[0], ids, "right")
+    for i in np.unique(lo[lo < hi]).tolist():
+        rows, own = np.flatnonzero((lo == i) & (hi > i)), bounds[1][i : int(np.searchsorted(bounds[0], bounds[0][i], "right"))]
+        first, last = np.searchsorted(own, marks[rows]), np.searchsorted(own, marks[rows], "right")
+        lo[rows] = i + last - np.where(last > first, np.arange(len(rows)) % np.maximum(last - first, 1), 0)
+    return lo
+
+
+def over_ranges(docs: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...], target: int, work: Callable[[int, pa.Table], dict], schema: str) -> DataFrame:
+    """The rows of work(number, rows) for every range of documents, about target bytes of text each. rows: id, text, and the kept columns as k0, k1, ...; numbers rise over all ranges.
+
+    Documents are in the order of their ids, rows without id last. Rows of one id lie side by side, by their texts; only
+    if they fill several partitions, by a hash of these first. Ranges are cut by bytes, so none grows with the rows of one
+    id or text. Texts travel once, in compressed blocks, to partitions of about PARTITION_BYTES.
     """
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
-    total = slim.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16).alias("n")).first()["n"] or 0
-    order = [F.col("id").asc_nulls_last(), F.col("head").asc_nulls_last(), F.col("mark"), F.col("row")]
-    keyed = slim.withColumns({"head": F.substring("text", 1, 64), "mark": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
-    return keyed.repartitionByRange(max(1, -(-total // PARTITION_BYTES)), *order).sortWithinPartitions(*order).drop("head", "mark", "row")
-
-
-def ranges(batches: Iterator[pa.RecordBatch], target: int) -> Iterator[tuple[int, pa.Table]]:
-    """The rows of a partition of in_order(), about target bytes of text at a time, each with a number that rises over all partitions."""
-    number = TaskContext.get().partitionId() << 32
-    held: list[pa.RecordBatch] = []
-    room = target
-    for b in batches:
-        _, off = flat_text(b.column("text"))
-        gone = off + 16 * np.arange(len(off))
-        i, n = 0, len(b)
-        while i < n:
-            j = min(n, max(i if held else i + 1, int(np.searchsorted(gone, gone[i] + room, "right")) - 1))
-            if j > i:
-                held.append(b.slice(i, j - i))
-                room -= int(gone[j] - gone[i])
-                i = j
-            if i < n or room <= 0:
-                yield number, pa.Table.from_batches(held)
-                number, held, room = number + 1, [], target
-    if held:
-        yield number, pa.Table.from_batches(held)
+    small_batches(docs.sparkSession)
+    bounds = _bounds(slim)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def blocks(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(held).combine_chunks()
+            part = _partition(t["key"].to_numpy(), t["mark"].to_numpy(), bounds)
+            by = np.argsort(part, kind="stable")
+            t, part = t.drop_columns(["key", "mark"]).take(pa.array(by)), part[by]
+            at, to = groups(part)
+            return pa.RecordBatch.from_pydict({"part": pa.array(part[at]), "block": pa.array([packed(t.slice(a, b - a)) for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())})
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b)
+            size += b.nbytes
+            if size > PACKED_BYTES:
+                yield blocks(held)
+                held, size = [], 0
+                tidy()
+        if held:
+            yield blocks(held)
+            tidy()
+
+    def cut(key: tuple, rows: pa.Table) -> pa.Table:
+        part, out = key[0].as_py(), []
+        t = pa.concat_tables([unpacked(x) for x in rows["block"]])
+        del rows
+        t = t.take(pc.sort_indices(t, [("id", "ascending"), ("text", "ascending")], null_placement="at_end")).combine_chunks()
+        tidy()
+        gone = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(t["text"]), 0).to_numpy().astype(np.int64) + 16)])
+        for i, j in slices(gone, target):
+            out.append(work((part << WITHIN) + len(out), t.slice(i, j - i)))
+            tidy()
+        return pa.Table.from_pylist(out, wanted)
+
+    keyed = slim.select(*slim.columns, order_id("id").alias("key"), F.xxhash64("text").alias("mark"))
+    sent = keyed.mapInArrow(send, "part long, block binary")
+    wanted = pa.schema([pa.field(f.name, {"long": pa.int64(), "bigint": pa.int64()}[f.dataType.simpleString()]) for f in StructType.fromDDL(schema).fields])
+    return sent.groupBy("part").applyInArrow(cut, schema)
 
 
 def flat_text(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

@@ -2,7 +2,7 @@
 
 A text is a row of units (words or bytes). Of the grams of k units in a window of W, the one with the smallest hash is
 the window's anchor; equal windows have equal anchors. Neighbouring windows with one anchor make a run, and the units
-that a run covers are its span. Documents lie in ranges in the order of their ids (see _common.in_order), so "an earlier
+that a run covers are its span. Documents lie in ranges in the order of their ids (see _common.over_ranges), so "an earlier
 document" is one in a smaller range, or an earlier one of the same range.
 
 1. Every range sends its distinct anchors to buckets, which answer with those that several ranges have. Anchors are
@@ -12,22 +12,24 @@ document" is one in a smaller range, or an earlier one of the same range.
    with those of the smaller ranges, by their bytes or words (compare), and what repeats goes back to the range.
 3. Each range marks what it was told and what repeats within itself (finish).
 
-Documents travel in compressed blocks of a range; nothing is gathered beyond a range or a bucket, and a passage that a
-range holds many times is sent once.
+A range's documents are a compressed file in the shared folder, which each step reads, so texts are shuffled once. Nothing
+is gathered beyond a range or a bucket, and a passage that a range holds many times is sent once.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import SPACED_WORDS, U64, flat_text, gathered, groups, in_order, loads, mix, numbered, prefix_hash, ranges, small_batches, span_hash, split_words, steps, string_hash, tidy, written
+from ledgerloom.llm._common import SPACED_WORDS, U64, flat_text, gathered, groups, loads, mix, numbered, over_ranges, packed, prefix_hash, scratch, span_hash, split_words, steps, string_hash, tidy, unpacked, written
 
 _NONE = np.zeros(0, U64)
 
@@ -173,17 +175,6 @@ def spans_of(t: Text, runs: Runs, shared: np.ndarray, kind: Kind, buckets: int)
     return Spans(which, place[own], bucket[by], anchor[by], start[at[by]], size[at[by]])
 
 
-def packed(t: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
-        w.write_table(t.combine_chunks())
-    return sink.getvalue().to_pybytes()
-
-
-def unpacked(block: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(block.as_buffer()).read_all()
-
-
 def squeezed(x: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
 
@@ -192,19 +183,25 @@ def unsqueezed(x: pa.Scalar, dtype: type) -> np.ndarray:
     return np.frombuffer(zstandard.decompress(x.as_py()), dtype)
 
 
-BLOCKS = "part long, block binary"
 SENDS = "bucket long, part long, keys binary"
 SPANS = "bucket long, part long, anchors binary, sizes binary, body binary"
-#: What a range gets back. kind 0: anchors that other ranges have. kind 1: numbers of spans (of all it sent to the bucket) that repeat whole. kind 2: number of a span, first and last window that repeats, and so on. body: the spans' bytes, if they are asked for.
+#: What a range gets back. kind 0: a bit for each anchor that it sent to the bucket, set where other ranges have it. kind 1: numbers of spans (of all it sent to the bucket) that repeat whole. kind 2: number of a span, first and last window that repeats, and so on. body: the spans' bytes, if they are asked for.
 REPLIES = "part long, kind int, bucket long, keys binary, sizes binary, body binary"
 SHARED, WHOLE, PARTLY = 0, 1, 2
 
 
-def _sends(part: int, keys: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The distinct keys, by bucket; what the bucket tells is left out of a key, and five bytes of it are enough."""
+def by_bucket(anchors: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct anchors by bucket, and their buckets: the order in which a range sends them."""
+    keys = np.unique(anchors)
     bucket = (keys % U64(buckets)).astype(np.int64)
-    by = np.lexsort((keys, bucket))
-    bucket, short = bucket[by], np.ascontiguousarray(keys[by] >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
+    by = np.argsort(bucket, kind="stable")
+    return keys[by], bucket[by]
+
+
+def _sends(part: int, anchors: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The distinct anchors by bucket. What the bucket tells is left out of them, and five bytes are enough."""
+    keys, bucket = by_bucket(anchors, buckets)
+    short = np.ascontiguousarray(keys >> U64(24)).view(np.uint8).reshape(-1, 8)[:, :5]
     at, to = groups(bucket)
     return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[at]), "part": pa.array(np.full(len(at), part, np.int64)), "keys": pa.array([short[a:b].tobytes() for a, b in zip(at.tolist(), to.tolist(), strict=True)], pa.binary())})
 
@@ -217,32 +214,36 @@ def _replies(rows: list[tuple]) -> pa.Table:
 
 def shared_anchors(key: tuple, rows: pa.Table) -> pa.Table:
     """A bucket's anchors that several ranges have, to each of them."""
+    tidy()
     wide = []
     for x in rows["keys"]:
         five = np.frombuffer(x.as_py(), np.uint8).reshape(-1, 5)
         eight = np.zeros((len(five), 8), np.uint8)
         eight[:, :5] = five
         wide.append(eight.reshape(-1).view("<u8"))
-    n = np.array([len(x) for x in wide])
-    keys = np.concatenate(wide)
-    _, number, many = np.unique(keys, return_inverse=True, return_counts=True)
-    tell = many[number] > 1  # a range sends a key once
+    keys, part = np.concatenate(wide), np.repeat(rows["part"].to_numpy(), [len(x) for x in wide])
+    by = np.argsort(keys, kind="stable")
+    at, to = groups(keys[by])
+    tell = np.zeros(len(keys), bool)
+    tell[by] = np.repeat(np.maximum.reduceat(part[by], at) > np.minimum.reduceat(part[by], at), to - at)
     out, at = [], 0
-    for part, m in zip(rows["part"].to_pylist(), n.tolist(), strict=True):
-        some = keys[at : at + m][tell[at : at + m]]
-        at += m
-        if len(some):
-            out.append((part, SHARED, key[0].as_py(), some.tobytes(), None, None))
+    for p, x in zip(rows["part"].to_pylist(), wide, strict=True):
+        some = tell[at : at + len(x)]
+        at += len(x)
+        if some.any():
+            out.append((p, SHARED, key[0].as_py(), squeezed(np.packbits(some)), None, None))
     return _replies(out)
 
 
-def shared_of(replies: pa.Table, buckets: int) -> Callable[[np.ndarray], np.ndarray]:
-    """From a range's replies: which of its anchors others have, too."""
-    mine = [r for r in replies.select(["kind", "bucket", "keys"]).to_pylist() if r["kind"] == SHARED]
-    keys = np.concatenate([np.frombuffer(r["keys"], "<u8") for r in mine] or [_NONE])
-    bucket = np.repeat(np.array([r["bucket"] for r in mine], U64), [len(r["keys"]) // 8 for r in mine])
-    told = np.sort(mix(keys) + bucket * U64(0x9E3779B97F4A7C15))
-    return lambda anchor: anchor[among(mix((anchor >> U64(24)) & U64((1 << 40) - 1)) + (anchor % U64(buckets)) * U64(0x9E3779B97F4A7C15), told)]
+def shared_of(anchors: np.ndarray, replies: pa.Table, buckets: int) -> np.ndarray:
+    """From a range's replies: which of its anchors others have, too; sorted."""
+    keys, bucket = by_bucket(anchors, buckets)
+    told = np.zeros(len(keys), bool)
+    for r in replies.select(["kind", "bucket", "keys"]).to_pylist():
+        if r["kind"] == SHARED:
+            a, b = np.searchsorted(bucket, [r["bucket"], r["bucket"] + 1])
+            told[a:b] = np.unpackbits(np.frombuffer(zstandard.decompress(r["keys"]), np.uint8), count=b - a).astype(bool)
+    return np.sort(keys[told])
 
 
 def spans_that_repeat(key: tuple, rows: pa.Table, kind: Kind, with_bytes: bool) -> pa.Table:
@@ -300,52 +301,61 @@ def spans_that_repeat(key: tuple, rows: pa.Table, kind: Kind, with_bytes: bool)
 def repeats(docs: DataFrame, kind: Kind, finish: Callable[[pa.Table, pa.Table, int], pa.Table], schema: str, id_col: str, text_col: str, keep: list[str], with_bytes: bool = False) -> DataFrame:
     """Runs the three steps; finish(documents of a range, what it gets back, number of buckets) returns its rows. documents: id, text and kept columns as k0, k1, ..."""
 
-    small_batches(docs.sparkSession)
+    folder = scratch(docs.sparkSession, "blocks")
+
+    def keep_block(part: int, rows: pa.Table) -> dict:
+        store, path = fs.FileSystem.from_uri(folder)
+        store.create_dir(path, recursive=True)
+        own = f"{path}/_{uuid.uuid4().hex}"
+        with store.open_output_stream(own) as f:
+            f.write(packed(rows))
+        store.move(own, f"{path}/{part}")  # a task that runs twice leaves one file
+        return {"part": part}
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, rows in ranges(batches, kind.range_bytes):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "block": pa.array([packed(rows)], pa.binary())})
-            del rows
-            tidy()
+    def block(part: int) -> pa.Table:
+        store, path = fs.FileSystem.from_uri(folder)
+        with store.open_input_file(f"{path}/{part}") as f:
+            return unpacked(f.read())
 
-    blocks = written(in_order(docs, id_col, text_col, tuple(keep)).mapInArrow(cut, BLOCKS), "blocks")
-    buckets = max(16, blocks.count())
+    parts = written(over_ranges(docs, id_col, text_col, tuple(keep), kind.range_bytes, keep_block, "part long"), "ranges")
+    n_parts = parts.count()
+    buckets = max(16, n_parts)
+    parts = parts.repartition(max(1, min(n_parts, 10_000)), "part")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for part, block in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                runs = runs_of(kind.units(*flat_text(unpacked(block)["text"])), kind)
-                sent = _sends(part, np.unique(runs.anchor), buckets)
+            for part in b.column(0).to_pylist():
+                runs = runs_of(kind.units(*flat_text(block(part)["text"])), kind)
+                sent = _sends(part, runs.anchor, buckets)
                 del runs
                 tidy()
                 yield sent
 
-    shared = written(blocks.mapInArrow(anchors, SENDS).groupBy("bucket").applyInArrow(shared_anchors, REPLIES), "shared")
+    shared = written(parts.mapInArrow(anchors, SENDS).groupBy("bucket").applyInArrow(shared_anchors, REPLIES), "shared")
 
-    def ask(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
+    def ask(key: tuple, replies: pa.Table) -> pa.Table:
         out: list[tuple] = []
         tidy()
-        if len(rows) and len(replies):
-            t = kind.units(*flat_text(unpacked(rows["block"][0])["text"]))
-            runs = runs_of(t, kind)
-            s = spans_of(t, runs, np.unique(shared_of(replies, buckets)(runs.anchor)), kind, buckets)
-            at, to = groups(s.bucket)
-            for a, b in zip(at.tolist(), to.tolist(), strict=True):
-                body = squeezed(gathered(t.buf, s.start[a:b], s.size[a:b]))
-                out.append((int(s.bucket[a]), key[0].as_py(), squeezed(s.anchor[a:b].astype(np.uint32)), squeezed(s.size[a:b].astype(np.uint32)), body))
-            del t, runs, s
+        t = kind.units(*flat_text(block(key[0].as_py())["text"]))
+        runs = runs_of(t, kind)
+        s = spans_of(t, runs, shared_of(runs.anchor, replies, buckets), kind, buckets)
+        at, to = groups(s.bucket)
+        for a, b in zip(at.tolist(), to.tolist(), strict=True):
+            body = squeezed(gathered(t.buf, s.start[a:b], s.size[a:b]))
+            out.append((int(s.bucket[a]), key[0].as_py(), squeezed(s.anchor[a:b].astype(np.uint32)), squeezed(s.size[a:b].astype(np.uint32)), body))
+        del t, runs, s
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["bucket", "part", "anchors", "sizes", "body"])
 
     by_part = lambda df: df.groupBy("part")
     answer = lambda key, rows: spans_that_repeat(key, rows, kind, with_bytes)
-    told = written(by_part(blocks).cogroup(by_part(shared)).applyInArrow(ask, SPANS).groupBy("bucket").applyInArrow(answer, REPLIES), "repeated")
+    told = written(by_part(shared).applyInArrow(ask, SPANS).groupBy("bucket").applyInArrow(answer, REPLIES), "repeated")
 
     def last(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
         tidy()
-        return finish(unpacked(rows["block"][0]), replies, buckets)
+        return finish(block(key[0].as_py()), replies, buckets)
 
-    return by_part(blocks).cogroup(by_part(told if with_bytes else shared.unionAll(told))).applyInArrow(last, schema)
+    return by_part(parts).cogroup(by_part(told if with_bytes else shared.unionAll(told))).applyInArrow(last, schema)
 
 
 def foreign_windows(t: Text, runs: Runs, replies: pa.Table, kind: Kind, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -353,7 +363,7 @@ def foreign_windows(t: Text, runs: Runs, replies: pa.Table, kind: Kind, buckets:
     told = [r for r in replies.to_pylist() if r["kind"] != SHARED]
     if not told:
         return np.zeros(0, np.int64), np.zeros(len(runs.first), bool)
-    s = spans_of(t, runs, np.unique(shared_of(replies, buckets)(runs.anchor)), kind, buckets)
+    s = spans_of(t, runs, shared_of(runs.anchor, replies, buckets), kind, buckets)
     whole = np.zeros(len(s.start), bool)
     parts = []
     for r in told:

@@ -13,9 +13,8 @@ and every word that a repeated window covers goes. Documents lie in shards in th
 An automaton takes a bounded number of letters; a shard with more phrases compiles several, one after the other.
 
 Cases: words are runs of anything but ASCII white space, unchanged; null or empty text has none; a text below the
-window keeps all; each row is a document of its own, in the order of id, then of the first characters of the text and a
-hash of it, rows without id last; so of identical rows one stays. An empty table gives no rows. Extra columns pass if
-asked for by name.
+window keeps all; each row is a document of its own, in the order of id, then text (see _common.over_ranges), rows
+without id last; so of identical rows one stays. An empty table gives no rows. Extra columns pass if asked for by name.
 """
 
 from __future__ import annotations
@@ -23,6 +22,7 @@ from __future__ import annotations
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,8 +120,8 @@ def repeated_words(text: pa.ChunkedArray, replies: pa.Table, kind: R.Kind) -> tu
     return t, gone | R.covered(window[later], kind.window, n)
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text (the words that stay, joined by one space), and the columns in keep."""
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), window: int = WINDOW, as_is: bool = False) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_text (the words that stay, joined by one space; as_is: the text itself where all stay), and the columns in keep."""
     kind = WORDS if window == WINDOW else R.Kind(R.words_of, window, max(1, window * 2 // 5), WORDS.range_bytes, compare)
     names = ["doc_id", "n_words", "n_removed", "kept_text"]
 
@@ -135,6 +135,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         body = gathered(t.buf, t.at[stay], size)
         off = np.concatenate([[0], np.cumsum(np.bincount(doc[stay], size, minlength=len(rows)).astype(np.int64))])
         kept = pa.LargeStringArray.from_buffers(len(rows), pa.py_buffer(off.tobytes()), pa.py_buffer(body.tobytes())).cast(pa.string())
+        if as_is:
+            kept = pc.if_else(pa.array(removed > 0), kept, rows["text"])
         return pa.table([rows["id"], pa.array(n), pa.array(removed), kept, *[rows[f"k{i}"] for i in range(len(keep))]], names=[*names, *[f"k{i}" for i in range(len(keep))]])
 
     schema = "doc_id long, n_words long, n_removed long, kept_text string" + "".join(f", k{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))

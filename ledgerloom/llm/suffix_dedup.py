@@ -12,8 +12,8 @@ told by bytes:
   later shard are searched in the array of the earlier one by binary search; those it has repeat, the others are
   inserted.
 
-Cases: null or empty text has no bytes; each row is a document of its own, in the order of id, then of the first
-characters of the text and a hash of it, rows without id last; so of identical rows one stays. Matches never cross
+Cases: null or empty text has no bytes; each row is a document of its own, in the order of id, then text (see
+_common.over_ranges), rows without id last; so of identical rows one stays. Matches never cross
 documents, and a document never removes its own bytes. Kept bytes may be cut within a character, so they are binary. An
 empty table gives no rows. Extra columns pass if asked for by name.
 """

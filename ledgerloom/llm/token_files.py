@@ -8,8 +8,8 @@ row gives the place in the payload, so that a keyed read needs a constant number
 text, whatever ids the rows have; their table says which keys a shard holds from and to, so a keyed read opens the
 shards that can hold its keys only, and of these it reads the index and the documents asked for.
 
-Cases: null or empty text has the end ids only; rows that share an id lie next to each other, ordered by the first
-characters of the text and a hash of it, and a keyed read returns all of them; rows without id come last and have no
+Cases: null or empty text has the end ids only; rows that share an id lie next to each other, ordered by text
+(see over_ranges()), and a keyed read returns all of them; rows without id come last and have no
 key; an empty table writes no shard. Extra columns are left out.
 """
 
@@ -26,15 +26,13 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import LAST_ID, U64, flat_text, groups, in_order, mix, ranges, scratch, small_batches, tidy
+from ledgerloom.llm._common import LAST_ID, U64, WITHIN, flat_text, groups, mix, over_ranges, scratch, tidy
 from ledgerloom.llm._tokens import encoder
 
 MAGIC = b"LLTOKEN1"
 #: Bits of a level for each key that reaches it.
 SPREAD = 1.5
 MANIFEST = "shard long, n_rows long, n_tokens long, n_bytes long, low long, high long"
-#: A shard's number has the partition that wrote it above these bits.
-_WITHIN = 32
 
 
 def _level_hash(keys: np.ndarray, level: int) -> np.ndarray:
@@ -132,27 +130,21 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, *, id_col:
     A shard is written under a name of its attempt and then renamed, so a task that runs twice leaves one file.
     """
     ends = list(end_ids)
-    small_batches(docs.sparkSession)
 
-    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(shard: int, rows: pa.Table) -> dict:
         store, path = fs.FileSystem.from_uri(f"{out_dir}/shards")
         store.create_dir(path, recursive=True)
-        for shard, rows in ranges(batches, shard_bytes):
-            ids, bounds = encoder(tokenizer, special).encode(*flat_text(rows["text"]), ends)
-            keys, n_null = rows["id"].combine_chunks().fill_null(LAST_ID).to_numpy(), rows["id"].null_count
-            data = pack_shard(keys, n_null, ids, bounds)
-            n_rows, n_tokens, n_bytes = len(rows), len(ids), len(data)
-            own = f"{path}/_{uuid.uuid4().hex}"
-            with store.open_output_stream(own) as f:
-                f.write(data)
-            store.move(own, f"{path}/{shard:016d}.tok")
-            del ids, data, rows
-            tidy()
-            held = len(keys) > n_null
-            low, high = (int(keys[0]), int(keys[len(keys) - n_null - 1])) if held else (None, None)
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard]), "n_rows": pa.array([n_rows]), "n_tokens": pa.array([n_tokens]), "n_bytes": pa.array([n_bytes]), "low": pa.array([low], pa.int64()), "high": pa.array([high], pa.int64())})
-
-    in_order(docs, id_col, text_col).mapInArrow(write, MANIFEST).write.parquet(f"{out_dir}/manifest")
+        ids, bounds = encoder(tokenizer, special).encode(*flat_text(rows["text"]), ends)
+        keys, n_null = rows["id"].combine_chunks().fill_null(LAST_ID).to_numpy(), rows["id"].null_count
+        data = pack_shard(keys, n_null, ids, bounds)
+        own = f"{path}/_{uuid.uuid4().hex}"
+        with store.open_output_stream(own) as f:
+            f.write(data)
+        store.move(own, f"{path}/{shard:016d}.tok")
+        low, high = (int(keys[0]), int(keys[len(keys) - n_null - 1])) if len(keys) > n_null else (None, None)
+        return {"shard": shard, "n_rows": len(keys), "n_tokens": len(ids), "n_bytes": len(data), "low": low, "high": high}
+
+    over_ranges(docs, id_col, text_col, (), shard_bytes, write, MANIFEST).write.parquet(f"{out_dir}/manifest")
     return _manifest(docs.sparkSession, out_dir)
 
 
@@ -172,7 +164,7 @@ def read_token_files(spark: SparkSession, out_dir: str, *, with_ids: bool = Fals
     """
     schema = "doc_id long, shard long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
     # starts in two steps: of the partitions that wrote shards, then of the shards of each
-    shards, group = _manifest(spark, out_dir), F.shiftright("shard", _WITHIN)
+    shards, group = _manifest(spark, out_dir), F.shiftright("shard", WITHIN)
     part = shards.groupBy(group.alias("part")).agg(F.sum("n_tokens").alias("n"))
     part = part.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
     own = F.sum("n_tokens").over(Window.partitionBy(group).orderBy("shard")) - F.col("n_tokens")

@@ -175,25 +175,21 @@ def test_merge_finds_windows_of_smaller_shards() -> None:
         assert got == [int(o) + i for x, p, o in zip(spans, part, off, strict=False) for i in range(len(x) - w + 1) if low[x[i : i + w].tobytes()] < p]
 
 
-def test_rows_of_one_id_are_parted(spark) -> None:
-    """A third of the rows without id, a third of one id: ranges are bounded by bytes all the same."""
-    texts = [f"{i} " + "x" * int(n) for i, n in enumerate(R.integers(0, 4000, 300))]
+def test_rows_of_one_id_are_parted(spark, monkeypatch) -> None:
+    """A third of the rows without id, a third of one id, many of them equal: partitions and ranges are bounded by bytes all the same."""
+    monkeypatch.setattr(_common, "PARTITION_BYTES", 30_000)
+    texts = [f"{i} " + "x" * int(n) if i % 2 else "same " * 400 for i, n in enumerate(R.integers(0, 4000, 300))]
     rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, t) for i, t in enumerate(texts)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def told(number: int, t: pa.Table) -> dict:
+        ids = [x.as_py() for x in t["id"]]
+        return {"part": number, "rows": len(ids), "bytes": sum(len(x.as_py()) + 16 for x in t["text"]), "low": min((i for i in ids if i is not None), default=None), "high": max((i for i in ids if i is not None), default=None)}
 
-    def cut(batches):
-        for part, t in _common.ranges(batches, 10_000):
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(t)), "id": t["id"].combine_chunks(), "n": pa.array([len(x.as_py()) for x in t["text"]])})
-
-    got = _common.in_order(docs, "doc_id", "text").mapInArrow(cut, "part long, id long, n long").collect()
-    size = Counter()
-    for r in got:
-        size[r["part"]] += r["n"] + 16
-    assert len(got) == 300 and max(size.values()) <= 10_000 and len(size) > 50
-    last = None
-    for r in sorted(got, key=lambda r: (r["part"], r["id"] is None, r["id"] or 0)):
-        assert last is None or (last[0] is None) <= (r["id"] is None) and (last[0] is None or r["id"] is None or last[0] <= r["id"])
-        last = (r["id"],)
+    got = sorted(_common.over_ranges(docs, "doc_id", "text", (), 10_000, told, "part long, rows long, bytes long, low long, high long").collect())
+    assert sum(r["rows"] for r in got) == 300 and max(r["bytes"] for r in got) <= 10_000 and len({r["part"] >> _common.WITHIN for r in got}) > 10 and len(got) > 50
+    known = [r for r in got if r["low"] is not None]
+    assert got[: len(known)] == known and all(a["high"] <= b["low"] for a, b in zip(known[:-1], known[1:], strict=True))
 
 
 def test_ids_of_rows_in_several_shards_are_found(spark, tmp_path, tokenizer) -> None:
