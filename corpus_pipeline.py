@@ -31,11 +31,10 @@ def join_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes passages that occur before; other documents keep their text as it is. n_chars follows the text."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "n_chars")]
-    kept = substring_dedup.remove_repeats(docs, keep=tuple(rest))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    kept = kept.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long"))
-    return kept.select(*docs.columns)
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    kept = substring_dedup.remove_repeats(docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]), id_col=f"c{docs.columns.index('doc_id')}", text_col=f"c{docs.columns.index('text')}", keep=tuple(f"c{docs.columns.index(c)}" for c in rest), as_is=True)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return kept.select(*[own[c].alias(c) if c in own else F.col(f"c{docs.columns.index(c)}").alias(c) for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
