@@ -1,9 +1,12 @@
-"""Column functions over text: cleaning, character classes, fragments, numerals. All run in the JVM."""
+"""Column functions over text: cleaning, character classes, fragments, numerals. All run in the JVM but HTML entities."""
 
 from __future__ import annotations
 
+import html
+from collections.abc import Callable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,8 +16,6 @@ LETTERS = r"[\p{L}]"
 
 #: Names of bodies and standards that mark a fragment as proprietary.
 PROPRIETARY = r"(?i)(GJB\s*\d+|ISO\s*\d+|IEC\s*\d+|IEEE\s*\d+|RFC\s*\d+|NIST|NASA|ESA|CARA|OWASP|MetaGPT|AgentDojo|SafeReview|Starlink|Starling|TRL\s*\d|SGP4|TLE|Cayley|Hanabi|ODP|MIT[- ]?LL|DLR)"
-#: Entities that HTML labels use, and their characters.
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
 #: Glyphs of progress bars, and the replacement character.
 NOISE = "[�▕█▏▎▍▌▋▊▉]"
 
@@ -26,7 +27,7 @@ def without_fences(text: Column) -> Column:
 
 def decoded(content: Column) -> Column:
     """Text of a binary column: BOM dropped, line ends unified; bytes that are not UTF-8 become U+FFFD."""
-    return unified(F.decode(content, "utf-8"))
+    return unified(F.make_valid_utf8(content.cast("string")))
 
 
 def unified(text: Column) -> Column:
@@ -48,11 +49,20 @@ def body_clean(text: Column) -> Column:
 
 
 def html_text(value: Column) -> Column:
-    """Label text: line breaks for br and closing div, p, li; other tags go; entities become characters (those in ENTITIES)."""
+    """Label text: line breaks for br and closing div, p, li; other tags go; entities become characters. Only texts with an & go to Python for that, as the list of entities is its library's."""
     out = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?i)<br\s*/?>", "\n")
     out = F.regexp_replace(out, r"(?i)</(div|p|li)\s*>", "\n")
     out = F.regexp_replace(out, r"<[^>]+>", "")
-    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), ENTITIES, out)
+    return unescaped(out)
+
+
+def unescaped(text: Column) -> Column:
+    """Entities as characters."""
+
+    def unescape(texts: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else html.unescape(t) for t in texts.to_pylist()], pa.string())
+
+    return F.coalesce(F.arrow_udf(unescape, "string")(F.when(F.contains(text, F.lit("&")), text)), text)
 
 
 def class_count(text: Column, char_class: str) -> Column:

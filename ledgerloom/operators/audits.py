@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.operators import ranks
 
 #: The mark of an envelope (kind, nonce, agent), and the share of noise that passes.
 MARK = r"(?mdU)^\[AGENT-OUTPUT-(START|END)(?::([0-9a-f]{6,16}))?\][ \t]*(\S+)?[ \t]*$"
@@ -60,7 +61,8 @@ def expectations(docs: DataFrame, id_col: str = "chapter") -> DataFrame:
 def dimension_gaps(expected: DataFrame, scores: DataFrame, core: DataFrame) -> DataFrame:
     """chapter, dim_id, fault: missing (expected, not scored), extra (scored, not expected), missing_core (a core dimension that a chapter does not expect). core: dim_id."""
     a, b = expected.select("chapter", "dim_id").distinct(), scores.select("chapter", "dim_id").distinct()
-    due = a.select("chapter").distinct().join(F.broadcast(core.select("dim_id").distinct()))  # dimensions are a fixed list of some dozens
+    # the core dimensions, one row, ride with every chapter
+    due = a.select("chapter").distinct().join(F.broadcast(core.agg(F.collect_set("dim_id").alias("dims"))), F.lit(True)).select("chapter", F.explode("dims").alias("dim_id"))
     gone = lambda left, right, fault: left.join(right, ["chapter", "dim_id"], "left_anti").withColumn("fault", F.lit(fault))
     return gone(a, b, "missing").unionByName(gone(b, a, "extra")).unionByName(gone(due, a, "missing_core"))
 
@@ -91,11 +93,11 @@ def overall(checks: DataFrame) -> DataFrame:
 
 
 def merged_issues(rows: DataFrame, severities: list[str] = SEVERITIES) -> DataFrame:
-    """number, chapter, issue, severity, personas: one row a chapter and issue, with the gravest severity and how many personas raised it; numbered by severity, then chapter and issue. The merged list is what people read, so one task can rank it."""
+    """number, chapter, issue, severity, personas: one row a chapter and issue, with the gravest severity and how many personas raised it; numbered by severity, then chapter and issue, by ranges."""
     rank = F.array_position(F.array(*[F.lit(s) for s in severities]), F.col("severity"))
     one = rows.groupBy("chapter", "issue").agg(F.max(rank).alias("rank"), F.count_distinct("persona").alias("personas"))
-    number = F.row_number().over(Window.orderBy(F.desc("rank"), "chapter", "issue"))
-    return one.select(number.alias("number"), "chapter", "issue", F.when(F.col("rank") > 0, F.get(F.array(*[F.lit(s) for s in severities]), (F.col("rank") - 1).cast("int"))).alias("severity"), "personas")
+    one = ranks.numbered(one, [F.desc("rank"), F.col("chapter"), F.col("issue")])
+    return one.select("number", "chapter", "issue", F.when(F.col("rank") > 0, F.get(F.array(*[F.lit(s) for s in severities]), (F.col("rank") - 1).cast("int"))).alias("severity"), "personas")
 
 
 def marker_faults(docs: DataFrame, constants: DataFrame) -> DataFrame:
@@ -105,3 +107,64 @@ def marker_faults(docs: DataFrame, constants: DataFrame) -> DataFrame:
     j = marks.join(constants.select("key", F.col("value").alias("wanted")), "key", "full_outer")
     fault = F.when(F.col("value").isNull(), "missing").when(F.col("wanted").isNull(), "unknown").when(F.col("value") != F.col("wanted"), "differs")
     return j.select("doc_id", "key", "value", "wanted", fault.alias("fault")).where("fault is not null")
+
+
+#: The comment that opens a batch's file, and the numbers of the batches.
+BATCH_MARK = r"phase=(\S+)\s+batch=(\d+)\s+chapter=(ch\d{2,3})\s+dims=(\d+)"
+BATCHES = [1, 2, 3]
+
+
+def batch_marks(docs: DataFrame) -> DataFrame:
+    """doc_id, phase, batch, chapter, dims: from the comment on a text's first line that is not blank; null without one."""
+    line = F.trim(F.regexp_extract("text", r"^\s*([^\n]*)", 1))
+    mark = F.when(line.startswith("<!--") & line.rlike(BATCH_MARK), line)
+    part = lambda k: F.regexp_extract(mark, BATCH_MARK, k)
+    return docs.select("doc_id", part(1).alias("phase"), part(2).cast("int").alias("batch"), part(3).alias("chapter"), part(4).cast("int").alias("dims"))
+
+
+def batch_faults(docs: DataFrame, chapters: DataFrame, grouping: DataFrame) -> DataFrame:
+    """chapter, doc_id, fault, detail: why a chapter's batches cannot be merged; a chapter without rows can.
+
+    no_mark, wrong_phase, other_chapter, unknown_batch, repeated_batch; unknown_dim (not in the grouping), wrong_count (as
+    many dimensions as declared), missing_dim and extra_dim (the batch's own set), missing_batch (doc_id null). docs: doc_id,
+    chapter (that it is handed in for), text; chapters: chapter; grouping: batch, dim_id.
+    """
+    marks = docs.select("doc_id", F.col("chapter").alias("due")).join(batch_marks(docs), "doc_id")
+    fault = F.when(F.col("batch").isNull(), "no_mark").when(F.col("phase") != "A", "wrong_phase").when(F.col("chapter") != F.col("due"), "other_chapter").when(~F.col("batch").isin(BATCHES), "unknown_batch")
+    marks = marks.withColumn("fault", fault)
+    one = marks.where("fault is not null").select(F.col("due").alias("chapter"), "doc_id", "fault", F.col("batch").cast("string").alias("detail"))
+    good = marks.where("fault is null")
+    order = Window.partitionBy("due", "batch").orderBy("doc_id")
+    again = good.withColumn("n", F.row_number().over(order)).where("n > 1").select(F.col("due").alias("chapter"), "doc_id", F.lit("repeated_batch").alias("fault"), F.col("batch").cast("string").alias("detail"))
+    dims = expectations(docs.select("doc_id", "text"), "doc_id").select("doc_id", "dim_id").distinct().join(good.select("doc_id", "due", "batch", "dims"), "doc_id")
+    known = grouping.select("dim_id").distinct()
+    unknown = dims.join(known, "dim_id", "left_anti").select(F.col("due").alias("chapter"), "doc_id", F.lit("unknown_dim").alias("fault"), F.col("dim_id").alias("detail"))
+    counted = good.join(dims.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").where(F.coalesce("n", F.lit(0)) != F.col("dims"))
+    wrong = counted.select(F.col("due").alias("chapter"), "doc_id", F.lit("wrong_count").alias("fault"), F.coalesce("n", F.lit(0)).cast("string").alias("detail"))
+    want = good.select("doc_id", "due", "batch").join(grouping, "batch")
+    lacks = want.join(dims.select("doc_id", "dim_id"), ["doc_id", "dim_id"], "left_anti").select(F.col("due").alias("chapter"), "doc_id", F.lit("missing_dim").alias("fault"), F.col("dim_id").alias("detail"))
+    extra = dims.join(grouping, ["batch", "dim_id"], "left_anti").join(known, "dim_id", "left_semi").select(F.col("due").alias("chapter"), "doc_id", F.lit("extra_dim").alias("fault"), F.col("dim_id").alias("detail"))
+    due = chapters.select(F.col("chapter").alias("due"), F.explode(F.array(*[F.lit(b) for b in BATCHES])).alias("batch"))
+    gone = due.join(good, ["due", "batch"], "left_anti").select(F.col("due").alias("chapter"), F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.lit("missing_batch").alias("fault"), F.col("batch").cast("string").alias("detail"))
+    out = one
+    for part in (again, unknown, wrong, lacks, extra, gone):
+        out = out.unionByName(part)
+    return out
+
+
+#: What shows that a report has its scripts' output, and its verdict line.
+OUTPUT_PATH, OUTPUT_FIELDS = r"chapter-reports[/\\]ch\d{2,3}-scripts\.json", r"```json|\b(?:C1_h1|C2_manual_number|C3_image_syntax|C4_table_caption|C5_banned|QS1_cjk_chars|QS2_figures|QS3_tables)\b"
+VERDICT_LINE = r"(?m)^[^\S\n]*verdict[^\S\n]*=[^\S\n]*(?:PASS|REVISE)[^\S\n]*$"
+
+
+def report_shape(docs: DataFrame) -> DataFrame:
+    """doc_id, has_output (names its scripts' output and a field of it), one_verdict (exactly one verdict line)."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select("doc_id", (text.rlike(OUTPUT_PATH) & text.rlike(OUTPUT_FIELDS)).alias("has_output"), (T.class_count(text, VERDICT_LINE) == 1).alias("one_verdict"))
+
+
+def chapter_of(phase_a: DataFrame, phase_b: DataFrame) -> DataFrame:
+    """doc_id, fault: phase A files that hold no or several chapters (not_one), or another than phase B judges (differs). phase_a: doc_id, chapters (an array); phase_b: doc_id, chapter_id."""
+    j = phase_a.join(phase_b, "doc_id", "left")
+    fault = F.when(F.size("chapters") != 1, "not_one").when(~F.coalesce(F.get("chapters", F.lit(0)) == F.col("chapter_id"), F.lit(False)), "differs")
+    return j.select("doc_id", fault.alias("fault")).where("fault is not null")

@@ -1,7 +1,8 @@
 """Contract rules over report texts (C1 to C20): findings in long form, verdicts, and their roll-up.
 
-Rules that count patterns are a table; all of them are counted in one pass over the texts, without a join. A text is a row
-of (doc_id, text); modes are arguments: merged (a final text instead of a chapter draft) and stage.
+Rules are counts of patterns; all of them are taken in one pass over the texts, without a shuffle (C13 alone needs the
+figures' table: its findings are joined by doc_id). A text is a row of (doc_id, text); modes are arguments: merged (a final
+text instead of a chapter draft) and stage.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ BANNED = {
     "end_mark": r"全文完",
     "html_tag": r"(?i)</?(div|span|table|br|img|p)(?![A-Za-z0-9_])",
     "cover_line": r"(?m)^(编制单位|申报单位|编制日期)[:：]",
-    "secrecy": r"绝密|机密|秘密|内部资料|涉密|(?<![\p{L}\p{N}_])内部(?![\p{L}\p{N}_])",
+    "secrecy": r"绝密|机密|秘密|内部资料|(?<![\p{L}\p{N}_])内部(?![\p{L}\p{N}_])|涉密",
     "envelope_mark": r"\[AGENT-OUTPUT-(?:START|END)(?::[0-9a-f]{6,16})?\]",
     "quote_label": r"(?m)^>\s*\*\*本章(?:摘要|概览|要点|核心|概述|总结)\*\*",
 }
@@ -39,6 +40,7 @@ SELF_CLAIM = {"understanding": r"理解陈述", "word_count": r"字数统计", "
 MANUAL_NUMBER = r"^#{2,4}\s+(?:第?\s*[0-9一二三四五六七八九十百]+[.、\s章节]|[0-9]+\.[0-9])"
 CHAPTER_HEADING = r"^##\s+第\s*\d+\s*章[：:]\s*\S"
 BOLD_LINE = r"^\*\*[^*]+\*\*\s*$"
+BOLD_RUN = r"(?m)(?:^ *\*\*[^*\n]+\*\*[^\S\n]*(?:\n|\z)){3,}"
 #: Reference marks.
 NUMBER_REF, SLASH_REF, S_REF = r"\[\d+(?:,\s*\d+)*\]", r"\[SRC-\d+(?:/\d+)+\]", r"\[S-?\d+\]"
 #: The rules that decide the overall verdict, and those that need more.
@@ -76,15 +78,14 @@ def measures(docs: DataFrame, merged: bool) -> DataFrame:
         ("tiers", _count_lines(clean, r"^[^\S\n]*\[[ABCD]\]")), ("claims", T.class_count(clean, r"\[[A-Z]{1,3}\d{3}\]")), ("cl", T.class_count(clean, r"\[CL-")), ("self", sum((T.class_count(text, p) for p in SELF_CLAIM.values()), F.lit(0))),
         ("front", text.rlike(r"(?s)^---\s*\n.*?\n---").cast("long")), ("rules", _count_lines(clean, r"^---$")), ("bold", _count_lines(clean, r"^\*\*(?!表)[^*\n]{3,}\*\*[^\S\n]*$")),
     ]
-    runs = bold_runs(docs.select("doc_id", clean.alias("text"))).groupBy("doc_id").agg(F.count("*").alias("bold_runs"))
-    counted = docs.select("doc_id", *[c.cast("long").alias(n) for n, c in heads])
-    out = counted.join(runs, "doc_id", "left").withColumn("bold_runs", F.coalesce("bold_runs", F.lit(0)))
+    heads.append(("bold_runs", T.class_count(clean, BOLD_RUN)))
+    out = docs.select("doc_id", *[c.cast("long").alias(n) for n, c in heads])
     # a merged text's chapter headings carry their numbers by rule
     return out.withColumn("manual", F.col("manual") - F.col("containers")) if merged else out
 
 
-def verdicts(docs: DataFrame, *, merged: bool = False, stage: str = "stage7", expect_figures: int | None = None) -> DataFrame:
-    """doc_id, rule, severity, hits, passed: one row a text and rule (C1 to C12, C15, C16, C19, C20)."""
+def verdicts(docs: DataFrame, *, merged: bool = False, stage: str = "stage7", expect_figures: int | None = None, images: DataFrame | None = None) -> DataFrame:
+    """doc_id, rule, severity, hits, passed: one row a text and rule (C1 to C12, C15, C16, C19, C20; C13 if images, the findings of missing_images(), is given)."""
     final = merged and stage == "stage9"
     m, c = measures(docs, merged), F.col
     ok = F.lit(True)
@@ -108,7 +109,11 @@ def verdicts(docs: DataFrame, *, merged: bool = False, stage: str = "stage7", ex
         ("C20", c("bold"), ok if merged else c("bold") < 3),
     ]
     rows = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit("high" if r == "C7" and stage == "stage9" else SEVERITY[r]).alias("severity"), h.cast("long").alias("hits"), p.alias("passed")) for r, h, p in rules])
-    return m.select("doc_id", F.inline(rows))
+    out = m.select("doc_id", F.inline(rows))
+    if images is None:
+        return out
+    lost = docs.select("doc_id").join(images.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id", "left").select("doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("hits"))
+    return out.unionByName(lost.select("doc_id", F.lit("C13").alias("rule"), F.lit(SEVERITY["C13"]).alias("severity"), "hits", (F.col("hits") == 0).alias("passed")))
 
 
 def overall(found: DataFrame, *, merged: bool = False, stage: str = "stage7") -> DataFrame:

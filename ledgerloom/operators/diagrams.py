@@ -22,7 +22,7 @@ MERMAID = ["flowchart", "graph TD", "subgraph", "-->"]
 #: Patterns of captions, references to figures and ids of ledgers.
 CAPTION = r"^\s*(图\s*\d+\s*[-–—]\s*\d+|图注)"
 FIGURE_REF = r"图\s*(\d+\s*[-–—]\s*\d+)"
-CANVAS_ID = r"\[(?:(?:SRC|G|T|S|A|C)|(?:CM|CO|CASE))-\d+\]"
+CANVAS_ID = r"\[(?:SRC|G|T|S|A|C|CM|CO|CASE)-\d+\]"
 #: Ink is taken as so much larger than the estimate, and an overlap thinner than this (pixels) is grey.
 INFLATE, THICKNESS, LINE_HEIGHT, FONT_SIZE = 1.15, 3, 1.4, 16
 
@@ -146,9 +146,7 @@ def label_findings(cells: DataFrame) -> DataFrame:
     A diagram's own figure number leads its doc_id (3-1-name); references to itself are no findings.
     """
     raw, plain = F.coalesce("value", F.lit("")), T.html_text(F.col("value"))
-    unescaped = raw
-    for entity, char in T.ENTITIES:
-        unescaped = F.replace(unescaped, F.lit(entity), F.lit(char))
+    unescaped = T.unescaped(raw)
     first = F.regexp_extract(plain, FIGURE_REF, 0)
     dashed = lambda c: F.regexp_replace(F.trim(c), r"\s*[-–—]\s*", "-")
     own = F.regexp_extract("doc_id", r"^(\d+-\d+)", 1)

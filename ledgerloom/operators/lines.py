@@ -1,6 +1,7 @@
 """Documents as lines, blocks and paragraphs. Every row carries (doc_id, line_no): nothing relies on the order of partitions.
 
-A document's lines are one window partition, so windows are bounded by the longest document.
+A document's lines are one window partition, so windows are bounded by the longest document. doc_id tells documents apart:
+number rows first where ids repeat.
 """
 
 from __future__ import annotations
@@ -149,10 +150,12 @@ def without_blocks(rows: DataFrame, heading: str) -> DataFrame:
     """Drops headings that match and all below them, up to the next heading of their level or above. rows: classified()."""
     is_heading = F.col("kind") == "heading"
     hit = is_heading & F.col("text").rlike(heading)
-    # the level that is being dropped: set by a hit, cleared by a heading that is not below it
-    levels = F.collect_list(F.when(is_heading, F.struct("level", hit.alias("hit")))).over(_running())
-    off = F.aggregate(levels, F.lit(0), lambda acc, h: F.when((acc > 0) & (h["level"] > acc), acc).when(h["hit"], h["level"]).otherwise(0))
-    return rows.withColumn("off", off).where("off = 0").drop("off")
+    # a hit drops all up to the next heading of its level or above: the next heading of each level or above, then the furthest end so far
+    behind = _order().rowsBetween(1, Window.unboundedFollowing)
+    ends = [F.coalesce(F.min(F.when(is_heading & (F.col("level") <= n), F.col("line_no"))).over(behind), F.lit(1 << 30)) for n in range(1, 7)]
+    end = F.when(hit, F.element_at(F.array(*ends), F.greatest("level", F.lit(1))))
+    dropped = F.coalesce(F.max("__end").over(_running()), F.lit(0))
+    return rows.withColumn("__end", end).withColumn("__off", dropped).where(F.col("__off") <= F.col("line_no")).drop("__end", "__off")
 
 
 def quotes(rows: DataFrame) -> DataFrame:

@@ -18,9 +18,9 @@ HIT_CHARS, BLOCK_HITS = 46, 2
 
 
 def grams(docs: DataFrame, id_col: str, n: int = N) -> DataFrame:
-    """id, pos (from 0), gram (a 64-bit hash; runs are compared by their characters afterwards)."""
+    """id, pos (from 0), gram (its characters)."""
     found = F.posexplode(F.regexp_extract_all("clean", F.lit(f"(?s)(?=(.{{{n}}}))"), 1)).alias("pos", "gram")
-    return docs.select(F.col(id_col).alias("id"), found).select("id", "pos", F.xxhash64("gram").alias("gram"))
+    return docs.select(F.col(id_col).alias("id"), found)
 
 
 def runs(cards: DataFrame, reports: DataFrame, *, card_id: str, report_id: str, text_col: str = "text", n: int = N) -> DataFrame:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
+from ledgerloom.operators import ranks
 
 #: Reference marks of sources and of claims, and the marks of document types in bibliographies.
 SRC_MARK, CL_MARK = r"\[SRC-[^\]\n]*\]", r"\[CL-[^\]\n]*\]"
@@ -27,9 +26,9 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", mark: str = SRC_MARK, inne
 
 
 def numbers_by_first_use(rows: DataFrame, key: str, *order: str) -> DataFrame:
-    """key, number: numbers from 1 in the order of each key's first appearance. Keys are few beside the rows: one row each is ranked."""
+    """key, number: numbers from 1 in the order of each key's first appearance, ranked by ranges."""
     first = rows.groupBy(key).agg(F.min(F.struct(*order)).alias("first"))
-    return first.select(key, F.row_number().over(Window.orderBy("first", key)).alias("number"))
+    return ranks.numbered(first.select(key, *[F.col("first").getField(c).alias(f"__o{i}") for i, c in enumerate(order)]), [*[f"__o{i}" for i in range(len(order))], key]).select(key, "number")
 
 
 def with_numbers(docs: DataFrame, numbers: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -98,12 +97,24 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
 
 
-def banned_forms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, term_id, form: banned forms in body text. CJK forms as substrings, others between non-letters. The glossary is small by nature; Spark broadcasts it below its own limit, and a nested-loop join of it is what contains() needs."""
+def banned_forms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, term_id, form: banned forms in body text. CJK forms as substrings, others between non-letters.
+
+    A text fetches the forms that it may hold by a key: a CJK form's first CJK character with the one behind it, another
+    form's longest run of Latin letters (which stands whole in the text, as no letter may be beside the form). Forms with
+    neither are looked for in every text.
+    """
     forms = terms.select("term_id", F.explode("banned_forms").alias("form")).where(F.col("form") != "")
+    runs = F.regexp_extract_all("form", F.lit("[a-zA-Z]+"), 0)
+    longest = F.aggregate(runs, F.lit(""), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    forms = forms.withColumn("key", F.when(F.col("form").rlike(T.CJK), F.regexp_extract("form", f"(?s){T.CJK}.?", 0)).otherwise(longest))
+    bodies = docs.select(F.col(id_col).alias("doc_id"), T.body_clean(F.col(text_col)).alias("body"))
+    pairs = F.regexp_extract_all("body", F.lit(f"(?s)(?=({T.CJK}.?))"), 1)
+    keys = F.concat(F.regexp_extract_all("body", F.lit("[a-zA-Z]+"), 0), pairs, F.transform(pairs, lambda x: F.substring(x, 1, 1)), F.array(F.lit("")))
+    held = bodies.select("doc_id", "body", F.explode(F.array_distinct(keys)).alias("key"))
     safe = F.regexp_replace("form", r"([\\^$.|?*+()\[\]{}])", r"\\$1")
     found = F.when(F.col("form").rlike(T.CJK), F.contains("body", F.col("form"))).otherwise(F.regexp("body", F.concat(F.lit("(?<![a-zA-Z])"), safe, F.lit("(?![a-zA-Z])"))))
-    return docs.select(F.col(id_col).alias("doc_id"), T.body_clean(F.col("text")).alias("body")).join(forms, found).select("doc_id", "term_id", "form")
+    return held.join(forms, "key").where(found).select("doc_id", "term_id", "form")
 
 
 def scope_covers(scope: Column, chapter: Column) -> Column:
@@ -170,17 +181,20 @@ def components(edges: DataFrame, source: str = "source", target: str = "target")
             return state.select(F.col("a").alias("node"), F.col("label").alias("component"))
 
 
-def ancestors(cells: DataFrame, depth: int = 32) -> DataFrame:
-    """id, ancestor, depth: all ancestors by parent, up to a depth, so that a cycle of parents ends."""
+def ancestors(cells: DataFrame) -> DataFrame:
+    """doc_id, id, ancestor, depth: all ancestors by parent, with their least depth. A cycle of parents ends where it brings no new ancestor."""
+    ranks.shared_folder(cells.sparkSession)
     step = cells.select("doc_id", "id", F.col("parent").alias("ancestor")).where("ancestor is not null")
     parents = cells.select("doc_id", F.col("id").alias("ancestor"), F.col("parent").alias("next")).where("next is not null")
-    levels = [step.withColumn("depth", F.lit(1))]
-    while len(levels) < depth:
-        further = levels[-1].join(parents, ["doc_id", "ancestor"]).select("doc_id", "id", F.col("next").alias("ancestor"), F.lit(len(levels) + 1).alias("depth")).checkpoint()
-        if further.isEmpty():
-            break
-        levels.append(further)
-    return reduce(DataFrame.unionByName, levels).groupBy("doc_id", "id", "ancestor").agg(F.min("depth").alias("depth"))
+    found = step.distinct().withColumn("depth", F.lit(1)).checkpoint()
+    last, depth = found, 1
+    while True:
+        depth += 1
+        further = last.join(parents, ["doc_id", "ancestor"]).select("doc_id", "id", F.col("next").alias("ancestor")).distinct()
+        last = further.join(found, ["doc_id", "id", "ancestor"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
+        if last.isEmpty():
+            return found
+        found = found.unionByName(last).checkpoint()
 
 
 def severity_rollup(findings: DataFrame, by: str, ranks: dict[str, int]) -> DataFrame:
@@ -190,7 +204,7 @@ def severity_rollup(findings: DataFrame, by: str, ranks: dict[str, int]) -> Data
     return g.select(by, "n", F.col("worst.level").alias("worst"), F.when(F.col("worst.level") == "FATAL", 2).when(F.col("worst.level") == "ERROR", 1).otherwise(0).alias("exit_code"))
 
 
-#: Words of strong claims by category, and what to write instead.
+#: Words of strong claims by category, what to write instead, and the marks of a source beside them.
 STRONG = {
     "first": "首次|第一个|第一颗|第一次|率先|最先|最早|原创|首创",
     "most": "最大|最小|最高|最低|最快|最慢|最强|最弱|最优|最先进|领先",

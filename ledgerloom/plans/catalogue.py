@@ -7,35 +7,22 @@ significant, acknowledged and so on in the events table is a convention of these
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
 from ledgerloom.operators import audits, contract, diagrams, figures, outlines, overlap
 from ledgerloom.operators import lines as L
+from ledgerloom.operators import ranks
 from ledgerloom.operators import references as R
+from ledgerloom.plans import reports
+from ledgerloom.plans.registry import ORACLE_SQL, QUERIES, query, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES", "reports"]
 #: A class that Java and RE2 read alike, for the invented prose of the tables.
 WORDS = "[a-z]"
 
 
-def query(sql: str) -> Callable:
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 _CLEAN = r"regexp_replace(regexp_replace(regexp_replace(text, '\[[^\n]*?\]', '', 'g'), '[#>*`_|]', '', 'g'), '\s+', '', 'g')"
 _PAIRS = rf"""
 WITH r AS (SELECT doc_id, {_CLEAN} AS c FROM documents), b AS (SELECT item_id, {_CLEAN} AS c FROM benchmark),
@@ -136,32 +123,26 @@ def consecutive_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.runs_of(table(spark, sf_dir, "events"), "event_type", "event_id", F.lit(True))
 
 
-_OUTLINE = """
-WITH o AS (SELECT r_regionkey AS k, 1 AS level, r_regionkey::BIGINT * 1000000000000 AS pos, r_name AS title FROM region
-UNION ALL SELECT n_regionkey, 2, n_regionkey::BIGINT * 1000000000000 + (n_nationkey::BIGINT + 1) * 10000000000, n_name FROM nation
-UNION ALL SELECT n_regionkey, 3, n_regionkey::BIGINT * 1000000000000 + (n_nationkey::BIGINT + 1) * 10000000000 + s_suppkey, s_name FROM supplier JOIN nation ON s_nationkey = n_nationkey)
-"""
-
-
 @query(
-    _OUTLINE + """, a AS (SELECT *, sum((level = 1)::INT) OVER (ORDER BY pos) AS n1 FROM o), b AS (SELECT *, sum((level = 2)::INT) OVER (PARTITION BY n1 ORDER BY pos) AS n2 FROM a),
-c AS (SELECT *, sum((level = 3)::INT) OVER (PARTITION BY n1, n2 ORDER BY pos) AS n3 FROM b)
-SELECT pos::BIGINT AS pos, title, CASE level WHEN 1 THEN n1 || '' WHEN 2 THEN n1 || '.' || n2 ELSE n1 || '.' || n2 || '.' || n3 END AS number FROM c"""
+    """WITH o AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 6 THEN 0 WHEN l_linenumber % 4 = 1 THEN 1 WHEN min(l_partkey) % 2 = 0 THEN 2 ELSE 3 END AS level FROM lineitem GROUP BY l_orderkey, l_linenumber),
+a AS (SELECT *, sum((level = 1)::INT) OVER w AS n1, sum((level <= 1)::INT) OVER w AS top, sum((level = 0)::INT) OVER w AS n0 FROM o WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)),
+b AS (SELECT *, sum((level = 2)::INT) OVER (PARTITION BY l_orderkey, top ORDER BY l_linenumber) AS n2 FROM a), c AS (SELECT *, sum((level = 3)::INT) OVER (PARTITION BY l_orderkey, top, n2 ORDER BY l_linenumber) AS n3 FROM b)
+SELECT l_orderkey, l_linenumber, CASE level WHEN 0 THEN chr(64 + n0::INT) WHEN 1 THEN n1 || '' WHEN 2 THEN n1 || '.' || n2 ELSE n1 || '.' || n2 || '.' || n3 END AS number FROM c"""
 )
 def hierarchical_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chapters, sections and subsections from regions, nations and suppliers, as one outline."""
-    n = table(spark, sf_dir, "nation")
-    at = (F.col("n_regionkey").cast("long") * 1000000000000 + (F.col("n_nationkey").cast("long") + 1) * 10000000000).cast("long")
-    top = table(spark, sf_dir, "region").select(F.lit(1).alias("level"), (F.col("r_regionkey").cast("long") * 1000000000000).cast("long").alias("pos"), F.col("r_name").alias("title"))
-    mid = n.select(F.lit(2), at, "n_name")
-    low = table(spark, sf_dir, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey")).select(F.lit(3), (at + F.col("s_suppkey")).cast("long"), "s_name")
-    rows = top.union(mid).union(low).withColumn("outline", F.lit(1))
-    return R.hierarchical_numbers(rows, "outline", ["pos"]).select("pos", "title", "number")
+    """Orders as outlines, their lines as chapters, sections, subsections and an appendix."""
+    n = F.col("l_linenumber")
+    level = F.when(n == 6, 0).when(n % 4 == 1, 1).when(F.col("part") % 2 == 0, 2).otherwise(3)
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("part"))
+    rows = lines.select("l_orderkey", "l_linenumber", level.alias("level"))
+    return R.hierarchical_numbers(rows, "l_orderkey", ["l_linenumber"]).select("l_orderkey", "l_linenumber", "number")
 
 
-@query("SELECT l_orderkey, l_linenumber, expected::INTEGER AS expected FROM (SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS expected FROM lineitem WHERE l_quantity > 10) WHERE l_linenumber <> expected")
+@query("SELECT l_orderkey, n::INTEGER AS n, expected::INTEGER AS expected FROM (SELECT l_orderkey, n, row_number() OVER (PARTITION BY l_orderkey ORDER BY n) AS expected FROM (SELECT l_orderkey, l_linenumber + (l_quantity > 40)::INT * 10 AS n FROM lineitem)) WHERE n <> expected")
 def sequence_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.sequence_gaps(table(spark, sf_dir, "lineitem").where("l_quantity > 10"), "l_orderkey", "l_linenumber")
+    """Lines of an order as numbered figures, of which large ones have a number ten too high."""
+    n = F.col("l_linenumber") + F.when(F.col("l_quantity") > 40, 10).otherwise(0)
+    return R.sequence_gaps(table(spark, sf_dir, "lineitem").select("l_orderkey", n.cast("int").alias("n")), "l_orderkey", "n")
 
 
 @query("SELECT user_id, (row_number() OVER (ORDER BY ts, event_id, user_id))::INTEGER AS number FROM (SELECT user_id, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id)")
@@ -217,12 +198,16 @@ def banned_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH l AS ({_LINES}), a AS (SELECT doc_id, line_no, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9])([A-Z]{{2,6}})(?:$|[^A-Za-z0-9/])', 1)) AS acronym FROM (SELECT doc_id, line_no, regexp_replace(text, '([^A-Za-z0-9])', '\\1 \\1', 'g') AS text FROM l WHERE NOT regexp_matches(trim(text), '^(#|>|\\||!\\[)')))
-SELECT doc_id, acronym, min(line_no)::INTEGER AS line_no, false AS explained FROM a WHERE acronym NOT IN ('ID', 'AI') GROUP BY doc_id, acronym"""
+    """WITH a AS (SELECT o_orderkey AS doc_id, CASE WHEN o_orderkey % 3 = 0 THEN 2 ELSE 1 END AS line_no, chr((65 + o_orderkey % 7)::INT) || 'BC' AS acronym, o_orderkey % 5 = 0 AND o_orderkey % 2 = 0 AS explained FROM orders)
+SELECT doc_id, acronym, line_no::INTEGER AS line_no, explained FROM a WHERE acronym <> 'DBC'"""
 )
 def acronym_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = L.lines(table(spark, sf_dir, "documents")).where(~F.trim("text").rlike(L.NOT_BODY))
-    return R.acronyms(rows, ["ID", "AI"])
+    """An acronym an order, in its first or second line and again in the third, with a bracket, with CJK characters, or both (which explains it)."""
+    k, o = F.col("o_orderkey"), table(spark, sf_dir, "orders")
+    name = F.concat(F.char(F.lit(65) + k % 7), F.lit("BC"))
+    used = F.concat(F.lit("use of "), name, F.when(k % 5 == 0, F.concat(F.lit(" ("), F.when(k % 2 == 0, "方法").otherwise("so"), F.lit(")"))).otherwise(F.when(k % 2 == 0, " 方法").otherwise(" so")))
+    text = F.concat(F.when(k % 3 == 0, F.concat(F.lit("no X9 here\n"), used)).otherwise(used), F.lit("\nand "), name, F.lit("/T again（方法）"))
+    return R.acronyms(L.lines(o.select(k.alias("doc_id"), text.alias("text"))), ["ID", "DBC"])
 
 
 @query("SELECT md5(text) AS digest, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1")
@@ -269,10 +254,11 @@ def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.severity_rollup(found, "source", {"FATAL": 3, "ERROR": 2, "WARNING": 1})
 
 
-@query("SELECT trim(source) AS chapter, count(*) AS n FROM labels JOIN documents USING (doc_id) WHERE quality = 1 GROUP BY source HAVING count(*) < 10")
+@query("SELECT o_custkey::VARCHAR AS chapter, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY o_custkey HAVING count(*) < 6")
 def chapter_claim_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    claims = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id").select(F.col("source").alias("chapter"), F.when(F.col("quality") == 1, "true").otherwise("false").alias("adopted"))
-    return contract.thin_chapters(claims, 10)
+    """Customers as chapters, orders as claims, of which the finished ones are adopted: chapters below the floor."""
+    claims = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("chapter"), F.when(F.col("o_orderstatus") == "F", " True").otherwise("false").alias("adopted"))
+    return contract.thin_chapters(claims, 6)
 
 
 @query(
@@ -291,23 +277,15 @@ SELECT least(a, min(b)) AS component, a AS node FROM r GROUP BY a"""
 )
 def component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers, two of five tied to the one seven further on, the others to themselves: chains, as components by their least node."""
-    _checkpoint_dir(spark)
+    ranks.shared_folder(spark)
     far = F.when(F.col("o_custkey") % 5 < 2, F.col("o_custkey") + 7).otherwise(F.col("o_custkey"))
     edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("source"), far.alias("target")).distinct()
     return R.components(edges).select("component", "node")
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    """Sets a checkpoint folder only where none is set, as in tests."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ledgerloom-"))
-
-
 @query(
-    r"""SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '</(div|p|li)\s*>', chr(10), 'gi'), '<[^>]+>', '', 'g'),
-'&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&amp;', '&')) AS digest FROM pages"""
+    r"""SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '</(div|p|li)\s*>', chr(10), 'gi'), '<[^>]+>', '', 'g'),
+'&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')) AS digest FROM pages"""
 )
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_text(F.col("html"))).alias("digest"))
@@ -340,39 +318,64 @@ def ledger_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.new_entries(keyed(e.where("event_id >= 100")), keyed(e.where("event_id < 100")))
 
 
-#: Markdown from rows of orders; both sides build the same text.
-_MD = """'# T' || chr(10) || CASE WHEN o_orderkey % 3 = 0 THEN '## 1. Intro' ELSE '### Intro' END || chr(10) || CASE WHEN o_orderkey % 4 = 0 THEN '[SRC-1/2] x [S12]' ELSE 'see [SRC-3]' END || chr(10) || '**b one**' || chr(10) || '**b two**' || chr(10) || CASE WHEN o_orderkey % 5 = 0 THEN '**b three**' ELSE 'text 全文完' END || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN '![图1-1 x](figures/a.png)' ELSE '[AB123] [CL-9]' END"""
+#: Which parts a draft built from an order has (k: its key); every rule of the contract holds for some drafts and fails for others.
+_PARTS = [
+    ("k % 2 = 0", "---\nx: 1\n---\n"), ("k % 3 = 0", "# T\n"), ("k % 6 = 0", "# U\n"), ("k % 5 = 0", "### 1. I\n"), ("k % 7 = 0", "## 第 1 章：A\n"), ("k % 11 < 5", "![图1-1 x](figures/a.png)\n"), ("k % 22 < 5", "![图1-2 x](figures/b.png)\n"),
+    ("k % 26 = 0", "**表1-1 c**\n"), ("k % 13 = 0", "|a|\n|---|\n"), ("k % 17 = 0", "全文完\n"), ("k % 19 = 0", "[3]\n"), ("k % 23 = 0", "[SRC-1/2]\n"), ("k % 29 = 0", "[S12]\n"), ("k % 31 = 0", "[SRC-4]\n"), ("k % 37 = 0", "本章字数\n"),
+    ("k % 16 = 1", "## 参考文献\n"), ("k % 12 = 1", "### 参考文献\n"), ("k % 4 = 0", "[A] t\n"), ("k % 9 = 0", "[AB123]\n"), ("k % 8 = 0", "[CL-9]\n"), ("k % 10 = 0", "理解陈述\n"), ("k % 15 = 0", "**bb1x**\n**bb2x**\n**bb3x**\n"),
+]
+_I = lambda c: f"({c})::BIGINT"
+_H = {
+    "C1": f"{_I('k % 3 = 0')} + {_I('k % 6 = 0')}", "M": _I("k % 5 = 0"), "C": _I("k % 7 = 0"), "R": _I("k % 15 = 0"), "H2": f"{_I('k % 7 = 0')} + {_I('k % 16 = 1')}", "C3": f"{_I('k % 11 < 5')} + {_I('k % 22 < 5')}", "C4": _I("k % 13 = 0"), "C5": _I("k % 17 = 0"), "N": _I("k % 19 = 0"),
+    "S": f"{_I('k % 23 = 0')} + {_I('k % 29 = 0')}", "C7": f"{_I('k % 23 = 0')} + {_I('k % 31 = 0')}", "C8": _I("k % 37 = 0"), "B2": _I("k % 16 = 1"), "B3": _I("k % 12 = 1"), "C10": _I("k % 4 = 0"), "C11": _I("k % 9 = 0"), "C12": _I("k % 8 = 0"), "C15": _I("k % 10 = 0"), "C16": _I("k % 2 = 0"), "C19": f"{_I('k % 2 = 0')} * 2", "C20": f"{_I('k % 15 = 0')} * 3",
+}
+#: Images that the folder of a draft lacks: b.png lies in none.
+_C13 = _I("k % 22 < 5")
 
 
-@query(
-    f"""WITH d AS (SELECT o_orderkey AS doc_id, {_MD} AS text, o_orderkey AS k FROM orders), r AS (
-SELECT doc_id, 'C1' AS rule, 'fatal' AS severity, 1 AS hits, false AS passed FROM d
-UNION ALL SELECT doc_id, 'C2', 'fatal', (k % 3 = 0)::INT * 2 + (k % 5 = 0)::INT, k % 3 <> 0 AND k % 5 <> 0 FROM d
-UNION ALL SELECT doc_id, 'C3', 'high', (k % 2 = 0)::INT, true FROM d UNION ALL SELECT doc_id, 'C4', 'high', 0, true FROM d
-UNION ALL SELECT doc_id, 'C5', 'fatal', (k % 5 <> 0)::INT, k % 5 = 0 FROM d UNION ALL SELECT doc_id, 'C6', 'fatal', (k % 4 = 0)::INT * 2, k % 4 <> 0 FROM d
-UNION ALL SELECT doc_id, 'C7', 'mid', 1, true FROM d UNION ALL SELECT doc_id, 'C8', 'mid', 0, true FROM d UNION ALL SELECT doc_id, 'C9', 'fatal', 0, true FROM d UNION ALL SELECT doc_id, 'C10', 'fatal', 0, true FROM d
-UNION ALL SELECT doc_id, 'C11', 'fatal', (k % 2 <> 0)::INT, k % 2 = 0 FROM d UNION ALL SELECT doc_id, 'C12', 'fatal', (k % 2 <> 0)::INT, k % 2 = 0 FROM d
-UNION ALL SELECT doc_id, 'C15', 'fatal', 0, true FROM d UNION ALL SELECT doc_id, 'C16', 'fatal', 0, true FROM d UNION ALL SELECT doc_id, 'C19', 'warn', 0, true FROM d
-UNION ALL SELECT doc_id, 'C20', 'warn', 2 + (k % 5 = 0)::INT, k % 5 <> 0 FROM d)
-SELECT doc_id, rule, severity, hits::BIGINT AS hits, passed FROM r"""
-)
-def contract_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract rules over drafts built from orders."""
-    return contract.verdicts(_drafts(spark, sf_dir))
+def _verdict_sql(mode: str) -> str:
+    merged, final = mode != "draft", mode == "final"
+    h = _H
+    c2 = f"{h['M']} + {h['R']}" + ("" if merged else f" + ({h['H2']} > 0)::BIGINT")
+    rules = [
+        ("C1", "fatal", h["C1"], f"{h['C1']} <= {int(merged)}"), ("C2", "fatal", c2 if merged else f"{h['C']} + {c2}", f"{h['M']} = 0 AND {h['R']} = 0" + ("" if merged else f" AND {h['H2']} = 0")), ("C3", "high", h["C3"], f"{h['C3']} >= 1" if merged else "true"), ("C4", "high", h["C4"], f"{_I('k % 26 = 0')} >= {h['C4']}"),
+        ("C5", "fatal", h["C5"], f"{h['C5']} = 0"), ("C6", "fatal", h["S"] if final else f"{h['S']} + {h['N']}", f"{h['S']} = 0" + ("" if final else f" AND {h['N']} = 0")), ("C7", "high" if final else "mid", h["C7"], f"{h['C7']} = 0" if final else "true"), ("C8", "mid", h["C8"], "true"),
+        ("C9", "fatal", f"{h['B2']} + {h['B3']}", f"{h['B3']} = 0" if final else f"{h['B2']} + {h['B3']} = 0"), ("C10", "fatal", h["C10"], f"{h['C10']} = 0"), ("C11", "fatal", h["C11"], f"{h['C11']} = 0"), ("C12", "fatal", h["C12"], f"{h['C12']} = 0"), ("C15", "fatal", h["C15"], f"{h['C15']} = 0"),
+        ("C16", "fatal", h["C16"], f"{h['C16']} = 1" if merged else "true"), ("C19", "warn", h["C19"], "true" if merged else f"{h['C19']} <= 1"), ("C20", "warn", h["C20"], "true" if merged else f"{h['C20']} < 3"), ("C13", "fatal", _C13, f"{_C13} = 0"),
+    ]
+    return " UNION ALL ".join(f"SELECT k AS doc_id, '{mode}' AS mode, '{r}' AS rule, '{s}' AS severity, {n} AS hits, {p} AS passed FROM d" for r, s, n, p in rules)
+
+
+_VERDICTS = "WITH d AS (SELECT o_orderkey AS k FROM orders), v AS (" + " UNION ALL ".join(_verdict_sql(m) for m in ("draft", "merged", "final")) + ")"
+_MODES = {"draft": {}, "merged": {"merged": True, "expect_figures": 1}, "final": {"merged": True, "stage": "stage9", "expect_figures": 1}}
 
 
 def _drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k, nl = F.col("o_orderkey"), F.lit("\n")
-    text = F.concat(
-        F.lit("# T\n"), F.when(k % 3 == 0, "## 1. Intro").otherwise("### Intro"), nl, F.when(k % 4 == 0, "[SRC-1/2] x [S12]").otherwise("see [SRC-3]"), F.lit("\n**b one**\n**b two**\n"),
-        F.when(k % 5 == 0, "**b three**").otherwise("text 全文完"), nl, F.when(k % 2 == 0, "![图1-1 x](figures/a.png)").otherwise("[AB123] [CL-9]"),
-    )
-    return table(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("text"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"))
+    return rows.select(F.col("k").alias("doc_id"), F.concat(*[F.when(F.expr(c), part).otherwise("") for c, part in _PARTS]).alias("text"))
+
+
+def _verdicts(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    docs = _drafts(spark, sf_dir)
+    lost = contract.missing_images(docs, on_disk=spark.createDataFrame([("a.png",)], "file string"))
+    return contract.verdicts(docs, **_MODES[mode], images=lost)
+
+
+@query(_VERDICTS + " SELECT doc_id, mode, rule, severity, hits::BIGINT AS hits, passed FROM v")
+def contract_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contract rules over drafts built from orders: as chapters, as merged texts, and in their last stage."""
+    out = [_verdicts(spark, sf_dir, m).withColumn("mode", F.lit(m)) for m in _MODES]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+_FATAL = ", ".join(f"'{r}'" for r in contract.BLOCKING)
 
 
-@query("SELECT o_orderkey AS doc_id, false AS passed, len(f)::INTEGER AS n_fatal FROM (SELECT o_orderkey, list_filter(['C1', CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 'C2' END, CASE WHEN o_orderkey % 5 <> 0 THEN 'C5' END, CASE WHEN o_orderkey % 4 = 0 THEN 'C6' END, CASE WHEN o_orderkey % 2 <> 0 THEN 'C11' END, CASE WHEN o_orderkey % 2 <> 0 THEN 'C12' END], lambda x: x IS NOT NULL) AS f FROM orders)")
+@query(_VERDICTS + f" SELECT doc_id, mode, bool_and(passed) AS passed, count(*) FILTER (NOT passed) AS n_fatal FROM v WHERE rule IN ({_FATAL}) OR (mode = 'final' AND rule IN ('C7', 'C16')) GROUP BY ALL")
 def contract_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contract.overall(contract.verdicts(_drafts(spark, sf_dir))).select("doc_id", "passed", F.size("fatal_rules").alias("n_fatal"))
+    stage = {m: {k: v for k, v in a.items() if k != "expect_figures"} for m, a in _MODES.items()}
+    out = [contract.overall(_verdicts(spark, sf_dir, m), **stage[m]).select("doc_id", F.lit(m).alias("mode"), "passed", F.size("fatal_rules").cast("long").alias("n_fatal")) for m in _MODES]
+    return out[0].unionByName(out[1]).unionByName(out[2])
 
 
 #: Words of strong claims in the invented prose.
@@ -389,11 +392,10 @@ def strong_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("doc_id", "category", "word").agg(F.count("*").alias("n"), F.count_if("high_risk").alias("high_risk"))
 
 
-@query("SELECT custkey, name, version::BIGINT AS version FROM (SELECT o_custkey AS custkey, o_orderpriority AS name, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1")
+@query("SELECT custkey::BIGINT AS custkey, name, version::BIGINT AS version FROM (SELECT o_custkey AS custkey, o_orderpriority AS name, o_orderkey AS version, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS k FROM orders) WHERE k = 1")
 def latest_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").cast("long").alias("version"))
-    newest = Window.partitionBy("custkey").orderBy(F.desc("version"))
-    return rows.withColumn("k", F.row_number().over(newest)).where("k = 1").drop("k")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("key"), F.col("o_orderpriority").alias("name"), F.col("o_orderkey").cast("long").alias("version"))
+    return R.last_by_key(rows, "key", "version").select(F.col("key").cast("long").alias("custkey"), "name", "version")
 
 
 #: Boxes of a diagram from the lines of an order, on both sides.
@@ -428,7 +430,7 @@ FROM d JOIN h USING (doc_id)"""
 )
 def graph_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graphs of parts and suppliers, every other one meant as a flow, the rest as stars."""
-    _checkpoint_dir(spark)
+    ranks.shared_folder(spark)
     e = table(spark, sf_dir, "lineitem")
     e = e.select((F.col("l_suppkey") % 10).alias("doc_id"), F.concat(F.lit("p"), F.col("l_partkey") % 50).alias("source"), F.concat(F.lit("s"), "l_suppkey").alias("target")).distinct()
     n = e.select("doc_id", F.col("source").alias("id")).union(e.select("doc_id", "target")).distinct()
@@ -450,7 +452,7 @@ def envelope_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "pairing_ok", "envelope_ok", F.coalesce(F.col("nonce_matched").cast("string"), F.lit("none")).alias("nonce_matched"), F.md5("payload").alias("payload"), "degrade_reason")
 
 
-_SCORES = "SELECT o_custkey AS chapter, 'd' || (o_orderkey % 9) AS dim_id, max(CASE WHEN o_orderkey % 4 = 0 THEN 'block' WHEN o_orderkey % 4 = 1 THEN 'pass' ELSE 'warn' END) AS verdict FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL"
+_SCORES = "SELECT o_custkey AS chapter, 'd' || (o_orderkey % 9) AS dim_id, max(CASE WHEN o_orderkey % 4 = 0 THEN 'block' WHEN o_orderkey % 4 = 1 THEN 'pass' ELSE 'warn' END) AS verdict FROM orders GROUP BY ALL"
 
 
 @query(
@@ -466,7 +468,7 @@ def dimension_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     verdict = F.when(k % 4 == 0, "block").when(k % 4 == 1, "pass").otherwise("warn")
-    return table(spark, sf_dir, "orders").where(k % 3 != 0).groupBy(F.col("o_custkey").alias("chapter"), F.concat(F.lit("d"), k % 9).alias("dim_id")).agg(F.max(verdict).alias("verdict"))
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("chapter"), F.concat(F.lit("d"), k % 9).alias("dim_id")).agg(F.max(verdict).alias("verdict"))
 
 
 @query(

@@ -20,14 +20,9 @@ PNG_MAGIC = "89504E470D0A1A0A"
 
 
 def texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
-    """path, doc_id (file name), text: BOM dropped, line ends unified, wrong bytes replaced."""
+    """path, doc_id (file name), text: BOM dropped, line ends unified, wrong bytes replaced (U+FFFD). Spark reads no row for an empty file."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return files.select("path", T.file_name(F.col("path")).alias("doc_id"), _lenient("content").alias("text"))
-
-
-@F.pandas_udf(t.StringType())
-def _lenient(content: pd.Series) -> pd.Series:
-    return content.map(lambda b: bytes(b).removeprefix(b"\xef\xbb\xbf").decode("utf-8", "replace").replace("\r\n", "\n").replace("\r", "\n"))
+    return files.select("path", T.file_name(F.col("path")).alias("doc_id"), T.decoded(F.col("content")).alias("text"))
 
 
 def encoding_report(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -48,8 +43,8 @@ def csv(spark: SparkSession, path: str, schema: t.StructType, required: tuple[st
 
 
 def source_index(spark: SparkSession, path: str) -> DataFrame:
-    """The source index, one row an id: the last one; rows without id go."""
-    rows = csv(spark, path, SOURCES, ("source_id", "title")).withColumn("__at", F.monotonically_increasing_id())
+    """The source index, one row an id: the last one, in the order of the files' names; rows without id go."""
+    rows = csv(spark, path, SOURCES, ("source_id", "title")).withColumn("__at", F.struct(F.input_file_name(), F.monotonically_increasing_id()))
     return last_by_key(rows, "source_id", "__at").drop("__at")
 
 
