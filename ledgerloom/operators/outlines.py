@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.functions import text as T
 from ledgerloom.operators import references as R
 from ledgerloom.sources import readers
 
@@ -86,3 +87,41 @@ def merged(chapters: DataFrame, sections: DataFrame, drafts: DataFrame) -> DataF
     text = F.coalesce("hit.text", F.concat(F.lit("<!-- missing: "), F.coalesce("section_no", F.lit("?")), F.lit(" -->")))
     ordered = F.sort_array(F.collect_list(F.struct("ordinal", "at", text.alias("text"))))
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n\n").alias("text"))
+
+
+#: What stands for text in a skeleton, and its section for sources.
+PLACEHOLDER, SOURCES = "> （待写作）", "## 参考文献"
+
+
+def chapter_number(raw: Column) -> Column:
+    """A chapter's number as a whole number: what stands before a dot; 0 where there is none."""
+    return F.coalesce(F.regexp_extract(F.trim(F.coalesce(raw.cast("string"), F.lit(""))), r"^(-?\d+)(?:\.|$)", 1).try_cast("int"), F.lit(0))
+
+
+def display_number(kind: Column, n1: Column, n2: Column, n3: Column, letter: Column) -> Column:
+    """What a heading shows as its number, by kind: 第三章, 1.2, 1.2.3, 附录A; nothing for others."""
+    return (
+        F.when(kind == "chapter", F.concat(F.lit("第"), T.chinese_numeral(n1), F.lit("章"))).when(kind == "section", F.concat_ws(".", n1, n2))
+        .when(kind == "subsection", F.concat_ws(".", n1, n2, n3)).when(kind == "appendix", F.concat(F.lit("附录"), letter)).otherwise("")
+    )
+
+
+def section_entries(chapters: DataFrame, sections: DataFrame) -> DataFrame:
+    """sections, and for chapters without any one of their own number and title, so that their drafts are found."""
+    none = chapters.join(sections.select("doc_id", "ordinal").distinct(), ["doc_id", "ordinal"], "left_anti")
+    return sections.unionByName(none.select("doc_id", "ordinal", F.lit(0).alias("at"), F.col("chapter_no").alias("section_no"), "title"))
+
+
+def skeleton(chapters: DataFrame, sections: DataFrame) -> DataFrame:
+    """doc_id, text: outlines as Markdown with a placeholder below each section; chapters without sections say so, the section for sources stands before the appendices."""
+    rank = lambda a, o, s, k: F.struct(a.alias("a"), o.alias("o"), s.alias("s"), k.alias("text"))
+    app, note = F.coalesce("is_appendix", F.lit(False)), "> 本章在大纲中未声明任何节。"
+    bare = without_number(F.col("title"))
+    heads = chapters.join(sections.groupBy("doc_id", "ordinal").agg(F.count("*").alias("n")), ["doc_id", "ordinal"], "left")
+    name = F.when(app, F.concat(F.lit("## 附录"), F.coalesce("chapter_no", F.lit("")), F.lit("："), bare)).otherwise(F.concat(F.lit("## "), F.when(bare == "", "(未命名章)").otherwise(bare)))
+    body = F.when(app, F.concat(name, F.lit("\n\n" + PLACEHOLDER))).when(F.col("n").isNull(), F.concat(name, F.lit("\n\n" + note))).otherwise(name)
+    parts = heads.select("doc_id", rank(app.cast("int") * 2, F.col("ordinal"), F.lit(-1), body).alias("p"))
+    own = sections.join(chapters.select("doc_id", "ordinal", app.cast("int").alias("app")), ["doc_id", "ordinal"]).where(F.trim("title") != "")
+    parts = parts.unionByName(own.select("doc_id", rank(F.col("app") * 2, F.col("ordinal"), F.col("at"), F.concat(F.lit("### "), without_number(F.col("title"), SECTION_NUMBER), F.lit("\n\n" + PLACEHOLDER))).alias("p")))
+    parts = parts.unionByName(chapters.select("doc_id").distinct().select("doc_id", rank(F.lit(1), F.lit(0), F.lit(0), F.lit(SOURCES)).alias("p")))
+    return parts.groupBy("doc_id").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["text"]), "\n\n"), F.lit("\n")).alias("text"))

@@ -6,9 +6,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import audits, drafts, figures, structure
+from ledgerloom.operators import audits, drafts, figures, findings, outlines, structure
 from ledgerloom.operators import lines as L
 from ledgerloom.plans.registry import query, table
+from ledgerloom.sources import readers
 
 
 def _built(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
@@ -271,3 +272,131 @@ def longest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a report shows of its findings: the longest thirty of each chapter."""
     rows = table(spark, sf_dir, "orders").select(F.expr("concat('c', o_orderkey % 9)").alias("chapter"), F.col("o_orderkey").alias("chars"), (F.col("o_orderkey") % 7).alias("card"))
     return structure.first_of(rows, "chapter", [F.desc("chars"), F.col("card")], 30)
+
+
+@query(
+    """SELECT o_orderkey AS key, 'priority' AS path, 'enum' AS "check" FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM') UNION ALL SELECT o_orderkey, 'price', 'max' FROM orders WHERE o_totalprice > 200000
+UNION ALL SELECT o_orderkey, 'status', 'pattern' FROM orders WHERE o_orderstatus <> 'F' UNION ALL SELECT o_orderkey, 'name', 'required' FROM orders WHERE o_orderkey % 5 = 0 UNION ALL SELECT o_orderkey, 'name', 'min_length' FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey < 100 UNION ALL SELECT o_orderkey, 'tags', 'not_empty' FROM orders WHERE o_orderkey % 3 = 0"""
+)
+def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").alias("key"), F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("price"), F.col("o_orderstatus").alias("status"), F.expr("CASE WHEN o_orderkey % 5 <> 0 THEN cast(o_orderkey AS string) END").alias("name"),
+        F.expr("CASE WHEN o_orderkey % 3 = 0 THEN cast(array() AS array<int>) ELSE array(1) END").alias("tags"),
+    )
+    rules = [("priority", "enum", ["1-URGENT", "2-HIGH", "3-MEDIUM"]), ("price", "max", 200000), ("status", "pattern", "^F$"), ("name", "required", None), ("name", "min_length", 3), ("tags", "not_empty", None)]
+    return findings.violations(rows, "key", rules)
+
+
+_FOUND = "WITH f AS (SELECT o_custkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'warning' END AS severity, o_orderkey AS k FROM orders), d AS (SELECT doc_id, count(*) FILTER (severity = 'error' AND k % 7 = 0) AS errors, count(*) FILTER (severity = 'warning' AND k % 5 = 0) AS warnings FROM f GROUP BY doc_id)"
+
+
+def _file_verdicts(spark: SparkSession, sf_dir: str, **how: object) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("k"))
+    found = o.where("(k % 4 = 0 and k % 7 = 0) or (k % 4 = 1 and k % 5 = 0)").select("doc_id", F.expr("CASE WHEN k % 4 = 0 THEN 'error' ELSE 'warning' END").alias("severity"))
+    return findings.file_verdicts(o, found, **how)
+
+
+@query(_FOUND + " SELECT doc_id, errors, warnings, errors = 0 AND warnings = 0 AS passed FROM d")
+def file_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files, some of their orders as errors and warnings; in strict mode both fail."""
+    return _file_verdicts(spark, sf_dir, strict=True)
+
+
+@query(_FOUND + " SELECT count(*) AS files, count(*) FILTER (errors = 0) AS passed_files, count(*) FILTER (errors > 0) AS failed_files, sum(errors)::BIGINT AS errors, sum(warnings)::BIGINT AS warnings, count(*) FILTER (errors > 0) = 0 AS passed, CASE WHEN count(*) FILTER (errors > 0) = 0 THEN 0 ELSE 1 END AS exit_code FROM d")
+def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.run_summary(_file_verdicts(spark, sf_dir))
+
+
+@query("SELECT o_custkey AS doc_id, o_orderpriority AS category, count(*) AS n, count(*) FILTER (o_orderkey % 3 = 0) AS high_risk FROM orders GROUP BY CUBE (o_custkey, o_orderpriority)")
+def claim_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.claim_totals(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("category"), (F.col("o_orderkey") % 3 == 0).alias("high_risk")))
+
+
+@query("SELECT level, code, count(*) AS n, string_agg(line_no, ',' ORDER BY line_no) FILTER (r <= 3) AS first_lines FROM (SELECT *, row_number() OVER (PARTITION BY level, code ORDER BY line_no) AS r FROM (SELECT o_orderstatus AS level, 'W-' || (o_orderkey % 20) AS code, o_orderkey AS line_no FROM orders)) GROUP BY level, code")
+def issue_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("level"), F.expr("concat('W-', o_orderkey % 20)").alias("code"), F.col("o_orderkey").alias("line_no"))
+    return findings.issue_totals(rows).withColumn("first_lines", F.array_join("first_lines", ","))
+
+
+@query(
+    """WITH a AS (SELECT o_custkey AS k, o_orderkey AS l, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders WHERE o_orderkey % 2 = 0), b AS (SELECT o_custkey AS k, o_orderkey AS r, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders WHERE o_orderkey % 2 = 1)
+SELECT coalesce(a.k, b.k) AS k, coalesce(a.place, b.place)::INTEGER AS place, l AS "left", r AS "right" FROM a FULL JOIN b ON a.k = b.k AND a.place = b.place"""
+)
+def files_by_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's even orders as files and odd ones as descriptions: the first with the first, and so on."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"), "o_orderkey")
+    return findings.zipped(o.where("o_orderkey % 2 = 0"), o.where("o_orderkey % 2 = 1"), "k", "o_orderkey")
+
+
+@query("SELECT o_custkey AS doc_id, no, (row_number() OVER (PARTITION BY o_custkey ORDER BY c, s, no))::INTEGER AS place FROM (SELECT DISTINCT o_custkey, (o_orderkey % 13) || '-' || (o_orderkey % 11) AS no, o_orderkey % 13 AS c, o_orderkey % 11 AS s FROM orders)")
+def figures_by_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures N-M in the order of numbers, not of letters."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.expr("concat(o_orderkey % 13, '-', o_orderkey % 11)").alias("no")).distinct()
+    return findings.by_number(rows, "doc_id", "no")
+
+
+@query(
+    "WITH d AS (SELECT o_orderkey AS k FROM orders), b AS (SELECT count(*) > 0 AS blocking FROM events WHERE event_type = 'error') SELECT k AS doc_id, 'left_sources' AS item, CASE WHEN k % 2 = 0 THEN 'fail' ELSE 'pass' END AS status FROM d UNION ALL SELECT k, 'figure_numbers', CASE WHEN k % 3 <> 0 AND k % 5 <> 0 THEN 'pass' ELSE 'fail' END FROM d UNION ALL SELECT k, 'ledger', CASE WHEN blocking THEN 'fail' ELSE 'pass' END FROM d, b"
+)
+def delivery_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _built(spark, sf_dir, "CASE WHEN k % 2 = 0 THEN 'x [SRC-1]' ELSE 'x [1]' END")
+    rules = docs.select("doc_id", F.explode(F.array(F.lit("C3"), F.lit("C4"), F.lit("C5"))).alias("rule")).withColumn("passed", F.expr("NOT (rule = 'C3' AND doc_id % 3 = 0) AND rule <> 'C5'"))
+    gate = docs.select("doc_id", (F.col("doc_id") % 5 != 0).alias("passed"))
+    ledger = table(spark, sf_dir, "events").agg((F.count_if(F.col("event_type") == "error") > 0).alias("blocking"))
+    return findings.delivery_items(docs, rules, gate, ledger)
+
+
+@query(
+    _D + " SELECT k AS doc_id, CASE k % 4 WHEN 0 THEN 'a **b|.....|;' WHEN 1 THEN 'x|B....|;y|BI...|; |B....|;u|..C..|;' WHEN 2 THEN 't|.....|http://l;v|B....|http://l;2|...S.|;' ELSE 'lone * star ` and [x]|.....|;' END AS runs FROM d"
+)
+def inline_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _built(spark, sf_dir, "CASE k % 4 WHEN 0 THEN 'a **b' WHEN 1 THEN '**x*y* **`u`' WHEN 2 THEN '[t**v**](http://l)^2^' ELSE 'lone * star ` and [x]' END")
+    mark = lambda r, f, c: F.when(r[f], c).otherwise(".")
+    shown = F.transform(findings.inline_runs(F.col("text")), lambda r: F.concat(r["text"], F.lit("|"), mark(r, "bold", "B"), mark(r, "italic", "I"), mark(r, "code", "C"), mark(r, "superscript", "S"), F.lit(".|"), F.coalesce(r["url"], F.lit("")), F.lit(";")))
+    return docs.select("doc_id", F.array_join(shown, "").alias("runs"))
+
+
+@query(
+    _D + """ SELECT k AS doc_id, 'f' AS file, 'G2_overlap' AS "check", 'a,b' AS cells, CASE WHEN k % 2 = 0 THEN NULL ELSE 'fields' END AS rejected FROM d UNION ALL SELECT k, 'g', 'G1', 'c', 'check' FROM d WHERE k % 3 <> 0"""
+)
+def exemption_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _built(spark, sf_dir, "'exemptions:', nl, '- file: f', nl, '  check: G2_overlap', nl, '  cells: [a, b]', nl, CASE WHEN k % 2 = 0 THEN concat('  reason: x', nl) ELSE '' END, CASE WHEN k % 3 <> 0 THEN concat('- {file: g, check: G1, cells: [c], reason: y}', nl) ELSE '' END")
+    return readers.exemptions(docs).select("doc_id", "file", "check", F.array_join("cells", ",").alias("cells"), "rejected")
+
+
+@query(
+    _D + """ SELECT k AS doc_id, 'd' || (k % 7) AS dim_id, 'high' AS severity, CASE WHEN k % 2 = 0 THEN 'w' ELSE '' END AS warn_hint, true AS core FROM d UNION ALL SELECT k, 'p1', NULL, '', false FROM d WHERE k % 3 = 0"""
+)
+def contract_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quote = lambda x: x.replace("'", '"')
+    docs = _built(spark, sf_dir, "'" + quote("{'dimensions': [{'id': 'd") + "', k % 7, '" + quote("', 'severity': 'high'") + "', CASE WHEN k % 2 = 0 THEN '" + quote(", 'what_triggers_warn_hint': 'w'") + "' ELSE '' END, '" + quote("}]") + "', CASE WHEN k % 3 = 0 THEN '" + quote(", 'proposal_extra': [{'id': 'p1'}]") + "' ELSE '' END, '}'")
+    return readers.dimensions(docs).select("doc_id", "dim_id", "severity", "warn_hint", "core")
+
+
+@query(_D + " SELECT k AS doc_id, CASE WHEN k % 3 = 0 THEN (k % 9)::INTEGER ELSE 0 END AS n FROM d")
+def declared_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readers.declared_figures(_built(spark, sf_dir, "'---', nl, CASE WHEN k % 3 = 0 THEN concat('core_architecture_figures: ', k % 9) WHEN k % 3 = 1 THEN 'core_architecture_figures: many' ELSE 'x: 1' END, nl, '---', nl, 'text'"))
+
+
+_OUTLINES = "WITH c AS (SELECT o_custkey AS doc_id, o_orderkey AS ordinal, o_orderkey % 10 = 9 AS app, o_orderkey % 3 = 0 AS bare FROM orders)"
+
+
+@query(
+    _OUTLINES + """, p AS (SELECT doc_id, app::INT * 2 AS a, ordinal AS o, -1 AS s, CASE WHEN app THEN '## 附录A：t' || ordinal || chr(10) || chr(10) || '> （待写作）' WHEN bare THEN '## t' || ordinal || chr(10) || chr(10) || '> 本章在大纲中未声明任何节。' ELSE '## t' || ordinal END AS text FROM c
+UNION ALL SELECT doc_id, app::INT * 2, ordinal, 0, '### s' || ordinal || chr(10) || chr(10) || '> （待写作）' FROM c WHERE NOT bare UNION ALL SELECT DISTINCT doc_id, 1, 0, 0, '## 参考文献' FROM c)
+SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY a, o, s) || chr(10) AS text FROM p GROUP BY doc_id"""
+)
+def outline_skeletons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as outlines, their orders as chapters; every third has no section, every tenth is an appendix."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ordinal"))
+    chapters = o.select("doc_id", "ordinal", F.lit("A").alias("chapter_no"), F.expr("concat('第1章：t', ordinal)").alias("title"), (F.col("ordinal") % 10 == 9).alias("is_appendix"))
+    sections = o.where("ordinal % 3 <> 0").select("doc_id", "ordinal", F.lit(0).alias("at"), F.lit("1.1").alias("section_no"), F.expr("concat('1.1 s', ordinal)").alias("title"))
+    return outlines.skeleton(chapters, sections)
+
+
+@query("SELECT o_orderkey AS doc_id, CASE o_orderkey % 4 WHEN 0 THEN '第' || ['一','二','三','四','五','六','七','八','九'][o_orderkey % 9 + 1] || '章' WHEN 1 THEN (o_orderkey % 9 + 1) || '.2' WHEN 2 THEN (o_orderkey % 9 + 1) || '.2.3' ELSE '附录B' END AS shown, (o_orderkey % 9 + 1)::INTEGER AS number FROM orders")
+def display_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), (F.col("o_orderkey") % 9 + 1).alias("n"))
+    kind = F.expr("element_at(array('chapter', 'section', 'subsection', 'appendix'), CAST(doc_id % 4 + 1 AS INT))")
+    shown = outlines.display_number(kind, F.col("n"), F.lit(2), F.lit(3), F.lit("B"))
+    return o.select("doc_id", shown.alias("shown"), outlines.chapter_number(F.concat(F.lit(" "), F.col("n"), F.lit(".0"))).alias("number"))

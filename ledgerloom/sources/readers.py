@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -123,3 +127,119 @@ def glossary(docs: DataFrame) -> DataFrame:
     entry = "struct<term_id:string,preferred_form:string,aliases:array<string>,banned_forms:array<string>,definition:string,scope:string,category:string>"
     rows = docs.select("doc_id", F.from_json(_yaml_to_json()(last), f"array<{entry}>").alias("e"))
     return rows.select("doc_id", F.inline("e"))
+
+
+#: Fields of an exemption, and the only check that has some.
+EXEMPTION, EXEMPT_CHECK = "struct<file:string,check:string,cells:array<string>,reason:string>", "G2_overlap"
+
+
+def exemptions(docs: DataFrame) -> DataFrame:
+    """doc_id, file, check, cells, reason, rejected: entries of exemption files (YAML texts). rejected: fields (an entry lacks one), check (another check), else null. A text that cannot be read has no entry."""
+    rows = docs.select("doc_id", F.from_json(_yaml_to_json()(F.col("text")), f"struct<exemptions:array<{EXEMPTION}>>").alias("e")).select("doc_id", F.inline("e.exemptions"))
+    lack = (F.coalesce("file", F.lit("")) == "") | (F.coalesce("check", F.lit("")) == "") | (F.coalesce("reason", F.lit("")) == "") | (F.coalesce(F.size("cells"), F.lit(0)) <= 0)
+    return rows.withColumn("rejected", F.when(lack, "fields").when(F.col("check") != EXEMPT_CHECK, "check"))
+
+
+_DIMENSION = "struct<id:string,severity:string,what_to_look_for_hint:string,what_triggers_warn_hint:string,what_triggers_block_hint:string>"
+
+
+def dimensions(docs: DataFrame) -> DataFrame:
+    """doc_id, dim_id, severity, look_hint, warn_hint, block_hint, core: the dimensions of contracts (JSON texts), with the additional ones (not core)."""
+    data = F.from_json("text", f"struct<dimensions:array<{_DIMENSION}>,proposal_extra:array<{_DIMENSION}>>")
+    own = docs.select("doc_id", data.alias("c"))
+    part = lambda c, core: own.select("doc_id", F.inline(F.coalesce(c, F.array().cast(f"array<{_DIMENSION}>")))).withColumn("core", F.lit(core))
+    both = part(F.col("c.dimensions"), True).unionByName(part(F.col("c.proposal_extra"), False))
+    hint = lambda c: F.coalesce(c, F.lit(""))
+    return both.select("doc_id", F.col("id").alias("dim_id"), "severity", hint("what_to_look_for_hint").alias("look_hint"), hint("what_triggers_warn_hint").alias("warn_hint"), hint("what_triggers_block_hint").alias("block_hint"), "core")
+
+
+def batch_grouping(docs: DataFrame) -> DataFrame:
+    """doc_id, batch (the digit in its name), dim_id: how contracts (JSON texts) group dimensions into batches."""
+    groups = F.from_json("text", "struct<batch_grouping:map<string,array<string>>>")["batch_grouping"]
+    rows = docs.select("doc_id", F.explode(groups).alias("name", "dims"))
+    return rows.select("doc_id", F.regexp_extract("name", r"(\d+)", 1).cast("int").alias("batch"), F.explode("dims").alias("dim_id"))
+
+
+def json_constants(docs: DataFrame) -> DataFrame:
+    """doc_id, key, value (as text): the fields of JSON objects; a text that is none gives no row."""
+    return docs.select("doc_id", F.explode(F.from_json("text", "map<string,string>")).alias("key", "value"))
+
+
+def layout_modes(docs: DataFrame) -> DataFrame:
+    """doc_id, mode: the layout_mode of JSON texts; null where they have none or cannot be read."""
+    return docs.select("doc_id", F.try_parse_json("text").cast("string").alias("j")).select("doc_id", F.get_json_object("j", "$.layout_mode").alias("mode"))
+
+
+def declared_figures(docs: DataFrame) -> DataFrame:
+    """doc_id, n: how many architecture figures front matter declares; 0 where it declares none or no number."""
+    data = yaml_blocks(docs, "struct<core_architecture_figures:string>")
+    return data.select("doc_id", F.coalesce(F.expr("try_cast(trim(data.core_architecture_figures) AS int)"), F.lit(0)).alias("n"))
+
+
+def whitelisted(terms: DataFrame) -> DataFrame:
+    """alias: of a glossary's aliases those in capital letters alone."""
+    return terms.select(F.explode("aliases").alias("alias")).where(F.col("alias").rlike("^[A-Z]+$")).distinct()
+
+
+def png_rgb(content: bytes | None) -> tuple[float | None, bytes | None]:
+    """Resolution (dots an inch, of the narrower direction) and RGB bytes of a PNG of eight bits a channel, not interlaced; null for what others hold."""
+    if not content or content[:8] != bytes.fromhex(PNG_MAGIC):
+        return None, None
+    at, head, dpi, table, data = 8, None, None, None, []
+    while at + 8 <= len(content):
+        n, kind = int.from_bytes(content[at : at + 4], "big"), content[at + 4 : at + 8]
+        body = content[at + 8 : at + 8 + n]
+        at += 12 + n
+        if kind == b"IHDR":
+            head = body
+        elif kind == b"pHYs" and len(body) == 9 and body[8] == 1:
+            dpi = min(int.from_bytes(body[:4], "big"), int.from_bytes(body[4:8], "big")) * 0.0254
+        elif kind == b"PLTE":
+            table = np.frombuffer(body, np.uint8).reshape(-1, 3)
+        elif kind == b"IDAT":
+            data.append(body)
+    channels = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(head[9]) if head and len(head) == 13 else None
+    if not channels or head[8] != 8 or head[12] or (head[9] == 3 and table is None):
+        return dpi, None
+    width, height = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big")
+    try:
+        raw = np.frombuffer(zlib.decompress(b"".join(data)), np.uint8)
+    except zlib.error:
+        return dpi, None
+    if len(raw) != height * (width * channels + 1):
+        return dpi, None
+    rows = raw.reshape(height, -1)
+    out, before = np.zeros((height, width, channels), np.uint8), np.zeros((width, channels), np.int64)
+    for y in range(height):
+        line = rows[y, 1:].reshape(width, channels).astype(np.int64)
+        if rows[y, 0] == 1:
+            line = np.cumsum(line, 0) & 255
+        elif rows[y, 0] == 2:
+            line = (line + before) & 255
+        elif rows[y, 0] in (3, 4):
+            left, corner = np.zeros(channels, np.int64), np.zeros(channels, np.int64)
+            for x in range(width):
+                up = before[x]
+                if rows[y, 0] == 3:
+                    guess = (left + up) >> 1
+                else:
+                    p = left + up - corner
+                    a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+                    guess = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+                left, corner = (line[x] + guess) & 255, up
+                line[x] = left
+        out[y] = before = line
+    rgb = table[out[:, :, 0].clip(max=len(table) - 1)] if head[9] == 3 else np.repeat(out[:, :, :1], 3, 2) if channels < 3 else out[:, :, :3]
+    return dpi, rgb.tobytes()
+
+
+def png_pixels(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, dpi, rgb (binary, three bytes a pixel): what figures.off_palette() and the resolution checks read."""
+
+    def read(contents: pa.Array) -> pa.Array:
+        got = [png_rgb(x.as_py()) for x in contents]
+        return pa.StructArray.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[1] for g in got], pa.binary())], names=["dpi", "rgb"])
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path)
+    rows = files.select(T.file_name(F.col("path")).alias("doc_id"), F.arrow_udf(read, "dpi double, rgb binary")("content").alias("p"))
+    return rows.select("doc_id", "p.dpi", "p.rgb")

@@ -35,3 +35,20 @@ def append_once(events: DataFrame, path: str, checkpoint: str, lateness: str = "
 def counts_by_window(events: DataFrame, width: str = "1 hour", lateness: str = "1 day") -> DataFrame:
     """Events by level and window of time, with late ones up to the watermark."""
     return events.withWatermark("ts", lateness).groupBy(F.window("ts", width), "level").count().select(F.col("window.start").alias("start"), "level", "count")
+
+
+#: What the id of a run looks like.
+RUN_ID = "^[0-9a-f]{12}$"
+
+
+def acknowledge(spark: SparkSession, event_ids: list[str], path: str) -> None:
+    """Appends an acknowledgement of each event to a JSONL ledger; entries that are there stay as they are."""
+    rows = spark.createDataFrame([(x,) for x in event_ids], "event_id string").select(F.lit("acknowledgement").alias("record_type"), "event_id", F.current_timestamp().alias("ts"))
+    rows.write.mode("append").json(path)
+
+
+def append_provenance(runs: DataFrame, path: str) -> DataFrame:
+    """Appends runs (run_id, produced_by, merged_file, delivery_paths, pipeline_steps) to a JSONL ledger; returns those whose run_id is none, which are left out."""
+    good = F.coalesce(F.col("run_id").rlike(RUN_ID), F.lit(False))
+    runs.where(good).write.mode("append").json(path)
+    return runs.where(~good)

@@ -114,3 +114,69 @@ def test_lenient_reading_replaces_wrong_bytes(spark, tmp_path) -> None:
 @pytest.mark.parametrize("value,want", [("a&copy;b&#8364;&amp;lt;", "a©b€&lt;"), ("<p>x</p>&nbsp;y", "x\n\xa0y"), (None, ""), ("plain", "plain")])
 def test_entities(spark, value, want) -> None:
     assert spark.createDataFrame([(value,)], "v string").select(T.html_text(F.col("v")).alias("t")).first()["t"] == want
+
+
+def png(rows: list[list[tuple]], kind: int = 2, filters: list[int] | None = None, dpi: int | None = None) -> bytes:
+    """A PNG of rows of pixels, each row with its filter."""
+    import struct
+    import zlib
+
+    n = len(rows[0][0])
+    raw, before = b"", [0] * (len(rows[0]) * n)
+    for y, row in enumerate(rows):
+        flat, f = [v for p in row for v in p], (filters or [0] * len(rows))[y]
+        out = []
+        for i, v in enumerate(flat):
+            a, b, c = (flat[i - n] if i >= n else 0), before[i], (before[i - n] if i >= n else 0)
+            p = a + b - c
+            paeth = a if abs(p - a) <= abs(p - b) and abs(p - a) <= abs(p - c) else b if abs(p - b) <= abs(p - c) else c
+            out.append((v - [0, a, b, (a + b) >> 1, paeth][f]) & 255)
+        raw += bytes([f, *out])
+        before = flat
+    chunk = lambda t, b: struct.pack(">I", len(b)) + t + b + struct.pack(">I", zlib.crc32(t + b))
+    phys = chunk(b"pHYs", struct.pack(">IIB", dpi, dpi, 1)) if dpi else b""
+    return bytes.fromhex(readers.PNG_MAGIC) + chunk(b"IHDR", struct.pack(">IIBBBBB", len(rows[0]), len(rows), 8, kind, 0, 0, 0)) + phys + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_png_pixels(spark, tmp_path) -> None:
+    rows = [[((x * 37 + y * 11) % 256, (x * y) % 256, 200 - y) for x in range(7)] for y in range(5)]
+    (tmp_path / "a.png").write_bytes(png(rows, filters=[0, 1, 2, 3, 4], dpi=11811))
+    (tmp_path / "b.png").write_bytes(png([[(9, 128), (7, 0)]], kind=4))
+    (tmp_path / "c.png").write_bytes(b"no png")
+    (tmp_path / "d.png").write_bytes(png(rows)[:60])
+    got = {r["doc_id"]: (r["dpi"], r["rgb"]) for r in readers.png_pixels(spark, str(tmp_path)).collect()}
+    assert bytes(got["a.png"][1]) == bytes(v for r in rows for p in r for v in p) and abs(got["a.png"][0] - 300) < 0.01
+    assert bytes(got["b.png"][1]) == bytes([9, 9, 9, 7, 7, 7]) and got["c.png"] == (None, None) and got["d.png"][1] is None
+
+
+def test_json_and_yaml_that_cannot_be_read(spark) -> None:
+    docs = docs_of(spark, "{", "[]", '{"a": 1, "b": "x", "layout_mode": "grid"}', None, "")
+    assert rows_of(readers.json_constants(docs), "doc_id", "key", "value") == [("d2", "a", "1"), ("d2", "b", "x"), ("d2", "layout_mode", "grid")]
+    assert rows_of(readers.layout_modes(docs), "doc_id", "mode") == [("d0", None), ("d1", None), ("d2", "grid"), ("d3", None), ("d4", None)]
+    assert readers.exemptions(docs_of(spark, "a: [", "x", None)).count() == 0 and readers.dimensions(docs).count() == 0
+    groups = readers.batch_grouping(docs_of(spark, '{"batch_grouping": {"batch1_high": ["d1", "d2"], "batch2_mid": []}}'))
+    assert rows_of(groups, "batch", "dim_id") == [(1, "d1"), (1, "d2")]
+    terms = spark.createDataFrame([(["SCL", "Scl", "S1"],), (None,)], "aliases array<string>")
+    assert rows_of(readers.whitelisted(terms), "alias") == [("SCL",)]
+
+
+def test_ledger_sinks(spark, tmp_path) -> None:
+    from ledgerloom.streaming import ledger
+
+    event = {"event_id": "e1", "ts": "2024-01-01 00:00:00", "level": "significant"}
+    (tmp_path / "l").mkdir()
+    (tmp_path / "l" / "0.json").write_text(__import__("json").dumps(event) + "\n")
+    ledger.acknowledge(spark, ["e1"], str(tmp_path / "l"))
+    events, acks = readers.event_log(spark, str(tmp_path / "l"))
+    assert rows_of(R.ledger_state(events, acks), "event_id", "acknowledged") == [("e1", True)]
+    runs = spark.createDataFrame([("0123456789ab", ["a"]), ("bad", ["b"]), (None, [])], "run_id string, delivery_paths array<string>")
+    assert rows_of(ledger.append_provenance(runs, str(tmp_path / "p")), "run_id") == [("bad",), (None,)]
+    assert rows_of(figures.unproven(spark.createDataFrame([("a",), ("c",)], "path string"), spark.read.json(str(tmp_path / "p"))), "path") == [("c",)]
+
+
+def test_section_entries_of_bare_chapters(spark) -> None:
+    from ledgerloom.operators import outlines
+
+    chapters = spark.createDataFrame([("d", 1, "1", "A"), ("d", 2, "2", "B")], "doc_id string, ordinal int, chapter_no string, title string")
+    sections = spark.createDataFrame([("d", 1, 0, "1.1", "S")], "doc_id string, ordinal int, at int, section_no string, title string")
+    assert rows_of(outlines.section_entries(chapters, sections), "ordinal", "section_no", "title") == [(1, "1.1", "S"), (2, "2", "B")]
