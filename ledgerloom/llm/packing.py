@@ -3,8 +3,9 @@
 The plan is made on the histogram of piece lengths, which has at most as many rows as a sequence has tokens, whatever
 the corpus. Lengths over an eighth of a sequence are large: in descending order they are cut into groups of equal
 cardinality and rounded up to the longest of their group. Over these few sizes the mix of configurations is optimised
-(column generation with a knapsack, rounded down). Then the actual pieces take their group's places, and what is left of
-the large ones, then the small ones, go in descending length to the fullest sequence that still holds them. The plan is a list of runs:
+(column generation with a knapsack, rounded down). Then the actual pieces take their group's places. Sequences that
+rounding left too empty are given back (of a few bounds the best one is taken), and their pieces, what no configuration
+took, and the small ones go in descending length to the fullest sequence that still holds them. The plan is a list of runs:
 pieces of one length, by rank, take consecutive sequences. Ranks come from counts by length and salt, so that a
 length that a third of all pieces have is no single task.
 
@@ -27,6 +28,8 @@ from ledgerloom.llm._tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 GROUPS = 32
+#: Tokens that a sequence of a configuration may leave empty: the bound with the fewest sequences is taken.
+WASTES = (2048, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1, 0)
 #: Pieces of a length and salt that are ranked in one task.
 RANKED = 100_000
 
@@ -107,28 +110,76 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return out
 
 
+Run = tuple[int, int, int]  # pieces of a length: length, first rank, count
+
+
+def substituted(column: np.ndarray, n: int, groups: list[list[list[int]]]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """Actual pieces in n sequences of a configuration: stretches of alike sequences, each with their number, the tokens used and the pieces (length and rank of the first of the stretch). Takes the pieces from their groups."""
+    done: list[tuple[int, int, list[tuple[int, int]]]] = [(n, 0, [])]
+    for k in np.flatnonzero(column):
+        for _ in range(int(column[k])):
+            todo, done = done, []
+            for count, used, pieces in todo:
+                at = 0
+                while at < count:
+                    r = groups[k][0]
+                    t = min(count - at, r[2])
+                    done.append((t, used + r[0], [*((x, rank + at) for x, rank in pieces), (r[0], r[1])]))
+                    r[1] += t
+                    r[2] -= t
+                    at += t
+                    if not r[2]:
+                        groups[k].pop(0)
+    return done
+
+
+def best_fit(runs: list[Run], kept: list[tuple[int, int, list[tuple[int, int]]]], first: int, capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """Rows of a plan (length, first rank, count, first sequence, slot) for kept stretches and, in descending length, for runs that go to the fullest sequence that holds them; and the number of sequences. Sequences are numbered from first on."""
+    rows: list[tuple[int, int, int, int, int]] = []
+    free: dict[int, list[tuple[int, int, int]]] = {}  # room: first sequence, count, slots taken
+    mask, sequences = 0, first
+    for count, used, pieces in kept:
+        rows += [(x, rank, count, sequences, slot) for slot, (x, rank) in enumerate(pieces)]
+        if used < capacity:
+            free.setdefault(capacity - used, []).append((sequences, count, len(pieces)))
+            mask |= 1 << (capacity - used)
+        sequences += count
+    for x, rank, left in sorted(runs, key=lambda r: (-r[0], r[1])):
+        while left:
+            if not mask >> x:
+                n = -(-left // (capacity // x))
+                free[capacity] = [(sequences, n, 0)]
+                mask |= 1 << capacity
+                sequences += n
+            above = mask >> x
+            room = x + (above & -above).bit_length() - 1
+            start, count, slot = free[room].pop()
+            t = min(left, count)
+            if t < count:
+                free[room].append((start + t, count - t, slot))
+            if not free[room]:
+                mask &= ~(1 << room)
+            rows.append((x, rank, t, start, slot))
+            if room > x:
+                free.setdefault(room - x, []).append((start, t, slot + 1))
+                mask |= 1 << (room - x)
+            rank, left = rank + t, left - t
+    return rows, sequences
+
+
 def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> np.ndarray:
     """Rows (length, first rank, count, first sequence, slot): pieces of a length, from a rank on, take consecutive sequences."""
-    rows: list[tuple[int, int, int, int, int]] = []
     small = capacity // 8
-    lengths = sorted((x for x, n in histogram.items() if n), reverse=True)
-    sequences = 0
-    runs: list[list[int]] = []  # of large pieces, in descending length: length, first rank, count
-    for x in lengths:
-        if x == capacity:
-            rows.append((x, 0, histogram[x], 0, 0))
-            sequences = histogram[x]
-        elif x > small:
-            runs.append([x, 0, histogram[x]])
-    rest: list[tuple[int, int, int]] = []  # large pieces that no configuration took: length, first rank, count
-    free: dict[int, list[tuple[int, int, int]]] = {}  # room: first sequence, count, slots taken
-    mask = 0
-    if runs:
-        total = sum(r[2] for r in runs)
+    full = histogram.get(capacity, 0)
+    lengths = sorted((x for x, n in histogram.items() if n and x < capacity), reverse=True)
+    todo = [[x, 0, histogram[x]] for x in lengths if x > small]
+    stretches, rest = [], [(x, 0, histogram[x]) for x in lengths if x <= small]
+    if todo:
+        total = sum(r[2] for r in todo)
         m = min(groups, total)
-        cuts, members = [total * (i + 1) // m - total * i // m for i in range(m)], []
-        todo = [r[:] for r in runs]
-        for n in cuts:
+        sizes: list[int] = []
+        merged: list[list[list[int]]] = []
+        for n in [total * (i + 1) // m - total * i // m for i in range(m)]:
             own = []
             while n:
                 t = min(n, todo[0][2])
@@ -138,62 +189,24 @@ def plan(histogram: dict[int, int], capacity: int, groups: int = GROUPS) -> np.n
                 n -= t
                 if not todo[0][2]:
                     todo.pop(0)
-            members.append(own)
-        sizes: list[int] = []
-        merged: list[list[list[int]]] = []
-        for own in members:  # groups of one rounded size are one size
-            if sizes and sizes[-1] == own[0][0]:
+            if sizes and sizes[-1] == own[0][0]:  # groups of one rounded size are one size
                 merged[-1] += own
             else:
                 sizes.append(own[0][0])
                 merged.append(own)
         demand = np.array([sum(r[2] for r in own) for own in merged])
         for column, n in configurations(np.array(sizes), demand, capacity):
-            parts = [(0, n, 0)]  # first sequence within the configuration, count, tokens
-            slot = 0
-            for k in np.flatnonzero(column):
-                for _ in range(int(column[k])):
-                    at, done, i = 0, [], 0
-                    while at < n:
-                        r = merged[k][0]
-                        first, count, used = parts[i]
-                        t = min(first + count - at, r[2])
-                        rows.append((r[0], r[1], t, sequences + at, slot))
-                        done.append((at, t, used + r[0]))
-                        r[1] += t
-                        r[2] -= t
-                        at += t
-                        if not r[2]:
-                            merged[k].pop(0)
-                        if at == first + count:
-                            i += 1
-                    parts, slot = done, slot + 1
-            for first, count, used in parts:
-                if used < capacity:
-                    free.setdefault(capacity - used, []).append((sequences + first, count, slot))
-                    mask |= 1 << (capacity - used)
-            sequences += n
-        rest = sorted(((x, rank, n) for own in merged for x, rank, n in own if n), key=lambda r: (-r[0], r[1]))
-    for x, rank, left in rest + [(x, 0, histogram[x]) for x in lengths if x <= small]:
-        while left:
-            if not mask >> x:
-                n = -(-left // (capacity // x))
-                free[capacity] = [(sequences, n, 0)]
-                mask |= 1 << capacity
-                sequences += n
-            above = mask >> x
-            room = x + (above & -above).bit_length() - 1
-            first, count, slot = free[room].pop()
-            t = min(left, count)
-            if t < count:
-                free[room].append((first + t, count - t, slot))
-            if not free[room]:
-                mask &= ~(1 << room)
-            rows.append((x, rank, t, first, slot))
-            if room > x:
-                free.setdefault(room - x, []).append((first, t, slot + 1))
-                mask |= 1 << (room - x)
-            rank, left = rank + t, left - t
+            stretches += substituted(column, n, merged)
+        rest += [(x, rank, n) for own in merged for x, rank, n in own if n]
+    best: tuple[list[tuple[int, int, int, int, int]], int] | None = None
+    for waste in WASTES:
+        # sequences that rounding left too empty are given back, and their pieces best-fitted with the rest
+        kept = [s for s in stretches if capacity - s[1] <= waste]
+        back = [(x, rank, s[0]) for s in stretches if capacity - s[1] > waste for x, rank in s[2]]
+        found = best_fit(rest + back, kept, full, capacity)
+        if best is None or found[1] < best[1]:
+            best = found
+    rows = best[0] + ([(capacity, 0, full, 0, 0)] if full else [])
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
