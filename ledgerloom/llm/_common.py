@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Bytes of text that one numpy step works on, unless a single text is longer.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Bytes of an Arrow batch that goes to a Python worker, unless a single row is longer.
 BATCH_BYTES = 4 << 20
 #: Bytes of text in a partition that is put in order, and those that a task packs into blocks for these at a time.

@@ -36,7 +36,7 @@ CALIBRATE = 5
 #: Characters of the fragments of a text that calibrates (0: all of it).
 FRAGMENTS = (0, 400, 100, 40, 15, 6)
 #: Bytes of text whose n-grams are laid out at a time.
-SLICE = 512 << 10
+SLICE = 256 << 10
 COLUMNS = 1 << 14
 GRAMS = (1, 2, 3)
 #: Trigrams are told apart by this many values when their languages are asked for.
@@ -66,16 +66,20 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def gram_columns(cp: np.ndarray, columns: int) -> list[tuple[int, np.ndarray]]:
-    """For each n the column of the n-gram that starts at each code point."""
+def gram_hashes(cp: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """For each n the hash of the n-gram that starts at each code point."""
     h, out = np.zeros(len(cp), U64), []
     for n in GRAMS:
-        h = (h[: len(cp) - n + 1] ^ cp[n - 1 :].astype(U64)) * _KEYS[n % 3]
+        h = (h[: max(0, len(cp) - n + 1)] ^ cp[n - 1 :].astype(U64)) * _KEYS[n % 3]
         h ^= h >> U64(29)
-        out.append((n, (h % U64(columns)).astype(np.int32)))
+        out.append((n, h))
     return out
 
 
+def gram_columns(cp: np.ndarray, columns: int) -> list[tuple[int, np.ndarray]]:
+    return [(n, (h % U64(columns)).astype(np.int32)) for n, h in gram_hashes(cp)]
+
+
 _pages, _lower, _letter = np.zeros(0x1100, bool), np.arange(0x110000, dtype=np.uint32), np.zeros(0x110000, bool)
 
 
@@ -99,8 +103,10 @@ def features(text: pa.Array, columns: int = COLUMNS) -> Iterator[tuple[np.ndarra
         _known(cp)
         letter, low = _letter[cp], _lower[cp]
         letters = np.concatenate([[0], np.cumsum(letter)])[lead]
-        grams = gram_columns(low, columns) if len(low) >= max(GRAMS) else [(n, gram_columns(np.append(low, np.zeros(3, np.uint32)), columns)[n - 1][1]) for n in GRAMS]
-        wide = gram_columns(low, TRIGRAMS)[-1][1] if len(low) >= 3 else np.zeros(0, np.int32)
+        hashes = gram_hashes(low)
+        wide = (hashes[-1][1] % U64(TRIGRAMS)).astype(np.int32)
+        grams = [(n, (h % U64(columns)).astype(np.int32)) for n, h in hashes]
+        del hashes
         lettered = letter[:-2] | letter[1:-1] | letter[2:]
         for d in range(j - i):
             a, b = int(lead[d]), int(lead[d + 1])
