@@ -89,25 +89,42 @@ def unpacked(block: pa.Scalar | bytes) -> pa.Table:
 
 
 def _bounds(slim: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Keys (id, hash of the text) at which partitions of about PARTITION_BYTES begin, but the first; equal ones where equal rows fill several. Only these reach the driver."""
+    """Keys (id, hash of the text) at which partitions of about PARTITION_BYTES begin, but the first; equal ones where equal rows fill several.
+
+    Keys and sizes alone are put in order. What reaches the driver is a key for each half of a partition, 24 bytes for
+    some 8 MB of text.
+    """
     narrow = slim.select(order_id("id").alias("id"), F.xxhash64("text").alias("mark"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"))
     total = narrow.agg(F.sum("size").alias("n")).first()["n"] or 0
     if total <= PARTITION_BYTES:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    half = PARTITION_BYTES // 2
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = 0
+        held, last = 0, None
         for b in batches:
-            gone = held + np.cumsum(b.column("size").to_numpy())
-            at = np.flatnonzero(np.diff(gone // PARTITION_BYTES, prepend=held // PARTITION_BYTES))
-            held = int(gone[-1]) if len(gone) else held
-            yield b.select(["id", "mark"]).take(pa.array(at))
-
-    ordered = narrow.repartitionByRange(max(1, -(-total // (64 * PARTITION_BYTES))), "id", "mark").sortWithinPartitions("id", "mark")
-    found = ordered.mapInArrow(cut, "id long, mark long").toArrow()
-    ids, marks = found["id"].to_numpy(), found["mark"].to_numpy()
-    by = np.lexsort((marks, ids))
-    return ids[by], marks[by]
+            if not len(b):
+                continue
+            ids, marks, gone = b.column("id").to_numpy(), b.column("mark").to_numpy(), held + np.cumsum(b.column("size").to_numpy())
+            at = np.flatnonzero(np.diff(gone // half, prepend=held // half))
+            before = (gone - b.column("size").to_numpy())[at]
+            done = held // half * half if last is None else last
+            yield pa.RecordBatch.from_pydict({"id": pa.array(ids[at]), "mark": pa.array(marks[at]), "size": pa.array(np.diff(before, prepend=done))})
+            last = int(before[-1]) if len(at) else done
+            held, end = int(gone[-1]), (int(ids[-1]), int(marks[-1]))
+        if held:  # behind the last key of this task
+            yield pa.RecordBatch.from_pydict({"id": pa.array([end[0]]), "mark": pa.array([min(end[1] + 1, LAST_ID)]), "size": pa.array([held - last])})
+
+    ordered = narrow.repartitionByRange(max(1, -(-total // (4 * PARTITION_BYTES))), "id", "mark").sortWithinPartitions("id", "mark")
+    found = ordered.mapInArrow(cut, "id long, mark long, size long").toArrow()
+    ids, marks, sizes = (found[c].to_numpy() for c in ("id", "mark", "size"))
+    by, held, taken = np.lexsort((marks, ids)), 0, []
+    for i in by.tolist():
+        held += int(sizes[i])
+        if held >= PARTITION_BYTES:
+            taken.append(i)
+            held = 0
+    return ids[taken], marks[taken]
 
 
 def _partition(ids: np.ndarray, marks: np.ndarray, bounds: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
