@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa

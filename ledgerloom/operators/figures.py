@@ -210,3 +210,13 @@ def delivery_stem(title: Column) -> Column:
     start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("w"))
     fits = F.aggregate(size, start, lambda a, x: F.struct(F.when(a["w"] + x <= STEM_BYTES, a["n"] + 1).otherwise(a["n"]).alias("n"), F.when(a["w"] + x <= STEM_BYTES, a["w"] + x).otherwise(1 << 20).alias("w")))
     return F.when(clean == "", "report").otherwise(F.array_join(F.slice(chars, F.lit(1), fits["n"]), ""))
+
+
+def index_tables(figures: DataFrame) -> DataFrame:
+    """doc_id, text: the table of a document's figures, in the order of their numbers. figures: doc_id, figure_no, title, type, chapter."""
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    part = lambda i: F.regexp_extract("figure_no", r"^(\d+)-(\d+)", i).try_cast("int")
+    row = F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in ("figure_no", "title", "type", "chapter")]), F.lit(" |"))
+    rows = figures.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(part(1).alias("a"), part(2).alias("b"), cell("figure_no").alias("n"), row.alias("row")))).alias("rows"))
+    head = F.lit("| 编号 | 标题 | 类型 | 所属章节 |\n|---|---|---|---|\n")
+    return rows.select("doc_id", F.concat(head, F.array_join(F.transform("rows", lambda r: r["row"]), "\n")).alias("text"))

@@ -125,3 +125,40 @@ def skeleton(chapters: DataFrame, sections: DataFrame) -> DataFrame:
     parts = parts.unionByName(own.select("doc_id", rank(F.col("app") * 2, F.col("ordinal"), F.col("at"), F.concat(F.lit("### "), without_number(F.col("title"), SECTION_NUMBER), F.lit("\n\n" + PLACEHOLDER))).alias("p")))
     parts = parts.unionByName(chapters.select("doc_id").distinct().select("doc_id", rank(F.lit(1), F.lit(0), F.lit(0), F.lit(SOURCES)).alias("p")))
     return parts.groupBy("doc_id").agg(F.concat(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["text"]), "\n\n"), F.lit("\n")).alias("text"))
+
+
+#: Numbers before headings, by their level: chapters and parts, sections, subsections, appendices.
+HEADING_NUMBERS = {
+    2: [
+        r"^第\s*([一二三四五六七八九十百零两〇]{1,4})\s*(?:章|部分|篇|编)\s*[：:、．.]?\s*", r"^第\s*(\d{1,3})\s*(?:章|部分|篇|编)\s*[：:、．.]?\s*", r"^(\d{1,3})[.、．]\s*", r"^([一二三四五六七八九十〇]{1,3})[、．.]\s*",
+        r"^附录\s*([A-Za-z]|[一二三四五六七八九十]{1,3})?\s*[：:、．.]?\s*",
+    ],
+    3: [r"^(\d{1,2})[.．](\d{1,2})[.、]?(?:[ 　]+|(?=[一-鿿（【《“「]))", r"^(\d{1,3})[.、．]\s+"],
+    4: [r"^(\d{1,2})[.．](\d{1,2})[.．](\d{1,2})[.、]?(?:[ 　]+|(?=[一-鿿（【《“「]))", r"^(\d{1,2})[.．](\d{1,2})[.、]?\s+"],
+}
+
+
+def without_heading_number(title: Column, level: Column) -> Column:
+    """A heading's text without the number that its level may have: the first pattern that fits is taken off."""
+    out = title
+    for n, patterns in HEADING_NUMBERS.items():
+        taken = title
+        for p in reversed(patterns):
+            taken = F.when(title.rlike(p), F.regexp_replace(title, p, "")).otherwise(taken)
+        out = F.when(level == n, F.trim(taken)).otherwise(out)
+    return out
+
+
+def flat_titles(chapters: DataFrame, sections: DataFrame, subsections: DataFrame) -> DataFrame:
+    """doc_id, title (without its number), level: all titles of outlines, each once, with the level that it has last (appendices are chapters). subsections: doc_id, ordinal, at (of the section), title."""
+    place = lambda a, b, c: F.struct(a.alias("a"), b.alias("b"), c.alias("c"))
+    none = F.lit(-1)
+    rows = chapters.select("doc_id", place(F.col("ordinal"), none, none).alias("p"), without_number(F.col("title")).alias("title"), F.lit("chapter").alias("level"))
+    rows = rows.unionByName(sections.select("doc_id", place(F.col("ordinal"), F.col("at"), none).alias("p"), without_number(F.col("title"), SECTION_NUMBER).alias("title"), F.lit("section").alias("level")))
+    rows = rows.unionByName(subsections.select("doc_id", place(F.col("ordinal"), F.col("at"), F.lit(0)).alias("p"), without_number(F.col("title"), SECTION_NUMBER).alias("title"), F.lit("subsection").alias("level")))
+    return rows.where("title <> ''").groupBy("doc_id", "title").agg(F.max_by("level", "p").alias("level"))
+
+
+def forbidden_words(texts: DataFrame, pattern: str) -> DataFrame:
+    """doc_id, word: what a built text must not hold, each word once: the check of a skeleton on itself."""
+    return texts.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(f"({pattern})"), 1))).alias("word"))

@@ -62,6 +62,17 @@ def bibliography(numbers: DataFrame, sources: DataFrame) -> DataFrame:
     return j.select("number", "source_id", F.when(missing, F.concat(F.lit("["), F.col("number"), F.lit("] [source "), F.col("source_id"), F.lit(": no metadata]"))).otherwise(entry).alias("entry"), missing.alias("missing"))
 
 
+def matched(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """rows with the columns of index (one row a key), and missing: whether the index lacks the key."""
+    held = index.withColumn("__held", F.lit(True))
+    return rows.join(held, key, "left").withColumn("missing", F.col("__held").isNull()).drop("__held")
+
+
+def known(rows: DataFrame, index: DataFrame, key: str) -> DataFrame:
+    """Rows whose key the index has, each once."""
+    return rows.join(index.select(key), key, "left_semi")
+
+
 def difference(left: DataFrame, right: DataFrame, *keys: str) -> DataFrame:
     """Keys of one side only: the keys, side (left or right)."""
     a, b = left.select(*keys).distinct(), right.select(*keys).distinct()

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
-from ledgerloom.operators import outlines
+from ledgerloom.operators import drafts, figures, outlines
+from ledgerloom.operators import lines as L
+from ledgerloom.operators import references as R
 
 #: A caption (with or without number), a source line, a line that looks like a figure reference.
 CAPTION = r"^表(?:(\d{1,2})-(\d{1,2}))?(?:[ 　]+|[：:][ 　]*)(.+)$"
@@ -172,3 +174,17 @@ def strict_levels(level: Column, code: Column, spared: list[str]) -> Column:
     return F.when((level == "ERROR") & ~code.isin(spared), "FATAL").otherwise(level)
 
 
+
+
+def validated(docs: DataFrame) -> DataFrame:
+    """doc_id, check, detail: all that a merged text's own lines tell: captions without table, figure lines without figure, words that point by place, figures and tables mentioned or captioned without their partner, and numbers of figures and tables that leave a gap within their chapter."""
+    rows = L.classified(docs)
+    found = orphan_captions(rows).select("doc_id", F.lit("orphan_caption").alias("check"), F.col("caption").alias("detail"))
+    found = found.unionByName(orphan_figure_lines(rows).select("doc_id", F.lit("orphan_figure_line").alias("check"), F.col("text").alias("detail")))
+    found = found.unionByName(drafts.positional_words(docs).select("doc_id", F.lit("positional").alias("check"), F.col("context").alias("detail")))
+    said = figures.mention_findings(rows.where(~F.col("in_fence")).select("doc_id", "line_no", "text"))
+    found = found.unionByName(said.select("doc_id", F.col("finding").alias("check"), F.concat("kind", "no").alias("detail")))
+    named = rows.select("doc_id", F.regexp_extract("text", figures.CAPTION, 1).alias("kind"), F.regexp_extract("text", figures.CAPTION, 2).alias("no")).where("kind <> ''").distinct()
+    keyed = named.select(F.struct("doc_id", "kind", F.regexp_extract("no", r"^(\d+)-", 1).alias("chapter")).alias("by"), F.regexp_extract("no", r"-(\d+)$", 1).try_cast("int").alias("seq"))
+    gaps = R.sequence_gaps(keyed.distinct(), "by", "seq")
+    return found.unionByName(gaps.select("by.doc_id", F.lit("number_gap").alias("check"), F.concat("by.kind", "by.chapter", F.lit("-"), "seq").alias("detail")))

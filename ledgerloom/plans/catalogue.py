@@ -157,14 +157,13 @@ def missing_and_orphan_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, lang, source FROM documents SEMI JOIN labels USING (doc_id)")
 def labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_semi").select("doc_id", "lang", "source")
+    return R.known(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "lang", "source")
 
 
 @query("SELECT d.doc_id, d.source, coalesce(quality, -1) AS quality, l.doc_id IS NULL AS missing FROM documents d LEFT JOIN labels l USING (doc_id)")
 def left_with_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", F.lit(True).alias("has"))
-    j = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
-    return j.select("doc_id", "source", F.coalesce("quality", F.lit(-1)).alias("quality"), F.col("has").isNull().alias("missing"))
+    j = R.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id")
+    return j.select("doc_id", "source", F.coalesce("quality", F.lit(-1)).alias("quality"), "missing")
 
 
 @query("SELECT o_orderkey, o_custkey, last_value(CASE WHEN o_orderstatus = 'F' THEN o_orderkey END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS last_f FROM orders")

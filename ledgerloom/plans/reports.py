@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import audits, drafts, figures, findings, outlines, structure
+from ledgerloom.operators import audits, contract, diagrams, drafts, figures, findings, outlines, ranks, structure
 from ledgerloom.operators import lines as L
+from ledgerloom.operators import references as R
 from ledgerloom.plans.registry import query, table
 from ledgerloom.sources import readers
 
@@ -400,3 +401,82 @@ def display_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.expr("element_at(array('chapter', 'section', 'subsection', 'appendix'), CAST(doc_id % 4 + 1 AS INT))")
     shown = outlines.display_number(kind, F.col("n"), F.lit(2), F.lit(3), F.lit("B"))
     return o.select("doc_id", shown.alias("shown"), outlines.chapter_number(F.concat(F.lit(" "), F.col("n"), F.lit(".0"))).alias("number"))
+
+
+@query(_D + " SELECT k AS doc_id, 'orphan_figure_line' AS \"check\", '图1-1 说明' AS detail FROM d WHERE k % 2 = 0 UNION ALL SELECT k, 'positional', '见上图。' FROM d WHERE k % 3 = 0 UNION ALL SELECT k, 'no_entity', '图9-9' FROM d WHERE k % 5 = 0 UNION ALL SELECT k, 'unmentioned', '图1-1' FROM d WHERE k % 2 = 0 UNION ALL SELECT k, 'unmentioned', '图2-1' FROM d UNION ALL SELECT k, 'unmentioned', '图2-' || (2 + k % 7) FROM d UNION ALL SELECT k, 'number_gap', '图2-' || (2 + k % 7) FROM d WHERE k % 7 <> 0")
+def validated_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _built(spark, sf_dir, "CASE WHEN k % 2 = 0 THEN '图1-1 说明' ELSE 'x' END, nl, CASE WHEN k % 3 = 0 THEN '见上图。' ELSE 'y' END, nl, CASE WHEN k % 5 = 0 THEN '如图9-9' ELSE 'z' END, nl, '![图2-1 a](a.png)', nl, nl, '![图2-', 2 + k % 7, ' b](b.png)'")
+    return structure.validated(docs)
+
+
+@query("SELECT o_orderkey AS doc_id, CASE o_orderkey % 6 WHEN 5 THEN '3.4 x' ELSE 'x' END AS title FROM orders")
+def heading_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr("CASE o_orderkey % 6 WHEN 0 THEN '第三章：x' WHEN 1 THEN '12、x' WHEN 2 THEN '3.4 x' WHEN 3 THEN '3.4.5 x' WHEN 4 THEN '附录B：x' ELSE '3.4 x' END").alias("t"), F.expr("CASE o_orderkey % 6 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 5 THEN 5 ELSE 2 END").alias("level"))
+    return o.select("doc_id", outlines.without_heading_number(F.col("t"), F.col("level")).alias("title"))
+
+
+@query("WITH r AS (SELECT o_custkey AS doc_id, 'A' || (o_orderkey % 5) AS title, CASE o_orderkey % 3 WHEN 0 THEN 'chapter' WHEN 1 THEN 'section' ELSE 'subsection' END AS level, o_orderkey AS k FROM orders) SELECT doc_id, title, arg_max(level, k) AS level FROM r GROUP BY doc_id, title")
+def outline_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ordinal"), F.lit(0).alias("at"))
+    of = lambda n, lead: o.where(f"ordinal % 3 = {n}").withColumn("title", F.expr(f"concat('{lead}', 'A', ordinal % 5)"))
+    return outlines.flat_titles(of(0, "第1章 "), of(1, "1.2 "), of(2, "1.2.3 "))
+
+
+@query("SELECT doc_id, '| 编号 | 标题 | 类型 | 所属章节 |' || chr(10) || '|---|---|---|---|' || chr(10) || string_agg('| ' || no || ' | t | data |  |', chr(10) ORDER BY c, s) AS text FROM (SELECT DISTINCT o_custkey AS doc_id, (o_orderkey % 13) || '-' || (o_orderkey % 11) AS no, o_orderkey % 13 AS c, o_orderkey % 11 AS s FROM orders) GROUP BY doc_id")
+def figure_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.expr("concat(o_orderkey % 13, '-', o_orderkey % 11)").alias("figure_no"), F.lit("t").alias("title"), F.lit("data").alias("type"), F.lit(None).cast("string").alias("chapter")).distinct()
+    return figures.index_tables(rows)
+
+
+@query(
+    """WITH g AS (SELECT o_custkey AS doc_id, o_orderkey AS k, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders),
+c AS (SELECT doc_id, any_value(n) AS n, count(*) FILTER (r > 1 AND r <= 1 + doc_id % 5) AS e FROM g GROUP BY doc_id)
+SELECT doc_id, n AS n_vertex, e AS n_edge, CASE WHEN e > 0 AND (e + 1) * 3 > n THEN 'GRID_HAS_CONNECTED_STRUCTURE(' || (e + 1) || '/' || n || ')' END AS verdict FROM c"""
+)
+def grid_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as grids of their orders, of which some are tied to the first one."""
+    ranks.shared_folder(spark)
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("k"))
+    first = o.groupBy("doc_id").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    ties = first.select("doc_id", F.col("ks")[0].alias("source"), F.explode(F.slice("ks", F.lit(2), (F.col("doc_id") % 5).cast("int"))).alias("target"))
+    name = lambda c: F.col(c).cast("string").alias(c)
+    found = diagrams.mode_verdicts(o.select("doc_id", F.col("k").cast("string").alias("id")), ties.select("doc_id", name("source"), name("target")), o.select("doc_id").distinct().withColumn("mode", F.lit("grid")))
+    return found.select("doc_id", "n_vertex", "n_edge", "verdict")
+
+
+@query(
+    """WITH n AS (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey)::INTEGER AS number FROM part)
+SELECT number, 'SRC-' || k AS source_id, CASE WHEN k % 4 = 0 THEN '[' || number || '] [source SRC-' || k || ': no metadata]' ELSE '[' || number || ']' || CASE WHEN k % 3 = 0 THEN '' ELSE ' Org' || k || '.' END || ' T' || k || CASE WHEN k % 5 = 0 THEN '[EB/OL].' WHEN k % 5 = 1 THEN '[J].' ELSE '[M].' END || ' Pub, 2020.' || CASE WHEN k % 10 = 0 THEN '  http://x/' || k || '.' ELSE '' END END AS entry, k % 4 = 0 AS missing FROM n"""
+)
+def bibliographies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as sources: some without title, author, or type."""
+    k = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    numbers = ranks.numbered(k.select("k"), [F.col("k")]).select("number", F.expr("concat('SRC-', k)").alias("source_id"))
+    sources = k.select(
+        F.expr("concat('SRC-', k)").alias("source_id"), F.expr("CASE WHEN k % 4 = 0 THEN ' ' ELSE concat('T', k) END").alias("title"), F.expr("CASE WHEN k % 3 <> 0 THEN concat('Org', k) END").alias("author_or_org"), F.lit("Pub").alias("publisher"), F.lit("2020").alias("publish_date"),
+        F.expr("CASE k % 10 WHEN 0 THEN 'EB/OL' WHEN 5 THEN 'official' WHEN 1 THEN 'journal' WHEN 6 THEN 'journal' ELSE 'other' END").alias("source_type"), F.expr("concat('http://x/', k)").alias("url_or_path"),
+    )
+    return R.bibliography(numbers, sources)
+
+
+@query(
+    """WITH s AS (SELECT o_custkey AS doc_id, o_orderkey AS ordinal, CASE WHEN o_orderkey % 3 = 0 THEN 'own' || o_orderkey WHEN o_orderkey % 3 = 1 THEN 'whole' || o_orderkey ELSE '<!-- missing: s' || o_orderkey || ' -->' END AS text FROM orders)
+SELECT doc_id, string_agg(text, chr(10) || chr(10) ORDER BY ordinal) AS text FROM s GROUP BY doc_id"""
+)
+def merged_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as outlines, their orders as chapters of one section: drafts of the section, of the chapter, or none."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("ordinal"))
+    no = F.expr("concat('c', ordinal)").alias("chapter_no")
+    section = F.expr("CASE WHEN ordinal % 3 = 0 THEN concat('s', ordinal) END").alias("section_no")
+    handed = o.where("ordinal % 3 < 2").select("doc_id", no, section, F.lit("a").alias("name"), F.expr("concat(CASE WHEN ordinal % 3 = 0 THEN 'own' ELSE 'whole' END, ordinal)").alias("text"))
+    return outlines.merged(o.select("doc_id", "ordinal", no), o.select("doc_id", "ordinal", F.lit(0).alias("at"), F.expr("concat('s', ordinal)").alias("section_no"), F.lit("t").alias("title")), handed)
+
+
+@query("SELECT 'C' || o_orderkey AS card_id FROM orders WHERE o_orderkey % 3 = 0")
+def cards_without_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract.cards_without_path(table(spark, sf_dir, "orders").select(F.expr("concat('C', o_orderkey)").alias("card_id"), F.expr("CASE o_orderkey % 6 WHEN 0 THEN NULL WHEN 3 THEN '  ' ELSE 'cards/x.md' END").alias("card_file_path")))
+
+
+@query("SELECT 'a/selfclaims/' || o_orderkey AS path FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'selfclaim/' || o_orderkey FROM orders WHERE o_orderkey % 3 = 1")
+def misplaced_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contract.misplaced_paths(table(spark, sf_dir, "orders").select(F.expr("CASE o_orderkey % 3 WHEN 0 THEN concat('a/selfclaims/', o_orderkey) WHEN 1 THEN concat('selfclaim/', o_orderkey) ELSE concat('a/myselfclaim/', o_orderkey) END").alias("path")))
