@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -77,6 +78,19 @@ def order_id(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
 
 
+def put_file(folder: str, name: str, data: bytes) -> None:
+    """Writes a file whole: under a name of this attempt first, so a task that runs twice leaves one file (its data are the same)."""
+    store, path = fs.FileSystem.from_uri(folder)
+    store.create_dir(path, recursive=True)
+    own = f"{path}/_{uuid.uuid4().hex}"
+    with store.open_output_stream(own) as f:
+        f.write(data)
+    if store.get_file_info(f"{path}/{name}").type == fs.FileType.File:
+        store.delete_file(own)
+    else:
+        store.move(own, f"{path}/{name}")
+
+
 def packed(t: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
@@ -359,11 +373,6 @@ def split_words(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> tupl
     return starts, ends, string_hash(buf, starts, ends - starts), np.searchsorted(starts, offsets)
 
 
-def blob_table(**columns: list) -> pa.Table:
-    """A table of Python lists, of which bytes become binary and ints bigint."""
-    return pa.table({k: pa.array(v, pa.binary() if v and isinstance(v[0], bytes) else pa.int64()) for k, v in columns.items()})
-
-
 def groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last + 1 of each stretch of equal rows of sorted keys."""
     n = len(keys[0])

@@ -18,7 +18,6 @@ is gathered beyond a range or a bucket, and a passage that a range holds many ti
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -29,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import SPACED_WORDS, U64, flat_text, gathered, groups, loads, mix, numbered, over_ranges, packed, prefix_hash, scratch, span_hash, split_words, steps, string_hash, tidy, unpacked, written
+from ledgerloom.llm._common import SPACED_WORDS, U64, flat_text, gathered, groups, loads, mix, numbered, over_ranges, packed, prefix_hash, put_file, scratch, span_hash, split_words, steps, string_hash, tidy, unpacked, written
 
 _NONE = np.zeros(0, U64)
 
@@ -304,12 +303,7 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[pa.Table, pa.Table, i
     folder = scratch(docs.sparkSession, "blocks")
 
     def keep_block(part: int, rows: pa.Table) -> dict:
-        store, path = fs.FileSystem.from_uri(folder)
-        store.create_dir(path, recursive=True)
-        own = f"{path}/_{uuid.uuid4().hex}"
-        with store.open_output_stream(own) as f:
-            f.write(packed(rows))
-        store.move(own, f"{path}/{part}")  # a task that runs twice leaves one file
+        put_file(folder, str(part), packed(rows))
         return {"part": part}
 
     def block(part: int) -> pa.Table:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontamination, language_id, packing, sharding, similarity_join, substring_dedup, suffix_dedup, token_files, topk_search, url_filter
-from ledgerloom.llm._common import scratch, written
+from ledgerloom.llm._common import scratch
 
 SHARDS = 24
 #: Queries of op5: one vec_id of so many.

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import _repeats as R
-from ledgerloom.llm._common import flat_text, gathered, numbered_rows, string_hash
+from ledgerloom.llm._common import flat_text, gathered, numbered_rows
 
 WINDOW = 20
 #: Letters of an automaton.

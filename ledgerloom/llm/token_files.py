@@ -15,18 +15,16 @@ key; an empty table writes no shard. Extra columns are left out.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm._common import LAST_ID, U64, WITHIN, flat_text, groups, mix, over_ranges, scratch, tidy
+from ledgerloom.llm._common import LAST_ID, U64, WITHIN, flat_text, groups, mix, over_ranges, put_file, scratch, tidy
 from ledgerloom.llm._tokens import encoder
 
 MAGIC = b"LLTOKEN1"
@@ -132,15 +130,10 @@ def write_token_files(docs: DataFrame, out_dir: str, tokenizer: str, *, id_col:
     ends = list(end_ids)
 
     def write(shard: int, rows: pa.Table) -> dict:
-        store, path = fs.FileSystem.from_uri(f"{out_dir}/shards")
-        store.create_dir(path, recursive=True)
         ids, bounds = encoder(tokenizer, special).encode(*flat_text(rows["text"]), ends)
         keys, n_null = rows["id"].combine_chunks().fill_null(LAST_ID).to_numpy(), rows["id"].null_count
         data = pack_shard(keys, n_null, ids, bounds)
-        own = f"{path}/_{uuid.uuid4().hex}"
-        with store.open_output_stream(own) as f:
-            f.write(data)
-        store.move(own, f"{path}/{shard:016d}.tok")
+        put_file(f"{out_dir}/shards", f"{shard:016d}.tok", data)
         low, high = (int(keys[0]), int(keys[len(keys) - n_null - 1])) if len(keys) > n_null else (None, None)
         return {"shard": shard, "n_rows": len(keys), "n_tokens": len(ids), "n_bytes": len(data), "low": low, "high": high}
 
