@@ -243,3 +243,37 @@ def png_pixels(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.png").load(path)
     rows = files.select(T.file_name(F.col("path")).alias("doc_id"), F.arrow_udf(read, "dpi double, rgb binary")("content").alias("p"))
     return rows.select("doc_id", "p.dpi", "p.rgb")
+
+
+def encoding_faults(report: DataFrame) -> DataFrame:
+    """doc_id, level, fault: findings of an encoding_report(): bytes that are not UTF-8 (FATAL), a byte order mark, CRLF and lone CR line ends (WARNING)."""
+    one = lambda level, fault: F.struct(F.lit(level).alias("level"), F.lit(fault).alias("fault"))
+    some = F.array(
+        F.when(~F.col("valid"), one("FATAL", "not_utf8")), F.when(F.col("has_bom"), one("WARNING", "bom")), F.when(F.col("crlf") > 0, one("WARNING", "crlf")), F.when(F.col("lone_cr") > 0, one("WARNING", "lone_cr")),
+    )
+    return report.select("doc_id", F.inline(F.array_compact(some)))
+
+
+def xml_faults(docs: DataFrame) -> DataFrame:
+    """doc_id, fault: texts that are no XML, with what the parser says. Entities are not resolved."""
+
+    def parse(texts: pa.Array) -> pa.Array:
+        from xml.parsers import expat
+
+        out = []
+        for t in texts.to_pylist():
+            try:
+                expat.ParserCreate().Parse((t or "").encode(), True)
+                out.append(None)
+            except expat.ExpatError as e:
+                out.append(str(e))
+        return pa.array(out, pa.string())
+
+    return docs.select("doc_id", F.arrow_udf(parse, "string")("text").alias("fault")).where("fault is not null")
+
+
+def provenance(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, produced_by, merged_file, path: delivered files by run, from a JSONL ledger; malformed lines are skipped."""
+    schema = "run_id string, produced_by string, merged_file string, delivery_paths array<string>, pipeline_steps array<string>"
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path).where("run_id is not null")
+    return rows.select("run_id", "produced_by", "merged_file", F.explode("delivery_paths").alias("path"))
