@@ -237,9 +237,15 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Spreads 64-bit values."""
-    x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> U64(27))) * U64(0x94D049BB133111EB)
-    return x ^ (x >> U64(31))
+    out = x >> U64(30)
+    out ^= x
+    out *= U64(0xBF58476D1CE4E5B9)
+    part = out >> U64(27)
+    out ^= part
+    out *= U64(0x94D049BB133111EB)
+    np.right_shift(out, U64(31), out=part)
+    out ^= part
+    return out
 
 
 def prefix_hash(values: np.ndarray) -> np.ndarray:

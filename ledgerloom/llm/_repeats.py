@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from ledgerloom.llm._common import SPACED_WORDS, U64, flat_text, gathered, groups, loads, mix, numbered, over_ranges, packed, prefix_hash, put_file, scratch, span_hash, split_words, steps, string_hash, tidy, unpacked, written
 
 _NONE = np.zeros(0, U64)
+_ODD = np.random.default_rng(9).integers(1, 1 << 62, 64, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 
 
 @dataclass
@@ -87,11 +88,11 @@ class Runs:
 def gram_hashes(t: Text, gram: int) -> np.ndarray:
     n = len(t.units) - gram + 1
     if t.at is None:
-        at8, h = loads(t.buf), np.full(n, gram, U64)
-        for i in steps(gram):
+        at8, h = np.array(loads(t.buf)), np.full(n, gram, U64)
+        for k, i in enumerate(steps(gram)):
             x = at8[i : i + n]
-            h = mix(h + (x if gram >= 8 else x & U64((1 << 8 * gram) - 1)))
-        return h
+            h += (x if gram >= 8 else x & U64((1 << 8 * gram) - 1)) * _ODD[k % len(_ODD)]
+        return mix(h)
     place = np.arange(n)
     return mix(span_hash(prefix_hash(t.units), place, place + gram))
 
@@ -314,7 +315,9 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[pa.Table, pa.Table, i
     parts = written(over_ranges(docs, id_col, text_col, tuple(keep), kind.range_bytes, keep_block, "part long"), "ranges")
     n_parts = parts.count()
     buckets = max(16, n_parts)
-    parts = parts.repartition(max(1, min(n_parts, 10_000)), "part")
+    # what a range gets back is small beside its documents, so the tasks are as many as ranges, not as the replies' bytes ask for
+    tasks = max(1, min(n_parts, 10_000))
+    parts = parts.repartition(tasks, "part")
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -343,13 +346,13 @@ def repeats(docs: DataFrame, kind: Kind, finish: Callable[[pa.Table, pa.Table, i
 
     by_part = lambda df: df.groupBy("part")
     answer = lambda key, rows: spans_that_repeat(key, rows, kind, with_bytes)
-    told = written(by_part(shared).applyInArrow(ask, SPANS).groupBy("bucket").applyInArrow(answer, REPLIES), "repeated")
+    told = written(by_part(shared.repartition(tasks, "part")).applyInArrow(ask, SPANS).groupBy("bucket").applyInArrow(answer, REPLIES), "repeated")
 
     def last(key: tuple, rows: pa.Table, replies: pa.Table) -> pa.Table:
         tidy()
         return finish(block(key[0].as_py()), replies, buckets)
 
-    return by_part(parts).cogroup(by_part(told if with_bytes else shared.unionAll(told))).applyInArrow(last, schema)
+    return by_part(parts).cogroup(by_part((told if with_bytes else shared.unionAll(told)).repartition(tasks, "part"))).applyInArrow(last, schema)
 
 
 def foreign_windows(t: Text, runs: Runs, replies: pa.Table, kind: Kind, buckets: int) -> tuple[np.ndarray, np.ndarray]:

@@ -178,13 +178,27 @@ def merged(s: np.ndarray, place: np.ndarray, shard: np.ndarray, window: int) ->
 
 def compare(t: R.Text, part: np.ndarray, kind: R.Kind) -> np.ndarray:
     """Starts of the windows of a bucket's spans that a smaller shard has, too. part: of each span, ascending."""
-    size = np.diff(t.bounds)
-    shard = np.repeat(np.unique(part, return_inverse=True)[1], size)
-    order = suffix_array(t.buf, kind.window, shard)
-    is_start = np.zeros(len(t.buf), bool)
-    is_start[R.stretches(t.bounds[:-1], np.maximum(size - kind.window + 1, 0))] = True
+    n = np.maximum(np.diff(t.bounds) - kind.window + 1, 0)
+    start, owner = R.stretches(t.bounds[:-1], n), np.repeat(np.unique(part, return_inverse=True)[1], n)
+    if not len(start):
+        return start
+    # windows whose hash one shard alone has need no place in the arrays
+    h = R.gram_hashes(t, kind.window)[start]
+    by = np.argsort(h, kind="stable")
+    at, to = groups(h[by])
+    several = np.zeros(len(by), bool)
+    several[by] = np.repeat(np.maximum.reduceat(owner[by], at) > np.minimum.reduceat(owner[by], at), to - at)
+    start, owner = start[several], owner[several]
+    inside = np.flatnonzero(R.covered(start, kind.window, len(t.buf)))
+    s, shard = t.buf[inside], np.repeat(np.arange(len(n)), np.diff(t.bounds))[inside]
+    shard = np.unique(part, return_inverse=True)[1][shard]
+    held = np.unique(owner)  # shards without such a window hold no place
+    shard = np.searchsorted(held, shard)
+    is_start = np.zeros(len(s), bool)
+    is_start[np.searchsorted(inside, start)] = True
+    order = suffix_array(s, kind.window, shard)
     place = order[is_start[order]]
-    return np.sort(place[merged(t.buf, place, shard[place], kind.window)])
+    return np.sort(inside[place[merged(s, place, shard[place], kind.window)]])
 
 
 BYTES = R.Kind(R.bytes_of, WINDOW, 16, 4 << 20, compare)
