@@ -137,7 +137,8 @@ def balanced_shards(docs: DataFrame, shards: int, *, links_col: str = "links", r
     table = written(numbered, "documents")
     quota = quotas(table.count(), shards)
     pairs = table.select("rid", F.explode(F.array_distinct("links")).alias("key")).where("key is not null")
-    shared = pairs.groupBy("key").count().where(F.col("count") > 1).select("key")
+    # a table of its own, so that Spark can split a key that many documents have
+    shared = written(pairs.groupBy("key").count().where(F.col("count") > 1).select("key"), "shared")
     start = F.pmod(F.xxhash64("rid", F.lit(1)), F.lit(shards)).cast("int")
     labels = propagate(pairs.join(shared, "key", "left_semi").select("rid", "key", start.alias("shard")), shards, quota, rounds)
     rows = table.select("rid").join(labels, "rid", "left").select("rid", F.col("shard").isNull().alias("free"), F.coalesce("shard", start).alias("shard"))
