@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, language_id, packing, sharding, similarity_join, substring_dedup, suffix_dedup, token_files, topk_search, url_filter
+from ledgerloom.llm import decontamination, language_id, mixing, packing, sharding, similarity_join, substring_dedup, suffix_dedup, token_files, topk_search, url_filter
 from ledgerloom.llm._common import scratch
 
 SHARDS = 24
@@ -95,9 +95,14 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept_bytes"), 256).alias("kept_sha256"))
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken."""
+    return mixing.taken(mixing.plan(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_decontamination, op3_url_filter, op4_ngram_jaccard_join, op5_topk_search, op6_language_id, op7_token_files, op8_packing, op9_substring_dedup, op10_suffix_dedup)
+    for f in (op1_sharding, op2_decontamination, op3_url_filter, op4_ngram_jaccard_join, op5_topk_search, op6_language_id, op7_token_files, op8_packing, op9_substring_dedup, op10_suffix_dedup, op11_mixing)
 }
 
 _PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -191,4 +196,31 @@ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGI
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_decontamination": _OP2, "op3_url_filter": _OP3, "op4_ngram_jaccard_join": _OP4, "op5_topk_search": _OP5, "op9_substring_dedup": _OP9, "op10_suffix_dedup": _OP10}
+#: One step of a permutation changes x and its mirror if the larger one's hash says so; the level is the first one that no further source exceeds.
+_OP11 = rf"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM d GROUP BY source),
+w AS (SELECT *, {list(mixing.WEIGHTS)}[number % {len(mixing.WEIGHTS)} + 1] AS weight, {mixing.MOST} * size AS most FROM s),
+o AS (SELECT *, most / weight AS r, sum(size) OVER () - coalesce(sum(most) OVER (ORDER BY most / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS num,
+  sum(weight) OVER (ORDER BY most / weight, number ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS den FROM w),
+level AS (SELECT num::BIGINT AS num, den::BIGINT AS den FROM o WHERE num * weight < most * den ORDER BY r, number LIMIT 1),
+t AS (SELECT number, source, size, CASE WHEN den IS NULL OR most * den <= num * weight THEN most::DOUBLE ELSE num * weight / den END AS target,
+  CASE WHEN den IS NULL OR most * den <= num * weight THEN most ELSE (2 * num * weight + den) // (2 * den) END AS words FROM w LEFT JOIN level ON true),
+turn AS (SELECT number, turn, size // {mixing.BLOCK} AS whole, CASE WHEN (turn + 1) * size <= words THEN size ELSE words % size END AS words
+  FROM (SELECT *, unnest(range((words + size - 1) // size)) AS turn FROM t WHERE size > 0)),
+slot AS (SELECT *, unnest(range((words + {mixing.BLOCK} - 1) // {mixing.BLOCK})) AS j FROM turn),
+key AS (SELECT number, turn, round, ('0x' || substr(md5('mix:' || number || ':' || turn || ':' || round), 1, 15))::BIGINT AS key FROM turn, range({mixing.ROUNDS}) AS r(round)),
+step AS (SELECT number, turn, j, j AS x, whole, 0 AS round FROM slot WHERE j < whole
+  UNION ALL SELECT number, turn, j, CASE WHEN substr(md5(key || ':' || greatest(x, other)), 1, 1) < '8' THEN other ELSE x END, whole, round + 1
+  FROM (SELECT step.*, key, ((key - x) % whole + whole) % whole AS other FROM step JOIN key USING (number, turn, round))),
+block AS (SELECT number, coalesce(x, whole) AS block, least({mixing.BLOCK}, words - j * {mixing.BLOCK}) AS words
+  FROM slot LEFT JOIN (SELECT number, turn, j, x FROM step WHERE round = {mixing.ROUNDS}) USING (number, turn, j)),
+own AS (SELECT d.*, number, t.size AS source_size, target, row_number() OVER () AS id,
+  coalesce(sum(d.size) OVER (PARTITION BY number ORDER BY doc_id NULLS LAST, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+piece AS (SELECT id, number, start, size, unnest(range(start // {mixing.BLOCK}, (start + size + {mixing.BLOCK} - 1) // {mixing.BLOCK})) AS block FROM own),
+sums AS (SELECT id, sum(greatest(least(start + size - block * {mixing.BLOCK}, words) - greatest(start - block * {mixing.BLOCK}, 0), 0)) AS taken FROM piece JOIN block USING (number, block) GROUP BY id)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM own LEFT JOIN sums USING (id)
+"""
+
+ORACLE_SQL = {"op2_decontamination": _OP2, "op3_url_filter": _OP3, "op4_ngram_jaccard_join": _OP4, "op5_topk_search": _OP5, "op9_substring_dedup": _OP9, "op10_suffix_dedup": _OP10, "op11_mixing": _OP11}
