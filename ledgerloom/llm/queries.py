@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import decontamination, language_id, mixing, packing, sharding, similarity_join, substring_dedup, suffix_dedup, token_files, topk_search, url_filter
+from ledgerloom.llm import decontamination, language_id, mixing, packing, sharding, similarity_join, spelling, substring_dedup, suffix_dedup, token_alignment, token_files, topk_search, url_filter
 from ledgerloom.llm._common import scratch
 
 SHARDS = 24
@@ -25,10 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +100,20 @@ def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(mixing.plan(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n."""
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
+    found = token_alignment.alignment(table(spark, sf_dir, "documents"), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+    return found.drop("groups")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sharding, op2_decontamination, op3_url_filter, op4_ngram_jaccard_join, op5_topk_search, op6_language_id, op7_token_files, op8_packing, op9_substring_dedup, op10_suffix_dedup, op11_mixing)
+    for f in (op1_sharding, op2_decontamination, op3_url_filter, op4_ngram_jaccard_join, op5_topk_search, op6_language_id, op7_token_files, op8_packing, op9_substring_dedup, op10_suffix_dedup, op11_mixing, op12_spelling_variants, op13_token_alignment)
 }
 
 _PLAIN = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -223,4 +234,29 @@ sums AS (SELECT id, sum(greatest(least(start + size - block * {mixing.BLOCK}, wo
 SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM own LEFT JOIN sums USING (id)
 """
 
-ORACLE_SQL = {"op2_decontamination": _OP2, "op3_url_filter": _OP3, "op4_ngram_jaccard_join": _OP4, "op5_topk_search": _OP5, "op9_substring_dedup": _OP9, "op10_suffix_dedup": _OP10, "op11_mixing": _OP11}
+def _crc_table() -> list[int]:
+    """What each byte does to a CRC-32, from its polynomial."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [(c >> 1) ^ (0xEDB88320 if c & 1 else 0) for c in out]
+    return out
+
+
+#: Near words by their forms with one code point left out: of one length if they leave out the same place, else if the longer one becomes the shorter.
+_OP12 = f"""
+WITH RECURSIVE r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM r GROUP BY doc_id, run),
+k AS (SELECT run, n, xor(list_reduce(list_transform(range(length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+  lambda a, b: xor(a >> 8, {_crc_table()}[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS crc FROM c),
+e AS (SELECT CASE WHEN crc % {spelling.EACH} = 0 THEN left(run, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word, n FROM k),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= {spelling.LONG} GROUP BY word HAVING sum(n) >= {spelling.OFTEN}),
+p AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (SELECT a.word, b.word AS other, b.n FROM p a JOIN p b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT p.word, v.word, v.n FROM p JOIN v ON p.rest = v.word UNION SELECT v.word, p.word, p.n FROM p JOIN v ON p.rest = v.word),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS form, max(n) AS form_n FROM near GROUP BY word),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
+way(word, at) AS (SELECT word, word FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON way.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM f JOIN way USING (word) JOIN f l ON l.word = way.at WHERE l.form IS NULL
+"""
+
+ORACLE_SQL = {"op2_decontamination": _OP2, "op3_url_filter": _OP3, "op4_ngram_jaccard_join": _OP4, "op5_topk_search": _OP5, "op9_substring_dedup": _OP9, "op10_suffix_dedup": _OP10, "op11_mixing": _OP11, "op12_spelling_variants": _OP12}
