@@ -255,8 +255,8 @@ near AS (SELECT a.word, b.word AS other, b.n FROM p a JOIN p b ON a.i = b.i AND
   UNION SELECT p.word, v.word, v.n FROM p JOIN v ON p.rest = v.word UNION SELECT v.word, p.word, p.n FROM p JOIN v ON p.rest = v.word),
 best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS form, max(n) AS form_n FROM near GROUP BY word),
 f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 2 * v.n THEN form END AS form, CASE WHEN form_n >= 2 * v.n THEN form_n END AS form_n FROM v LEFT JOIN best USING (word)),
-way(word, at) AS (SELECT word, word FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON way.at = f.word WHERE f.form IS NOT NULL)
-SELECT f.word, f.form, way.at AS root, f.n, f.n_near, f.form_n FROM f JOIN way USING (word) JOIN f l ON l.word = way.at WHERE l.form IS NULL
+way(word, root) AS (SELECT word, word FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON way.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.root, f.n, f.n_near, f.form_n FROM f JOIN way USING (word) JOIN f l ON l.word = way.root WHERE l.form IS NULL
 """
 
 ORACLE_SQL = {"op2_decontamination": _OP2, "op3_url_filter": _OP3, "op4_ngram_jaccard_join": _OP4, "op5_topk_search": _OP5, "op9_substring_dedup": _OP9, "op10_suffix_dedup": _OP10, "op11_mixing": _OP11, "op12_spelling_variants": _OP12}
