@@ -15,10 +15,10 @@ from ledgerloom.operators import audits, contract, diagrams, figures, outlines,
 from ledgerloom.operators import lines as L
 from ledgerloom.operators import ranks
 from ledgerloom.operators import references as R
-from ledgerloom.plans import reports
+from ledgerloom.plans import reports, validation
 from ledgerloom.plans.registry import ORACLE_SQL, QUERIES, query, table
 
-__all__ = ["ORACLE_SQL", "QUERIES", "reports"]
+__all__ = ["ORACLE_SQL", "QUERIES", "reports", "validation"]
 #: A class that Java and RE2 read alike, for the invented prose of the tables.
 WORDS = "[a-z]"
 
