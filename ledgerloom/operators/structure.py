@@ -137,32 +137,6 @@ def manifest(outline: DataFrame) -> DataFrame:
     return outline.groupBy("doc_id").agg(*[F.count_if(F.col("kind") == k).alias(n) for n, k in kinds.items()])
 
 
-def missing_terms(docs: DataFrame, terms: DataFrame, least: float = 0.6) -> DataFrame:
-    """doc_id, term_id, form, near: preferred forms (without bracketed parts) that a text lacks, with the window of it that shares most of the form's character 3-grams, if it is at least so many; the first of equal ones, null if there is none or the form has fewer than four characters.
-
-    A text is compared with each form by contains(), as a glossary is short (its rows ride as one). Near windows are found by the 3-grams that text and form share, joined by value, and only windows (twice as long as the
-    form at most, a third of it apart) that hold one are compared. terms: term_id, preferred_form.
-    """
-    base = F.trim(F.regexp_replace("preferred_form", r"\s*[\(（][^\)）]*[\)）]", ""))
-    forms = terms.select("term_id", base.alias("form")).where("form <> ''").withColumns({"grams": T.char_ngrams(F.col("form"), 3), "size": F.length("form")})
-    body = docs.select("doc_id", T.body_clean(F.col("text")).alias("body"))
-    places = body.select("doc_id", F.posexplode(F.when(F.length("body") >= 3, F.transform(F.sequence(F.lit(1), F.length("body") - 2), lambda i: F.substr("body", i, F.lit(3))))).alias("p", "gram"))
-    keyed = forms.select("term_id", "size", F.explode("grams").alias("gram"), F.size("grams").alias("of"))
-    met = places.join(keyed, "gram")
-    # windows of twice the form's size, a third of the size apart: a place lies in those that start up to its window before it
-    stride, wide = F.greatest(F.floor(F.col("size") / 3), F.lit(1)), F.col("size") * 2
-    last = F.floor(F.col("p") / stride)
-    first = F.greatest(F.ceil((F.col("p") + 3 - wide) / stride), F.lit(0))
-    at = met.where("size >= 4").select("doc_id", "term_id", "size", "of", "gram", stride.alias("stride"), F.explode(F.when(first <= last, F.sequence(first, last))).alias("w"))
-    share = at.groupBy("doc_id", "term_id", "size", "of", "stride", "w").agg((F.count_distinct("gram") / F.col("of")).alias("share")).where(F.col("share") >= least)
-    best = share.groupBy("doc_id", "term_id", "size").agg(F.max_by(F.col("w") * F.col("stride"), F.struct("share", -F.col("w"))).alias("start"))
-    # the glossary, one row, rides with every text; what a text has is filtered before it becomes rows
-    glossary = forms.agg(F.collect_list(F.struct("term_id", "form", "size")).alias("terms"))
-    lacking = body.join(F.broadcast(glossary), F.lit(True)).select("doc_id", "body", F.inline(F.filter("terms", lambda t: ~F.contains("body", t["form"]))))
-    near = F.substr("body", (F.col("start") + 1).cast("int"), F.col("size") * 2)
-    return lacking.join(best.drop("size"), ["doc_id", "term_id"], "left").select("doc_id", "term_id", "form", near.alias("near"))
-
-
 def first_of(findings: DataFrame, by: str, order: list[Column], most: int) -> DataFrame:
     """The first rows of each group by an order: what a report shows of it."""
     rank = F.row_number().over(Window.partitionBy(by).orderBy(*order))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import audits, contract, diagrams, drafts, figures, findings, outlines, ranks, structure
 from ledgerloom.operators import lines as L
 from ledgerloom.operators import references as R
+from ledgerloom.operators import terms as T
 from ledgerloom.plans.registry import query, table
 from ledgerloom.sources import readers
 
@@ -197,7 +198,7 @@ def missing_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _built(spark, sf_dir, "'we use a ', CASE WHEN k % 2 = 1 THEN 'closed loop' WHEN k % 3 = 0 THEN 'closed loo' ELSE 'wide ring' END, ' of tests'")
     terms = spark.createDataFrame([("T1", "closed loop（CL）"), ("T2", "use a"), ("T3", "abc (x)")], "term_id string, preferred_form string")
     near = F.when(F.contains("near", F.lit("closed loo")), "near").when(F.col("near").isNull(), "none").otherwise(F.col("near"))
-    return structure.missing_terms(docs, terms).select("doc_id", "term_id", "form", near.alias("near"))
+    return T.missing_terms(docs, terms).select("doc_id", "term_id", "form", near.alias("near"))
 
 
 _PLAN = "WITH f AS (SELECT o_custkey AS doc_id, o_orderkey + 1000000 AS n, o_orderkey AS k FROM orders), g AS (SELECT *, k % 4 <> 0 OR k % 8 = 0 AS there, k % 3 <> 0 AS need, k % 5 <> 0 AS fine FROM f)"

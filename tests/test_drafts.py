@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import text as T
 from ledgerloom.operators import audits, contract, drafts, figures, ranks, structure
 from ledgerloom.operators import lines as L
+from ledgerloom.operators import terms as TERMS
 from ledgerloom.operators import references as R
 from ledgerloom.sources import readers
 
@@ -47,7 +48,7 @@ def test_blocks_are_dropped_with_all_below(spark) -> None:
 
 def test_terms_are_found_by_their_likes(spark) -> None:
     terms = spark.createDataFrame([("T1", "自主协同闭环（SCL）"), ("T2", "abc"), ("T3", "未见术语")], "term_id string, preferred_form string")
-    got = {(r["doc_id"], r["term_id"]): r["near"] for r in structure.missing_terms(docs_of(spark, "系统采用自主协同的闭环控制，而自主协同闭很重要", "abc", ""), terms).collect()}
+    got = {(r["doc_id"], r["term_id"]): r["near"] for r in TERMS.missing_terms(docs_of(spark, "系统采用自主协同的闭环控制，而自主协同闭很重要", "abc", ""), terms).collect()}
     assert "自主协同" in got["d0", "T1"] and got["d0", "T2"] is None and got["d0", "T3"] is None and ("d1", "T2") not in got and len(got) == 8
 
 
