@@ -175,14 +175,14 @@ def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.checked(docs, figures.where(F.regexp_extract("path", r"(\d+)\.png", 1).cast("int") % 5 != 0))
 
 
-#: Forms from the first turns of every fifth conversation, each with a sign too many in its middle.
+#: Forms from the first turns of every tenth conversation, each with a sign too many in its middle.
 _FORM = "concat(substr(text, 4, 7), '#', substr(text, 11, 7 + conv_id % 9))"
 
 
 @query(
     rf"""
-WITH body AS (SELECT conv_id AS doc_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY turn, role, text), '\s+', ' ', 'g')) AS body FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
-form AS (SELECT conv_id AS term_id, min(trim({_FORM})) AS form FROM conversations WHERE turn = 0 AND conv_id % 5 = 0 GROUP BY conv_id),
+WITH body AS (SELECT conv_id || '-' || turn AS doc_id, trim(regexp_replace(min(text), '\s+', ' ', 'g')) AS body FROM conversations GROUP BY conv_id, turn),
+form AS (SELECT conv_id AS term_id, min(trim({_FORM})) AS form FROM conversations WHERE turn = 0 AND conv_id % 10 = 0 GROUP BY conv_id),
 gram AS (SELECT term_id, form, length(form) AS long, list_distinct(list_transform(range(1, length(form) - 1), lambda i: substr(form, i, 3))) AS grams FROM form WHERE length(form) >= {terms.LONG}),
 pair AS (SELECT doc_id, term_id, body, long, length(body) AS n, grams FROM body, gram WHERE len(list_filter(grams, lambda g: contains(body, g))) / len(grams) >= {terms.LEAST}),
 size AS (SELECT *, unnest(range(greatest(3, long // 2), least(n, 2 * long) + 1, 3)) AS size FROM pair),
@@ -193,8 +193,8 @@ SELECT doc_id, term_id, near, share FROM best WHERE nth = 1
 """
 )
 def near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The windows of conversations that come near to forms taken from some of them."""
+    """The windows of turns that come near to forms taken from some of them."""
     turns = table(spark, sf_dir, "conversations")
-    whole = turns.where("conv_id IS NOT NULL").groupBy("conv_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))), lambda t: t["text"]), " ").alias("text"))
-    forms = turns.where("turn = 0 AND conv_id % 5 = 0").groupBy(F.col("conv_id").alias("term_id")).agg(F.expr(f"min(trim({_FORM}))").alias("preferred_form"))
-    return terms.near_terms(whole.select(F.col("conv_id").alias("doc_id"), "text"), forms)
+    each = turns.groupBy("conv_id", "turn").agg(F.min("text").alias("text")).select(F.concat("conv_id", F.lit("-"), "turn").alias("doc_id"), "text")
+    forms = turns.where("turn = 0 AND conv_id % 10 = 0").groupBy(F.col("conv_id").alias("term_id")).agg(F.expr(f"min(trim({_FORM}))").alias("preferred_form"))
+    return terms.near_terms(each, forms)
