@@ -36,7 +36,7 @@ WEIGHTS = (5, 2, 1)
 #: A source's target is at most so many times its size.
 MOST = 3
 #: Words of a block, blocks of an output shard, steps of a permutation, slots that one row is exploded into.
-BLOCK, SHARD, ROUNDS, CHUNK = 512, 1024, 16, 4096
+BLOCK, SHARD, ROUNDS, CHUNK = 512, 1024, 16, 1024
 
 
 class Mix(NamedTuple):
@@ -92,7 +92,7 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     ranged = written(ranges.withColumn("part", F.spark_partition_id()), "ranges")
     pieces = ranged.groupBy("part", "source").agg(F.sum("size").alias("own"))
     gone = F.sum("own").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-    pieces = written(pieces.withColumn("earlier", F.coalesce(gone, F.lit(0))), "pieces")
+    pieces = pieces.withColumn("earlier", F.coalesce(gone, F.lit(0)))
     by_source = pieces.groupBy("source").agg(F.sum("own").alias("size"), F.min("part").alias("part")).withColumn("one", F.lit(1))
     sources = _running(by_source, "one", [F.col("source").asc_nulls_last()], "number")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("number") % len(weights) + 1).cast("int"))
@@ -101,7 +101,7 @@ def plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", sou
     full, tail = _full(num, den, weights), F.when(F.col("size") % block > 0, 1).otherwise(0)
     sources = sources.withColumns({"target": F.when(full, F.col("most").cast("double")).otherwise(_by_weight({w: num * w / den for w in weights})), "words": F.when(full, F.col("most")).otherwise(_by_weight({w: (2 * num * w + den) // (2 * den) for w in weights}))})
     sources = sources.withColumns({"blocks": (F.floor(F.col("size") / block) + tail).cast("long"), "whole": F.expr("if(size > 0, words div size, 0)"), "rest": F.expr("if(size > 0, words % size, 0)")})
-    sources = written(_running(sources.withColumn("slots", (F.col("whole") * F.col("blocks") + F.ceil(F.col("rest") / block)).cast("long")), "slots", [F.col("source").asc_nulls_last()], "before"), "shares")
+    sources = _running(sources.withColumn("slots", (F.col("whole") * F.col("blocks") + F.ceil(F.col("rest") / block)).cast("long")), "slots", [F.col("source").asc_nulls_last()], "before")
     start = F.col("earlier") + F.coalesce(F.sum("size").over(Window.partitionBy("part", "source").orderBy(*within).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     at = looked_up(ranged, pieces.select("part", "source", "earlier"), ["part", "source"]).withColumn("start", start)
     rows = looked_up(at.drop("part", "earlier", "mark", "salt"), sources.select("source", "number", F.col("size").alias("source_size"), "target"), ["source"])
@@ -130,7 +130,7 @@ def slots(mix: Mix, shard: int = SHARD) -> DataFrame:
     size, rest = F.col("size"), F.col("rest")
     each = mix.sources.where("slots > 0").select("number", "size", "blocks", "before", F.explode(F.expr("sequence(0, if(rest > 0, whole, whole - 1))")).alias("turn"), "whole", "rest")
     each = each.withColumns({"n": F.when(F.col("turn") < F.col("whole"), F.col("blocks")).otherwise(F.ceil(rest / mix.block)).cast("long"), "words": F.when(F.col("turn") < F.col("whole"), size).otherwise(rest), "keys": keys_of(mix.seed, F.col("number"), F.col("turn"))})
-    chunks = each.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long")))).repartition("number", "turn", "low")
+    chunks = each.withColumn("low", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(CHUNK).cast("long")))).repartition(-(-mix.slots // (16 * CHUNK)) or 1, "number", "turn", "low")
     one = chunks.withColumn("j", F.explode(F.sequence("low", F.least(F.col("low") + CHUNK, F.col("n")) - 1)))
     full = F.expr(f"size div {mix.block}")
     block = F.when(F.col("j") < full, permuted(F.col("j"), full, F.col("keys"))).otherwise(full)
@@ -157,7 +157,7 @@ def taken(mix: Mix) -> DataFrame:
     """Of each document: doc_id, source, size, source_size, target, taken."""
     keys = ["number", "start", "id", "source", "size", "source_size", "target"]
     n = F.greatest(F.least(F.col("high"), F.coalesce("words", F.lit(0))) - F.col("low"), F.lit(0))
-    joined = spans(mix).select(*keys, "block", "low", "high").join(slots(mix).select("number", "block", "words"), ["number", "block"], "left")
+    joined = spans(mix).select(*keys, "block", "low", "high").join(slots(mix).select("number", "block", "words").hint("merge"), ["number", "block"], "left")
     some = joined.groupBy(*keys).agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("taken"))
     none = mix.rows.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
     return some.unionByName(none).select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "taken")
@@ -167,5 +167,5 @@ def mixed(mix: Mix, shard: int = SHARD) -> DataFrame:
     """The mix itself: shard, slot, source, block, words (an array, in the order of the source). plan() must have kept texts."""
     own = spans(mix).select("number", "source", "block", "low", F.expr(f"slice(words, int(block * {mix.block} + low - start) + 1, int(high - low))").alias("part"))
     blocks = own.groupBy("number", "source", "block").agg(F.sort_array(F.collect_list(F.struct("low", "part"))).alias("parts"))
-    joined = slots(mix, shard).join(blocks.select("number", "source", "block", F.flatten("parts.part").alias("all")), ["number", "block"])
+    joined = slots(mix, shard).hint("merge").join(blocks.select("number", "source", "block", F.flatten("parts.part").alias("all")), ["number", "block"])
     return joined.select("shard", "slot", "source", "block", F.slice("all", F.lit(1), F.col("words").cast("int")).alias("words"))
