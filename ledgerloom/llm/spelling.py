@@ -36,6 +36,8 @@ EACH = 97
 LONG, OFTEN = 5, 3
 #: Pairs up to which the words of a segment are paired.
 LIMIT = 10_000
+#: Code points up to which words are compared by their edit distance.
+SHORT = 64
 KEY = ["size", "low", "high", "known"]
 
 
@@ -96,9 +98,24 @@ def candidates(words: DataFrame, limit: int = LIMIT) -> DataFrame:
     return out.distinct()
 
 
+def one_edit(a: Column, b: Column) -> Column:
+    """Whether b, as long as a or one longer, is one inserted or replaced code point away. Long words are compared behind what they share in front, which halving finds, as the distance takes the square of their lengths."""
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.length(a) + 2)).cast("int"))
+    first = F.struct(F.lit(0).alias("low"), F.length(a).alias("high"))
+
+    def closer(s: Column, _: Column) -> Column:
+        mid = F.floor((s["low"] + s["high"] + 1) / 2).cast("int")
+        same = F.substring(a, F.lit(1), mid) == F.substring(b, F.lit(1), mid)
+        return F.struct(F.when(same, mid).otherwise(s["low"]).alias("low"), F.when(same, s["high"]).otherwise(mid - 1).alias("high"))
+
+    shared = F.aggregate(steps, first, closer, lambda s: s["low"])
+    behind = F.element_at(F.transform(F.array(shared), lambda n: F.when(F.length(a) == F.length(b), (a != b) & (F.substring(a, n + 2, F.length(a)) == F.substring(b, n + 2, F.length(b)))).otherwise(F.substring(a, n + 1, F.length(a)) == F.substring(b, n + 2, F.length(b)))), 1)
+    return F.when(F.length(a) > SHORT, behind).otherwise(F.levenshtein(a, b, 1) == 1)
+
+
 def near(words: DataFrame, limit: int = LIMIT) -> DataFrame:
     """Pairs (a, a_n, b, b_n) of words that are one inserted, deleted or replaced code point apart, each once."""
-    return candidates(words, limit).where(F.levenshtein("a", "b", 1) == 1)
+    return candidates(words, limit).where(one_edit(F.col("a"), F.col("b")))
 
 
 def _roots(forms: DataFrame) -> DataFrame:
