@@ -8,6 +8,8 @@ import zlib
 from collections import Counter
 
 
+from pyspark.sql import functions as F
+
 from ledgerloom.llm import spelling
 
 
@@ -70,9 +72,21 @@ def test_crowded_segments_lose_no_pair(spark) -> None:
     assert pairs == {tuple(sorted((v, w))) for i, v in enumerate(words) for w in words[:i] if near(v, w)}
 
 
+def test_one_edit_of_long_words(spark) -> None:
+    rng = random.Random(2)
+    pairs = []
+    for _ in range(200):
+        a = "".join(rng.choice("ab") for _ in range(rng.randint(60, 90)))
+        b = varied(rng, a) if rng.random() < 0.7 else varied(rng, varied(rng, a))
+        pairs += [(a, b)] if len(a) <= len(b) <= len(a) + 1 else [(b, a)] if len(b) <= len(a) <= len(b) + 1 else []
+    pairs += [("x" * 80, "x" * 80), ("x" * 80, "x" * 81)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", spelling.one_edit(F.col("a"), F.col("b")).alias("ok")).collect()
+    assert [r["ok"] for r in got] == [near(r["a"], r["b"]) for r in got] and 50 < sum(r["ok"] for r in got) < len(got) - 20
+
+
 def test_ties_long_runs_names_and_no_rows(spark) -> None:
     assert got(spark.createDataFrame([], "doc_id long, text string")) == []
-    long = "ab" * 40_000
+    long = "ab" * 4_000
     docs = [(i, f"{long} {long}x words words words wordz worda") for i in range(3)]
     df = spark.createDataFrame([(*d, 1, 2, 3) for d in docs], "`doc.id` long, `te``xt` string, word int, n int, size int")
     assert got(df, id_col="doc.id", text_col="te`xt") == plain(docs)
