@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._columns import named
 from ledgerloom.llm._common import written
 
 #: What separates words, after lower-casing.
@@ -93,7 +94,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     """The documents that hold no window of an item, with all their columns."""
     found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **how).where("contaminated")
     gone = written(found.select("doc_id", "mark").distinct(), "contaminated").alias("gone")
-    own = docs.select(F.struct(*docs.columns).alias("d")).alias("own")  # whatever the names of its columns are
+    own = docs.select(F.struct(*map(named, docs.columns)).alias("d")).alias("own")  # whatever the names of its columns are
     id_, text = F.col("own.d").getField(id_col), F.col("own.d").getField(text_col)
     kept = own.join(gone, id_.eqNullSafe(F.col("gone.doc_id")) & F.xxhash64(text).eqNullSafe(F.col("gone.mark")), "left_anti")
     return kept.select(*[F.col("d").getField(c).alias(c) for c in docs.columns])

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._columns import named
 from ledgerloom.llm._common import U64, flat_text, slices, small_batches, tidy, written
 
 TRAIN_ROWS = 3000
@@ -325,13 +326,13 @@ def judged(text: Column, model: Model | None) -> Column:
 def predict(docs: DataFrame, model: Model | None, *, text_col: str = "text", label_out: str = "lang_pred", score_out: str = "score", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, the label and the score of every whole text."""
     small_batches(docs.sparkSession)
-    own = docs.select(judged(F.col(text_col), model).alias("j"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)])
+    own = docs.select(judged(F.col(text_col), model).alias("j"), *[named(c).alias(f"k{i}") for i, c in enumerate(keep)])
     return own.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("j.label").alias(label_out), F.col("j.score").alias(score_out))
 
 
 def in_learned_languages(docs: DataFrame, model: Model | None, *, text_col: str = "text", label_col: str | None = None, sure: float = 0.9) -> DataFrame:
     """The rows that in_language() keeps, with all their columns. label_col: where it is null, and the score is at least sure, it gets the label."""
     small_batches(docs.sparkSession)
-    own = docs.select(judged(F.col(text_col), model).alias("j"), F.struct(*docs.columns).alias("d")).where("j.stays")
+    own = docs.select(judged(F.col(text_col), model).alias("j"), F.struct(*map(named, docs.columns)).alias("d")).where("j.stays")
     label = lambda c: F.coalesce(F.col("d").getField(c), F.when((F.col("j.score") >= sure) & (F.col("j.label") != UNKNOWN), F.col("j.label")))
     return own.select(*[(label(c) if c == label_col else F.col("d").getField(c)).alias(c) for c in docs.columns])

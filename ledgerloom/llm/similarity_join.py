@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ledgerloom.llm._columns import named
 from ledgerloom.llm._common import PLAIN_WORDS, U64, flat_text, groups, lower_ascii, mix, numbered, numbered_rows, order_id, powers, prefix_hash, slices, small_batches, split_words, tidy, written
 
 THRESHOLD = 0.8
@@ -233,7 +234,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     """A table of all rows (row, key of the text, doc_id, text, n, sig, and with keep their columns as d), and of each key: key, class (a key), class_id, n_links."""
     small_batches(docs.sparkSession)
     text = F.col(text_col)
-    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[F.struct(*[c for c in docs.columns if c != text_col]).alias("d")] * (keep and len(docs.columns) > 1))
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("key"), F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *[F.struct(*[named(c) for c in docs.columns if c != text_col]).alias("d")] * (keep and len(docs.columns) > 1))
     signed = written(slim.withColumn("s", signature(F.col("text"), size)).select(*slim.columns, "s.n", "s.sig"), "signed")
     whole = signed.where("key is not null")
     one = whole.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("low"), F.min("row").alias("row"))
