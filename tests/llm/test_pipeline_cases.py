@@ -21,7 +21,7 @@ def prose(n: int) -> str:
 
 def stored(spark, path, rows: list[tuple], items: list[tuple]) -> str:
     docs = spark.createDataFrame(rows, SCHEMA)
-    for name in ("id", "row", "d", "key", "part", "words", "j", "label"):  # names that the stages use themselves
+    for name in ("id", "row", "d", "key", "part", "words", "j", "label", "a.b", "x`y", "d.e"):  # names that the stages use themselves, and odd ones
         docs = docs.withColumn(name, F.lit("clash"))
     docs.write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
@@ -59,13 +59,13 @@ def test_equal_and_long_texts_are_judged_alike(spark) -> None:
     rows = [(i, f"the text {i} of many", "en") for i in range(60)] + [(100 + i, f"le texte {i} de tous", "fr") for i in range(60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     model = language_id.fit(docs, F.lit(True))
-    odd = spark.createDataFrame([(1, "the text " * 40_000), (2, "the text"), (3, "the text"), (4, "12 34"), (5, "ß")], "doc_id long, text string").withColumn("lang_pred", F.lit("clash")).withColumn("score", F.lit("clash"))
-    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(odd, model).collect()}
+    odd = spark.createDataFrame([(1, "the text " * 40_000), (2, "the text"), (3, "the text"), (4, "12 34"), (5, "ß")], "doc_id long, text string").withColumn("lang_pred", F.lit("clash")).withColumn("score", F.lit("clash")).withColumn("a.b", F.lit(1))
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.predict(odd, model, keep=("doc_id", "a.b")).collect()}
     assert got[1][0] == "en" and got[2] == got[3] and got[4] == ("und", 0.0) and got[5][0] in ("en", "fr")
 
 
 def test_clashing_names_in_single_stages(spark) -> None:
-    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string").withColumns({n: F.lit("clash") for n in ("key", "row", "d", "__own", "__md5", "__id", "gone", "own", "mark")})
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, "x")], "doc_id long, text string").withColumns({n: F.lit("clash") for n in ("key", "row", "d", "__own", "__md5", "__id", "gone", "own", "mark", "a.b", "x`y")})
     kept = similarity_join.keep_one(docs)
     assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
     bench = spark.createDataFrame([(1, "b c")], "item_id long, text string").withColumn("w", F.lit("clash"))
