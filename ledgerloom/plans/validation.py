@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import schemas, terms, tree
+from ledgerloom.operators import rules, schemas, terms, tree
 from ledgerloom.plans.registry import query, table
 
 #: An order with its lines.
@@ -198,3 +198,42 @@ def near_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = turns.groupBy("conv_id", "turn").agg(F.min("text").alias("text")).select(F.concat("conv_id", F.lit("-"), "turn").alias("doc_id"), "text")
     forms = turns.where("turn = 0 AND conv_id % 10 = 0").groupBy(F.col("conv_id").alias("term_id")).agg(F.expr(f"min(trim({_FORM}))").alias("preferred_form"))
     return terms.near_terms(each, forms)
+
+
+#: Rules for parts, the first that fits counts.
+_RULES = [(1, r"brand#1\d .*promo", "a"), (2, "blue widget", "b"), (3, "large ", "c"), (4, r"^cold (rod|bolt)", "d"), (5, "e", "e5"), (6, "ECONOMY", "f"), (9, "widget", "g")]
+
+
+@query(
+    "WITH v AS (SELECT p_partkey AS id, p_name || ' ' || p_brand || ' ' || p_type AS value FROM part) SELECT id, value, CASE "
+    + " ".join(f"WHEN regexp_matches(value, '(?i){p}') THEN '{r}'" for _, p, r in _RULES)
+    + " ELSE 'none' END AS rule FROM v"
+)
+def rule_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first rule that each part's name, brand and type meet."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_brand", "p_type").alias("value"))
+    return rules.first_match(parts, spark.createDataFrame(_RULES, "place long, pattern string, rule string"), "id", "value", "none")
+
+
+_META = """concat('# Report of ', o_orderpriority, ' order ', o_orderkey, chr(10), chr(10), CASE WHEN o_orderkey % 3 = 0 THEN concat('**副标题**：', o_orderpriority, chr(10)) ELSE '' END, CASE WHEN o_orderkey % 5 < 2 THEN concat('**版本**：V1.', o_orderkey % 7, CASE WHEN o_orderkey % 5 = 0 THEN ' | 2024年' ELSE '' END, chr(10)) ELSE '' END,
+CASE WHEN o_orderkey % 4 = 0 THEN 'body' ELSE '' END, chr(10), '**编制机构**：C', o_custkey, chr(10), '**编制机构**：D', o_custkey % 9)"""
+
+
+@query(
+    rf"""
+WITH d AS (SELECT *, string_split({_META}, chr(10)) AS l FROM orders), u AS (SELECT o_orderkey, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM d),
+w AS (SELECT *, min(CASE WHEN i > 1 AND line <> '' AND NOT starts_with(line, '**') THEN i END) OVER (PARTITION BY o_orderkey) AS stop FROM u),
+m AS (SELECT o_orderkey, regexp_extract(line, '^\*\*([^*]+)\*\*：(.*)$', 1) AS name, arg_max(regexp_extract(line, '^\*\*([^*]+)\*\*：(.*)$', 2), i) AS value FROM w WHERE i > 1 AND starts_with(line, '**') AND i < coalesce(stop, 1000) GROUP BY ALL),
+n AS (SELECT o_orderkey, max(value) FILTER (name = '副标题') AS subtitle, max(value) FILTER (name = '版本') AS version, max(value) FILTER (name = '编制机构') AS organization FROM m GROUP BY o_orderkey),
+v AS (SELECT orders.*, subtitle, organization, coalesce(version, CASE WHEN o_orderstatus = 'O' THEN 'V9' END) AS version FROM orders LEFT JOIN n USING (o_orderkey))
+SELECT o_orderkey AS doc_id, 'Report of ' || o_orderpriority || ' order ' || o_orderkey AS title, substr('Report of ' || o_orderpriority || ' order ' || o_orderkey, 1, 40) AS title_short, coalesce(subtitle, CASE WHEN o_orderstatus = 'F' THEN 'cli' WHEN o_orderkey % 2 = 0 THEN 'yaml' END) AS subtitle,
+o_orderstatus AS report_type, organization, regexp_extract(version, '^[^ |]+') AS version, nullif(regexp_extract(version, '\| (.*)$', 1), '') AS date FROM v
+"""
+)
+def metadata_by_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metadata of reports: their own lines before options, options before defaults."""
+    orders = table(spark, sf_dir, "orders")
+    given = orders.select(F.col("o_orderkey").alias("doc_id"), F.inline(F.array_compact(F.array(*[F.when(F.expr(c), F.struct(F.lit(n).alias("name"), F.expr(v).alias("value"), F.lit(o).alias("origin"))) for c, n, v, o in (
+        ("o_orderstatus = 'F'", "subtitle", "'cli'", "cli"), ("o_orderkey % 2 = 0", "subtitle", "'yaml'", "yaml"), ("true", "report_type", "o_orderstatus", "yaml"), ("o_orderstatus = 'O'", "version", "'V9'", "cli"), ("true", "organization", "'other'", "nobody"), ("true", "organization", "' '", "cli"),
+    )]))))
+    return rules.metadata(orders.select(F.col("o_orderkey").alias("doc_id"), F.expr(_META).alias("text")), given)
