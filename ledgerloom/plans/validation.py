@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import rules, schemas, terms, tree
+from ledgerloom.operators import delivery, rules, schemas, terms, tree
 from ledgerloom.plans.registry import query, table
 
 #: An order with its lines.
@@ -237,3 +237,33 @@ def metadata_by_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("o_orderstatus = 'F'", "subtitle", "'cli'", "cli"), ("o_orderkey % 2 = 0", "subtitle", "'yaml'", "yaml"), ("true", "report_type", "o_orderstatus", "yaml"), ("o_orderstatus = 'O'", "version", "'V9'", "cli"), ("true", "organization", "'other'", "nobody"), ("true", "organization", "' '", "cli"),
     )]))))
     return rules.metadata(orders.select(F.col("o_orderkey").alias("doc_id"), F.expr(_META).alias("text")), given)
+
+
+#: A delivery of each order: what its lines cite, leave and mark, and a bibliography of some of them.
+_CITED = """CASE p % 8 WHEN 0 THEN concat('as [', n, ', ', s % 4 + 1, '] shows') WHEN 1 THEN concat('see [0', n, ']') WHEN 2 THEN concat('left [SRC-', p, ']') WHEN 3 THEN '> [红队 R1 seen]' WHEN 4 THEN '### 写作者自声明' WHEN 5 THEN concat('old [S', p % 90 + 10, ']') WHEN 6 THEN 'closed loop' ELSE 'plain words' END"""
+_ENTRIES = """concat('[', n, '] source ', s)"""
+
+
+@query(
+    rf"""
+WITH t AS (SELECT l_orderkey AS k, l_linenumber AS n, l_partkey AS p, l_suppkey AS s FROM lineitem),
+d AS (SELECT k, concat('# T', chr(10), string_agg({_CITED}, chr(10) ORDER BY n, p, s), CASE WHEN k % 3 > 0 THEN concat(chr(10), '## 参考文献', chr(10), string_agg({_ENTRIES}, chr(10) ORDER BY n, p, s)) ELSE '' END) AS text FROM t GROUP BY k),
+h AS (SELECT k, text, string_split(text, '## 参考文献') AS halves FROM d),
+c AS (SELECT k, text, len(halves) > 1 AS has, list_distinct(list_transform(flatten(list_transform(regexp_extract_all(halves[1], '\[\d+(, \d+)*\]'), lambda b: regexp_extract_all(b, '\d+'))), lambda x: x::INTEGER)) AS cited,
+  list_transform(regexp_extract_all(coalesce(halves[2], ''), '\[(\d+)\]', 1), lambda x: x::INTEGER) AS entries FROM h),
+s AS (SELECT k, contains(text, '[SRC-') AS src, regexp_matches(text, '\[S\d+\]') AS old, contains(text, '自声明') AS self, contains(text, '> [红队') AS red, contains(text, 'closed loop') AS term,
+  CASE WHEN NOT has THEN len(cited) > 0 ELSE len(list_distinct(entries)) < len(entries) OR len(list_filter(cited, lambda x: NOT list_contains(entries, x))) > 0 OR len(list_filter(entries, lambda x: NOT list_contains(cited, x))) > 0 END AS refs FROM c)
+SELECT k AS doc_id, item, CASE WHEN item IN ('11', '12') THEN 'manual_required' WHEN (item = '01' AND term) OR (item = '02' AND old) OR (item = '03' AND src) OR (item = '03b' AND refs) OR (item = '04' AND k % 7 = 0) OR (item = '06' AND self) OR (item = '07' AND red)
+  OR (item = '13' AND (SELECT count(*) > 0 FROM events WHERE event_type = 'error')) THEN 'fail' ELSE 'pass' END AS status
+FROM s, (SELECT unnest({list(delivery.ITEMS)}) AS item)
+"""
+)
+def delivery_statuses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items of each delivery; the gate fails every seventh, and the ledger is open where an error is."""
+    lines = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS n", "l_partkey AS p", "l_suppkey AS s")
+    all_ = lines.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("n", "p", "s", F.expr(_CITED).alias("t"), F.expr(_ENTRIES).alias("e")))).alias("all"))
+    joined = lambda c: F.array_join(F.transform("all", lambda x: x[c]), "\n")
+    docs = all_.select(F.col("k").alias("doc_id"), F.concat(F.lit("# T\n"), joined("t"), F.when(F.col("k") % 3 > 0, F.concat(F.lit("\n## 参考文献\n"), joined("e"))).otherwise("")).alias("text"))
+    glossary = spark.createDataFrame([("T1", ["closed loop"])], "term_id string, banned_forms array<string>")
+    ledger = table(spark, sf_dir, "events").agg((F.count_if(F.col("event_type") == "error") > 0).alias("blocking"))
+    return delivery.checklist(docs, glossary, None, docs.select("doc_id", (F.col("doc_id") % 7 != 0).alias("passed")), ledger)
