@@ -181,14 +181,14 @@ FROM s QUALIFY rank <= 5
 """
 
 _OP9 = r"""
-WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
-g AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
-again AS (SELECT doc_id, i FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM again),
-word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
-kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
-SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
-FROM d LEFT JOIN kept USING (doc_id)
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, text NULLS LAST) AS row_id, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+g AS (SELECT row_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS g FROM (SELECT row_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+again AS (SELECT row_id, i FROM g QUALIFY row_number() OVER (PARTITION BY g ORDER BY row_id, i) > 1),
+gone AS (SELECT DISTINCT row_id, unnest(range(i, i + 20)) AS p FROM again),
+word AS (SELECT row_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d WHERE len(w) > 0),
+kept AS (SELECT row_id, string_agg(word, ' ' ORDER BY p) AS kept, count(*) AS n FROM word ANTI JOIN gone USING (row_id, p) GROUP BY row_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (row_id)
 """
 
 #: Bytes as pairs of hex digits, so that places are bytes.
