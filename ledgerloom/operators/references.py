@@ -11,6 +11,8 @@ from ledgerloom.operators import ranks
 #: Reference marks of sources and of claims, and the marks of document types in bibliographies.
 SRC_MARK, CL_MARK = r"\[SRC-[^\]\n]*\]", r"\[CL-[^\]\n]*\]"
 TYPE_MARKS = {"journal": "J", "official": "EB/OL", "report": "R", "news": "N", "paper": "C", "book": "M", "M": "M", "J": "J", "R": "R", "C": "C", "N": "N", "EB/OL": "EB/OL"}
+#: Bytes up to which forms and their keys are sent to every task.
+SMALL = 8 << 20
 
 
 def last_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
@@ -108,12 +110,18 @@ def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
 
 
+def _small(rows: DataFrame) -> DataFrame:
+    """Rows of strings, marked for broadcast if they are few (counted first; Spark does not know the size of rows that come from Python)."""
+    size = rows.agg(F.sum(sum(F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 50 for c in rows.columns))).first()[0]
+    return F.broadcast(rows) if (size or 0) <= SMALL else rows
+
+
 def banned_forms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, term_id, form: banned forms in body text. CJK forms as substrings, others between non-letters.
 
     A text fetches the forms that it may hold by a key: a CJK form's first CJK character with the one behind it, another
     form's longest run of Latin letters (which stands whole in the text, as no letter may be beside the form). Forms with
-    neither are looked for in every text.
+    neither are looked for in every text. Texts do not travel with their keys: the forms found by key meet them by id.
     """
     forms = terms.select("term_id", F.explode("banned_forms").alias("form")).where(F.col("form") != "")
     runs = F.regexp_extract_all("form", F.lit("[a-zA-Z]+"), 0)
@@ -122,10 +130,11 @@ def banned_forms(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text
     bodies = docs.select(F.col(id_col).alias("doc_id"), T.body_clean(F.col(text_col)).alias("body"))
     pairs = F.regexp_extract_all("body", F.lit(f"(?s)(?=({T.CJK}.?))"), 1)
     keys = F.concat(F.regexp_extract_all("body", F.lit("[a-zA-Z]+"), 0), pairs, F.transform(pairs, lambda x: F.substring(x, 1, 1)), F.array(F.lit("")))
-    held = bodies.select("doc_id", "body", F.explode(F.array_distinct(keys)).alias("key"))
+    held = bodies.select("doc_id", F.explode(F.array_distinct(keys)).alias("key")).join(_small(forms.select("key").distinct()), "key", "left_semi").distinct()
+    asked = held.join(_small(forms), "key").select(F.col("doc_id").alias("of"), "term_id", "form")
     safe = F.regexp_replace("form", r"([\\^$.|?*+()\[\]{}])", r"\\$1")
     found = F.when(F.col("form").rlike(T.CJK), F.contains("body", F.col("form"))).otherwise(F.regexp("body", F.concat(F.lit("(?<![a-zA-Z])"), safe, F.lit("(?![a-zA-Z])"))))
-    return held.join(forms, "key").where(found).select("doc_id", "term_id", "form")
+    return bodies.join(asked, bodies["doc_id"].eqNullSafe(asked["of"]) & found).select("doc_id", "term_id", "form")
 
 
 def scope_covers(scope: Column, chapter: Column) -> Column:

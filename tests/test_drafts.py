@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,3 +183,14 @@ def test_section_entries_of_bare_chapters(spark) -> None:
     chapters = spark.createDataFrame([("d", 1, "1", "A"), ("d", 2, "2", "B")], "doc_id string, ordinal int, chapter_no string, title string")
     sections = spark.createDataFrame([("d", 1, 0, "1.1", "S")], "doc_id string, ordinal int, at int, section_no string, title string")
     assert rows_of(outlines.section_entries(chapters, sections), "ordinal", "section_no", "title") == [(1, "1.1", "S"), (2, "2", "B")]
+
+
+def test_texts_do_not_travel_with_their_keys(spark) -> None:
+    words = " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}x" for i in range(5000))
+    docs = spark.createDataFrame([(1, words + " bad form"), (1, "bad form"), (1, "form bad"), (None, "a bad form"), (2, "form"), (3, None)], "doc_id int, text string")
+    terms = spark.createDataFrame([("t", ["bad form", "--"]), ("u", ["bad form"])], "term_id string, banned_forms array<string>")
+    found = R.banned_forms(docs, terms)
+    assert rows_of(found, "doc_id", "term_id", "form") == sorted([(i, t, "bad form") for i in (1, 1, None) for t in "tu"], key=str)
+    # an exploded key stands beside an id: the plan names the text's column (1) as one that explode drops
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate explode\(array_distinct.*\), \[1\], false", plan)
