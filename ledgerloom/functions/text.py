@@ -47,12 +47,15 @@ def body_clean(text: Column) -> Column:
     return F.trim(reduce(lambda c, s: F.regexp_replace(c, *s), steps, text))
 
 
-def html_text(value: Column) -> Column:
-    """Label text: line breaks for br and closing div, p, li; other tags go; entities become characters. Only texts with an & go to Python for that, as the list of entities is its library's."""
-    out = F.regexp_replace(F.coalesce(value, F.lit("")), r"(?i)<br\s*/?>", "\n")
-    out = F.regexp_replace(out, r"(?i)</(div|p|li)\s*>", "\n")
+def html_text(value: Column, entities: dict[str, str] | None = None) -> Column:
+    """Label text: line breaks for br and closing div, p, li; other tags go; entities become characters. Only texts with an & go to Python for that, as the list of entities is its library's. Where entities are given, these alone are read, as they are spelled and one after the other (&amp; belongs last), and a null value stays null."""
+    out = value if entities is not None else F.coalesce(value, F.lit(""))
+    out = F.regexp_replace(out, r"(?i)<br[ \t\n\f\r]*/?>", "\n")
+    out = F.regexp_replace(out, r"(?i)</(div|p|li)[ \t\n\f\r]*>", "\n")
     out = F.regexp_replace(out, r"<[^>]+>", "")
-    return unescaped(out)
+    if entities is None:
+        return unescaped(out)
+    return reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), entities.items(), out)
 
 
 def unescaped(text: Column) -> Column:

@@ -282,12 +282,17 @@ def component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.components(edges).select("component", "node")
 
 
+#: Entities of pages; the last one is read last, so that what it leaves is no entity.
+_ENTITIES = {"&nbsp;": "\xa0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+
 @query(
     r"""SELECT page_id, md5(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<br\s*/?>', chr(10), 'gi'), '</(div|p|li)\s*>', chr(10), 'gi'), '<[^>]+>', '', 'g'),
 '&nbsp;', chr(160)), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', chr(39)), '&apos;', chr(39)), '&copy;', '©'), '&middot;', '·'), '&amp;', '&')) AS digest FROM pages"""
 )
 def html_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_text(F.col("html"))).alias("digest"))
+    """Texts of pages; of entities those that the SQL names, each with its semicolon."""
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(T.html_text(F.col("html"), _ENTITIES)).alias("digest"))
 
 
 @query(

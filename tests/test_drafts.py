@@ -194,3 +194,8 @@ def test_texts_do_not_travel_with_their_keys(spark) -> None:
     # an exploded key stands beside an id: the plan names the text's column (1) as one that explode drops
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert re.search(r"Generate explode\(array_distinct.*\), \[1\], false", plan)
+
+
+def test_entities_as_the_sql_reads_them(spark) -> None:
+    page = lambda v: spark.createDataFrame([(v,)], "html string").select(T.html_text(F.col("html"), {"&lt;": "<", "&amp;": "&"}).alias("t")).first()["t"]
+    assert page("a&amp{x&lt;b&amp;lt;&hellip;<br\f/>c") == "a&amp{x<b&lt;&hellip;\nc" and page(None) is None
