@@ -3,20 +3,25 @@
 Windows are from half to twice a form's length, in steps of three characters; those of one size begin a third of it apart.
 No window is listed. A shared 3-gram at a place, up to where the same one comes before, counts for an interval of the
 windows of each size; the ends of these intervals are events, and their running sum is how many different 3-grams the
-windows between two events hold. Texts and forms meet by prefix: a form's rarest 3-grams, of which a window that shares
-enough must hold one.
+windows between two events hold. Only places go there that have, within twice the form's length, as many shared 3-grams as
+a window that is near must hold. Texts are dealt over shards and forms over parts by their bytes; each shard meets each
+part in one task, and neither is sent through the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from ledgerloom.functions import text as T
 
 #: Characters from which a form is looked for, shares that are near and that are taken at once.
 LONG, LEAST, SURE = 4, 0.6, 0.85
-WINDOW = ["doc_id", "term_id", "size"]
+#: Bytes of texts in a shard and of forms in a part, letters of texts and pairs of a place and a form that are held as arrays at once, tasks at most.
+SHARD_BYTES, FORM_BYTES, LETTERS, PAIRS, TASKS = 1 << 20, 256 << 10, 1 << 18, 1 << 20, 10_000
 
 
 def forms_of(terms: DataFrame) -> DataFrame:
@@ -25,47 +30,128 @@ def forms_of(terms: DataFrame) -> DataFrame:
     return terms.select("term_id", base.alias("form")).where("form <> ''").groupBy("term_id").agg(F.min("form").alias("form"))
 
 
-def _postings(bodies: DataFrame, grams: DataFrame) -> DataFrame:
-    """doc_id, p (from 0), gram, before (the last place of the same 3-gram, else -1): places of the 3-grams that some form has."""
-    n = F.length("body")
-    each = bodies.select("doc_id", F.posexplode(F.when(n >= 3, F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.substr("body", i, F.lit(3))))).alias("p", "gram"))
-    met = each.join(grams.select("gram").distinct(), "gram", "left_semi")
-    return met.withColumn("before", F.coalesce(F.lag("p").over(Window.partitionBy("doc_id", "gram").orderBy("p")), F.lit(-1)))
+def _hits(bodies: list[str], vocabulary: np.ndarray, gap: int) -> tuple[np.ndarray, ...]:
+    """text, place, 3-gram, place of the same one before (else -1), place on one line on which texts lie gap apart: of each place that holds a 3-gram of the vocabulary."""
+    codes = [np.frombuffer(b.encode("utf-32-le"), np.uint32).astype(np.int64) for b in bodies]
+    text = np.repeat(np.arange(len(codes)), [len(c) - 2 for c in codes])
+    place = np.concatenate([np.arange(len(c) - 2) for c in codes])
+    keys = np.concatenate([(c[:-2] << 42) | (c[1:-1] << 21) | c[2:] for c in codes])
+    gram = np.searchsorted(vocabulary, keys)
+    met = vocabulary[np.minimum(gram, len(vocabulary) - 1)] == keys
+    text, place, gram = text[met], place[met], gram[met]
+    same = text * len(vocabulary) + gram
+    order = np.argsort(same, kind="stable")
+    before = np.full(len(same), -1)
+    again = np.flatnonzero(same[order][1:] == same[order][:-1])
+    before[order[again + 1]] = place[order[again]]
+    begins = np.cumsum([0] + [len(c) + gap for c in codes])
+    return text, place, gram, before, begins[text] + place
+
+
+def _crowded(line: np.ndarray, gram: np.ndarray, first: np.ndarray, of_gram: np.ndarray, need: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """form * hits + hit, sorted: hits of a form within twice its length of so many others as a window that is near must hold. Only so many pairs are laid out at once."""
+    count = first[gram + 1] - first[gram]
+    upto, out, a = np.concatenate([[0], np.cumsum(count)]), [np.zeros(0, np.int64)], 0
+    while a < len(gram):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, "right")) - 1)
+        e = int(np.searchsorted(line, line[b - 1] + 2 * long.max(), "right"))  # what windows from before b reach
+        n = count[a:e]
+        inner = np.arange(upto[e] - upto[a]) - np.repeat(upto[a:e] - upto[a], n)
+        pairs = np.sort(of_gram[np.repeat(first[gram[a:e]], n) + inner] * len(gram) + np.repeat(np.arange(a, e), n))
+        form, at = pairs // len(gram), line[pairs % len(gram)]
+        last = np.arange(len(pairs)) + need[form] - 1
+        inside = np.minimum(last, len(pairs) - 1)
+        dense = np.flatnonzero((last < len(pairs)) & (form[inside] == form) & (at[inside] - at <= 2 * long[form] - 3))
+        if len(dense):
+            lane = form * (line[-1] + 2 * long.max() + 1) + at
+            ends = np.searchsorted(lane, lane[dense] + 2 * long[form[dense]] - 3, "right")
+            marks = np.bincount(dense, minlength=len(pairs) + 1) - np.bincount(ends, minlength=len(pairs) + 1)
+            out.append(pairs[np.cumsum(marks)[:-1] > 0])
+        a = b
+    return np.unique(np.concatenate(out))
+
+
+def _windows(pair: np.ndarray, place: np.ndarray, before: np.ndarray, n: np.ndarray, long: np.ndarray, of: np.ndarray, least: float, sure: float) -> tuple[np.ndarray, ...]:
+    """size, start, share of each pair's window (share 0: none); n, long, of: by pair. Sizes come one after the other, without the pairs that are sure."""
+    size, start, share = np.zeros(len(n), np.int64), np.zeros(len(n), np.int64), np.zeros(len(n))
+    sizes = np.maximum(3, long // 2)
+    while len(pair):
+        keep = (share[pair] <= sure) & (sizes[pair] <= np.minimum(n, 2 * long)[pair])
+        pair, place, before = pair[keep], place[keep], before[keep]
+        step = (sizes // 3)[pair]
+        # windows s * step (s from 0) that hold this place and not the one before
+        low = -(-np.maximum(np.maximum(before + 1, place + 3 - sizes[pair]), 0) // step)
+        high = np.minimum(place // step, (n - sizes)[pair] // step)
+        held = low <= high
+        wide = int(n.max()) + 2
+        events = np.concatenate([pair[held] * wide + low[held], pair[held] * wide + high[held] + 1])
+        order = np.argsort(events, kind="stable")
+        run = np.cumsum(np.repeat([1, -1], held.sum())[order])
+        events = events[order]
+        tells = np.append(events[1:] != events[:-1], True)[: len(events)]
+        owner, s, part = events[tells] // wide, events[tells] % wide, run[tells] / of[events[tells] // wide]
+        near = part >= least
+        owner, s, part = owner[near], s[near], part[near]
+        # a pair's best window of this size: the first above sure, else the first of the largest share
+        best = np.lexsort((s, np.where(part > sure, 0, -part), part <= sure, owner))
+        best = best[np.append(True, owner[best][1:] != owner[best][:-1])[: len(best)]]
+        best = best[part[best] > share[owner[best]]]
+        size[owner[best]], start[owner[best]], share[owner[best]] = sizes[owner[best]], s[best] * (sizes // 3)[owner[best]], part[best]
+        sizes = sizes + 3
+    return size, start, share
+
+
+def _search(texts: pa.Table, forms: pa.Table, least: float, sure: float) -> pa.Table:
+    """The windows of some texts near to some forms."""
+    grams = [np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:]) for c in (np.frombuffer(f.encode("utf-32-le"), np.uint32).astype(np.int64) for f in forms["form"].to_pylist())]
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0))]
+    if grams:
+        of, long = np.array([len(g) for g in grams]), np.array([len(f) for f in forms["form"].to_pylist()])
+        need = np.ceil(of * least).astype(np.int64)
+        need += (need / of < least).astype(np.int64) - ((need - 1) / of >= least)
+        need = np.maximum(need, 1)
+        vocabulary, of_gram = np.unique(np.concatenate(grams), return_inverse=True)
+        order = np.argsort(of_gram, kind="stable")
+        first = np.searchsorted(of_gram[order], np.arange(len(vocabulary) + 1))
+        of_gram = np.repeat(np.arange(len(grams)), of)[order]
+        bodies = texts["body"].to_pylist()
+        a = 0
+        while a < len(bodies):
+            b, letters = a, 0
+            while b < len(bodies) and (b == a or letters + len(bodies[b]) <= LETTERS):
+                letters, b = letters + len(bodies[b]), b + 1
+            text, place, gram, before, line = _hits(bodies[a:b], vocabulary, 2 * int(long.max()))
+            met = _crowded(line, gram, first, of_gram, need, long) if len(gram) else np.zeros(0, np.int64)
+            if len(met):
+                form, hit = met // len(gram), met % len(gram)
+                pairs, pair = np.unique(form * (b - a) + text[hit], return_inverse=True)
+                form, text = pairs // (b - a), pairs % (b - a)
+                n = np.array([len(t) for t in bodies[a:b]])[text]
+                size, start, share = _windows(pair, place[hit], before[hit], n, long[form], of[form], least, sure)
+                told = np.flatnonzero(share > 0)
+                out.append((text[told] + a, form[told], [bodies[text[i] + a][start[i] : start[i] + size[i]] for i in told], share[told]))
+            a = b
+    text, form, share = (np.concatenate([o[i] for o in out]) for i in (0, 1, 3))
+    near = pa.array([w for o in out for w in o[2]], pa.string())
+    return pa.table({"doc_id": texts["doc_id"].take(text), "term_id": forms["term_id"].take(form), "near": near, "share": share})
 
 
 def near_terms(docs: DataFrame, terms: DataFrame, least: float = LEAST, sure: float = SURE) -> DataFrame:
     """doc_id, term_id, near, share: of each text and form of at least LONG characters the window that shares at least so many of the form's 3-grams. Of windows by size, then place, the first one above sure is taken, else the first of those that share most. docs: doc_id (once each), text; terms: term_id, preferred_form."""
-    grams = forms_of(terms).where(F.length("form") >= LONG).select("term_id", F.length("form").alias("long"), F.explode(T.char_ngrams(F.col("form"), 3)).alias("gram"))
-    grams = grams.withColumn("of", F.count("*").over(Window.partitionBy("term_id")))
-    bodies = docs.select("doc_id", T.body_clean(F.col("text")).alias("body"))
-    places = _postings(bodies, grams)
-    held = places.select("doc_id", "gram").distinct()
-    counts = held.groupBy("gram").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("term_id").orderBy(F.coalesce("n", F.lit(0)), "gram"))
-    prefix = grams.join(counts, "gram", "left").withColumn("rank", rank).where(F.col("rank") <= F.col("of") - F.ceil(F.col("of") * least) + 1)
-    pairs = held.join(prefix, "gram").select("doc_id", "term_id").distinct()
-    # the texts' and forms' common 3-grams, of the pairs that share enough of them at all
-    shared = pairs.join(grams, "term_id").join(held, ["doc_id", "gram"])
-    shared = shared.withColumn("in", F.count("*").over(Window.partitionBy("doc_id", "term_id"))).where(F.col("in") / F.col("of") >= least)
-    hits = shared.drop("in").join(places, ["doc_id", "gram"]).join(bodies.select("doc_id", F.length("body").alias("n")), "doc_id")
-    # a window lies in two neighbouring stretches of twice the form's length; where these share too little, no window shares enough
-    wide = F.col("long") * 2
-    beside = hits.withColumn("at", F.explode(F.array(F.floor(F.col("p") / wide), F.floor(F.col("p") / wide) - 1)))
-    dense = beside.groupBy("doc_id", "term_id", "of", "at").agg(F.count_distinct("gram").alias("in")).where(F.col("in") / F.col("of") >= least).select("doc_id", "term_id", "at")
-    hits = beside.join(dense, ["doc_id", "term_id", "at"], "left_semi").drop("at").distinct()
-    sizes = F.sequence(F.greatest(F.lit(3), F.floor(F.col("long") / 2)), F.greatest(F.least(F.col("n"), F.col("long") * 2), F.lit(3), F.floor(F.col("long") / 2)), F.lit(3).cast("long"))
-    each = hits.withColumn("size", F.explode(sizes)).where((F.col("size") <= F.col("n")) & (F.col("size") <= F.col("long") * 2)).withColumn("step", F.floor(F.col("size") / 3))
-    # windows s * step (s from 0) that hold this place and not the one before
-    low = F.ceil(F.greatest(F.col("before") + 1, F.col("p") + 3 - F.col("size"), F.lit(0)) / F.col("step"))
-    high = F.least(F.floor(F.col("p") / F.col("step")), F.floor((F.col("n") - F.col("size")) / F.col("step")))
-    spans = each.select(*WINDOW, "of", "step", low.alias("low"), high.alias("high")).where("low <= high")
-    event = F.inline(F.array(F.struct(F.col("low").alias("s"), F.lit(1).alias("d")), F.struct((F.col("high") + 1).alias("s"), F.lit(-1).alias("d"))))
-    events = spans.select(*WINDOW, "of", "step", event).groupBy(*WINDOW, "of", "step", "s").agg(F.sum("d").alias("d"))
-    run = F.sum("d").over(Window.partitionBy(*WINDOW).orderBy("s").rowsBetween(Window.unboundedPreceding, 0))
-    told = events.withColumn("share", run / F.col("of")).where(F.col("share") >= least)
-    at = F.struct("size", F.col("s").alias("s"), (F.col("s") * F.col("step")).alias("start"), "share")
-    best = told.groupBy("doc_id", "term_id").agg(F.coalesce(F.min(F.when(F.col("share") > sure, at)), F.min_by(at, F.struct(-F.col("share"), "size", "s"))).alias("b"))
-    return best.join(bodies, "doc_id").select("doc_id", "term_id", F.substr("body", (F.col("b.start") + 1).cast("int"), F.col("b.size").cast("int")).alias("near"), F.col("b.share").alias("share"))
+    spark = docs.sparkSession
+    forms = forms_of(terms).where(F.length("form") >= LONG)
+    bodies = docs.select("doc_id", T.body_clean(F.col("text")).alias("body")).where(F.length("body") >= 3)
+    total = lambda rows, column: rows.agg(F.sum(F.octet_length(column))).first()[0] or 0
+    parts = max(1, -(-total(forms, "form") // FORM_BYTES))
+    shards = max(spark.sparkContext.defaultParallelism, -(-total(docs, "text") // SHARD_BYTES))
+    # each shard of texts meets each part of the forms in a group of its own
+    dealt = lambda rows, key, n, others, name: rows.withColumn(name, F.pmod(F.xxhash64(key), F.lit(n))).withColumn("beside", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))))
+    texts = dealt(bodies, "doc_id", shards, parts, "shard").select((F.col("shard") * parts + F.col("beside")).alias("group"), "doc_id", "body")
+    sought = dealt(forms, "term_id", parts, shards, "part").select((F.col("beside") * parts + F.col("part")).alias("group"), "term_id", "form")
+    tasks = min(4 * shards * parts, TASKS)  # more than groups, so that few groups share a task
+    schema = StructType([docs.schema["doc_id"], terms.schema["term_id"], StructField("near", StringType()), StructField("share", DoubleType())])
+    both = texts.repartition(tasks, "group").groupBy("group").cogroup(sought.repartition(tasks, "group").groupBy("group"))
+    return both.applyInArrow(lambda t, f: _search(t, f, least, sure), schema)
 
 
 def missing_terms(docs: DataFrame, terms: DataFrame, least: float = LEAST, chunk: int = 200) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
 
 from ledgerloom.operators import terms
@@ -49,3 +50,17 @@ def test_odd_rows(spark) -> None:
     missing = {(r["doc_id"], r["term_id"]) for r in terms.missing_terms(docs, glossary, chunk=1).collect()}
     assert missing == {(d, t) for d in (2, 3) for t in "abe"} | {(4, "a"), (4, "b")}
     assert terms.missing_terms(docs, glossary.limit(0)).count() == 0 and terms.near_terms(docs.limit(0), glossary).count() == 0
+
+
+def test_pieces_give_the_same_windows(monkeypatch) -> None:
+    """Pairs and letters laid out at once bound the memory and decide nothing."""
+    rng = random.Random(8)
+    forms = ["".join(rng.choice("ab") for _ in range(rng.randint(4, 15))) for _ in range(20)]
+    docs = ["".join(rng.choice("abc") for _ in range(n)) for n in (3, 5, 40, 300, 41, 3)]
+    search = lambda: terms._search(pa.table({"doc_id": range(len(docs)), "body": docs}), pa.table({"term_id": range(len(forms)), "form": forms}), 0.6, 0.85).to_pylist()
+    got = []
+    for pairs, letters in ((1 << 20, 1 << 18), (7, 50), (1, 1)):
+        monkeypatch.setattr(terms, "PAIRS", pairs)
+        monkeypatch.setattr(terms, "LETTERS", letters)
+        got.append({(r["doc_id"], r["term_id"]): (r["near"], r["share"]) for r in search()})
+    assert got[0] == got[1] == got[2] == {(i, j): n for i, d in enumerate(docs) for j, f in enumerate(forms) if (n := nearest(f, d))}
