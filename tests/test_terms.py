@@ -64,3 +64,10 @@ def test_pieces_give_the_same_windows(monkeypatch) -> None:
         monkeypatch.setattr(terms, "LETTERS", letters)
         got.append({(r["doc_id"], r["term_id"]): (r["near"], r["share"]) for r in search()})
     assert got[0] == got[1] == got[2] == {(i, j): n for i, d in enumerate(docs) for j, f in enumerate(forms) if (n := nearest(f, d))}
+
+
+def test_plans_read_the_texts_once(spark) -> None:
+    """One cogroup and no join holds for windows, and missing forms add theirs: the plan that the driver keeps stays small."""
+    docs, glossary = spark.createDataFrame([(1, "the closed loo here")], "doc_id int, text string"), spark.createDataFrame([("a", "closed loop")], "term_id string, preferred_form string")
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+    assert joins(terms.near_terms(docs, glossary)) == 0 and joins(terms.missing_terms(docs, glossary)) == 2
