@@ -103,6 +103,10 @@ def yaml_blocks(docs: DataFrame, schema: str, pattern: str = r"(?s)^---\s*\n(.*?
     return docs.select("doc_id", F.from_json(_yaml_to_json()(F.regexp_extract("text", pattern, 1)), schema).alias("data"))
 
 
+#: Nesting up to which YAML goes to libyaml, whose stack has no guard.
+YAML_DEPTH = 5000
+
+
 def _yaml_to_json():  # noqa: ANN202
     @F.pandas_udf(t.StringType())
     def to_json(block: pd.Series) -> pd.Series:
@@ -110,13 +114,18 @@ def _yaml_to_json():  # noqa: ANN202
 
         import yaml
 
+        def loader(s: str) -> type:
+            """libyaml, where it is and where nesting (bounded by brackets and the longest line) can't exhaust its stack."""
+            depth = s.count("[") + s.count("{") + 2 * max(map(len, s.splitlines() or [""]))
+            return getattr(yaml, "CSafeLoader", yaml.SafeLoader) if depth <= YAML_DEPTH else yaml.SafeLoader
+
         def one(s: str | None) -> str | None:
             try:
-                return json.dumps(yaml.safe_load(s), default=str, ensure_ascii=False) if s else None
-            except yaml.YAMLError:
+                return json.dumps(yaml.load(s, loader(s)), default=str, ensure_ascii=False) if s else None
+            except (yaml.YAMLError, ValueError, TypeError, RecursionError):  # no YAML, no such date, a key that JSON lacks, too deep
                 return None
 
-        return block.map(one)
+        return block.map({s: one(s) for s in block.dropna().unique()})  # equal texts are read once a batch
 
     return to_json
 

@@ -142,3 +142,10 @@ def test_readers(spark, tmp_path) -> None:
     assert [(r["term_id"], r["banned_forms"]) for r in terms] == [("G1", ["乙", "ab"])]
     hits = R.banned_forms(docs(spark, "有乙 abc", "ab"), spark.createDataFrame([("G1", ["乙", "ab"])], "term_id string, banned_forms array<string>")).collect()
     assert {(r["doc_id"], r["form"]) for r in hits} == {(0, "乙"), (1, "ab")}
+
+
+def test_yaml_that_cannot_be_read_has_no_entry(spark) -> None:
+    good = "exemptions:\n- {file: f, check: G2_overlap, cells: [a], reason: 2024-02-30x}"
+    texts = [good, good, good.replace("x}", "}"), "exemptions: [1: 2", "? [a]\n: b", None, "", "[" * 2000, "[" * 100_000]
+    found = readers.exemptions(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()
+    assert [(r["doc_id"], r["file"], r["reason"]) for r in sorted(found)] == [(0, "f", "2024-02-30x"), (1, "f", "2024-02-30x")]
