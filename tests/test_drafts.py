@@ -199,3 +199,17 @@ def test_texts_do_not_travel_with_their_keys(spark) -> None:
 def test_entities_as_the_sql_reads_them(spark) -> None:
     page = lambda v: spark.createDataFrame([(v,)], "html string").select(T.html_text(F.col("html"), {"&lt;": "<", "&amp;": "&"}).alias("t")).first()["t"]
     assert page("a&amp{x&lt;b&amp;lt;&hellip;<br\f/>c") == "a&amp{x<b&lt;&hellip;\nc" and page(None) is None
+
+
+def test_modes_are_judged_from_one_reading(spark) -> None:
+    docs = docs_of(spark, "# A\n## 第1章：x\n## 2. y\n[1] [S1]\n![图1-1 a](figures/b.png)", None, "---\na: b\n---\n### 参考文献\n[SRC-1]", "")
+    modes = {"draft": {}, "merged": {"merged": True, "expect_figures": 1}, "final": {"merged": True, "stage": "stage9"}}
+    lost = contract.missing_images(docs, on_disk=spark.createDataFrame([("a.png",)], "file string"))
+    both = contract.verdicts_by_mode(docs, modes, lost)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("Generate inline") == 1
+    columns = ("doc_id", "rule", "severity", "hits", "passed")
+    for mode, given in modes.items():
+        one = contract.verdicts(docs, **given, images=lost)
+        assert rows_of(both.where(F.col("mode") == mode), *columns) == rows_of(one, *columns)
+        want = contract.overall(one, **{k: v for k, v in given.items() if k != "expect_figures"})
+        assert rows_of(contract.overall_by_mode(both, modes).where(F.col("mode") == mode), "doc_id", "passed", "fatal_rules") == rows_of(want, "doc_id", "passed", "fatal_rules")
