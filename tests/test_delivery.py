@@ -45,3 +45,8 @@ def test_checklist_of_odd_texts(spark) -> None:
     full = {(r["doc_id"], r["item"]): r["status"] for r in delivery.checklist(docs, glossary, core, gate, ledger).collect()}
     assert full[2, "01"] == "fail" and full[3, "01"] == "pass" and full[3, "04"] == "pass" and full[2, "04"] == "fail" and {full[i, "13"] for i in (1, 2, 3)} == {"fail"}
     assert delivery.checklist(docs.limit(0)).count() == 0
+
+
+def test_what_a_text_tells_needs_no_join(spark) -> None:
+    plan = delivery.checklist(spark.createDataFrame([(1, "x [SRC-1]")], "doc_id int, text string"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
