@@ -213,3 +213,11 @@ def test_modes_are_judged_from_one_reading(spark) -> None:
         assert rows_of(both.where(F.col("mode") == mode), *columns) == rows_of(one, *columns)
         want = contract.overall(one, **{k: v for k, v in given.items() if k != "expect_figures"})
         assert rows_of(contract.overall_by_mode(both, modes).where(F.col("mode") == mode), "doc_id", "passed", "fatal_rules") == rows_of(want, "doc_id", "passed", "fatal_rules")
+
+
+def test_a_name_that_many_ask_for_is_split(spark) -> None:
+    refs = spark.createDataFrame([(1, "b.svg", "t", "f"), (2, "no.png", "t", "f")], "doc_id int, ref string, text_dir string, figure_dir string")
+    got = figures.resolved_images(refs, spark.createDataFrame([("t/b.png",), ("t/b.png",), ("f/b.png",), (None,)], "file string"))
+    assert rows_of(got, "doc_id", "file") == [(1, "t/b.png"), (2, None)]
+    # both sides of the semi-join come straight from their shuffles, as Spark splits skewed keys only there
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate ") == 1
