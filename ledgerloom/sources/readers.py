@@ -125,7 +125,8 @@ def _yaml_to_json():  # noqa: ANN202
             except (yaml.YAMLError, ValueError, TypeError, RecursionError):  # no YAML, no such date, a key that JSON lacks, too deep
                 return None
 
-        return block.map({s: one(s) for s in block.dropna().unique()})  # equal texts are read once a batch
+        read = {s: one(s) for s in block.dropna().unique()}  # equal texts are read once a batch
+        return pd.Series([read.get(s) for s in block], dtype=object)
 
     return to_json
 
