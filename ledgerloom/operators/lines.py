@@ -31,11 +31,16 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
 def fenced(rows: DataFrame) -> DataFrame:
     """Adds in_fence: a ``` line or a line between a pair of them. A last fence without its partner protects nothing."""
+    return fenced_marks(rows).drop("seen")
+
+
+def fenced_marks(rows: DataFrame) -> DataFrame:
+    """Adds in_fence, as fenced(), and seen: how many ``` lines there are up to each line. Both sums are frames of one window."""
     mark = F.trim("text").startswith("```")
-    seen, total = F.sum(mark.cast("int")).over(_running()), F.sum(mark.cast("int")).over(Window.partitionBy("doc_id"))
-    pairs = total - total % 2
-    inside = (seen <= pairs) & ((seen % 2 == 1) | mark) & (seen > 0)
-    return rows.withColumn("in_fence", inside)
+    whole = _order().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"seen": F.sum(mark.cast("int")).over(_running()), "__total": F.sum(mark.cast("int")).over(whole)})
+    inside = (F.col("seen") <= F.col("__total") - F.col("__total") % 2) & ((F.col("seen") % 2 == 1) | mark) & (F.col("seen") > 0)
+    return rows.withColumn("in_fence", inside).drop("__total")
 
 
 def line_kind(text: Column, in_fence: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,6 +22,15 @@ def shared_folder(spark: SparkSession) -> None:
     spark.sparkContext.setCheckpointDir(base)
 
 
+def table_of(rows: DataFrame) -> DataFrame:
+    """rows, written as a table in the shared folder: readers take the columns that they need, where a checkpoint's read all."""
+    spark = rows.sparkSession
+    shared_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def numbered(rows: DataFrame, order: list[Column | str], name: str = "number") -> DataFrame:
     """Adds the place of each row (from 1) in the order of the whole table: rows are put in ranges, ranked within each, and the ranges' counts (one row each) are summed."""
     shared_folder(rows.sparkSession)

@@ -20,7 +20,7 @@ from ledgerloom.functions import text as T
 from ledgerloom.operators import findings as N
 from ledgerloom.operators import lines as L
 from ledgerloom.operators import structure as S
-from ledgerloom.operators.ranks import shared_folder
+from ledgerloom.operators.ranks import table_of
 
 #: How figures are written, how chapters and appendices are numbered (the first that fits), what mentions a figure or table.
 FIGURE = r"^!\[([^\]]*)\]\((.+?)(?:\s+\"[^\"]*\")?\)$"
@@ -37,41 +37,53 @@ PROSE = ("paragraph", "item", "ordered_item", "quote")
 
 
 def under(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
-    """rows with above: the order of the nearest row before, within by, that has a smaller value; null if there is none."""
-    run = Window.partitionBy(*by)
-    asked = rows.withColumn("__values", F.array_distinct(F.collect_set(value).over(run)))
-    each = asked.select(*rows.columns, F.explode_outer(F.filter("__values", lambda v: v < F.col(value))).alias("__less"))
+    """rows (order once each within by) with above: the order of the nearest row before, within by, that has a smaller value; null if there is none."""
+    asked = rows.withColumn("__values", F.array_distinct(F.collect_set(value).over(Window.partitionBy(*by))))
     # an event for each row, at its own value, and a question for each smaller one; the last event before a question answers it
-    both = rows.select(*by, F.col(order).alias("__at"), F.col(value).alias("__less"), F.lit(True).alias("__event")).unionByName(each.where("__less IS NOT NULL").select(*by, F.col(order).alias("__at"), "__less", F.lit(False).alias("__event")))
-    last = F.max(F.when(F.col("__event"), F.col("__at"))).over(Window.partitionBy(*by, "__less").orderBy("__at").rangeBetween(Window.unboundedPreceding, -1))
-    found = both.withColumn("__last", last).where(~F.col("__event")).groupBy(*by, "__at").agg(F.max("__last").alias("above"))
-    return rows.join(found.withColumnRenamed("__at", order), [*by, order], "left")
+    smaller = F.transform(F.filter("__values", lambda v: v < F.col(value)), lambda v: F.struct(v.alias("less"), F.lit(False).alias("event")))
+    own = F.array(F.struct(F.col(value).alias("less"), F.lit(True).alias("event")))
+    each = asked.select(*rows.columns, F.explode(F.concat(own, smaller)).alias("__e"))
+    rest = [c for c in rows.columns if c not in (*by, order)]  # questions do not carry what rows hold
+    each = each.select(*by, order, *[F.when(F.col("__e.event"), F.col(c)).alias(c) for c in rest], F.col("__e.less").alias("__less"), F.col("__e.event").alias("__event"))
+    last = F.max(F.when(F.col("__event"), F.col(order))).over(Window.partitionBy(*by, "__less").orderBy(order).rangeBetween(Window.unboundedPreceding, -1))
+    told = F.max(F.when(~F.col("__event"), F.col("__last"))).over(Window.partitionBy(*by, order))
+    return each.withColumn("__last", last).withColumn("above", told).where("__event").select(*rows.columns, "above")
 
 
 def _kinds(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Lines with their kinds; captions and sources of tables are kinds of their own, and each line knows its block's first line."""
-    rows = L.fenced(L.lines(docs, id_col, text_col))
+    """Lines that are not blank, with their kinds and what their neighbours tell: run and block (the first lines of theirs), heading (the last one before), of (the table of a caption or source)."""
     indent = F.regexp_extract("text", r"^[\t ]*", 0)
-    rows = rows.withColumn("text", F.concat(F.replace(indent, F.lit("\t"), F.lit("    ")), F.substr("text", F.length(indent) + 1)))
-    rows = rows.withColumn("kind", L.line_kind(F.col("text"), F.col("in_fence")))
-    rows = rows.withColumn("level", F.when(F.col("kind") == "heading", F.length(F.regexp_extract("text", "^#+", 0))).otherwise(0))
-    order = Window.partitionBy("doc_id").orderBy("line_no")
-    solid = F.when(F.col("kind") != "blank", F.col("kind"))
-    rows = rows.withColumns({"__next": F.first(solid, ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing)), "__before": F.last(solid, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))})
-    caption = (F.col("kind") == "paragraph") & (F.col("__next") == "table") & S._inner(F.col("text"), "**").rlike(S.CAPTION)
-    source = (F.col("kind") == "paragraph") & (F.col("__before") == "table") & S._inner(F.col("text"), "*").rlike(S.SOURCE)
-    rows = rows.withColumn("kind", F.when(F.coalesce(caption, F.lit(False)), "caption").when(F.coalesce(source, F.lit(False)), "source").otherwise(F.col("kind"))).drop("__next", "__before")
+    text = F.when(F.contains("text", F.lit("\t")), F.concat(F.replace(indent, F.lit("\t"), F.lit("    ")), F.substr("text", F.length(indent) + 1))).otherwise(F.col("text"))
+    # kinds are judged before the window: in one step with what follows, the code that Spark makes is too long to be compiled
+    rows = L.fenced_marks(L.lines(docs, id_col, text_col).withColumn("kind", L.line_kind(text, F.lit(False))))
+    rows = rows.withColumns({"text": text, "kind": F.when(F.col("in_fence"), "fence").otherwise(F.col("kind"))}).where("kind <> 'blank'")
     s = F.trim("text")
-    mark = (F.col("kind") == "fence") & s.startswith("```")
-    rows = rows.withColumn("__marks", F.sum(mark.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    listed = lambda k: F.when(k.isin("list", "ordered"), "list").otherwise(k)
-    depth = F.when(F.col("kind") == "quote", F.length(F.regexp_replace(F.regexp_extract(s, r"^(?:>\s*)+", 0), r"\s", ""))).when(F.col("kind").isin("list", "ordered"), F.length(F.regexp_extract("text", "^ *", 0))).otherwise(F.col("level"))
-    rows = rows.withColumn("level", depth)
-    before = F.lag(listed(F.col("kind"))).over(order)
-    first = F.coalesce(before != listed(F.col("kind")), F.lit(True)) | F.col("kind").isin("heading", "rule", "figure", "caption", "source") | (mark & (F.col("__marks") % 2 == 1))
-    begins = first | ((F.col("kind") == "quote") & (F.lag("level").over(order) != F.col("level")))
-    upto = lambda c: F.max(F.when(c, F.col("line_no"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumns({"run": upto(first), "block": upto(begins)}).where("kind <> 'blank'").drop("__marks", "in_fence")
+    depth = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("text", "^#+", 0))).when(F.col("kind") == "quote", F.length(F.regexp_replace(F.regexp_extract(s, r"^(?:>\s*)+", 0), r"\s", ""))).when(F.col("kind").isin("list", "ordered"), F.length(F.regexp_extract("text", "^ *", 0))).otherwise(0)
+    starred = (F.col("kind") == "paragraph") & s.startswith("*")
+    rows = rows.withColumns({
+        "level": depth, "opens": (F.col("kind") == "fence") & s.startswith("```") & (F.col("seen") % 2 == 1),
+        "__caption": F.coalesce(starred & S._inner(F.col("text"), "**").rlike(S.CAPTION), F.lit(False)), "__source": F.coalesce(starred & S._inner(F.col("text"), "*").rlike(S.SOURCE), F.lit(False)),
+    })
+    # one window looks at the neighbours; blank lines between show as gaps of line_no
+    order = Window.partitionBy("doc_id").orderBy("line_no")
+    back = order.rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({
+        "__next": F.lead("kind").over(order), "__at": F.lead("line_no").over(order), "__before": F.lag("kind").over(order), "__far": F.lag("kind", 2).over(order), "__last": F.lag("line_no").over(order),
+        "__level": F.lag("level").over(order), "__sourced": F.lag("__source").over(order), "heading": F.max(F.when(F.col("kind") == "heading", F.col("line_no"))).over(back),
+    })
+    none = F.lit("")
+    caption, source = F.col("__caption") & (F.coalesce("__next", none) == "table"), F.col("__source") & (F.coalesce("__before", none) == "table")
+    listed = lambda k: F.when(k == "ordered", "list").otherwise(k)
+    # what the line before is: behind a caption comes its table, so only sources matter
+    before = F.when(F.col("__sourced") & (F.coalesce("__far", none) == "table"), "source").otherwise(listed(F.col("__before")))
+    rows = rows.withColumns({"kind": F.when(caption, "caption").when(source, "source").otherwise(F.col("kind")), "__before": before})
+    first = F.coalesce(F.col("__last") != F.col("line_no") - 1, F.lit(True)) | (F.col("__before") != listed(F.col("kind"))) | F.col("kind").isin("heading", "rule", "figure", "caption", "source") | F.col("opens")
+    rows = rows.withColumns({"__first": first, "__deeper": (F.col("kind") == "quote") & (F.col("__level") != F.col("level"))})
+    begins = F.when(F.col("__first") | F.coalesce("__deeper", F.lit(False)), F.col("line_no"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"run": F.max(F.when(F.col("__first"), F.col("line_no"))).over(upto), "block": F.max(begins).over(upto), "__table": F.max(begins).over(back)})
+    of = F.when(F.col("kind") == "caption", F.col("__at")).when(F.col("kind") == "source", F.col("__table"))
+    return rows.select("doc_id", "line_no", "text", "kind", "level", "run", "block", "heading", of.alias("of"))
 
 
 def _node(line: Column, part: int = 0) -> Column:
@@ -86,33 +98,27 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     lines; lines of one block are joined by line ends; lists and tables have none of their own. A tab before a line counts as four blanks. Null and blank texts have no node.
     """
     rows = _kinds(docs, id_col, text_col)
-    order = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("heading", F.max(F.when(F.col("kind") == "heading", F.col("line_no"))).over(order))
     s = F.trim("text")
     bare = F.when(F.col("kind") == "heading", F.trim(F.regexp_replace(s, r"^#+", ""))).when(F.col("kind").isin("list", "ordered"), F.regexp_replace(s, r"^(?:[-*+]|\d+[.)])\s+", "")).when(F.col("kind") == "quote", F.regexp_replace(s, r"^(?:>\s*)+", "")).when(F.col("kind") == "fence", F.col("text")).otherwise(s)
-    shared_folder(docs.sparkSession)
-    rows = rows.withColumn("bare", bare).checkpoint()  # each kind of block reads it
+    separator = (F.col("kind") == "table") & F.col("text").rlike(r"^\s*\|[\s:\-|]+\|\s*$")
+    rows = table_of(rows.withColumns({"bare": bare, "separator": separator}).drop("text"))  # each kind of block reads it
     told = ["doc_id", "node", "parent", "kind", "level", "first_line", "last_line", "text"]
     parent = lambda c: (c.cast("long") * 2).alias("parent")
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_no", "bare"))), lambda x: x["bare"]), "\n")
+    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("kind") != "table", F.struct("line_no", "bare")))), lambda x: x["bare"]), "\n")
     own = lambda *kinds: rows.where(F.col("kind").isin(*kinds))
-    whole = lambda r, *more: r.groupBy("doc_id", F.col("block").alias("first_line")).agg(F.min("run").alias("run"), F.first("kind").alias("kind"), F.min("level").alias("level"), F.min("heading").alias("heading"), F.max("line_no").alias("last_line"), joined.alias("text"), *more)
-
-    plain = whole(own("paragraph", "figure", "rule", "fence")).select("doc_id", _node(F.col("first_line")), parent(F.col("heading")), "kind", "level", "first_line", "last_line", "text")
-    heads = under(whole(own("heading")), ["doc_id"], "first_line", "level").select("doc_id", _node(F.col("first_line")), parent(F.col("above")), "kind", "level", "first_line", "last_line", "text")
-    quotes = under(whole(own("quote")), ["doc_id", "run"], "first_line", "level").select("doc_id", _node(F.col("first_line")), parent(F.coalesce("above", "heading")), "kind", "level", "first_line", "last_line", "text")
-
-    # tables with what belongs to them: a caption looks ahead for the table, a source back
-    table = whole(own("table")).select("doc_id", "first_line", "last_line", "heading")
-    separator = F.col("text").rlike(r"^\s*\|[\s:\-|]+\|\s*$")
-    parts = own("table").where(~separator).select("doc_id", F.col("line_no").alias("first_line"), F.lit("row").alias("kind"), F.col("block").alias("of"), "bare")
-    seen = rows.select("doc_id", "line_no", "kind", "block", "bare")
-    line = Window.partitionBy("doc_id").orderBy("line_no")
-    near = seen.withColumns({"ahead": F.first(F.when(F.col("kind") == "table", F.col("block")), ignorenulls=True).over(line.rowsBetween(1, Window.unboundedFollowing)), "back": F.last(F.when(F.col("kind") == "table", F.col("block")), ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, -1))})
-    parts = parts.unionByName(near.where(F.col("kind").isin("caption", "source")).select("doc_id", F.col("line_no").alias("first_line"), "kind", F.when(F.col("kind") == "caption", F.col("ahead")).otherwise(F.col("back")).alias("of"), "bare"))
-    zero = F.lit(0).alias("level")
-    tables = table.select("doc_id", _node(F.col("first_line")), parent(F.col("heading")), F.lit("table").alias("kind"), zero, "first_line", "last_line", F.lit(None).cast("string").alias("text"))
-    in_table = parts.select("doc_id", (F.col("first_line").cast("long") * 2 + 1).alias("node"), parent(F.col("of")), "kind", zero, "first_line", F.col("first_line").alias("last_line"), F.col("bare").alias("text"))
+    whole = lambda r: r.groupBy("doc_id", F.col("block").alias("first_line")).agg(F.min("run").alias("run"), F.min("kind").alias("kind"), F.min("level").alias("level"), F.min("heading").alias("heading"), F.max("line_no").alias("last_line"), joined.alias("text"))
+
+    # blocks of one line, and the parts of tables
+    part = F.col("kind").isin("table", "caption", "source")
+    single = own("figure", "rule", "caption", "source", "table").where("NOT separator").select(
+        "doc_id", (F.col("line_no").cast("long") * 2 + part.cast("int")).alias("node"), parent(F.when(F.col("kind") == "table", F.col("block")).when(part, F.col("of")).otherwise(F.col("heading"))),
+        F.when(F.col("kind") == "table", "row").otherwise(F.col("kind")).alias("kind"), "level", F.col("line_no").alias("first_line"), F.col("line_no").alias("last_line"), F.col("bare").alias("text"),
+    )
+    plain = whole(own("paragraph", "fence", "table")).select("doc_id", _node(F.col("first_line")), parent(F.col("heading")), "kind", "level", "first_line", "last_line", F.when(F.col("kind") != "table", F.col("text")).alias("text"))
+    # headings are one run of their document
+    ranked = whole(own("quote", "heading")).withColumn("run", F.when(F.col("kind") == "heading", 0).otherwise(F.col("run")))
+    ranked = under(ranked, ["doc_id", "run"], "first_line", "level").withColumn("above", F.when(F.col("kind") == "heading", F.col("above")).otherwise(F.coalesce("above", "heading")))
+    ranked = ranked.select("doc_id", _node(F.col("first_line")), parent(F.col("above")), "kind", "level", "first_line", "last_line", "text")
 
     items = under(own("list", "ordered").select("doc_id", "run", "line_no", "kind", "level", "heading", "bare"), ["doc_id", "run"], "line_no", "level")
     run = Window.partitionBy("doc_id", "run").orderBy("line_no")
@@ -123,7 +129,7 @@ def blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     lists = lists.select("doc_id", _node(F.col("of")), parent(F.col("heading")), "kind", "level", F.col("of").alias("first_line"), "last_line", F.lit(None).cast("string").alias("text"))
     in_list = items.select("doc_id", _node(F.col("line_no"), 1), F.when(F.col("above").isNull(), F.col("of").cast("long") * 2).otherwise(F.col("above").cast("long") * 2 + 1).alias("parent"), F.when(F.col("kind") == "list", "item").otherwise("ordered_item").alias("kind"), "level", F.col("line_no").alias("first_line"), F.col("line_no").alias("last_line"), F.col("bare").alias("text"))
     out = plain.select(*told)
-    for more in (heads, quotes, tables, in_table, lists, in_list):
+    for more in (single, ranked, lists, in_list):
         out = out.unionByName(more.select(*told))
     return out
 
@@ -166,8 +172,7 @@ def checked(docs: DataFrame, files: DataFrame | None = None, id_col: str = "doc_
     short title among the metadata. line_no: the block's first line; null for W-TTL-01.
     """
     named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    shared_folder(docs.sparkSession)
-    tree = numbered(blocks(named)).checkpoint()  # every check reads it
+    tree = table_of(numbered(blocks(named)))  # every check reads it
     one = lambda r, code, element, detail, line="first_line": r.select("doc_id", F.lit(code).alias("code"), F.col(line).alias("first_line"), element.alias("element"), detail.alias("detail"))
     alt, path = F.regexp_extract("text", FIGURE, 1), F.regexp_extract("text", FIGURE, 2)
     part = lambda c, p, i: F.regexp_extract(c, p, i).try_cast("int")

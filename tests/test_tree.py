@@ -52,6 +52,28 @@ def test_odd_texts(spark) -> None:
     assert sorted(v[1] for v in nodes(t, 7).values()) == ["row", "row", "table"]
 
 
+def test_neighbours_tell_blocks(spark) -> None:
+    text = "\t```\n*来源：a*\n|t|\n*来源：b*\nnext\n\n**表1-1 c**\n\n|u|\n|-|\n\n*来源：d*\n```\n\n```\n```\nx\n```\n#### deep\n### up\n> q\n> r\n>> s"
+    got = nodes(tree.blocks(docs_of(spark, text)))
+    assert got[2] == (None, "paragraph", "```\n*来源：a*")  # a tab makes no fence, and a source stands behind its table
+    assert got[6] == (None, "table", None) and got[7] == (6, "row", "|t|") and got[9] == (6, "source", "*来源：b*") and got[10] == (None, "paragraph", "next")
+    assert got[15] == (18, "caption", "**表1-1 c**") and got[19] == (18, "row", "|u|") and got[25] == (18, "source", "*来源：d*") and 21 not in got
+    assert got[26] == (None, "fence", "```\n\n```") and got[32] == (None, "fence", "```\nx\n```")
+    assert got[38] == (None, "heading", "deep") and got[40] == (None, "heading", "up") and got[42] == (40, "quote", "q\nr") and got[46] == (42, "quote", "s")
+
+
+def operators_of(df) -> list[str]:
+    plan = df._jdf.queryExecution().executedPlan()
+    return [line.strip(" :+-*()0123456789").split(" ")[0] for line in plan.toString().split("\n")]
+
+
+def test_lines_are_read_by_three_windows(spark) -> None:
+    """Each window passes over all lines; one that looks ahead to the end takes the square of a text's lines."""
+    plan = tree._kinds(docs_of(spark, "a"), "doc_id", "text")
+    assert operators_of(plan).count("Window") <= 3
+    assert "1, unboundedfollowing$()" not in plan._jdf.queryExecution().toString()
+
+
 def findings(df, doc=0):
     return sorted((r["code"], r["line_no"], r["element"], r["detail"]) for r in df.where(f"doc_id = {doc}").collect() if r["code"] != "W-TTL-01")
 
