@@ -164,4 +164,6 @@ def missing_terms(docs: DataFrame, terms: DataFrame, least: float = LEAST, chunk
     parts = forms.withColumn("part", F.pmod(F.xxhash64("term_id"), F.lit(max(1, n)))).groupBy("part").agg(F.collect_list(F.struct("term_id", "form")).alias("forms"))
     bodies = docs.select("doc_id", T.body_clean(F.col("text")).alias("body"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, n) - 1).cast("long"))).alias("part"))
     lacking = bodies.join(parts, "part").select("doc_id", F.inline(F.filter("forms", lambda t: ~F.contains("body", t["form"]))))
-    return lacking.join(near_terms(docs, terms, least).select("doc_id", "term_id", "near"), ["doc_id", "term_id"], "left").select("doc_id", "term_id", "form", "near")
+    # windows grow with the texts, however few bytes they take in a shuffle: none of them goes through the driver
+    near = near_terms(docs, terms, least).select("doc_id", "term_id", "near").hint("merge")
+    return lacking.join(near, ["doc_id", "term_id"], "left").select("doc_id", "term_id", "form", "near")

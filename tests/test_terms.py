@@ -71,3 +71,11 @@ def test_plans_read_the_texts_once(spark) -> None:
     docs, glossary = spark.createDataFrame([(1, "the closed loo here")], "doc_id int, text string"), spark.createDataFrame([("a", "closed loop")], "term_id string, preferred_form string")
     joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
     assert joins(terms.near_terms(docs, glossary)) == 0 and joins(terms.missing_terms(docs, glossary)) == 2
+
+
+def test_windows_are_not_sent_to_the_driver(spark) -> None:
+    """However small they are, the windows meet the lacking forms in a merge join, not as a table that the driver collects."""
+    docs, glossary = spark.createDataFrame([(1, "the closed loo here")], "doc_id int, text string"), spark.createDataFrame([("a", "closed loop")], "term_id string, preferred_form string")
+    got = terms.missing_terms(docs, glossary)
+    assert [tuple(r) for r in got.collect()] == [(1, "a", "closed loop", " closed loo")]
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("SortMergeJoin [doc_id") == 1
