@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Callable
 from functools import reduce
 
 import pyarrow as pa
@@ -19,6 +20,11 @@ PROPRIETARY = r"(?i)(GJB\s*\d+|ISO\s*\d+|IEC\s*\d+|IEEE\s*\d+|RFC\s*\d+|NIST|NAS
 NOISE = "[�▕█▏▎▍▌▋▊▉]"
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f asks for it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def without_fences(text: Column) -> Column:
     """Drops closed ``` blocks, across lines."""
     return F.regexp_replace(text, "(?s)```.*?```", "")
@@ -113,10 +119,14 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(text, "[。！？]"), lambda s: F.trim(s) != "")
 
 
+#: Characters that take two columns.
+WIDE = "[⺀-鿿가-힣豈-﫿＀-｠￠-￦]"
+
+
 def half_width_cut(text: Column, width: int) -> Column:
-    """The longest head of at most so many half-width columns; CJK counts two."""
+    """The longest head of at most so many half-width columns; CJK counts two. Only a text that is too wide is walked by characters."""
     chars = F.split(text, "")
-    wide = lambda c: F.when(c.rlike("[⺀-鿿가-힣豈-﫿＀-｠￠-￦]"), 2).otherwise(1)
+    wide = lambda c: F.when(c.rlike(WIDE), 2).otherwise(1)
     start = F.struct(F.lit("").alias("s"), F.lit(0).alias("w"), F.lit(False).alias("done"))
 
     def step(acc: Column, c: Column) -> Column:
@@ -124,7 +134,7 @@ def half_width_cut(text: Column, width: int) -> Column:
         over = acc["done"] | (w > width)
         return F.struct(F.when(over, acc["s"]).otherwise(F.concat(acc["s"], c)).alias("s"), F.when(over, acc["w"]).otherwise(w).alias("w"), over.alias("done"))
 
-    return F.aggregate(chars, start, step, lambda acc: acc["s"])
+    return F.when(F.length(text) + class_count(text, WIDE) <= width, text).otherwise(F.aggregate(chars, start, step, lambda acc: acc["s"]))
 
 
 #: The digits and units of Chinese numerals.

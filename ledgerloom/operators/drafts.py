@@ -153,14 +153,15 @@ def transitions(docs: DataFrame, letters: str = T.CJK) -> DataFrame:
 
 
 def empty_chapters(docs: DataFrame) -> DataFrame:
-    """doc_id, chapter (counted from 1), title: H1 with no text below but headings, up to the next H1. Fenced lines are text."""
-    rows = L.classified(docs)
-    h1 = (F.col("kind") == "heading") & (F.col("level") == 1)
-    run = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("chapter", F.sum(h1.cast("int")).over(run)).where("chapter > 0")
-    text = F.max(((F.col("kind") != "heading") & (F.trim("text") != "")).cast("int"))
-    titles = F.min_by("text", "line_no")
-    return rows.groupBy("doc_id", "chapter").agg(text.alias("any"), titles.alias("title")).where("any = 0").select("doc_id", "chapter", F.trim(F.regexp_replace("title", r"^#\s+", "")).alias("title"))
+    """doc_id, chapter (counted from 1), title: H1 with no text below but headings, up to the next H1. Fenced lines are text.
+
+    A text is judged in its own row: its lines as a string of one character each, cut at the H1.
+    """
+    mark = lambda x: F.when(L.is_heading(x, 1), "1").when((x["kind"] != "heading") & (F.trim(x["text"]) != ""), "x").otherwise("h")
+    told = L.texts(docs).select("doc_id", F.filter("lines", lambda x: L.is_heading(x, 1)).alias("heads"), F.split(F.array_join(F.transform("lines", mark), ""), "1").alias("below"))
+    title = lambda x: F.trim(F.regexp_replace(x["text"], r"^#\s+", ""))
+    empty = lambda below: F.array_compact(F.transform("heads", lambda x, i: F.when(~F.contains(F.get(below, i + 1), F.lit("x")), F.struct((i + 1).cast("long").alias("chapter"), title(x).alias("title")))))
+    return told.select("doc_id", F.inline(T.let(F.col("below"), empty)))
 
 
 def with_bibliography(text: Column, bibliography: Column) -> tuple[Column, Column]:

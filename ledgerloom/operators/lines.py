@@ -6,6 +6,8 @@ number rows first where ids repeat.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +31,49 @@ def lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "text")).select("doc_id", (F.col("at") + 1).alias("line_no"), "text")
 
 
+def _inside(parts: Column) -> Column:
+    """Of each line "f" where it is a closed fence's mark or lies between two. The marks cut a string of one character a line into segments; every other one lies inside."""
+    marks = F.array_join(F.transform(parts, lambda p: F.when(F.trim(p).startswith("```"), "`").otherwise(".")), "")
+
+    def told(segments: Column) -> Column:
+        closed = F.size(segments) - 1 - (F.size(segments) - 1) % 2
+        mark = lambda i: F.when(i == 0, "").when(i <= closed, "f").otherwise(".")
+        between = lambda s, i: F.repeat(F.when((i % 2 == 1) & (i <= closed), "f").otherwise("."), F.length(s))
+        return F.split(F.array_join(F.transform(segments, lambda s, i: F.concat(mark(i), between(s, i))), ""), "")
+
+    return T.let(F.split(marks, "`"), told)
+
+
+def fenced_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lines (line_no, text, in_fence): a row's lines as an array in the row itself, so nothing is shuffled; null for a null text."""
+    text = F.col(text_col)
+
+    def told(parts: Column) -> Column:
+        inside = F.when(F.contains(text, F.lit("```")), _inside(parts))
+        line = lambda on: lambda p, i: F.struct((i + 1).alias("line_no"), p.alias("text"), F.coalesce(F.get(on, i) == "f", F.lit(False)).alias("in_fence"))
+        return T.let(inside, lambda on: F.transform(parts, line(on)))
+
+    return docs.select(F.col(id_col).alias("doc_id"), T.let(F.split(text, "\n"), told).alias("lines"))
+
+
+def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lines (line_no, text, in_fence, kind, level of headings, else 0): a row's lines as an array in the row itself; null for a null text."""
+    kind = lambda r: F.struct(r["line_no"].alias("line_no"), r["text"].alias("text"), r["in_fence"].alias("in_fence"), line_kind(r["text"], r["in_fence"]).alias("kind"))
+    level = lambda r: F.when(r["kind"] == "heading", F.length(F.regexp_extract(r["text"], "^#+", 0))).otherwise(0)
+    full = F.transform(F.transform("lines", kind), lambda r: F.struct(*[r[c].alias(c) for c in ("line_no", "text", "in_fence", "kind")], level(r).alias("level")))
+    return fenced_texts(docs, id_col, text_col).select("doc_id", full.alias("lines"))
+
+
+def is_heading(line: Column, level: int) -> Column:
+    """Whether a line of texts() is a heading of this level."""
+    return (line["kind"] == "heading") & (line["level"] == level)
+
+
+def places(lines: Column, match: Callable[[Column, Column], Column]) -> Column:
+    """Places (from 0) of the lines for which match(line, place) holds."""
+    return F.array_compact(F.transform(lines, lambda x, i: F.when(match(x, i), i)))
+
+
 def fenced(rows: DataFrame) -> DataFrame:
     """Adds in_fence: a ``` line or a line between a pair of them. A last fence without its partner protects nothing."""
     return fenced_marks(rows).drop("seen")
@@ -46,18 +91,18 @@ def fenced_marks(rows: DataFrame) -> DataFrame:
 def line_kind(text: Column, in_fence: Column) -> Column:
     """Kind of a line, by fixed priority: fence, blank, heading, rule, figure, table, list, ordered list, quote, paragraph."""
     s = F.trim(text)
+    # a line is held against a pattern only if it begins as the pattern does
+    begins = lambda marks: F.substring(s, 1, 1).isin(*marks)
     return (
-        F.when(in_fence, "fence").when(s == "", "blank").when(text.rlike(r"^#{1,6}\s+\S"), "heading").when(s.rlike(r"^(-{3,}|\*{3,}|_{3,})$"), "rule")
-        .when(s.rlike(r"^!\[[^\]]*\]\([^)]*\)$"), "figure").when(s.startswith("|"), "table").when(s.rlike(r"^[-*+]\s+\S"), "list")
-        .when(s.rlike(r"^\d+[.)]\s+\S"), "ordered").when(s.startswith(">"), "quote").otherwise("paragraph")
+        F.when(in_fence, "fence").when(s == "", "blank").when(text.startswith("#") & text.rlike(r"^#{1,6}\s+\S"), "heading").when(begins("-*_") & s.rlike(r"^(-{3,}|\*{3,}|_{3,})$"), "rule")
+        .when(s.startswith("![") & s.rlike(r"^!\[[^\]]*\]\([^)]*\)$"), "figure").when(s.startswith("|"), "table").when(begins("-*+") & s.rlike(r"^[-*+]\s+\S"), "list")
+        .when(begins("0123456789") & s.rlike(r"^\d+[.)]\s+\S"), "ordered").when(s.startswith(">"), "quote").otherwise("paragraph")
     )
 
 
 def classified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no, text, in_fence, kind, level (of headings, else 0)."""
-    rows = fenced(lines(docs, id_col, text_col))
-    rows = rows.withColumn("kind", line_kind(F.col("text"), F.col("in_fence")))
-    return rows.withColumn("level", F.when(F.col("kind") == "heading", F.length(F.regexp_extract("text", "^#+", 0))).otherwise(0))
+    """doc_id, line_no, text, in_fence, kind, level (of headings, else 0): the lines of texts() as rows, without a shuffle."""
+    return texts(docs, id_col, text_col).select("doc_id", F.inline("lines"))
 
 
 def blocks(rows: DataFrame) -> DataFrame:
@@ -139,16 +184,40 @@ def runs_of(rows: DataFrame, by: str, order: str, match: Column, least: int = 3)
     return hit.withColumn("island", island).groupBy(by, "island").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n")).where(F.col("n") >= least).drop("island")
 
 
-def metadata_lines(rows: DataFrame, limit: str = r"^\*{0,2}[^:：*]{1,12}\*{0,2}[:：]\s*\S") -> DataFrame:
+#: Fixed value: how a metadata line begins.
+METADATA = r"^\*{0,2}[^:：*]{1,12}\*{0,2}[:：]\s*\S"
+
+
+def _is_metadata(text: Column, kind: Column, limit: str) -> Column:
+    return kind.isin("paragraph", "quote") & F.trim(text).rlike(limit)
+
+
+def _metadata_part(text: Column, part: int) -> Column:
+    return F.trim(F.regexp_extract(F.regexp_replace(text, r"[*>]", ""), r"^\s*([^:：]+)[:：]\s*(.*)$", part))
+
+
+def metadata_lines(rows: DataFrame, limit: str = METADATA) -> DataFrame:
     """Metadata lines (name: value): only behind the first H1, up to the first line that is neither blank nor metadata. rows: classified(). Gives doc_id, line_no, name, value."""
     doc = Window.partitionBy("doc_id")
     title = F.min(F.when((F.col("kind") == "heading") & (F.col("level") == 1), F.col("line_no"))).over(doc)
     rows = rows.withColumn("title", title).where(F.col("line_no") > F.col("title"))
-    is_meta = F.trim("text").rlike(limit) & F.col("kind").isin("paragraph", "quote")
+    is_meta = _is_metadata(F.col("text"), F.col("kind"), limit)
     ends = F.coalesce(F.min(F.when(~is_meta & (F.col("kind") != "blank"), F.col("line_no"))).over(doc), F.lit(1 << 30))
     inside = rows.withColumn("ends", ends).where((F.col("line_no") < F.col("ends")) & is_meta)
-    part = lambda g: F.trim(F.regexp_extract(F.regexp_replace("text", r"[*>]", ""), r"^\s*([^:：]+)[:：]\s*(.*)$", g))
-    return inside.select("doc_id", "line_no", part(1).alias("name"), part(2).alias("value"))
+    return inside.select("doc_id", "line_no", _metadata_part(F.col("text"), 1).alias("name"), _metadata_part(F.col("text"), 2).alias("value"))
+
+
+def own_metadata(lines: Column) -> Column:
+    """line_no, name, value: the metadata lines of a text, as metadata_lines(), from its lines as texts() gives them."""
+    title = F.get(F.filter(lines, lambda x: is_heading(x, 1)), F.lit(0))["line_no"]
+    told = lambda x: F.struct(x["line_no"].alias("line_no"), _metadata_part(x["text"], 1).alias("name"), _metadata_part(x["text"], 2).alias("value"))
+    is_meta = lambda x: _is_metadata(x["text"], x["kind"], METADATA)
+
+    def upto_the_end(below: Column) -> Column:
+        ends = F.coalesce(F.get(F.filter(below, lambda x: ~is_meta(x) & (x["kind"] != "blank")), F.lit(0))["line_no"], F.lit(1 << 30))
+        return T.let(ends, lambda ends: F.transform(F.filter(below, lambda x: (x["line_no"] < ends) & (x["kind"] != "blank")), told))
+
+    return T.let(F.slice(lines, title + 1, F.size(lines)), upto_the_end)
 
 
 def without_blocks(rows: DataFrame, heading: str) -> DataFrame:

@@ -21,3 +21,8 @@ def query(sql: str) -> Callable:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a few columns dealt over the cores by a key before texts are built from them: a small file is one task, however much work its rows are."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, key)
