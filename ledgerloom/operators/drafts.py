@@ -7,7 +7,7 @@ over a document's lines, by (doc_id, line_no). doc_id tells documents apart: row
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import text as T
@@ -105,14 +105,21 @@ def positional_words(docs: DataFrame, around: int = 15) -> DataFrame:
     return found.select("doc_id", "line_no", at.alias("at"), "word", context.alias("context"))
 
 
-def with_chapters(rows: DataFrame) -> DataFrame:
-    """Lines below chapter heads, with chapter and section (counted from 1; 0 before the first section). An appendix head ends a chapter."""
-    run = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    head, appendix = F.col("text").rlike(CHAPTER_HEAD), F.col("text").rlike(APPENDIX_HEAD)
-    rows = rows.withColumns({"chapter": F.sum(head.cast("int")).over(run), "inside": F.last(F.when(head, True).when(appendix, False), ignorenulls=True).over(run)})
-    rows = rows.where("inside").withColumn("is_head", head).drop("inside")
-    own = Window.partitionBy("doc_id", "chapter").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("section", F.sum((F.col("text").rlike(SECTION_HEAD) & ~head).cast("int")).over(own))
+def chapters(docs: DataFrame) -> DataFrame:
+    """doc_id, chapter (counted from 1), is_last, lines (an array of texts, the head first): a row a chapter, cut from the text's own row. An appendix head ends a chapter."""
+
+    def cut(lines: Column) -> Column:
+        head = lambda x: x.rlike(CHAPTER_HEAD)
+        bounds = F.array_compact(F.transform(lines, lambda x, i: F.when(x.startswith("#") & (head(x) | x.rlike(APPENDIX_HEAD)), F.struct(i.alias("at"), head(x).alias("is_head")))))
+
+        def between(bounds: Column) -> Column:
+            end = lambda j: F.coalesce(F.get(bounds, j + 1)["at"], F.size(lines))
+            return F.filter(F.transform(bounds, lambda b, j: F.struct(b["is_head"].alias("is_head"), F.slice(lines, b["at"] + 1, end(j) - b["at"]).alias("lines"))), lambda c: c["is_head"])
+
+        return T.let(bounds, between)
+
+    number = lambda all_: F.transform(all_, lambda c, i: F.struct((i + 1).cast("long").alias("chapter"), (i + 1 == F.size(all_)).alias("is_last"), c["lines"].alias("lines")))
+    return docs.select("doc_id", F.inline(T.let(T.let(F.split("text", "\n"), cut), number)))
 
 
 def transitions(docs: DataFrame, letters: str = T.CJK) -> DataFrame:
@@ -121,35 +128,26 @@ def transitions(docs: DataFrame, letters: str = T.CJK) -> DataFrame:
     A chapter closes with two sentences, the last one with one: in its last closing block if it has one (issue
     thin_block), else in the last paragraph of its last section (issue thin_closing). Between two section heads there is a
     paragraph (issue no_transition; section: the first of the two). A paragraph holds a character of the class.
+
+    A chapter is judged in its own row. Its lines are joined with marks between them, each a line end (which no line holds)
+    and a letter, and split again: by section heads and blank lines into paragraphs, by starts and ends into blocks.
     """
-    rows = with_chapters(L.lines(docs))
-    s = F.trim(F.regexp_replace("text", r"(?U)^\s+|\s+$", ""))
-    rows = rows.withColumn("s", s)
-    by = Window.partitionBy("doc_id", "chapter").orderBy("line_no")
-    upto = by.rowsBetween(Window.unboundedPreceding, 0)
+    trimmed = F.transform("lines", lambda x: F.struct(x.alias("text"), F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", "")).alias("s")))
+    quoted = lambda x: F.trim(F.regexp_replace(x["s"], r"^>+", ""))
     # a block: its first line and the quoted lines that follow it without a gap
-    start = F.col("text").rlike(CLOSING_BLOCK)
-    rows = rows.withColumn("block", F.sum((start | ~F.col("s").startswith(">")).cast("int")).over(upto))
-    rows = rows.withColumn("in_block", F.max(start.cast("int")).over(Window.partitionBy("doc_id", "chapter", "block")) == 1)
-    rows = rows.withColumn("island", F.sum((F.col("s") == "").cast("int")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    body = (F.col("s") != "") & ~F.col("s").rlike(L.NOT_BODY)
-    text = lambda c: F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["t"]), "")
-    quoted = F.trim(F.regexp_replace("s", r"^>+", ""))
-    blocks = rows.where("in_block").groupBy("doc_id", "chapter", "block").agg(text(F.struct("line_no", quoted.alias("t"))).alias("closing"))
-    blocks = blocks.groupBy("doc_id", "chapter").agg(F.max_by("closing", "block").alias("block_text"))
-    paras = rows.where(body).groupBy("doc_id", "chapter", "section", "island").agg(text(F.struct("line_no", F.col("s").alias("t"))).alias("p")).where(T.class_count(F.col("p"), letters) > 0)
-    per_section = paras.groupBy("doc_id", "chapter", "section").agg(F.max_by("p", "island").alias("closing"))
-    heads = rows.groupBy("doc_id", "chapter").agg(F.max("section").alias("section"))
-    last = F.max("chapter").over(Window.partitionBy("doc_id"))
-    closed = heads.withColumn("last", last).join(blocks, ["doc_id", "chapter"], "left").join(per_section, ["doc_id", "chapter", "section"], "left")
-    required = F.when(F.col("chapter") == F.col("last"), 1).otherwise(2)
-    found = F.coalesce(F.size(T.sentences(F.coalesce("block_text", "closing"))), F.lit(0))
-    found = F.when(F.coalesce("block_text", "closing").isNull(), 0).otherwise(found)
-    issue = F.when(F.col("block_text").isNotNull(), "thin_block").otherwise("thin_closing")
-    thin = closed.select("doc_id", "chapter", "section", issue.alias("issue"), found.alias("found"), required.alias("required")).where("found < required")
-    gaps = rows.where((F.col("section") > 0)).groupBy("doc_id", "chapter", "section").agg(F.lit("no_transition").alias("issue"))
-    gaps = gaps.join(heads.withColumnRenamed("section", "last"), ["doc_id", "chapter"]).where("section < last").join(per_section, ["doc_id", "chapter", "section"], "left_anti")
-    return thin.unionByName(gaps.select("doc_id", "chapter", "section", "issue", F.lit(0).alias("found"), F.lit(1).alias("required")))
+    start = lambda x: x["text"].startswith(">") & x["text"].rlike(CLOSING_BLOCK)
+    in_blocks = lambda rows: F.array_join(F.transform(rows, lambda x: F.when(start(x), F.concat(F.lit("\nB"), quoted(x))).when(x["s"].startswith(">"), quoted(x)).otherwise("\nx")), "")
+    in_sections = lambda rows: F.array_join(F.transform(rows, lambda x: F.when(x["text"].startswith("###") & x["text"].rlike(SECTION_HEAD), "\nS").when(x["s"] == "", "\nb").when(x["s"].rlike(L.NOT_BODY), "").otherwise(x["s"])), "")
+    rows = chapters(docs).select("doc_id", "chapter", "is_last", T.let(trimmed, lambda rows: F.struct(F.split(in_blocks(rows), "\nB").alias("blocks"), F.split(in_sections(rows), "\nS").alias("sections"))).alias("c"))
+    closing = lambda section: F.try_element_at(F.filter(F.split(section, "\nb"), lambda p: T.class_count(p, letters) > 0), F.lit(-1))
+    block = F.when(F.size("c.blocks") > 1, F.get(F.split(F.element_at("c.blocks", -1), "\nx"), F.lit(0)))
+    rows = rows.select("doc_id", "chapter", "is_last", block.alias("block_text"), F.transform("c.sections", closing).alias("closings"))
+    said = F.coalesce("block_text", F.element_at("closings", -1))
+    found = F.when(said.isNull(), 0).otherwise(F.size(T.sentences(said)))
+    issue = lambda section, issue, found, required: F.struct(section.cast("long").alias("section"), issue.alias("issue"), found.alias("found"), required.alias("required"))
+    thin = F.array(issue(F.size("closings") - 1, F.when(F.col("block_text").isNotNull(), "thin_block").otherwise("thin_closing"), found, F.when(F.col("is_last"), 1).otherwise(2)))
+    gap = lambda c, i: F.when((i > 0) & (i < F.size("closings") - 1) & c.isNull(), issue(i, F.lit("no_transition"), F.lit(0), F.lit(1)))
+    return rows.select("doc_id", "chapter", F.inline(F.concat(F.filter(thin, lambda x: x["found"] < x["required"]), F.array_compact(F.transform("closings", gap)))))
 
 
 def empty_chapters(docs: DataFrame) -> DataFrame:
