@@ -83,11 +83,12 @@ def mention_findings(rows: DataFrame) -> DataFrame:
 
     A line that starts with a caption or an image is the entity; mentions are in other lines.
     """
-    named = rows.select("doc_id", "line_no", F.regexp_extract("text", CAPTION, 1).alias("kind"), F.regexp_extract("text", CAPTION, 2).alias("no"), "text")
-    entity = named.where("kind <> ''").groupBy("doc_id", "kind", "no").agg(F.min("line_no").alias("at"))
-    marks = named.where("kind = ''").select("doc_id", "line_no", F.explode(F.regexp_extract_all("text", F.lit(MENTION), 0)).alias("m"))
-    said = marks.select("doc_id", "line_no", F.substring("m", 1, 1).alias("kind"), F.regexp_extract("m", r"\d+-\d+", 0).alias("no")).groupBy("doc_id", "kind", "no").agg(F.min("line_no").alias("first"))
-    j = entity.join(said, ["doc_id", "kind", "no"], "full_outer")
+    named = rows.where(F.col("text").rlike(MENTION)).select("doc_id", "line_no", F.regexp_extract("text", CAPTION, 1).alias("own"), F.regexp_extract("text", CAPTION, 2).alias("own_no"), "text")
+    mention = lambda m: F.struct(F.substring(m, 1, 1).alias("kind"), F.regexp_extract(m, r"\d+-\d+", 0).alias("no"))
+    marks = F.when(F.col("own") == "", F.transform(F.regexp_extract_all("text", F.lit(MENTION), 0), mention)).otherwise(F.array(F.struct(F.col("own").alias("kind"), F.col("own_no").alias("no"))))
+    marks = named.select("doc_id", "line_no", (F.col("own") != "").alias("is_entity"), F.inline(marks))
+    # entities and mentions meet in one roll-up by number
+    j = marks.groupBy("doc_id", "kind", "no").agg(F.min(F.when(F.col("is_entity"), F.col("line_no"))).alias("at"), F.min(F.when(~F.col("is_entity"), F.col("line_no"))).alias("first"))
     finding = F.when(F.col("at").isNull(), "no_entity").when(F.col("first").isNull(), "unmentioned").when(F.col("first") > F.col("at"), "late")
     return j.select("doc_id", "kind", "no", finding.alias("finding")).where("finding is not null")
 

@@ -90,14 +90,16 @@ def nearest_before(rows: DataFrame, by: str, order: list[str], value: Column, na
 
 def hierarchical_numbers(rows: DataFrame, by: str, order: list[str], level: str = "level") -> DataFrame:
     """Adds n1, n2, n3 (counters of levels 1 to 3, each reset by the level above) and number (1, 1.2, 1.2.3; level 0 is an appendix: A, B, ...)."""
-    run = lambda keys: Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    run = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     lv = F.col(level)
-    rows = rows.withColumn("n1", F.sum((lv == 1).cast("int")).over(run([by]))).withColumn("__top", F.sum((lv <= 1).cast("int")).over(run([by])))
-    rows = rows.withColumn("n2", F.sum((lv == 2).cast("int")).over(run([by, "__top"])))
-    rows = rows.withColumn("n3", F.sum((lv == 3).cast("int")).over(run([by, "__top", "n2"])))
-    letter = F.char(F.lit(64) + F.sum((lv == 0).cast("int")).over(run([by])))
+    upto = lambda n: F.sum((lv == n).cast("int")).over(run)
+    rows = rows.withColumns({"n1": upto(1), "__n2": upto(2), "__n3": upto(3), "__n0": upto(0)})
+    # a counter is reset by what it had reached where a level above stood last: all in the order of one sort
+    since = lambda n, c: F.col(c) - F.coalesce(F.last(F.when(lv < n, F.col(c)), ignorenulls=True).over(run), F.lit(0))
+    rows = rows.withColumns({"n2": since(2, "__n2"), "n3": since(3, "__n3")})
+    letter = F.char(F.lit(64) + F.col("__n0"))
     number = F.when(lv == 0, letter).when(lv == 1, F.col("n1").cast("string")).when(lv == 2, F.concat_ws(".", "n1", "n2")).otherwise(F.concat_ws(".", "n1", "n2", "n3"))
-    return rows.withColumn("number", number).drop("__top")
+    return rows.withColumn("number", number).drop("__n0", "__n2", "__n3")
 
 
 def sequence_gaps(rows: DataFrame, by: str, value: str) -> DataFrame:
@@ -106,6 +108,12 @@ def sequence_gaps(rows: DataFrame, by: str, value: str) -> DataFrame:
     return ranked.where(F.col(value) != F.col("expected"))
 
 
+def distinct_gaps(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """sequence_gaps() of the distinct rows, in one shuffle by the group: rows may repeat."""
+    ranked = rows.select(by, value, F.dense_rank().over(Window.partitionBy(by).orderBy(value)).alias("expected"))
+    return ranked.where(F.col(value) != F.col("expected")).distinct()
+
+
 def duplicates(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1)
 

@@ -1,7 +1,7 @@
 """The structure of merged texts: captions and sources of tables, orphan figure lines, page breaks, statistics, titles
 against an outline, parents of subsections, and terms in their preferred form.
 
-rows: lines as lines.classified() gives them.
+texts: lines as lines.texts() gives them; a text is judged in its own row, so that nothing is shuffled for it.
 """
 
 from __future__ import annotations
@@ -22,10 +22,6 @@ FIGURE_LINE = r"^图\d{1,2}-\d{1,2}(?:[：:]|[ 　]).{0,80}$"
 LOCKED, FREE = ("chapter", "section"), ("subsection",)
 
 
-def _doc(*more: str):  # noqa: ANN202
-    return Window.partitionBy("doc_id", *more).orderBy("line_no")
-
-
 def _inner(text: Column, mark: str) -> Column:
     """What a line wholly in bold (**) or italics (*) holds; null for others."""
     m = mark.replace("*", r"\*")
@@ -33,17 +29,27 @@ def _inner(text: Column, mark: str) -> Column:
     return F.when(found != "", F.trim(found))
 
 
-def tables(rows: DataFrame) -> DataFrame:
+def _solid() -> Column:
+    return F.filter("lines", lambda x: x["kind"] != "blank")
+
+
+def _kind(lines: Column, at: Column) -> Column:
+    """Kind of the line at a place; blank beyond the ends."""
+    return F.coalesce(F.get(lines, at)["kind"], F.lit("blank"))
+
+
+def _tables(solid: Column) -> Column:
+    """Runs of table lines: first_line, last_line, cap (the bold line before), src (the line in italics behind). A blank line breaks a run, too."""
+    near = lambda x, i, j: (_kind(solid, j) == "table") & (F.get(solid, j)["line_no"] - x["line_no"] == j - i)
+    edge = lambda step: L.places(solid, lambda x, i: (x["kind"] == "table") & ~near(x, i, i + step))
+    beside = lambda at, mark: F.when(_kind(solid, at) == "paragraph", _inner(F.get(solid, at)["text"], mark))
+    run = lambda a, b: F.struct(F.get(solid, a)["line_no"].alias("first_line"), F.get(solid, b)["line_no"].alias("last_line"), beside(a - 1, "**").alias("cap"), beside(b + 1, "*").alias("src"))
+    return T.let(edge(1), lambda ends: F.transform(edge(-1), lambda a, i: run(a, F.get(ends, i))))
+
+
+def tables(texts: DataFrame) -> DataFrame:
     """doc_id, first_line, last_line, kind (body with a caption, else appendix), caption, number (as written), source: of every run of table lines. The caption is the bold line before it, the source the line in italics behind it; blank lines between do not count."""
-    solid = rows.where("kind <> 'blank'")
-    solid = solid.withColumns({"before": F.lag("text").over(_doc()), "before_kind": F.lag("kind").over(_doc()), "after": F.lead("text").over(_doc()), "after_kind": F.lead("kind").over(_doc()), "far": F.lag("line_no").over(_doc())})
-    is_row = F.col("kind") == "table"
-    # a run of table lines is broken by a blank line, too
-    new = is_row & ((F.coalesce("before_kind", F.lit("")) != "table") | (F.col("far") != F.col("line_no") - 1))
-    t = solid.withColumn("run", F.sum(new.cast("int")).over(_doc().rowsBetween(Window.unboundedPreceding, 0))).where(is_row)
-    cap = F.when(F.min_by("before_kind", "line_no") == "paragraph", _inner(F.min_by("before", "line_no"), "**"))
-    src = F.when(F.max_by("after_kind", "line_no") == "paragraph", _inner(F.max_by("after", "line_no"), "*"))
-    runs = t.groupBy("doc_id", "run").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), cap.alias("cap"), src.alias("src"))
+    runs = texts.select("doc_id", F.inline(T.let(_solid(), _tables)))
     number = F.when(F.regexp_extract("cap", CAPTION, 1) != "", F.concat_ws("-", F.regexp_extract("cap", CAPTION, 1), F.regexp_extract("cap", CAPTION, 2)))
     has = F.coalesce(F.col("cap").rlike(CAPTION), F.lit(False))
     return runs.select(
@@ -52,46 +58,59 @@ def tables(rows: DataFrame) -> DataFrame:
     )
 
 
-def orphan_captions(rows: DataFrame) -> DataFrame:
+def _orphan_captions(solid: Column) -> Column:
+    """line_no, detail of bold caption lines that no table follows."""
+    own = lambda x, i: (x["kind"] == "paragraph") & x["text"].contains("表") & (_kind(solid, i + 1) != "table") & _inner(x["text"], "**").rlike(CAPTION)
+    return F.array_compact(F.transform(solid, lambda x, i: F.when(own(x, i), F.struct(x["line_no"].alias("line_no"), _inner(x["text"], "**").alias("detail")))))
+
+
+def orphan_captions(texts: DataFrame) -> DataFrame:
     """doc_id, line_no, caption: bold caption lines that no table follows."""
-    solid = rows.where("kind <> 'blank'").withColumn("after_kind", F.lead("kind").over(_doc()))
-    cap = _inner(F.col("text"), "**")
-    return solid.where((F.col("kind") == "paragraph") & cap.rlike(CAPTION) & (F.coalesce("after_kind", F.lit("")) != "table")).select("doc_id", "line_no", cap.alias("caption"))
+    return texts.select("doc_id", F.inline(T.let(_solid(), _orphan_captions))).withColumnRenamed("detail", "caption")
 
 
-def orphan_figure_lines(rows: DataFrame) -> DataFrame:
+def _orphan_figure_lines(solid: Column) -> Column:
+    """line_no, detail of lines that look like a figure's reference, with no figure before or behind."""
+    own = lambda x, i: (x["kind"] == "paragraph") & x["text"].contains("图") & F.trim(x["text"]).rlike(FIGURE_LINE) & (_kind(solid, i - 1) != "figure") & (_kind(solid, i + 1) != "figure")
+    return F.array_compact(F.transform(solid, lambda x, i: F.when(own(x, i), F.struct(x["line_no"].alias("line_no"), F.trim(x["text"]).alias("detail")))))
+
+
+def orphan_figure_lines(texts: DataFrame) -> DataFrame:
     """doc_id, line_no, text: lines that look like a figure's reference, with no figure before or behind; blank lines between do not count."""
-    solid = rows.where("kind <> 'blank'").withColumns({"before": F.coalesce(F.lag("kind").over(_doc()), F.lit("")), "after": F.coalesce(F.lead("kind").over(_doc()), F.lit(""))})
-    own = (F.col("kind") == "paragraph") & F.trim("text").rlike(FIGURE_LINE)
-    return solid.where(own & (F.col("before") != "figure") & (F.col("after") != "figure")).select("doc_id", "line_no", F.trim("text").alias("text"))
+    return texts.select("doc_id", F.inline(T.let(_solid(), _orphan_figure_lines))).withColumnRenamed("detail", "text")
 
 
-def page_breaks(rows: DataFrame, appendix_breaks: bool = True) -> DataFrame:
+def page_breaks(texts: DataFrame, appendix_breaks: bool = True) -> DataFrame:
     """doc_id, line_no (of the H2 behind it), origin (explicit: a rule stands before; auto: put in): where pages break.
 
     Pages break before H2 only: rules elsewhere, doubled ones, and those with nothing behind give none. Before the first H2
     that is neither front matter nor appendix the section break does it already, so none is put in there, and appendices get
     theirs if asked for. Before the first line of a text no page breaks.
     """
-    solid = rows.where("kind <> 'blank'")
-    before = F.lag("kind").over(_doc())
-    h2 = solid.withColumns({"before": before, "nth": F.row_number().over(_doc())}).where((F.col("kind") == "heading") & (F.col("level") == 2))
-    appendix = F.col("text").rlike(r"^##\s*附录")
-    first = F.min(F.when(~appendix, F.col("line_no"))).over(Window.partitionBy("doc_id"))
-    h2 = h2.withColumns({"first": first, "explicit": F.coalesce(F.col("before") == "rule", F.lit(False)), "appendix": appendix})
-    auto = (F.coalesce(F.col("line_no") != F.col("first"), F.lit(True))) & (~F.col("appendix") | F.lit(appendix_breaks))
-    return h2.where((F.col("nth") > 1) & (F.col("explicit") | auto)).select("doc_id", "line_no", F.when(F.col("explicit"), "explicit").otherwise("auto").alias("origin"))
-
-
-def statistics(rows: DataFrame) -> DataFrame:
-    """doc_id, titles, chapters, sections (H1, H2, H3), figures, body_tables, appendix_tables, paragraphs (runs of paragraph lines)."""
-    new = (F.col("kind") == "paragraph") & (F.coalesce(F.lag("kind").over(_doc()), F.lit("")) != "paragraph")
-    marked = rows.withColumn("new", new)
-    level = lambda n: F.count_if((F.col("kind") == "heading") & (F.col("level") == n))
-    base = marked.groupBy("doc_id").agg(level(1).alias("titles"), level(2).alias("chapters"), level(3).alias("sections"), F.count_if(F.col("kind") == "figure").alias("figures"), F.count_if("new").alias("paragraphs"))
-    kinds = tables(rows).groupBy("doc_id").agg(F.count_if(F.col("kind") == "body").alias("body_tables"), F.count_if(F.col("kind") == "appendix").alias("appendix_tables"))
-    none = F.lit(0).cast("long")
-    return base.join(kinds, "doc_id", "left").select("doc_id", "titles", "chapters", "sections", "figures", F.coalesce("body_tables", none).alias("body_tables"), F.coalesce("appendix_tables", none).alias("appendix_tables"), "paragraphs")
+    appendix = lambda x: x["text"].rlike(r"^##\s*附录")
+    first = F.get(F.filter("lines", lambda x: L.is_heading(x, 2) & ~appendix(x)), F.lit(0))["line_no"]
+
+    def told(solid: Column) -> Column:
+        explicit = lambda i: (i > 0) & (_kind(solid, i - 1) == "rule")
+        h2 = lambda x, i: F.when(L.is_heading(x, 2) & (i > 0), F.struct(x["line_no"].alias("line_no"), explicit(i).alias("explicit"), appendix(x).alias("appendix")))
+        return F.array_compact(F.transform(solid, h2))
+
+    h2 = texts.select("doc_id", first.alias("first"), F.inline(T.let(_solid(), told)))
+    auto = F.coalesce(F.col("line_no") != F.col("first"), F.lit(True)) & (~F.col("appendix") | F.lit(appendix_breaks))
+    return h2.where(F.col("explicit") | auto).select("doc_id", "line_no", F.when(F.col("explicit"), "explicit").otherwise("auto").alias("origin"))
+
+
+def statistics(texts: DataFrame) -> DataFrame:
+    """doc_id, titles, chapters, sections (H1, H2, H3), figures, body_tables, appendix_tables, paragraphs (runs of paragraph lines): a row a text."""
+    count = lambda match: F.size(F.filter("lines", match)).cast("long")
+    level = lambda n: count(lambda x: L.is_heading(x, n))
+    new = lambda lines: F.size(L.places(lines, lambda x, i: (x["kind"] == "paragraph") & ~((i > 0) & (_kind(lines, i - 1) == "paragraph")))).cast("long")
+    body = F.filter("runs", lambda r: F.coalesce(r["cap"].rlike(CAPTION), F.lit(False)))
+    counted = texts.where("lines is not null").select(
+        "doc_id", level(1).alias("titles"), level(2).alias("chapters"), level(3).alias("sections"), count(lambda x: x["kind"] == "figure").alias("figures"),
+        T.let(_solid(), _tables).alias("runs"), T.let(F.col("lines"), new).alias("paragraphs"),
+    )
+    return counted.select("doc_id", "titles", "chapters", "sections", "figures", F.size(body).cast("long").alias("body_tables"), (F.size("runs") - F.size(body)).cast("long").alias("appendix_tables"), "paragraphs")
 
 
 def markdown_titles(docs: DataFrame) -> DataFrame:
@@ -152,13 +171,15 @@ def strict_levels(level: Column, code: Column, spared: list[str]) -> Column:
 
 def validated(docs: DataFrame) -> DataFrame:
     """doc_id, check, detail: all that a merged text's own lines tell: captions without table, figure lines without figure, words that point by place, figures and tables mentioned or captioned without their partner, and numbers of figures and tables that leave a gap within their chapter."""
-    rows = L.classified(docs)
-    found = orphan_captions(rows).select("doc_id", F.lit("orphan_caption").alias("check"), F.col("caption").alias("detail"))
-    found = found.unionByName(orphan_figure_lines(rows).select("doc_id", F.lit("orphan_figure_line").alias("check"), F.col("text").alias("detail")))
+    # a text's own lines are asked in its row; what is counted by number meets in one shuffle each
+    orphans = lambda f, name: F.transform(f, lambda x: F.struct(F.lit(name).alias("check"), x["detail"].alias("detail")))
+    both = lambda solid: F.concat(orphans(_orphan_captions(solid), "orphan_caption"), orphans(_orphan_figure_lines(solid), "orphan_figure_line"))
+    found = L.texts(docs).select("doc_id", F.inline(T.let(_solid(), both)))
     found = found.unionByName(drafts.positional_words(docs).select("doc_id", F.lit("positional").alias("check"), F.col("context").alias("detail")))
-    said = figures.mention_findings(rows.where(~F.col("in_fence")).select("doc_id", "line_no", "text"))
+    said = figures.mention_findings(L.fenced_texts(docs).select("doc_id", F.inline("lines")).where(~F.col("in_fence")).select("doc_id", "line_no", "text"))
     found = found.unionByName(said.select("doc_id", F.col("finding").alias("check"), F.concat("kind", "no").alias("detail")))
-    named = rows.select("doc_id", F.regexp_extract("text", figures.CAPTION, 1).alias("kind"), F.regexp_extract("text", figures.CAPTION, 2).alias("no")).where("kind <> ''").distinct()
-    keyed = named.select(F.struct("doc_id", "kind", F.regexp_extract("no", r"^(\d+)-", 1).alias("chapter")).alias("by"), F.regexp_extract("no", r"-(\d+)$", 1).try_cast("int").alias("seq"))
-    gaps = R.sequence_gaps(keyed.distinct(), "by", "seq")
+    named = F.transform(F.filter(F.split("text", "\n"), lambda x: x.rlike(figures.CAPTION)), lambda x: F.struct(F.regexp_extract(x, figures.CAPTION, 1).alias("kind"), F.regexp_extract(x, figures.CAPTION, 2).alias("no")))
+    keyed = lambda n: F.struct(n["kind"].alias("kind"), F.regexp_extract(n["no"], r"^(\d+)-", 1).alias("chapter"), F.regexp_extract(n["no"], r"-(\d+)$", 1).try_cast("int").alias("seq"))
+    rows = docs.select("doc_id", F.inline(F.array_distinct(F.transform(named, keyed)))).select(F.struct("doc_id", "kind", "chapter").alias("by"), "seq")
+    gaps = R.distinct_gaps(rows, "by", "seq")
     return found.unionByName(gaps.select("by.doc_id", F.lit("number_gap").alias("check"), F.concat("by.kind", "by.chapter", F.lit("-"), "seq").alias("detail")))

@@ -10,13 +10,13 @@ from ledgerloom.operators import audits, contract, diagrams, drafts, figures, fi
 from ledgerloom.operators import lines as L
 from ledgerloom.operators import references as R
 from ledgerloom.operators import terms as T
-from ledgerloom.plans.registry import query, table
+from ledgerloom.plans.registry import dealt, query, table
 from ledgerloom.sources import readers
 
 
 def _built(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
     """doc_id, text: a text from each order; parts are SQL over its key k, nl is a line end."""
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.lit("\n").alias("nl"))
+    rows = dealt(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), "k").withColumn("nl", F.lit("\n"))
     return rows.select(F.col("k").alias("doc_id"), F.expr(f"concat({', '.join(parts)})").alias("text"))
 
 
@@ -116,24 +116,24 @@ _FIRST = "CASE WHEN k % 2 = 0 THEN 3 WHEN k % 3 = 0 THEN 2 ELSE 1 END"
 CASE WHEN k % 2 = 0 THEN '1-' || (k % 9) END AS number, CASE WHEN k % 5 = 0 THEN '来源：s' END AS source FROM d"""
 )
 def table_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.tables(L.classified(_built(spark, sf_dir, *_TABLE)))
+    return structure.tables(L.texts(_built(spark, sf_dir, *_TABLE)))
 
 
 @query(_D + f" SELECT k AS doc_id, ({_FIRST} + 6)::INTEGER AS line_no, '表2-1：lost' AS caption FROM d WHERE k % 7 = 0")
 def orphan_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.orphan_captions(L.classified(_built(spark, sf_dir, *_TABLE)))
+    return structure.orphan_captions(L.texts(_built(spark, sf_dir, *_TABLE)))
 
 
 @query(_D + " SELECT k AS doc_id, 2::INTEGER AS line_no, '图1-1 说明' AS text FROM d WHERE k % 2 = 1 AND k % 3 <> 0")
 def orphan_figure_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _built(spark, sf_dir, "CASE WHEN k % 2 = 0 THEN concat('![图1-1 x](a.png)', nl, nl) ELSE concat('y', nl) END, '图1-1 说明', nl, CASE WHEN k % 3 = 0 THEN '![图1-2 z](b.png)' ELSE 'end' END")
-    return structure.orphan_figure_lines(L.classified(docs))
+    return structure.orphan_figure_lines(L.texts(docs))
 
 
 @query(_D + " SELECT k AS doc_id, (CASE WHEN k % 2 = 0 THEN 6 ELSE 4 END)::INTEGER AS line_no, CASE WHEN k % 2 = 0 THEN 'explicit' ELSE 'auto' END AS origin FROM d UNION ALL SELECT k, CASE WHEN k % 2 = 0 THEN 10 ELSE 8 END, 'auto' FROM d UNION ALL SELECT k, 3, 'explicit' FROM d WHERE k % 3 = 0")
 def page_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _built(spark, sf_dir, "'# T', nl, CASE WHEN k % 3 = 0 THEN '---' ELSE '' END, nl, '## A', nl, CASE WHEN k % 2 = 0 THEN concat('---', nl, nl) ELSE '' END, '## B', nl, 'x', nl, '---', nl, 'y', nl, '## 附录 C', nl, '---'")
-    return structure.page_breaks(L.classified(docs))
+    return structure.page_breaks(L.texts(docs))
 
 
 @query(
@@ -141,7 +141,7 @@ def page_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 (2 + (k % 2 = 0 OR k % 3 = 0)::INT + (k % 7 = 0)::INT)::BIGINT AS paragraphs FROM d"""
 )
 def document_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.statistics(L.classified(_built(spark, sf_dir, "'# T', nl, '## C', nl, repeat(concat('### S', nl), CAST(k % 4 AS INT)), '![f](a.png)', nl, 'p1', nl, 'p2', nl, nl", *_TABLE)))
+    return structure.statistics(L.texts(_built(spark, sf_dir, "'# T', nl, '## C', nl, repeat(concat('### S', nl), CAST(k % 4 AS INT)), '![f](a.png)', nl, 'p1', nl, 'p2', nl, nl", *_TABLE)))
 
 
 @query(
@@ -257,7 +257,7 @@ UNION ALL SELECT chapter, doc_id, 'repeated_batch', batch::VARCHAR FROM g WHERE
 UNION ALL SELECT chapter, doc_id, 'missing_dim', dim FROM t WHERE odd UNION ALL SELECT chapter, NULL, 'missing_batch', x::VARCHAR FROM (SELECT chapter, x FROM (SELECT DISTINCT chapter FROM b), (SELECT unnest([1, 2, 3]) AS x)) ANTI JOIN (SELECT chapter, batch AS x FROM g) USING (chapter, x)"""
 )
 def batch_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.expr("concat('ch', o_custkey % 90 + 10)").alias("chapter"), F.col("o_orderkey").alias("k"))
+    o = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").select(F.col("o_orderkey").alias("doc_id"), F.expr("concat('ch', o_custkey % 90 + 10)").alias("chapter"), F.col("o_orderkey").alias("k"))
     mark = "concat('<!-- phase=', CASE WHEN k % 7 = 0 THEN 'B' ELSE 'A' END, ' batch=', k % 4 + 1, ' chapter=', CASE WHEN k % 13 = 0 THEN 'ch999' ELSE chapter END, ' dims=', CASE WHEN k % 3 = 0 THEN 2 ELSE 1 END, ' -->')"
     text = F.expr(f"concat('\n  \n', CASE WHEN k % 11 = 0 THEN '' ELSE {mark} END, '\n### d', CASE WHEN k % 5 = 0 THEN 9 ELSE k % 4 + 1 END, '\nconfirm\n')".replace("\n", "\\n"))
     grouping = spark.createDataFrame([(b, f"d{b}") for b in (1, 2, 3)], "batch int, dim_id string")
