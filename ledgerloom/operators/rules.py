@@ -18,25 +18,33 @@ ORIGINS = ("text", "cli", "yaml")
 MOST_RULES = 20_000
 
 
+def _asked(settings: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """Settings that count, with the rank of their origin."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("origin"))
+    return settings.withColumns({"rank": rank, "value": F.trim("value")}).where("rank > 0 AND value <> ''")
+
+
 def precedence(settings: DataFrame, order: tuple[str, ...] = ORIGINS) -> DataFrame:
     """doc_id, name, value, origin: of each name the value of the first origin that gives one; blank values give none, unknown origins are not asked. Of several values of one origin the smallest counts. settings: doc_id, name, value, origin."""
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col("origin"))
-    asked = settings.withColumns({"rank": rank, "value": F.trim("value")}).where("rank > 0 AND value <> ''")
-    best = asked.groupBy("doc_id", "name").agg(F.min(F.struct("rank", "value", "origin")).alias("b"))
+    best = _asked(settings, order).groupBy("doc_id", "name").agg(F.min(F.struct("rank", "value", "origin")).alias("b"))
     return best.select("doc_id", "name", "b.value", "b.origin")
 
 
 def metadata(docs: DataFrame, settings: DataFrame, order: tuple[str, ...] = ORIGINS) -> DataFrame:
     """doc_id, title (the first H1), title_short, subtitle, report_type, organization, version, date: a row a document. A text's own lines below its title are the origin "text"; of a name that comes twice the last line counts. A version that names its date is split, else it stays whole. settings: doc_id, name (a field), value, origin."""
-    rows = L.classified(docs)
-    titles = rows.where("kind = 'heading' AND level = 1").groupBy("doc_id").agg(F.min_by(F.trim(F.regexp_replace("text", "^#+", "")), "line_no").alias("title"))
-    names = F.create_map(*[F.lit(x) for pair in FIELDS.items() for x in pair])
-    own = L.metadata_lines(rows).withColumn("field", F.try_element_at(names, F.col("name"))).where("field IS NOT NULL")
-    own = own.groupBy("doc_id", F.col("field").alias("name")).agg(F.max_by("value", "line_no").alias("value")).withColumn("origin", F.lit("text"))
-    chosen = precedence(own.unionByName(settings.select("doc_id", "name", "value", "origin")), order)
-    wide = chosen.groupBy("doc_id").agg(*[F.max(F.when(F.col("name") == f, F.col("value"))).alias(f) for f in (*FIELDS.values(), "title_short", "date")])
+    # a text's own lines are read in its row; settings are rolled up by document at once, all names side by side
+    heading = F.get(F.filter("lines", lambda x: L.is_heading(x, 1)), F.lit(0))["text"]
+    told = L.texts(docs).select("doc_id", F.trim(F.regexp_replace(heading, "^#+", "")).alias("title"), L.own_metadata(F.col("lines")).alias("own"))
+    rank = F.array_position(F.array(*map(F.lit, order)), F.lit("text"))
+    last = lambda name: F.trim(F.try_element_at(F.filter("own", lambda m: m["name"] == name), F.lit(-1))["value"])
+    said = lambda name: F.when((rank > 0) & (last(name) != ""), F.struct(rank.alias("rank"), last(name).alias("value")))
+    told = told.select("doc_id", "title", *[said(name).alias(f"own_{f}") for name, f in FIELDS.items()])
+    fields = (*FIELDS.values(), "title_short", "date")
+    best = lambda f: F.min(F.when(F.col("name") == f, F.struct("rank", "value"))).alias(f"set_{f}")
+    wide = _asked(settings, order).where(F.col("name").isin(*fields)).groupBy("doc_id").agg(*map(best, fields))
+    chosen = lambda f: (F.least(f"own_{f}", f"set_{f}") if f in FIELDS.values() else F.col(f"set_{f}"))["value"]
+    told = told.join(wide, "doc_id", "left").select("doc_id", "title", *[chosen(f).alias(f) for f in fields])
     split = F.col("version").rlike(VERSION)
-    told = docs.select("doc_id").join(titles, "doc_id", "left").join(wide, "doc_id", "left")
     return told.select(
         "doc_id", "title", F.coalesce("title_short", T.half_width_cut(F.col("title"), SHORT)).alias("title_short"), "subtitle", "report_type", "organization",
         F.when(split, F.regexp_extract("version", VERSION, 1)).otherwise(F.col("version")).alias("version"), F.coalesce(F.when(split, F.trim(F.regexp_extract("version", VERSION, 2))), F.col("date")).alias("date"),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import delivery, rules, schemas, terms, tree
-from ledgerloom.plans.registry import query, table
+from ledgerloom.plans.registry import dealt, query, table
 
 #: An order with its lines.
 ORDER = {
@@ -232,7 +232,7 @@ o_orderstatus AS report_type, organization, regexp_extract(version, '^[^ |]+') A
 )
 def metadata_by_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata of reports: their own lines before options, options before defaults."""
-    orders = table(spark, sf_dir, "orders")
+    orders = dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_custkey", "o_orderstatus"), "o_orderkey")
     given = orders.select(F.col("o_orderkey").alias("doc_id"), F.inline(F.array_compact(F.array(*[F.when(F.expr(c), F.struct(F.lit(n).alias("name"), F.expr(v).alias("value"), F.lit(o).alias("origin"))) for c, n, v, o in (
         ("o_orderstatus = 'F'", "subtitle", "'cli'", "cli"), ("o_orderkey % 2 = 0", "subtitle", "'yaml'", "yaml"), ("true", "report_type", "o_orderstatus", "yaml"), ("o_orderstatus = 'O'", "version", "'V9'", "cli"), ("true", "organization", "'other'", "nobody"), ("true", "organization", "' '", "cli"),
     )]))))

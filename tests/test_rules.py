@@ -34,3 +34,12 @@ def test_first_match_equals_a_search_rule_by_rule(spark) -> None:
     got = sorted(map(tuple, rules.first_match(spark.createDataFrame(values, "k int, v string"), spark.createDataFrame(table, "place int, pattern string, rule string"), "k", "v", "none").collect()), key=repr)
     want = sorted(((k, v, next((r for _, p, r in sorted(table) if v is not None and re.search(p, v, re.I)), "none")) for k, v in values), key=repr)
     assert got == want
+
+
+def test_a_texts_own_lines_are_read_in_its_row(spark) -> None:
+    docs = spark.createDataFrame([(1, "# T\n**版本**：V1\n**版本**：V2\n**副标题**：own")], "doc_id int, text string")
+    given = spark.createDataFrame([(1, "subtitle", "cli", "cli"), (1, "subtitle", "aaa", "text"), (1, "date", "2020", "yaml")], "doc_id int, name string, value string, origin string")
+    got = rules.metadata(docs, given)
+    assert [tuple(r) for r in got.collect()] == [(1, "T", "T", "aaa", None, None, "V2", "2020")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window ") == 0 and plan.count("Join ") == 1 and plan.count("Aggregate ") == 1
