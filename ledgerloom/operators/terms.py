@@ -3,8 +3,9 @@
 Windows are from half to twice a form's length, in steps of three characters; those of one size begin a third of it apart.
 No window is listed. A shared 3-gram at a place, up to where the same one comes before, counts for an interval of the
 windows of each size; the ends of these intervals are events, and their running sum is how many different 3-grams the
-windows between two events hold. Only places go there that have, within twice the form's length, as many shared 3-grams as
-a window that is near must hold. Texts are dealt over shards and forms over parts by their bytes; each shard meets each
+windows between two events hold. Only places go there that have, within twice the form's length, as many different shared
+3-grams as a window that is near must hold; and only where the rarest 3-grams of a form come together, the others are looked
+at: a window that may lack m of them holds k of the rarest m + k. Texts are dealt over shards and forms over parts by their bytes; each shard meets each
 part in one task, and neither is sent through the driver.
 """
 
@@ -21,7 +22,9 @@ from ledgerloom.functions import text as T
 #: Characters from which a form is looked for, shares that are near and that are taken at once.
 LONG, LEAST, SURE = 4, 0.6, 0.85
 #: Bytes of texts in a shard and of forms in a part, letters of texts and pairs of a place and a form that are held as arrays at once, tasks at most.
-SHARD_BYTES, FORM_BYTES, LETTERS, PAIRS, TASKS = 1 << 20, 256 << 10, 1 << 18, 1 << 20, 10_000
+SHARD_BYTES, FORM_BYTES, LETTERS, PAIRS, TASKS = 1 << 20, 256 << 10, 1 << 18, 1 << 19, 10_000
+#: How many of a form's rarest 3-grams must come together before all are looked at, cells of a table of forms and 3-grams. They decide nothing.
+RARE, CELLS = 5, 1 << 22
 
 
 def forms_of(terms: DataFrame) -> DataFrame:
@@ -48,27 +51,110 @@ def _hits(bodies: list[str], vocabulary: np.ndarray, gap: int) -> tuple[np.ndarr
     return text, place, gram, before, begins[text] + place
 
 
-def _crowded(line: np.ndarray, gram: np.ndarray, first: np.ndarray, of_gram: np.ndarray, need: np.ndarray, long: np.ndarray) -> np.ndarray:
-    """form * hits + hit, sorted: hits of a form within twice its length of so many others as a window that is near must hold. Only so many pairs are laid out at once."""
+def _distinct(numbers: np.ndarray) -> np.ndarray:
+    """Numbers sorted, each once. np.unique() hashes them first, which takes several times as long."""
+    numbers = np.sort(numbers)
+    return numbers[np.append(True, numbers[1:] != numbers[:-1])[: len(numbers)]]
+
+
+def _rare(gram: np.ndarray, form: np.ndarray, of_gram: np.ndarray, n: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Of each form the 3-grams that come least often, so many that a window with the form's need holds RARE of them (or all that it needs). form, of_gram: each form's 3-grams, by form."""
+    seen = np.bincount(gram, minlength=of_gram.max() + 1)
+    order = np.lexsort((seen[of_gram], form))
+    rank = np.arange(len(form)) - (np.cumsum(n) - n)[form[order]]
+    return order[rank < (n - need + np.minimum(need, RARE))[form[order]]]
+
+
+def _joined(owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Stretches of one owner that touch as one. owner, low: sorted; high rises with low."""
+    begin = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (low[1:] > high[:-1]))[: len(owner)])
+    return owner[begin], low[begin], high[np.append(begin[1:], len(owner))[: len(begin)] - 1]
+
+
+def _met(line: np.ndarray, gram: np.ndarray, form: np.ndarray, of_gram: np.ndarray, least: int, long: np.ndarray) -> tuple[np.ndarray, ...]:
+    """form, low, high: stretches of the line, each with all windows up to twice the form's length that begin with some hits of it, the least that there must be. form, of_gram: 3-grams that are asked for. Only so many pairs are laid out at once."""
+    order = np.argsort(of_gram, kind="stable")
+    own, of = np.unique(form[order], return_inverse=True)
+    first, reach = np.searchsorted(of_gram[order], np.arange(gram.max() + 2)), 2 * long[own] - 3
     count = first[gram + 1] - first[gram]
-    upto, out, a = np.concatenate([[0], np.cumsum(count)]), [np.zeros(0, np.int64)], 0
+    upto, out, a = np.concatenate([[0], np.cumsum(count)]), [], 0
     while a < len(gram):
         b = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, "right")) - 1)
-        e = int(np.searchsorted(line, line[b - 1] + 2 * long.max(), "right"))  # what windows from before b reach
-        n = count[a:e]
-        inner = np.arange(upto[e] - upto[a]) - np.repeat(upto[a:e] - upto[a], n)
-        pairs = np.sort(of_gram[np.repeat(first[gram[a:e]], n) + inner] * len(gram) + np.repeat(np.arange(a, e), n))
-        form, at = pairs // len(gram), line[pairs % len(gram)]
-        last = np.arange(len(pairs)) + need[form] - 1
-        inside = np.minimum(last, len(pairs) - 1)
-        dense = np.flatnonzero((last < len(pairs)) & (form[inside] == form) & (at[inside] - at <= 2 * long[form] - 3))
-        if len(dense):
-            lane = form * (line[-1] + 2 * long.max() + 1) + at
-            ends = np.searchsorted(lane, lane[dense] + 2 * long[form[dense]] - 3, "right")
-            marks = np.bincount(dense, minlength=len(pairs) + 1) - np.bincount(ends, minlength=len(pairs) + 1)
-            out.append(pairs[np.cumsum(marks)[:-1] > 0])
+        e = int(np.searchsorted(line, line[b - 1] + reach.max(), "right"))  # what windows from before b reach
+        lane = int(line[e - 1] - line[a] + reach.max() + 1)
+        kind = np.int32 if lane * len(own) < 1 << 31 else np.int64
+        each = count[a:e]
+        entry = np.arange(upto[e] - upto[a]) + np.repeat(first[gram[a:e]] - (upto[a:e] - upto[a]), each)
+        pairs = np.sort((of * lane).astype(kind)[entry] + np.repeat((line[a:e] - line[a]).astype(kind), each))
+        begin = np.flatnonzero(pairs[least - 1 :] - pairs[: max(0, len(pairs) - least + 1)] <= reach.max())
+        at, last = pairs[begin].astype(np.int64), pairs[begin + least - 1].astype(np.int64)
+        owner = at // lane
+        told = last - at <= reach[owner]
+        owner, at, last = owner[told], at[told], last[told]
+        shift = line[a] - owner * lane
+        out.append(_joined(own[owner], last + shift - reach[owner], at + shift + reach[owner]))
+        a = b
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+
+def _stretches(line: np.ndarray, gram: np.ndarray, form: np.ndarray, of_gram: np.ndarray, n: np.ndarray, need: np.ndarray, long: np.ndarray) -> tuple[np.ndarray, ...]:
+    """form, low, high: hits low to high - 1 of the text may hold windows near to the form, as the rarest 3-grams of the form come together there; no others do. Sorted, apart."""
+    keep = _rare(gram, form, of_gram, n, need)
+    least = np.minimum(need, RARE)
+    kind = (least * 64 + np.floor(np.log2(long)).astype(np.int64))[form[keep]]  # forms of about one length are met together
+    found = [_met(line, gram, form[keep[kind == k]], of_gram[keep[kind == k]], int(k) // 64, long) for k in np.unique(kind)]
+    owner, low, high = (np.concatenate([f[i] for f in found]) for i in range(3))
+    order = np.lexsort((low, owner))
+    owner, low, high = _joined(owner[order], low[order], high[order])
+    return owner, np.searchsorted(line, low), np.searchsorted(line, high, "right")
+
+
+def _dense(owner: np.ndarray, at: np.ndarray, bit: np.ndarray, need: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which hits lie within reach of so many different ones of their owner as are needed. owner, at: sorted; bit: of the hit's 3-gram, 0 if its owner has too many for that (then equal ones count, too); need, reach: by hit."""
+    n = len(owner)
+    last = np.arange(n) + need - 1
+    inside = np.minimum(last, n - 1)
+    begin = np.flatnonzero((at[inside] - at <= reach) & (owner[inside] == owner) & (last < n))
+    if not len(begin):
+        return np.zeros(n, bool)
+    lane = owner * (at.max() + reach.max() + 1) + at
+    ends = np.searchsorted(lane, lane[begin] + reach[begin], "right")
+    # the union of bits from begin to end: of two stretches of 2^k hits that overlap
+    level = np.floor(np.log2(ends - begin)).astype(np.int64)
+    union, unions = bit, np.zeros(len(begin), np.uint64)
+    for k in range(int(level.max()) + 1):
+        if k:
+            union = np.append(union[: -(1 << k - 1)] | union[1 << k - 1 :], union[len(union) - (1 << k - 1) :])
+        own = np.flatnonzero(level == k)
+        unions[own] = union[begin[own]] | union[ends[own] - (1 << k)]
+    told = (np.bitwise_count(unions) >= need[begin]) | (bit[begin] == 0)
+    marks = np.bincount(begin[told], minlength=n + 1) - np.bincount(ends[told], minlength=n + 1)
+    return np.cumsum(marks)[:-1] > 0
+
+
+def _crowded(line: np.ndarray, gram: np.ndarray, form: np.ndarray, of_gram: np.ndarray, n: np.ndarray, need: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """form * hits + hit, sorted: hits of a form that lie, within twice its length, with as many different ones as a window that is near must hold."""
+    owner, low, high = _stretches(line, gram, form, of_gram, n, need, long)
+    width, rows = int(of_gram.max()) + 1, max(1, CELLS // (int(of_gram.max()) + 1))
+    rank, starts = np.arange(len(form)) - (np.cumsum(n) - n)[form], np.searchsorted(form, np.arange(len(n) + 1))
+    upto, out, a = np.concatenate([[0], np.cumsum(high - low)]), [np.zeros(0, np.int64)], 0
+    bits = np.concatenate([[0], np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64)), [0]]).astype(np.uint64)
+    while a < len(owner):
+        b = max(a + 1, int(np.searchsorted(upto, upto[a] + PAIRS, "right")) - 1)
+        b = min(b, int(np.searchsorted(owner, owner[a] + rows)))
+        # the place (from 1) of each 3-gram in each of some forms; 65 in forms with more than 64
+        held = slice(starts[owner[a]], starts[owner[b - 1] + 1])
+        table = np.zeros((owner[b - 1] - owner[a] + 1) * width, np.uint8)
+        table[(form[held] - owner[a]) * width + of_gram[held]] = np.where(n[form[held]] > 64, 65, rank[held] + 1)
+        each = (high - low)[a:b]
+        hit = np.arange(upto[b] - upto[a]) + np.repeat(low[a:b] - (upto[a:b] - upto[a]), each)
+        place = table[np.repeat((owner[a:b] - owner[a]) * width, each) + gram[hit]]
+        met = np.flatnonzero(place)
+        of, hit, bit = np.repeat(np.arange(a, b), each)[met], hit[met], bits[place[met]]
+        told = _dense(of, line[hit], bit, need[owner[of]], 2 * long[owner[of]] - 3)
+        out.append(owner[of[told]] * len(gram) + hit[told])
         a = b
-    return np.unique(np.concatenate(out))
+    return np.concatenate(out)  # stretches are sorted and apart
 
 
 def _windows(pair: np.ndarray, place: np.ndarray, before: np.ndarray, n: np.ndarray, long: np.ndarray, of: np.ndarray, least: float, sure: float) -> tuple[np.ndarray, ...]:
@@ -103,17 +189,20 @@ def _windows(pair: np.ndarray, place: np.ndarray, before: np.ndarray, n: np.ndar
 
 def _search(texts: pa.Table, forms: pa.Table, least: float, sure: float) -> pa.Table:
     """The windows of some texts near to some forms."""
-    grams = [np.unique((c[:-2] << 42) | (c[1:-1] << 21) | c[2:]) for c in (np.frombuffer(f.encode("utf-32-le"), np.uint32).astype(np.int64) for f in forms["form"].to_pylist())]
     out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), [], np.zeros(0))]
-    if grams:
-        of, long = np.array([len(g) for g in grams]), np.array([len(f) for f in forms["form"].to_pylist()])
+    if forms.num_rows:
+        long = np.array([len(f) for f in forms["form"].to_pylist()])
+        codes = np.frombuffer("".join(forms["form"].to_pylist()).encode("utf-32-le"), np.uint32).astype(np.int64)
+        owner = np.repeat(np.arange(len(long)), long)
+        inside = owner[:-2] == owner[2:]
+        keys = ((codes[:-2] << 42) | (codes[1:-1] << 21) | codes[2:])[inside]
+        vocabulary = _distinct(keys)
+        held = _distinct(owner[:-2][inside] * len(vocabulary) + np.searchsorted(vocabulary, keys))
+        of_form, of_gram = held // len(vocabulary), held % len(vocabulary)
+        of = np.bincount(of_form, minlength=len(long))
         need = np.ceil(of * least).astype(np.int64)
         need += (need / of < least).astype(np.int64) - ((need - 1) / of >= least)
         need = np.maximum(need, 1)
-        vocabulary, of_gram = np.unique(np.concatenate(grams), return_inverse=True)
-        order = np.argsort(of_gram, kind="stable")
-        first = np.searchsorted(of_gram[order], np.arange(len(vocabulary) + 1))
-        of_gram = np.repeat(np.arange(len(grams)), of)[order]
         bodies = texts["body"].to_pylist()
         a = 0
         while a < len(bodies):
@@ -121,7 +210,7 @@ def _search(texts: pa.Table, forms: pa.Table, least: float, sure: float) -> pa.T
             while b < len(bodies) and (b == a or letters + len(bodies[b]) <= LETTERS):
                 letters, b = letters + len(bodies[b]), b + 1
             text, place, gram, before, line = _hits(bodies[a:b], vocabulary, 2 * int(long.max()))
-            met = _crowded(line, gram, first, of_gram, need, long) if len(gram) else np.zeros(0, np.int64)
+            met = _crowded(line, gram, of_form, of_gram, of, need, long) if len(gram) else np.zeros(0, np.int64)
             if len(met):
                 form, hit = met // len(gram), met % len(gram)
                 pairs, pair = np.unique(form * (b - a) + text[hit], return_inverse=True)

@@ -66,6 +66,34 @@ def test_pieces_give_the_same_windows(monkeypatch) -> None:
     assert got[0] == got[1] == got[2] == {(i, j): n for i, d in enumerate(docs) for j, f in enumerate(forms) if (n := nearest(f, d))}
 
 
+def test_rare_grams_decide_nothing(monkeypatch) -> None:
+    """Forms of all lengths, also with fewer 3-grams than are asked for first and with more than 64 of them, give the same windows however many of the rarest must come together."""
+    rng = random.Random(9)
+    text = lambda n, letters: "".join(rng.choice(letters) for _ in range(n))
+    long = [text(n, "abcdefgh") for n in (66, 67, 70, 140)]
+    forms = [text(rng.randint(4, 8), "ab") for _ in range(15)] + long + ["aaaa", "abababab"]
+    docs = [text(n, "ab") for n in (3, 4, 30, 200)] + [text(9, "ab") + f[: len(f) // 2] + "#" + f[len(f) // 2 + 3 :] + text(9, "ab") for f in long] + [long[0][:40] + long[1][:20], "aaaaaaaa"]
+    want = {(i, j): n for i, d in enumerate(docs) for j, f in enumerate(forms) if (n := nearest(f, d))}
+    assert sum(15 <= j < 19 for _, j in want) >= 4
+    for rare, pairs, cells in ((5, 1 << 20, 1 << 24), (1, 9, 1), (2, 1 << 20, 300), (1000, 50, 1)):
+        for name, value in (("RARE", rare), ("PAIRS", pairs), ("CELLS", cells)):
+            monkeypatch.setattr(terms, name, value)
+        got = terms._search(pa.table({"doc_id": range(len(docs)), "body": docs}), pa.table({"term_id": range(len(forms)), "form": forms}), 0.6, 0.85).to_pylist()
+        assert {(r["doc_id"], r["term_id"]): (r["near"], r["share"]) for r in got} == want
+
+
+def test_common_grams_lead_nowhere(monkeypatch) -> None:
+    """Texts are full of what forms have in common, but only where a form's rare 3-grams come together are its pairs laid out: what is sorted does not grow with texts times forms."""
+    forms = ["and the " + "".join(random.Random(i).sample("bcfgjklmpqrsuvwxyz", 12)) for i in range(200)]
+    docs = ["and the " * 200 + f[8:] for f in forms[:20]]
+    sizes, sort = [0], terms.np.sort
+    monkeypatch.setattr(terms.np, "sort", lambda a, *k, **o: (sizes.append(len(a)), sort(a, *k, **o))[1])
+    got = terms._search(pa.table({"doc_id": range(len(docs)), "body": docs}), pa.table({"term_id": range(len(forms)), "form": forms}), 0.6, 0.85)
+    monkeypatch.undo()
+    assert {(i, i) for i in range(20)} <= {(r["doc_id"], r["term_id"]) for r in got.to_pylist()}
+    assert sum(sizes) < 20 * 1600 * 200 / 100  # a hundredth of places times forms
+
+
 def test_plans_read_the_texts_once(spark) -> None:
     """One cogroup and no join holds for windows, and missing forms add theirs: the plan that the driver keeps stays small."""
     docs, glossary = spark.createDataFrame([(1, "the closed loo here")], "doc_id int, text string"), spark.createDataFrame([("a", "closed loop")], "term_id string, preferred_form string")
