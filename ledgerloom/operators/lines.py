@@ -58,10 +58,14 @@ def fenced_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lines (line_no, text, in_fence, kind, level of headings, else 0): a row's lines as an array in the row itself; null for a null text."""
+    return fenced_texts(docs, id_col, text_col).select("doc_id", with_kinds(F.col("lines")).alias("lines"))
+
+
+def with_kinds(lines: Column) -> Column:
+    """Lines of fenced_texts() with their kinds and levels, as texts() gives them."""
     kind = lambda r: F.struct(r["line_no"].alias("line_no"), r["text"].alias("text"), r["in_fence"].alias("in_fence"), line_kind(r["text"], r["in_fence"]).alias("kind"))
     level = lambda r: F.when(r["kind"] == "heading", F.length(F.regexp_extract(r["text"], "^#+", 0))).otherwise(0)
-    full = F.transform(F.transform("lines", kind), lambda r: F.struct(*[r[c].alias(c) for c in ("line_no", "text", "in_fence", "kind")], level(r).alias("level")))
-    return fenced_texts(docs, id_col, text_col).select("doc_id", full.alias("lines"))
+    return F.transform(F.transform(lines, kind), lambda r: F.struct(*[r[c].alias(c) for c in ("line_no", "text", "in_fence", "kind")], level(r).alias("level")))
 
 
 def is_heading(line: Column, level: int) -> Column:
@@ -91,8 +95,8 @@ def fenced_marks(rows: DataFrame) -> DataFrame:
 def line_kind(text: Column, in_fence: Column) -> Column:
     """Kind of a line, by fixed priority: fence, blank, heading, rule, figure, table, list, ordered list, quote, paragraph."""
     s = F.trim(text)
-    # a line is held against a pattern only if it begins as the pattern does
-    begins = lambda marks: F.substring(s, 1, 1).isin(*marks)
+    # a line is held against a pattern only if it begins as the pattern does; within an array, Spark leaves the loop of isin() by an exception
+    begins = lambda marks: F.contains(F.lit(marks), F.substring(s, 1, 1))
     return (
         F.when(in_fence, "fence").when(s == "", "blank").when(text.startswith("#") & text.rlike(r"^#{1,6}\s+\S"), "heading").when(begins("-*_") & s.rlike(r"^(-{3,}|\*{3,}|_{3,})$"), "rule")
         .when(s.startswith("![") & s.rlike(r"^!\[[^\]]*\]\([^)]*\)$"), "figure").when(s.startswith("|"), "table").when(begins("-*+") & s.rlike(r"^[-*+]\s+\S"), "list")

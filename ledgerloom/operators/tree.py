@@ -1,4 +1,4 @@
-"""Documents as trees of typed blocks, and the checks that hold a whole document against itself as joins on the tree.
+"""Documents as trees of typed blocks, and the checks that hold a whole document against itself, in the document's own row.
 
 A node has its first line's number, twice, plus one if it is a part of a block (an item of a list, a row of a table): list
 and first item share a line. Parents: of a heading the last one of a smaller level before it; of a top item its list, of
@@ -9,10 +9,19 @@ a change of sort among the top ones begins another.
 The nearest row before with a smaller value (level, indentation, depth) is found by windows: each row asks once for each
 smaller value of its run, which are fewer than the blanks, marks or signs that it begins with; so the rows are as many as
 the characters of the text at most, and no list of a document is gathered.
+
+The checks need no parents: each document is cut, in its own row, into pieces (paragraphs and quotes as blocks, other lines
+one by one) and these into the runs of a chapter, a number or an element, by slices and sorted arrays; so each step takes
+as long as the document, and only faults are shuffled, to be held against the files that are there.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +41,10 @@ CHAPTERS = [
 APPENDIX = r"^附录\s*([A-Za-z])?"
 MENTION = r"[图表]\d{1,2}-\d{1,2}"
 SHORT_TITLE = "页眉简称"
-#: Kinds that may hold mentions.
-PROSE = ("paragraph", "item", "ordered_item", "quote")
+#: Kinds of pieces that may hold mentions, and the code of a figure without its file.
+PROSE, NO_FILE = ("paragraph", "list", "ordered", "quote"), "E-IMG-01"
+#: A character of each word that checks look for in prose: a line without any is not asked.
+ASKED = "[图表密内]"
 
 
 def under(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
@@ -50,19 +61,36 @@ def under(rows: DataFrame, by: list[str], order: str, value: str) -> DataFrame:
     return each.withColumn("__last", last).withColumn("above", told).where("__event").select(*rows.columns, "above")
 
 
+def _untabbed(text: Column) -> Column:
+    """A line whose tabs before its first other character count as four blanks."""
+    indent = F.regexp_extract(text, r"^[\t ]*", 0)
+    return F.when(F.contains(text, F.lit("\t")), F.concat(F.replace(indent, F.lit("\t"), F.lit("    ")), F.substr(text, F.length(indent) + 1))).otherwise(text)
+
+
+def _quote_depth(s: Column) -> Column:
+    return F.length(F.regexp_replace(F.regexp_extract(s, r"^(?:>\s*)+", 0), r"\s", ""))
+
+
+def _is_caption(text: Column) -> Column:
+    return F.coalesce(S._inner(text, "**").rlike(S.CAPTION), F.lit(False))
+
+
+def _is_source(text: Column) -> Column:
+    return F.coalesce(S._inner(text, "*").rlike(S.SOURCE), F.lit(False))
+
+
 def _kinds(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Lines that are not blank, with their kinds and what their neighbours tell: run and block (the first lines of theirs), heading (the last one before), of (the table of a caption or source)."""
-    indent = F.regexp_extract("text", r"^[\t ]*", 0)
-    text = F.when(F.contains("text", F.lit("\t")), F.concat(F.replace(indent, F.lit("\t"), F.lit("    ")), F.substr("text", F.length(indent) + 1))).otherwise(F.col("text"))
+    text = _untabbed(F.col("text"))
     # kinds are judged before the window: in one step with what follows, the code that Spark makes is too long to be compiled
     rows = L.fenced_marks(L.lines(docs, id_col, text_col).withColumn("kind", L.line_kind(text, F.lit(False))))
     rows = rows.withColumns({"text": text, "kind": F.when(F.col("in_fence"), "fence").otherwise(F.col("kind"))}).where("kind <> 'blank'")
     s = F.trim("text")
-    depth = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("text", "^#+", 0))).when(F.col("kind") == "quote", F.length(F.regexp_replace(F.regexp_extract(s, r"^(?:>\s*)+", 0), r"\s", ""))).when(F.col("kind").isin("list", "ordered"), F.length(F.regexp_extract("text", "^ *", 0))).otherwise(0)
+    depth = F.when(F.col("kind") == "heading", F.length(F.regexp_extract("text", "^#+", 0))).when(F.col("kind") == "quote", _quote_depth(s)).when(F.col("kind").isin("list", "ordered"), F.length(F.regexp_extract("text", "^ *", 0))).otherwise(0)
     starred = (F.col("kind") == "paragraph") & s.startswith("*")
     rows = rows.withColumns({
         "level": depth, "opens": (F.col("kind") == "fence") & s.startswith("```") & (F.col("seen") % 2 == 1),
-        "__caption": F.coalesce(starred & S._inner(F.col("text"), "**").rlike(S.CAPTION), F.lit(False)), "__source": F.coalesce(starred & S._inner(F.col("text"), "*").rlike(S.SOURCE), F.lit(False)),
+        "__caption": starred & _is_caption(F.col("text")), "__source": starred & _is_source(F.col("text")),
     })
     # one window looks at the neighbours; blank lines between show as gaps of line_no
     order = Window.partitionBy("doc_id").orderBy("line_no")
@@ -142,22 +170,157 @@ def _number(text: Column) -> Column:
     return out
 
 
-def numbered(tree: DataFrame) -> DataFrame:
-    """Nodes with chapter (the number of the last numbered chapter before them or at them) and own (a chapter's own number), letter (of an appendix), appendix (whether an appendix is before them or at them)."""
-    h2 = (F.col("kind") == "heading") & (F.col("level") == 2)
-    app = h2 & F.col("text").rlike(APPENDIX)
-    upto = Window.partitionBy("doc_id").orderBy("node").rowsBetween(Window.unboundedPreceding, 0)
-    own = tree.withColumns({"own": F.when(h2 & ~app, _number(F.col("text"))), "letter": F.when(app, F.upper(F.nullif(F.regexp_extract("text", APPENDIX, 1), F.lit(""))))})
-    return own.withColumns({"chapter": F.last("own", ignorenulls=True).over(upto), "appendix": F.max(app).over(upto)})
+def _pieces(lines: Column) -> Column:
+    """line_no, kind, text, at, alone, letter, own: of a text's lines (fenced_texts()) what checks ask for.
+
+    These are chapters' and appendices' heads, figures, captions, and prose with a word that a check may tell: paragraphs
+    and quotes as blocks, all else by lines. text is trimmed, a head's is without its #. at: the line of the figure, or of
+    the caption's table. alone: a line with no figure next to it. letter: of an appendix (empty if it has none), own: a chapter's own number.
+    """
+    tabbed = F.exists(lines, lambda x: F.contains(x["text"], F.lit("\t")))
+    plain = F.when(tabbed, F.transform(lines, lambda x: F.struct(x["line_no"].alias("line_no"), _untabbed(x["text"]).alias("text"), x["in_fence"].alias("in_fence")))).otherwise(lines)
+    kind = lambda x: F.struct(x["line_no"].alias("line_no"), F.when(x["in_fence"], "fence").otherwise(L.line_kind(x["text"], F.lit(False))).alias("kind"), F.trim(x["text"]).alias("s"))
+
+    starred = lambda x: (x["kind"] == "paragraph") & x["s"].startswith("*")
+
+    def finally_(solid: Column) -> Column:
+        of = lambda i: F.coalesce(F.get(solid, i)["kind"], F.lit(""))
+        as_ = lambda x, kind: F.struct(x["line_no"].alias("line_no"), F.lit(kind).alias("kind"), x["s"].alias("s"))
+        told = lambda x, i: F.when(starred(x) & (of(i + 1) == "table") & _is_caption(x["s"]), as_(x, "caption")).when(starred(x) & (of(i - 1) == "table") & _is_source(x["s"]), as_(x, "source")).otherwise(x)
+        return F.when(F.exists(solid, starred), F.transform(solid, told)).otherwise(solid)
+
+    def gathered(rows: Column) -> Column:
+        goes_on = lambda x, p: _one_of(x["kind"], "paragraph", "quote") & (p["kind"] == x["kind"]) & (p["line_no"] == x["line_no"] - 1) & ((x["kind"] == "paragraph") | (_quote_depth(p["s"]) == _quote_depth(x["s"])))
+        starts = L.places(rows, lambda x, i: ~F.coalesce(goes_on(x, F.get(rows, i - 1)), F.lit(False)))
+        asks = lambda x: ((x["kind"] == "heading") & x["s"].rlike(r"^##[^#]")) | _one_of(x["kind"], "figure", "caption") | (_one_of(x["kind"], *PROSE) & x["s"].rlike(ASKED))
+        near = lambda i: F.coalesce(F.get(rows, i)["kind"] == "figure", F.lit(False))
+
+        def piece(x: Column, n: Column, a: Column) -> Column:
+            text = F.when(n > 1, F.array_join(F.transform(F.slice(rows, a + 1, n), lambda y: y["s"]), "\n")).when(x["kind"] == "heading", F.trim(F.regexp_replace(x["s"], "^#+", ""))).otherwise(x["s"])
+            at = F.when(x["kind"] == "caption", F.get(rows, a + 1)["line_no"]).otherwise(x["line_no"])  # a caption's table begins with the next line
+            alone = (x["kind"] == "paragraph") & (n == 1) & x["s"].rlike(S.FIGURE_LINE) & ~near(a - 1) & ~near(a + 1)
+            return F.struct(x["line_no"].alias("line_no"), x["kind"].alias("kind"), text.alias("text"), at.alias("at"), alone.alias("alone"))
+
+        def asked(a: Column, n: Column) -> Column:
+            met = F.when(n == 1, asks(F.get(rows, a))).otherwise(F.exists(F.slice(rows, a + 1, n), asks))
+            return F.when(met, piece(F.get(rows, a), n, a))
+
+        return F.array_compact(T.let(starts, lambda starts: F.transform(starts, lambda a, j: asked(a, F.coalesce(F.get(starts, j + 1), F.size(rows)) - a))))
+
+    def numbered(p: Column) -> Column:
+        head = p["kind"] == "heading"
+        app = head & p["text"].rlike(APPENDIX)
+        fields = [p[c].alias(c) for c in ("line_no", "kind", "text", "at", "alone")]
+        return F.struct(*fields, F.when(app, F.translate(F.regexp_extract(p["text"], APPENDIX, 1), ascii_lowercase, ascii_uppercase)).alias("letter"), F.when(head & ~app, _number(p["text"])).alias("own"))
+
+    solid = F.filter(F.transform(plain, kind), lambda x: x["kind"] != "blank")
+    return F.transform(T.let(T.let(solid, finally_), gathered), numbered)
+
+
+def _one_of(kind: Column, *kinds: str) -> Column:
+    """Whether a kind is one of some. Within an array, Spark leaves the loop of isin() by an exception, which takes longer than all else."""
+    return reduce(or_, [kind == k for k in kinds])
+
+
+def _cut(rows: Column, starts: Callable[[Column, Column], Column], f: Callable[[Column], Column]) -> Column:
+    """f of each run of rows, in one array. A run begins at the first row and where starts(row, the row before) holds."""
+    places = L.places(rows, lambda x, i: (i == 0) | starts(x, F.get(rows, i - 1)))
+    run = lambda p: lambda a, j: f(F.slice(rows, a + 1, F.coalesce(F.get(p, j + 1), F.size(rows)) - a))
+    return F.flatten(T.let(places, lambda p: F.transform(p, run(p))))
+
+
+def _fault(code: Column | str, line: Column, element: Column, detail: Column | str) -> Column:
+    lit = lambda c: F.lit(c) if isinstance(c, str) else c
+    return F.struct(lit(code).alias("code"), line.cast("int").alias("line_no"), element.alias("element"), lit(detail).alias("detail"))
+
+
+def _expected(number: Column, place: Column, code: Column | str, line: Column, element: Column) -> Column:
+    """The fault of a number that is not the one of its place (from 0); else null."""
+    return F.when(number != place + 1, _fault(code, line, element, F.concat(F.lit("expected "), place + 1)))
+
+
+def _in_order(rows: Column, code: str) -> Column:
+    """Faults of numbers (number, line_no, text; by line) that are not 1, 2, ... in their order, and of those that come again."""
+    gaps = F.transform(rows, lambda r, i: _expected(r["number"], i, code, r["line_no"], r["text"]))
+    again = lambda by: F.transform(by, lambda r, i: F.when((i > 0) & (F.get(by, i - 1)["number"] == r["number"]), _fault(code, r["line_no"], r["text"], "again")))
+    return F.array_compact(F.concat(gaps, T.let(F.sort_array(rows), again)))
+
+
+def _entity_faults(entities: Column) -> Column:
+    """Faults of figures and captions (mark, x, y, line_no, chapter): numbers that leave a gap or come again within x, and those that stand in another chapter."""
+    figure = lambda e, a: F.when(e["mark"] == "图", a).otherwise("W-TBL-02")
+
+    def of_run(run: Column) -> Column:
+        def told(e: Column, i: Column) -> Column:
+            before = F.get(run, i - 1)
+            return F.array_compact(F.array(
+                _expected(e["y"], i, figure(e, "W-IMG-06"), e["line_no"], _element(e)),
+                F.when((i > 0) & (before["y"] == e["y"]), _fault(figure(e, "W-IMG-05"), e["line_no"], _element(e), "again")),
+                F.when(e["chapter"] != e["x"], _fault(figure(e, "W-IMG-04"), e["line_no"], _element(e), F.concat(F.lit("in chapter "), e["chapter"]))),
+            ))
+
+        return F.flatten(F.transform(run, told))
+
+    return T.let(F.sort_array(entities), lambda rows: _cut(rows, lambda e, p: (e["mark"] != p["mark"]) | (e["x"] != p["x"]), of_run))
+
+
+def _element(e: Column) -> Column:
+    return F.concat(e["mark"], e["x"], F.lit("-"), e["y"])
+
+
+def _mention_faults(entities: Column, mentions: Column) -> Column:
+    """Faults of what is never mentioned, mentioned late, or mentioned without being there. mentions: element, line_no."""
+    there = F.transform(entities, lambda e: F.struct(_element(e).alias("element"), F.lit(1).alias("said"), e["line_no"].alias("line_no")))
+    said = F.transform(mentions, lambda m: F.struct(m["element"].alias("element"), F.lit(2).alias("said"), m["line_no"].alias("line_no")))
+
+    def of_run(run: Column) -> Column:
+        one, place = F.get(run, F.lit(0)), F.size(F.filter(run, lambda r: r["said"] == 1))
+
+        def held(late: Column) -> Column:
+            never = F.when(late.isNull(), _fault("W-REF-01", one["line_no"], one["element"], "never mentioned"))
+            return F.array_compact(F.array(F.coalesce(never, F.when(late > one["line_no"], _fault("W-REF-02", one["line_no"], one["element"], F.concat(F.lit("first mentioned in line "), late))))))
+
+        return F.when(one["said"] == 2, F.transform(run, lambda r: _fault("W-REF-03", r["line_no"], r["element"], "not there"))).otherwise(T.let(F.get(run, place)["line_no"], held))
+
+    return T.let(F.sort_array(F.concat(there, said)), lambda rows: _cut(rows, lambda r, p: r["element"] != p["element"], of_run))
+
+
+def _faults(pieces: Column) -> Column:
+    """All faults of a text but those of its metadata, from its pieces; of each figure's file as if it were not there."""
+    number = lambda c, p, i: F.regexp_extract(c, p, i).try_cast("int")
+    first_app = F.get(F.filter(pieces, lambda p: p["letter"].isNotNull()), F.lit(0))["line_no"]
+
+    def entities(run: Column) -> Column:
+        # a run begins with the head that numbers its chapter
+        def entity(p: Column, chapter: Column) -> Column:
+            text = F.when(p["kind"] == "figure", F.regexp_extract(p["text"], FIGURE, 1)).otherwise(S._inner(p["text"], "**"))
+            pattern = F.when(p["kind"] == "figure", F.struct(number(text, FIGURE_NUMBER, 1).alias("x"), number(text, FIGURE_NUMBER, 2).alias("y"))).otherwise(F.struct(number(text, S.CAPTION, 1).alias("x"), number(text, S.CAPTION, 2).alias("y")))
+            return T.let(pattern, lambda n: F.when(n["x"].isNotNull(), F.struct(F.when(p["kind"] == "figure", "图").otherwise("表").alias("mark"), n["x"].alias("x"), n["y"].alias("y"), p["at"].alias("line_no"), chapter.alias("chapter"))))
+
+        return T.let(F.get(run, F.lit(0))["own"], lambda chapter: F.array_compact(F.transform(run, lambda p: F.when(_one_of(p["kind"], "figure", "caption"), entity(p, chapter)))))
+
+    def in_prose(upto: Column) -> Column:
+        before = lambda p: upto.isNull() | (p["line_no"] < upto)
+        prose = F.filter(pieces, lambda p: _one_of(p["kind"], *PROSE))
+        words = lambda rows, has, pattern, f: F.flatten(F.transform(F.filter(rows, lambda p: p["text"].rlike(has)), lambda p: F.transform(F.regexp_extract_all(p["text"], F.lit(pattern), 0), lambda w: f(p, w))))
+        element = lambda m: F.concat(F.substring(m, 1, 1), number(m, r"(\d+)-(\d+)", 1), F.lit("-"), number(m, r"(\d+)-(\d+)", 2))
+        orphans = F.transform(F.filter(pieces, lambda p: p["alone"] & before(p)), lambda p: _fault("W-REF-03", p["line_no"], F.substring(p["text"], 1, 60), "no figure next to it"))
+
+        def told(prose: Column) -> Column:
+            body = F.filter(prose, before)
+            mentions = words(body, "[图表]", MENTION, lambda p, m: F.struct(element(m).alias("element"), p["line_no"].alias("line_no")))
+            places = words(body, "[图表]", r"(?<!以)[上下][图表]", lambda p, w: _fault("W-REF-04", p["line_no"], w, "points by place"))
+            marks = words(prose, "[密内]", N.SECRECY_WEAK, lambda p, w: _fault("W-CLN-01", p["line_no"], w, "mark of secrecy"))
+            both = T.let(_cut(pieces, lambda p, _: p["own"].isNotNull(), entities), lambda e: F.concat(_entity_faults(e), _mention_faults(e, mentions)))
+            return F.concat(both, orphans, places, marks)
 
+        return T.let(prose, told)
 
-def _in_order(rows: DataFrame, by: list[str], number: str, code: str, element: Column, order: list[str]) -> DataFrame:
-    """Numbers that are not 1, 2, ... in the order given, and those that come again."""
-    place = Window.partitionBy(*by).orderBy(*order)
-    again = F.row_number().over(Window.partitionBy(*by, number).orderBy(*order)) > 1
-    r = rows.withColumns({"__n": F.row_number().over(place), "__again": again, "__element": element})
-    faults = F.array_compact(F.array(F.when(F.col(number) != F.col("__n"), F.concat(F.lit("expected "), F.col("__n"))), F.when(F.col("__again"), F.lit("again"))))
-    return r.select("doc_id", F.lit(code).alias("code"), "first_line", F.col("__element").alias("element"), F.explode(faults).alias("detail"))
+    figures = F.transform(F.filter(pieces, lambda p: p["kind"] == "figure"), lambda p: _fault(NO_FILE, p["line_no"], F.regexp_extract(p["text"], FIGURE, 2), "no file"))
+    ranked = lambda match, n: F.transform(F.filter(pieces, match), lambda p: F.struct(n(p).alias("number"), p["line_no"].alias("line_no"), p["text"].alias("text")))
+    chapters = ranked(lambda p: p["own"].isNotNull(), lambda p: p["own"])
+    letters = ranked(lambda p: p["letter"] != "", lambda p: F.ascii(p["letter"]) - 64)
+    return F.concat(figures, T.let(chapters, lambda r: _in_order(r, "W-HDR-01")), T.let(letters, lambda r: _in_order(r, "W-HDR-02")), T.let(first_app, in_prose))
 
 
 def checked(docs: DataFrame, files: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,52 +334,14 @@ def checked(docs: DataFrame, files: DataFrame | None = None, id_col: str = "doc_
     point by place; mentions are in prose before the first appendix. W-CLN-01 weak marks of secrecy in prose. W-TTL-01 no
     short title among the metadata. line_no: the block's first line; null for W-TTL-01.
     """
-    named = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    tree = table_of(numbered(blocks(named)))  # every check reads it
-    one = lambda r, code, element, detail, line="first_line": r.select("doc_id", F.lit(code).alias("code"), F.col(line).alias("first_line"), element.alias("element"), detail.alias("detail"))
-    alt, path = F.regexp_extract("text", FIGURE, 1), F.regexp_extract("text", FIGURE, 2)
-    part = lambda c, p, i: F.regexp_extract(c, p, i).try_cast("int")
-    figs = tree.where("kind = 'figure'").select("doc_id", "first_line", "chapter", path.alias("path"), part(alt, FIGURE_NUMBER, 1).alias("x"), part(alt, FIGURE_NUMBER, 2).alias("y"))
-    table = tree.where("kind = 'table'").select("doc_id", F.col("node").alias("of"), "first_line", "chapter")
-    cap = tree.where("kind = 'caption'").select("doc_id", F.col("parent").alias("of"), S._inner(F.col("text"), "**").alias("cap"))
-    tabs = table.join(cap, ["doc_id", "of"]).select("doc_id", "first_line", "chapter", part("cap", S.CAPTION, 1).alias("x"), part("cap", S.CAPTION, 2).alias("y"))
-    out = []
-    if files is not None:
-        there = files.select("doc_id", F.col("path").alias("path")).distinct()
-        out.append(one(figs.join(there, ["doc_id", "path"], "left_anti"), "E-IMG-01", F.col("path"), F.lit("no file")))
-    entities = None
-    for kind, rows, gap, again, astray in (("图", figs, "W-IMG-06", "W-IMG-05", "W-IMG-04"), ("表", tabs, "W-TBL-02", "W-TBL-02", "W-TBL-02")):
-        rows = rows.where("x IS NOT NULL").withColumn("element", F.concat(F.lit(kind), "x", F.lit("-"), "y"))
-        found = _in_order(rows, ["doc_id", "x"], "y", gap, F.col("element"), ["y", "first_line"])
-        out.append(found.withColumn("code", F.when(F.col("detail") == "again", again).otherwise(F.col("code"))))
-        out.append(one(rows.where("chapter <> x"), astray, F.col("element"), F.concat(F.lit("in chapter "), "chapter")))
-        own = rows.groupBy("doc_id", "element").agg(F.min("first_line").alias("first_line"))
-        entities = own if entities is None else entities.unionByName(own)
-    chapters = tree.where("own IS NOT NULL").select("doc_id", "first_line", "own", "text")
-    out.append(_in_order(chapters, ["doc_id"], "own", "W-HDR-01", F.col("text"), ["first_line"]))
-    letters = tree.where("letter IS NOT NULL").select("doc_id", "first_line", (F.ascii("letter") - 64).alias("place"), "text")
-    out.append(_in_order(letters, ["doc_id"], "place", "W-HDR-02", F.col("text"), ["first_line"]))
-
-    prose = tree.where(F.col("kind").isin(*PROSE))
-    before = prose.where(~F.col("appendix"))
-    said = before.select("doc_id", "first_line", F.explode(F.regexp_extract_all("text", F.lit(MENTION), 0)).alias("m"))
-    said = said.select("doc_id", "first_line", F.concat(F.substring("m", 1, 1), part("m", r"(\d+)-(\d+)", 1), F.lit("-"), part("m", r"(\d+)-(\d+)", 2)).alias("element"))
-    at = said.groupBy("doc_id", "element").agg(F.min("first_line").alias("said"))
-    met = entities.join(at, ["doc_id", "element"], "left")
-    out.append(one(met.where("said IS NULL"), "W-REF-01", F.col("element"), F.lit("never mentioned")))
-    out.append(one(met.where("said > first_line"), "W-REF-02", F.col("element"), F.concat(F.lit("first mentioned in line "), "said")))
-    out.append(one(said.join(entities.select("doc_id", "element"), ["doc_id", "element"], "left_anti"), "W-REF-03", F.col("element"), F.lit("not there")))
-    # neighbours in the reference's sense are blocks: parts of a list or table do not come between
-    line = Window.partitionBy("doc_id").orderBy("node")
-    alone = tree.where(~F.col("kind").isin("row", "item", "ordered_item", "caption", "source")).withColumns({"back": F.lag("kind").over(line), "ahead": F.lead("kind").over(line)})
-    orphan = alone.where((F.col("kind") == "paragraph") & ~F.col("appendix") & F.col("text").rlike(S.FIGURE_LINE) & (F.coalesce("back", F.lit("")) != "figure") & (F.coalesce("ahead", F.lit("")) != "figure"))
-    out.append(one(orphan, "W-REF-03", F.substring("text", 1, 60), F.lit("no figure next to it")))
-    words = lambda r, pattern: r.select("doc_id", "first_line", F.explode(F.regexp_extract_all("text", F.lit(pattern), 0)).alias("w"))
-    out.append(one(words(before, r"(?<!以)[上下][图表]"), "W-REF-04", F.col("w"), F.lit("points by place")))
-    out.append(one(words(prose, N.SECRECY_WEAK), "W-CLN-01", F.col("w"), F.lit("mark of secrecy")))
-    short = L.metadata_lines(L.classified(named)).where((F.col("name") == SHORT_TITLE) & (F.col("value") != "")).select("doc_id").distinct()
-    out.append(one(named.join(short, "doc_id", "left_anti").withColumn("first_line", F.lit(None).cast("int")), "W-TTL-01", F.lit(SHORT_TITLE), F.lit("not given")))
-    found = out[0]
-    for more in out[1:]:
-        found = found.unionByName(more)
-    return found.select("doc_id", "code", F.col("first_line").alias("line_no"), "element", "detail")
+    texts = L.fenced_texts(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")))
+    short = F.exists("lines", lambda x: F.contains(F.translate(x["text"], "*>", ""), F.lit(SHORT_TITLE)))  # else no line can be the short title's
+    named = lambda lines: F.exists(L.own_metadata(lines), lambda m: (m["name"] == SHORT_TITLE) & (m["value"] != ""))
+    given = F.when(short, T.let(L.with_kinds(F.col("lines")), named)).otherwise(False)
+    title = F.array_compact(F.array(F.when(~given, _fault("W-TTL-01", F.lit(None), F.lit(SHORT_TITLE), "not given"))))
+    faults = T.let(_pieces(F.col("lines")), _faults)
+    found = texts.select("doc_id", F.inline(F.concat(faults, title)))
+    if files is None:
+        return found.where(F.col("code") != NO_FILE)
+    path = F.when(F.col("code") == NO_FILE, F.col("element"))
+    return found.withColumn("path", path).join(files.select("doc_id", "path"), ["doc_id", "path"], "left_anti").drop("path")

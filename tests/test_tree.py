@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 
 import pytest
 
+from ledgerloom.operators import findings as N
 from ledgerloom.operators import tree
 
 
@@ -74,6 +76,31 @@ def test_lines_are_read_by_three_windows(spark) -> None:
     assert "1, unboundedfollowing$()" not in plan._jdf.queryExecution().toString()
 
 
+def test_checks_stay_in_the_documents_row(spark) -> None:
+    """Checks neither shuffle nor sort a document's lines; only faults are shuffled, against the files."""
+    docs = docs_of(spark, "## 第2章 A\n![图1-2 x](a.png)")
+    count = lambda df, *names: sum(o in names for o in operators_of(df))
+    assert count(tree.checked(docs), "Exchange", "Window", "Sort", "SortMergeJoin", "BroadcastHashJoin") == 0
+    files = spark.createDataFrame([(1, "a.png")], "doc_id long, path string")
+    assert count(tree.checked(docs, files), "SortMergeJoin", "BroadcastHashJoin", "ShuffledHashJoin") == 1
+
+
+def test_words_are_asked_for_by_their_characters() -> None:
+    """A line without any of these characters is not looked at, so each word must have one."""
+    words = ["图1-1", "上表", *N.SECRECY_WEAK.replace("(?<!高度)", "").replace("(?<!跨)", "").split("|")]
+    assert all(re.search(tree.ASKED, w) for w in words) and all(re.search("[密内]", w) for w in words[2:])
+
+
+def test_pieces_of_odd_documents(spark) -> None:
+    """Blocks give their first line, tabs and quotes' depths part them, captions count by their table, and a caption before no table is prose."""
+    text = "## 第1章 A\n\n\tsee 图01-1\nand 图1-1 and 表1-9\n> 上图\n>> 下表\n>> 内部资料\n\n![图1-1 a](x.png)\n\n**表1-1 c**\n\n| 图1-5 |\n*来源：图1-6*\n**表1-2 no table**\n```\n图1-8\n```\n## 附录b\n图1-1：last\nmore\n\n图1-1：x\n## 1、again"
+    files = spark.createDataFrame([(0, "x.png")], "doc_id long, path string")
+    assert findings(tree.checked(docs_of(spark, text), files)) == sorted([
+        ("W-REF-03", 3, "表1-9", "not there"), ("W-REF-04", 5, "上图", "points by place"), ("W-REF-04", 6, "下表", "points by place"), ("W-CLN-01", 6, "内部资料", "mark of secrecy"),
+        ("W-REF-01", 13, "表1-1", "never mentioned"), ("W-REF-03", 15, "表1-2", "not there"), ("W-HDR-02", 19, "附录b", "expected 1"), ("W-HDR-01", 24, "1、again", "expected 2"), ("W-HDR-01", 24, "1、again", "again"),
+    ])
+
+
 def findings(df, doc=0):
     return sorted((r["code"], r["line_no"], r["element"], r["detail"]) for r in df.where(f"doc_id = {doc}").collect() if r["code"] != "W-TTL-01")
 
