@@ -99,10 +99,13 @@ _PIECE = f"concat({_PIECE}, CASE WHEN s % 2 = 0 THEN chr(10) ELSE '' END)"
 _HEAD = "concat('# T', k, CASE WHEN k % 3 = 0 THEN concat(chr(10), '**页眉简称**：K', k) ELSE '' END)"
 
 
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS n", "l_partkey AS p", "l_suppkey AS s", "int(l_quantity) AS q", "l_returnflag AS f", "l_extendedprice AS x")
+
+
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey AS k", "l_linenumber AS n", "l_partkey AS p", "l_suppkey AS s", "int(l_quantity) AS q", "l_returnflag AS f", "l_extendedprice AS x")
     all_ = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", "p", "s", "q", "x", F.expr(_PIECE).alias("t")))), lambda t: t["t"]), "\n")
-    return parts.groupBy("k").agg(all_.alias("t")).select(F.col("k").alias("doc_id"), F.concat(F.expr(_HEAD), F.lit("\n"), "t").alias("text"))
+    return _parts(spark, sf_dir).groupBy("k").agg(all_.alias("t")).select(F.col("k").alias("doc_id"), F.concat(F.expr(_HEAD), F.lit("\n"), "t").alias("text"))
 
 
 _DOCUMENTS = f"""
@@ -170,9 +173,10 @@ UNION ALL SELECT doc_id, 'W-TTL-01', NULL, '页眉简称', 'not given' FROM d WH
 )
 def document_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All checks of whole documents; the files of every fifth figure are missing."""
-    docs = _documents(spark, sf_dir)
-    figures = docs.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"figures/f\d+\.png"), 0)).alias("path"))
-    return tree.checked(docs, figures.where(F.regexp_extract("path", r"(\d+)\.png", 1).cast("int") % 5 != 0))
+    # a path lies within one block, so the files are told by the blocks and no document is put together for them
+    blocks = _parts(spark, sf_dir).select(F.col("k").alias("doc_id"), F.expr(_PIECE).alias("text"))
+    figures = blocks.select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"figures/f\d+\.png"), 0)).alias("path"))
+    return tree.checked(_documents(spark, sf_dir), figures.where(F.regexp_extract("path", r"(\d+)\.png", 1).cast("int") % 5 != 0))
 
 
 #: Forms from the first turns of every tenth conversation, each with a sign too many in its middle.
